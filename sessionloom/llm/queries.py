@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .bpe import decode_column, encode_column
 from .common import load
+from .exact_dedup import exact_duplicates
+from .simhash import components_of
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -34,11 +36,32 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    found = components_of(load(spark, sf_dir, "documents"), words_per_shingle=3, budget=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of identical texts of every document, and the one that stays."""
+    return exact_duplicates(load(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+SELECT doc_id,
+       max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+       count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op7_simhash": op7_simhash, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {"op10_exact_dedup": OP10_SQL}
