@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode_column, encode_column
+from .bpe import decode, encode
 from .common import load
 from .exact_dedup import exact_duplicates
+from .fingerprints import fingerprints, with_next
 from .simhash import components_of
 
 __all__ = ["oracle_sql", "queries"]
@@ -25,9 +26,8 @@ def tokenizer_path() -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded text."""
     path = tokenizer_path()
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = docs.select("doc_id", encode_column(F.col("text"), path).alias("ids"))
-    decoded = ids.select("doc_id", "ids", decode_column(F.col("ids"), path).alias("decoded"))
+    ids = encode(load(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    decoded = decode(ids, path)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -47,6 +47,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text and of the next document, and how far they agree."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    edited = with_next(docs, "doc_id", "text", ["doc_id", "text"]).select(
+        "doc_id", "next_doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited")
+    )
+    found = fingerprints(edited.withColumn("edited_sha256", F.sha2("edited", 256)), {"text": "fingerprint", "edited": "edited_fingerprint"}, ["doc_id", "n_chars", "edited_sha256"])
+    led = with_next(found, "doc_id", "fingerprint", ["fingerprint"])
+    same = lambda c: (F.col("fingerprint") == F.col(c)).cast("double")
+    return led.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
+
+
 OP10_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -59,7 +72,7 @@ FROM documents
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {"op1_bpe": op1_bpe, "op7_simhash": op7_simhash, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_bpe": op1_bpe, "op7_simhash": op7_simhash, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
