@@ -11,6 +11,7 @@ from .bpe import decode, encode
 from .common import load
 from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprints, with_next
+from .line_dedup import dedup_lines
 from .simhash import components_of
 
 __all__ = ["oracle_sql", "queries"]
@@ -36,6 +37,34 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Sites on which a line has to stand to count as boilerplate.
+MIN_SITES = 3
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand on several sites."""
+    found = dedup_lines(load(spark, sf_dir, "documents"), MIN_SITES)
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars_kept"), F.col("lines_removed").cast("long").alias("lines_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
+OP5_SQL = f"""
+WITH lines AS (
+    SELECT doc_id, source, pos, line, lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) AS key
+    FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+), spread AS (
+    SELECT key, min({{'d': doc_id, 'p': pos}}) AS first FROM lines WHERE key <> ''
+    GROUP BY key HAVING count(DISTINCT coalesce('s' || source, '')) >= {MIN_SITES}
+), marked AS (
+    SELECT l.*, s.key IS NOT NULL AND s.first <> {{'d': l.doc_id, 'p': l.pos}} AS gone FROM lines l LEFT JOIN spread s USING (key)
+), rebuilt AS (
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS lines_removed
+    FROM marked GROUP BY doc_id
+)
+SELECT doc_id, length(r.text) AS n_chars_kept, coalesce(r.lines_removed, 0) AS lines_removed, sha256(r.text) AS text_sha256
+FROM documents LEFT JOIN rebuilt r USING (doc_id)
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = components_of(load(spark, sf_dir, "documents"), words_per_shingle=3, budget=2)
@@ -72,9 +101,9 @@ FROM documents
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {"op1_bpe": op1_bpe, "op7_simhash": op7_simhash, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_bpe": op1_bpe, "op5_line_dedup": op5_line_dedup, "op7_simhash": op7_simhash, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL}
