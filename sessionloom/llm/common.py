@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-__all__ = ["load", "saved", "shared_dir"]
+__all__ = ["likely_in", "load", "saved", "shared_dir"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +44,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Most bits of the filter that ``likely_in`` makes: 1 MB.
+MOST_BITS = 1 << 23
+
+
+def likely_in(keys: DataFrame, key: str, column: Column) -> Column:
+    """A filter that holds for every value of ``keys[key]`` and for few others.
+
+    It is a bitmap of hashes, of at most ``MOST_BITS`` bits, so it may be sent
+    to all tasks. With more keys than that it lets more through; an exact
+    semi-join has to follow in any case. It spares that join the rows that
+    certainly have no partner. Null keys are never in.
+    """
+    count = keys.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * max(1, count)).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bytes_of = keys.where(F.col(key).isNotNull()).select(at(F.col(key)).alias("at"))
+    set_bytes = bytes_of.groupBy(F.floor(F.col("at") / 8).cast("int").alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("at") % 8).cast("int"))).alias("bits"))
+    bitmap = bytearray(bits // 8)
+    for row in set_bytes.collect():
+        bitmap[row["byte"]] = row["bits"]
+    byte = F.conv(F.hex(F.substr(F.lit(bytes(bitmap)), F.floor(at(column) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return column.isNotNull() & (F.getbit(byte, (at(column) % 8).cast("int")) == 1)

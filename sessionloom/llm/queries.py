@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
-from .common import load
+from .common import likely_in, load, saved
 from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprints, with_next
+from .language import held_out, identify, train
 from .line_dedup import dedup_lines
+from .mixing import mix
 from .simhash import components_of
+from .url_filter import judge_urls
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -37,6 +40,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from four fifths of them."""
+    docs = load(spark, sf_dir, "documents")
+    test = held_out(F.col("doc_id"), 5, 0)
+    model = train(docs.where(~test))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", test.alias("held_out"), "lang_pred", "score")
+
+
+#: Explicit rules of the URL filter.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return judge_urls(load(spark, sf_dir, "pages"), URL_RULES)
+
+
 #: Sites on which a line has to stand to count as boilerplate.
 MIN_SITES = 3
 
@@ -76,14 +97,32 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+#: Weights that sources take in turn, the mix's share of all words, and the most copies of a document.
+MIX = {"weights": [3.0, 1.0, 2.0], "share": 1.5, "max_copies": 2}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
+    found = mix(load(spark, sf_dir, "documents"), **MIX)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text and of the next document, and how far they agree."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    edited = with_next(docs, "doc_id", "text", ["doc_id", "text"]).select(
-        "doc_id", "next_doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited")
-    )
-    found = fingerprints(edited.withColumn("edited_sha256", F.sha2("edited", 256)), {"text": "fingerprint", "edited": "edited_fingerprint"}, ["doc_id", "n_chars", "edited_sha256"])
+    edit = F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited")
+    edited = with_next(docs, "doc_id", "text", ["doc_id", "text"]).select("doc_id", "next_doc_id", "text", n.cast("long").alias("n_chars"), edit)
+
+    def rebuild(rows: DataFrame) -> DataFrame:
+        """The texts of some rows and their edited texts, without reading the order of all rows again."""
+        needed = saved(rows.select(F.explode(F.array("doc_id", "next_doc_id")).alias("doc_id")).distinct(), "needed")
+        some = saved(docs.where(likely_in(needed, "doc_id", F.col("doc_id"))).join(needed, "doc_id", "left_semi"), "compared")
+        following = some.select(F.col("doc_id").alias("next_doc_id"), F.col("text").alias("next_text"))
+        return rows.join(some, "doc_id").join(following, "next_doc_id").select("doc_id", "text", edit)
+
+    keep = ["doc_id", "next_doc_id", "n_chars", "edited_sha256"]
+    found = fingerprints(edited.withColumn("edited_sha256", F.sha2("edited", 256)), {"text": "fingerprint", "edited": "edited_fingerprint"}, keep, rebuild=rebuild)
     led = with_next(found, "doc_id", "fingerprint", ["fingerprint"])
     same = lambda c: (F.col("fingerprint") == F.col(c)).cast("double")
     return led.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
@@ -101,7 +140,7 @@ FROM documents
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {"op1_bpe": op1_bpe, "op5_line_dedup": op5_line_dedup, "op7_simhash": op7_simhash, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_bpe": op1_bpe, "op3_language": op3_language, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
