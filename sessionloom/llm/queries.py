@@ -15,6 +15,7 @@ from .language import held_out, identify, train
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .simhash import components_of
+from .toxicity import score, train as train_toxicity
 from .url_filter import judge_urls
 
 __all__ = ["oracle_sql", "queries"]
@@ -86,6 +87,19 @@ FROM documents LEFT JOIN rebuilt r USING (doc_id)
 """
 
 
+#: Score from which a text counts as toxic.
+TOXIC_FROM = 0.7
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from two thirds of the labels."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    test = held_out(F.col("doc_id"), 3, 1)
+    labels = load(spark, sf_dir, "labels").where(~test)
+    found = score(docs, train_toxicity(docs.where(~test), labels), keep=["doc_id"])
+    return found.select("doc_id", test.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = components_of(load(spark, sf_dir, "documents"), words_per_shingle=3, budget=2)
@@ -140,7 +154,7 @@ FROM documents
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {"op1_bpe": op1_bpe, "op3_language": op3_language, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_bpe": op1_bpe, "op3_language": op3_language, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
