@@ -12,22 +12,22 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-__all__ = ["WordBPE", "decode_column", "encode_column"]
+__all__ = ["WordBPE", "decode", "encode"]
 
 #: Texts are encoded in slices of about so many characters, to bound memory.
 SLICE_CHARS = 1_000_000
 #: Distinct words a worker remembers before it starts afresh; bounds memory only, never results.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 #: Words of up to so many symbols are merged by scanning.
 SHORT_WORD = 64
 #: Above every rank.
@@ -307,32 +307,52 @@ class WordBPE:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), strings), " ")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokenizer(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def encode_column(text: Column, path: str) -> Column:
-    """Token ids of a text column as ``array<int>``.
+def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows that hold about ``limit`` bytes of a column, one row at least."""
+    values = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    sizes = length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // limit
+    starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(starts, starts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
-    Null and empty texts give an empty list. Special tokens in a text give
-    their ids; none are added. Texts of any length are encoded whole, in slices
-    cut before white space. Equal texts give equal ids.
-    """
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
-    def encode(texts: pa.Array) -> pa.Array:
-        return _tokenizer(path).encode_array(texts)
+def _with_column(docs: DataFrame, source: str, output: str, kind: T.DataType, make: Callable[[pa.Array], pa.Array], limit: int) -> DataFrame:
+    """``docs`` with a column made from ``source``, some rows at a time; a column named ``output`` is replaced."""
+    keep = [c for c in docs.columns if c != output or c == source]
+    kept = [c for c in keep if c != output]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(output, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, source, limit):
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), make(some.column(source))], names=[*kept, output])
+
+    return docs.select(*keep).mapInArrow(run, schema)
 
-    # so marked that the planner keeps one call where several columns are made from the ids
-    return encode.asNondeterministic()(text)
 
+def encode(docs: DataFrame, path: str, text_col: str = "text", output: str = "ids") -> DataFrame:
+    """``docs`` with the token ids of its texts in ``output`` (``array<int>``).
 
-def decode_column(ids: Column, path: str) -> Column:
-    """The text of a column of token ids; special tokens are kept, a null or empty list gives an empty text."""
+    Null and empty texts give an empty list. Special tokens in a text give
+    their ids; none are added. Texts of any length are encoded whole, in slices
+    cut before white space. Equal texts give equal ids; an empty table stays
+    empty. A column named ``output`` is replaced, all others are kept.
+    """
+    return _with_column(docs, text_col, output, T.ArrayType(T.IntegerType(), False), lambda texts: _tokenizer(path).encode_array(texts), SLICE_CHARS)
 
-    @F.arrow_udf(T.StringType())
-    def decode(ids: pa.Array) -> pa.Array:
-        return _tokenizer(path).decode_array(ids)
 
-    return decode(ids)
+def decode(docs: DataFrame, path: str, ids_col: str = "ids", output: str = "decoded") -> DataFrame:
+    """``docs`` with the texts of its token ids in ``output``; special tokens are kept.
+
+    A null or empty list gives an empty text, an id outside the vocabulary or a
+    null id adds nothing. A column named ``output`` is replaced.
+    """
+    return _with_column(docs, ids_col, output, T.StringType(), lambda ids: _tokenizer(path).decode_array(ids), SLICE_CHARS)
