@@ -140,5 +140,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         salt, width = salt + 1, min(16, 2 * width)
     made = docs.select(F.col(id_col).alias(id_col), recipe_column(F.col(text_col), salt, width).alias("made"))
     recipes = saved(made.select(id_col, "made.recipe", F.col("made.sha256").alias("text_sha256")), "recipes")
-    groups = recipes.groupBy("recipe").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.join(groups, "recipe").select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = recipes.groupBy("recipe").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    # written, so that the join below has an exchange of its own on both sides and a hot group can be split
+    known = recipes.join(saved(groups, "recipe-groups"), "recipe", "left")
+    keep = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id"))
+    return known.select(id_col, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col(id_col).eqNullSafe(keep).alias("kept"), "text_sha256")
