@@ -8,12 +8,12 @@ where they differ they are numbered apart.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import likely_in, saved
 
 __all__ = ["canonical", "digest", "fingerprints", "with_next"]
 
@@ -40,37 +40,39 @@ def digest(canonical_text: Column, bits: int = 128) -> Column:
     return F.right(F.concat(*halves), F.lit(bits // 4))
 
 
-def fingerprints(docs: DataFrame, texts: dict[str, str], keep: list[str], bits: int = 128) -> DataFrame:
+def fingerprints(docs: DataFrame, texts: dict[str, str], keep: list[str], id_col: str = "doc_id", rebuild: Callable[[DataFrame], DataFrame] | None = None, bits: int = 128) -> DataFrame:
     """Columns ``keep`` of ``docs``, and for each text column of ``texts`` (name: output) its fingerprint.
 
     Two texts, of one column or of two, have equal fingerprints if and only if
-    their canonical forms are equal; null and empty texts are equal. Only texts
-    that share a digest are compared. Copies are brought together before they
-    move, so a group of any size stays small. Other columns are not read.
+    their canonical forms are equal; null and empty texts are equal, and a row
+    with a null id is not compared. Only texts that share a digest are
+    compared: ``rebuild`` gets the saved table of digests (``keep``, ``id_col``
+    and ``shares``, true for rows with such a text) and returns the rows with
+    their texts; by default they are looked up in ``docs``. Copies are brought
+    together before they move, so a group of any size stays small. Other
+    columns are not read.
     """
-    halves = [F.struct(digest(canonical(F.col(t)), bits).alias("digest")).alias(f"_{k}") for k, t in enumerate(texts)]
-    marked = saved(docs.select(*keep, *halves), "digests")
-    every = reduce(DataFrame.unionAll, [marked.select(f"_{k}.digest") for k in range(len(texts))])
-    shared = saved(every.groupBy("digest").count().where("count > 1").select("digest"), "shared-digests")
-    variants = saved(_variants(docs, list(texts), shared, bits).where("number > 1"), "digest-variants")
-    plain = [F.col(f"_{k}.digest").alias(out) for k, out in enumerate(texts.values())]
+    names = [f"_{k}" for k in range(len(texts))]
+    kept = list(dict.fromkeys([id_col, *keep]))
+    marked = saved(docs.select(*kept, *(digest(canonical(F.col(t)), bits).alias(n) for t, n in zip(texts, names, strict=True))), "digests")
+    pairs = marked.select(id_col, F.explode(F.array(*names)).alias("digest"))
+    shared = saved(pairs.groupBy("digest").count().where("count > 1").select("digest"), "shared-digests")
+    members = saved(pairs.join(shared, "digest", "left_semi").select(id_col).where(F.col(id_col).isNotNull()).distinct(), "sharers")
+    rows = rebuild(marked.join(members, id_col, "left_semi").select(*kept)) if rebuild else docs.where(likely_in(members, id_col, F.col(id_col))).join(members, id_col, "left_semi")
+    canon = rows.select(F.explode(F.array(*(canonical(F.col(t)) for t in texts))).alias("canon")).withColumn("digest", digest(F.col("canon"), bits))
+    distinct = canon.join(shared, "digest", "left_semi").groupBy("digest", "canon").count()
+    numbered = distinct.withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("canon")))
+    variants = saved(numbered.where("number > 1").select("digest", "canon", "number"), "digest-variants")
     if variants.isEmpty():
-        return marked.select(*keep, *plain)
-    # some digest stands for several texts: number them
-    found = docs.select(*keep, *(canonical(F.col(t)).alias(f"_{k}") for k, t in enumerate(texts)))
-    for k, out in enumerate(texts.values()):
-        name = variants.select(F.col("canon").alias(f"_{k}"), F.concat_ws("-", "digest", "number").alias(f"_name{k}"))
-        found = found.join(name, f"_{k}", "left").withColumn(out, F.coalesce(f"_name{k}", digest(F.col(f"_{k}"), bits)))
+        return marked.select(*keep, *(F.col(n).alias(out) for n, out in zip(names, texts.values(), strict=True)))
+    # some digest stands for several texts: all but the first are numbered
+    found = docs.select(*keep, *(canonical(F.col(t)).alias(n) for t, n in zip(texts, names, strict=True)))
+    for n, out in zip(names, texts.values(), strict=True):
+        name = variants.select(F.col("canon").alias(n), F.concat_ws("-", "digest", "number").alias(f"{n}_name"))
+        found = found.join(name, n, "left").withColumn(out, F.coalesce(f"{n}_name", digest(F.col(n), bits)))
     return found.select(*keep, *texts.values())
 
 
-def _variants(docs: DataFrame, texts: list[str], shared: DataFrame, bits: int) -> DataFrame:
-    """(digest, canon, number) of the different canonical texts of the shared digests, in byte order."""
-    canon = docs.select(F.explode(F.array(*(canonical(F.col(t)) for t in texts))).alias("canon")).withColumn("digest", digest(F.col("canon"), bits))
-    members = canon.join(shared, "digest", "left_semi").groupBy("digest", "canon").count()
-    return members.select("digest", "canon", F.row_number().over(Window.partitionBy("digest").orderBy("canon")).alias("number"))
-
-
 def with_next(docs: DataFrame, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
     """``docs`` with ``next_<c>`` for each of ``columns``: that of the row that follows by descending id, the first after the last.
 
