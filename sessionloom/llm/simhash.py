@@ -157,7 +157,6 @@ def linked_fingerprints(fingerprints: DataFrame, budget: int = 2) -> DataFrame:
     """
     blocks = _blocks(budget)
     copies = fingerprints.select(F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.shiftrightunsigned(_rotated(F.col("fp"), by), BITS - size).alias("node"), _rotated(F.col("fp"), by).alias("key")) for k, (by, size) in enumerate(blocks)))).alias("c")).select("c.*")
-    # a node with a single fingerprint has nothing to join
     placed = copies.repartition("turn", "node").sortWithinPartitions("turn", "node", "key")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,5 +205,6 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = saved(connected_components(linked_fingerprints(nodes.select("fp"), budget)), "components")
     linked = member.join(nodes, member["node"] == nodes["fp"]).groupBy("component").agg(F.min("least").alias("least"))
     of_linked = member.join(linked, "component").select(F.col("node").alias("fp"), F.col("least").alias("least_linked"))
-    least = nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("least_linked", "least").alias("component_id"))
+    # written, so that the join below has an exchange of its own on both sides and a hot group can be split
+    least = saved(nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("least_linked", "least").alias("component_id")), "component-ids")
     return prints.join(least, "fp").select(id_col, "fp", "component_id")
