@@ -11,6 +11,7 @@ from .bpe import decode, encode
 from .common import likely_in, load, saved
 from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprints, with_next
+from .html_extract import extract
 from .language import held_out, identify, train
 from .line_dedup import dedup_lines
 from .mixing import mix
@@ -41,6 +42,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from four fifths of them."""
     docs = load(spark, sf_dir, "documents")
@@ -154,7 +161,7 @@ FROM documents
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {"op1_bpe": op1_bpe, "op3_language": op3_language, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_language": op3_language, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
