@@ -1,44 +1,13 @@
-"""Helpers shared by the corpus operators: the shared folder and saved intermediate tables."""
+"""Helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["likely_in", "load", "saved", "shared_dir"]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.
-
-    It is the session's ``spark.checkpoint.dir``, or the folder already set on
-    the context; only where neither is set (local tests) a temporary one is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="sessionloom-checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+from sessionloom.sources.shared import saved, shared_dir
 
-    This cuts the lineage where lost executors can't take the data with them,
-    and gives the planner the true size, so that it broadcasts the table only
-    if it is below ``spark.sql.autoBroadcastJoinThreshold``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sessionloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["likely_in", "load", "saved", "shared_dir"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionloom.operators.graph import connected_components
+
 from .common import saved
-from .components import connected_components
 
 __all__ = ["components_of", "fingerprint_bytes", "linked_fingerprints", "simhash_column", "trie_pairs"]
 
