@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["n_representatives", "review_budget"]
+__all__ = ["consensus", "diverse_representatives", "n_representatives", "propagate", "review_budget", "silhouettes"]
 
 
 def n_representatives(size: Column) -> Column:
@@ -26,3 +26,77 @@ def review_budget(clusters: DataFrame, budget: int, order: list[Column] | None =
     before = F.coalesce(F.sum("base").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     given = reach.select("cluster_id", F.greatest(F.lit(0), F.least("base", F.lit(budget) - before)).alias("slots"))
     return clusters.join(given, "cluster_id", "left").withColumn("slots", F.coalesce("slots", F.lit(0)).cast("long"))
+
+
+def consensus(votes: DataFrame) -> DataFrame:
+    """(cluster_id, label, confidence, agreement) from representatives' votes (cluster_id, rep_id, label, confidence).
+
+    A label of at least .6 of the votes wins with the mean confidence of its
+    votes and a bonus of up to .1; else the surest vote wins at .8 of its
+    confidence. What is below .5 is given .3 at least. Ties go to the label
+    that comes first; votes without a label don't count.
+    """
+    cast = votes.where(F.col("label").isNotNull())
+    by_label = cast.groupBy("cluster_id", "label").agg(F.count("*").alias("k"), F.avg("confidence").alias("mean"))
+    totals = by_label.groupBy("cluster_id").agg(F.sum("k").alias("n"), F.min_by(F.struct("label", "k", "mean"), F.struct(-F.col("k"), "label")).alias("top"))
+    surest = cast.groupBy("cluster_id").agg(F.min_by(F.struct("label", "confidence"), F.struct(-F.col("confidence"), "label")).alias("best"))
+    joined = totals.join(surest, "cluster_id")
+    ratio = F.col("top.k") / F.col("n")
+    majority = ratio >= 0.6
+    raw = F.when(majority, F.least(F.lit(1.0), F.col("top.mean") + F.least(F.lit(0.1), (ratio - 0.6) * 0.25))).otherwise(F.col("best.confidence") * 0.8)
+    floor = F.when(raw < 0.5, F.greatest(F.lit(0.3), raw)).otherwise(raw)
+    return joined.select("cluster_id", F.when(majority, F.col("top.label")).otherwise(F.col("best.label")).alias("label"), floor.alias("confidence"), ratio.alias("agreement"))
+
+
+def diverse_representatives(vectors: DataFrame, cluster: str, id_col: str = "id", v: str = "v", most: int = 5) -> DataFrame:
+    """(cluster, id, rank) of each cluster's representatives: the member nearest to the centre, then the one farthest from all chosen, and so on.
+
+    How many depends on the cluster's size. Every round is one aggregation by
+    cluster over all members, so clusters of any size are spread out. Ties go
+    to the smallest id.
+    """
+    from sessionloom.functions.numbers import euclidean
+    from sessionloom.operators.vectors import centroid_distances
+    from sessionloom.sources.shared import saved
+
+    members = centroid_distances(vectors.select(F.col(cluster).alias("c"), F.col(id_col).alias("i"), F.col(v).alias("v")), "c")
+    sizes = members.groupBy("c").agg(F.count("*").alias("size")).withColumn("wanted", n_representatives(F.col("size")))
+    key = F.struct(F.round("distance", 9).alias("d"), F.col("i"))
+    chosen = saved(members.groupBy("c").agg(F.min_by(F.struct("i", "v"), key).alias("r")).select("c", F.lit(1).alias("rank"), "r.i", "r.v"), "representatives")
+    out, near = chosen, saved(members.select("c", "i", "v", F.lit(float("inf")).alias("near")), "members")
+    for rank in range(2, most + 1):
+        last = chosen.select("c", F.col("v").alias("_v"))
+        near = saved(near.join(last, "c").select("c", "i", "v", F.least("near", euclidean(F.col("v"), F.col("_v"))).alias("near")), "members")
+        far = near.join(sizes.where(F.col("wanted") >= rank).select("c"), "c", "left_semi").join(out.select("c", "i"), ["c", "i"], "left_anti")
+        chosen = saved(far.groupBy("c").agg(F.max_by(F.struct("i", "v"), F.struct(F.round("near", 9), -F.col("i"))).alias("r")).select("c", F.lit(rank).alias("rank"), "r.i", "r.v"), "representatives")
+        out = out.unionAll(chosen)
+    return out.select(F.col("c").alias(cluster), F.col("i").alias(id_col), "rank")
+
+
+def silhouettes(vectors: DataFrame, cluster: str, v: str = "v") -> DataFrame:
+    """``vectors`` with each member's ``silhouette`` under squared distances; clusters named -1 are left out.
+
+    The mean squared distance to a cluster follows from its size, its centre
+    and the mean of its members' squared lengths, so no pairs of members are made.
+    """
+    from sessionloom.functions.numbers import dot
+    from sessionloom.operators.vectors import centroids
+
+    rows = vectors.where(F.col(cluster) != -1)
+    shape = rows.groupBy(cluster).agg(F.count("*").alias("_n"), F.avg(dot(F.col(v), F.col(v))).alias("_q")).join(centroids(rows, cluster, v), cluster).withColumnRenamed(cluster, "_c")
+    # clusters are few; each member meets each cluster's three numbers and centre
+    far = rows.crossJoin(F.broadcast(shape)).withColumn("_d", F.greatest(F.lit(0.0), dot(F.col(v), F.col(v)) + F.col("_q") - 2 * dot(F.col(v), F.col("centroid"))))
+    own = F.col(cluster) == F.col("_c")
+    keys = [c for c in vectors.columns if c != v]
+    a = F.max(F.when(own & (F.col("_n") > 1), F.col("_d") * F.col("_n") / (F.col("_n") - 1)))
+    b = F.min(F.when(~own, F.col("_d")))
+    found = far.groupBy(*keys).agg(a.alias("_a"), b.alias("_b"))
+    s = F.when(F.col("_a").isNull() | F.col("_b").isNull(), 0.0).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b"))
+    return found.select(*keys, s.alias("silhouette"))
+
+
+def propagate(members: DataFrame, labels: DataFrame, fallback: str = "altro", confidence: float = 0.85, fallback_confidence: float = 0.3) -> DataFrame:
+    """(session_id, label, confidence, method): members take their reviewed cluster's label, all others the fallback."""
+    joined = members.join(labels.select("cluster_id", F.col("label").alias("_l")), "cluster_id", "left")
+    known = F.col("_l").isNotNull()
+    return joined.select("session_id", F.coalesce("_l", F.lit(fallback)).alias("label"), F.when(known, confidence).otherwise(fallback_confidence).alias("confidence"), F.when(known, "CLUSTER_PROPAGATION").otherwise("OUTLIER_DEFAULT").alias("method"))

@@ -1,6 +1,6 @@
 """Registered queries and the SQL they are held against."""
 
-from sessionloom.plans import aggregates, decisions, relational, scalars  # noqa: F401
+from sessionloom.plans import aggregates, clustering, decisions, relational, scalars  # noqa: F401
 from sessionloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["oracle_sql", "queries"]

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.functions import labels as L
 from sessionloom.functions import numbers as N
@@ -67,7 +68,7 @@ def x7(spark, d):
     return joined.select(F.col("a.tag_name").alias("a"), F.col("b.tag_name").alias("b"), F.levenshtein("a.tag_name", "b.tag_name").cast("long").alias("distance"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """How much of two labels matches in order (Ratcliff and Obershelp); there is no built-in for it."""
     return pd.Series([round(difflib.SequenceMatcher(None, x or "", y or "").ratio(), 6) for x, y in zip(a, b, strict=True)])
