@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 __all__ = ["WordBPE", "decode", "encode"]
 
 #: Texts are encoded in slices of about so many characters, to bound memory.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 #: Distinct words a worker remembers before it starts afresh; bounds memory only, never results.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 150_000
 #: Words of up to so many symbols are merged by scanning.
 SHORT_WORD = 64
 #: Above every rank.
@@ -246,11 +246,11 @@ class WordBPE:
             self._learn(new)
         place = self.place
         at = np.fromiter((place[p] if isinstance(p, str) else -1 - p for p in pieces), np.int64, len(pieces)) if self.cut and any("<" in t for t in texts) else np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
-        special = at < 0
-        size = np.where(special, 1, self.lengths[at] if len(self.lengths) else 1)
+        special, word = at < 0, np.maximum(at, 0)
+        size = np.where(special, 1, self.lengths[word] if len(self.lengths) else 1)
         begin = np.cumsum(size) - size
-        source = np.repeat(np.where(special, 0, self.starts[at] if len(self.starts) else 0) - begin, size) + np.arange(int(size.sum()))
-        ids = self.known[source] if len(self.known) else np.zeros(len(source), np.int32)
+        source = np.repeat(np.where(special, 0, self.starts[word] if len(self.starts) else 0) - begin, size) + np.arange(int(size.sum()))
+        ids = self.known[np.minimum(source, len(self.known) - 1)] if len(self.known) else np.zeros(len(source), np.int32)
         ids[begin[special]] = -1 - at[special]
         ends = np.cumsum(np.fromiter(map(len, per_text), np.int64, len(per_text)))
         total = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])]
@@ -324,29 +324,35 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
             yield batch.slice(a, b - a)
 
 
-def _with_column(docs: DataFrame, source: str, output: str, kind: T.DataType, make: Callable[[pa.Array], pa.Array], limit: int) -> DataFrame:
-    """``docs`` with a column made from ``source``, some rows at a time; a column named ``output`` is replaced."""
-    keep = [c for c in docs.columns if c != output or c == source]
-    kept = [c for c in keep if c != output]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(output, kind)])
+def _with_columns(docs: DataFrame, source: str, outputs: dict[str, T.DataType], make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """``docs`` with columns made from ``source``, some rows at a time; columns of those names are replaced."""
+    keep = [c for c in docs.columns if c not in outputs or c == source]
+    kept = [c for c in keep if c not in outputs]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, kind) for c, kind in outputs.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, source, limit):
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), make(some.column(source))], names=[*kept, output])
+            for some in slices(batch, source, SLICE_CHARS):
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), *make(some.column(source))], names=[*kept, *outputs])
 
     return docs.select(*keep).mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", output: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of its texts in ``output`` (``array<int>``).
+def encode(docs: DataFrame, path: str, text_col: str = "text", output: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of its texts in ``output`` (``array<int>``), and with what these decode to in ``decoded``, if named.
 
     Null and empty texts give an empty list. Special tokens in a text give
     their ids; none are added. Texts of any length are encoded whole, in slices
     cut before white space. Equal texts give equal ids; an empty table stays
-    empty. A column named ``output`` is replaced, all others are kept.
+    empty. Columns of the outputs' names are replaced, all others are kept.
     """
-    return _with_column(docs, text_col, output, T.ArrayType(T.IntegerType(), False), lambda texts: _tokenizer(path).encode_array(texts), SLICE_CHARS)
+    kinds: dict[str, T.DataType] = {output: T.ArrayType(T.IntegerType(), False)}
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        ids = _tokenizer(path).encode_array(texts)
+        return [ids] if decoded is None else [ids, _tokenizer(path).decode_array(ids)]
+
+    return _with_columns(docs, text_col, kinds | ({decoded: T.StringType()} if decoded else {}), make)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", output: str = "decoded") -> DataFrame:
@@ -355,4 +361,4 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", output: str = "deco
     A null or empty list gives an empty text, an id outside the vocabulary or a
     null id adds nothing. A column named ``output`` is replaced.
     """
-    return _with_column(docs, ids_col, output, T.StringType(), lambda ids: _tokenizer(path).decode_array(ids), SLICE_CHARS)
+    return _with_columns(docs, ids_col, {output: T.StringType()}, lambda ids: [_tokenizer(path).decode_array(ids)])

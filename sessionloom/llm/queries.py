@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode, encode
+from .bpe import encode
 from .common import likely_in, load, saved
 from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprints, with_next
@@ -32,8 +32,7 @@ def tokenizer_path() -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded text."""
     path = tokenizer_path()
-    ids = encode(load(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    decoded = decode(ids, path)
+    decoded = encode(load(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
