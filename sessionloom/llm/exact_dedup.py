@@ -73,7 +73,7 @@ def recipe_column(text: Column, salt: int = 0, width: int = 16) -> Column:
         for scalar in texts:
             data = (scalar.as_py() or "").encode("utf-8", "surrogatepass")
             cuts = cut_points(data)
-            recipes.append(b"".join([chunk_digest(data[a:b], salt, width) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]))
+            recipes.append(b"".join([chunk_digest(data[a:b], salt, width) for a, b in zip([0, *cuts], cuts, strict=False)]))
             hashes.append(hashlib.sha256(data).hexdigest())
         return pa.StructArray.from_arrays([pa.array(recipes, pa.binary()), pa.array(hashes, pa.string())], ["recipe", "sha256"])
 
