@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.sources.shared import saved, shared_dir
 
-__all__ = ["likely_in", "load", "saved", "shared_dir"]
+__all__ = ["free", "likely_in", "load", "saved", "shared_dir"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Most bits of the filter that ``likely_in`` makes: 1 MB.
 MOST_BITS = 1 << 23
 

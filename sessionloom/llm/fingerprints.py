@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import likely_in, saved
+from .common import free, likely_in, saved
 
 __all__ = ["canonical", "digest", "fingerprints", "with_next"]
 
@@ -91,16 +91,17 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, columns: list[str]) -
     width = max(1, round(len(uppers) ** 0.5))
     groups = [uppers[k : k + width] for k in range(0, len(uppers), width)]
     literal = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<long>")
-    group = F.size(F.filter(literal([g[-1] for g in groups]), lambda u: u < F.col("_id")))
-    inside = F.size(F.filter(F.element_at(F.array(*map(literal, groups or [[]])), (group + 1)), lambda u: u < F.col("_id")))
-    nth = F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(group * width + inside)
+    key, range_, place = (free(docs, c) for c in ("_id", "_range", "_place"))
+    group = F.size(F.filter(literal([g[-1] for g in groups]), lambda u: u < F.col(key)))
+    inside = F.size(F.filter(F.element_at(F.array(*map(literal, groups or [[]])), (group + 1)), lambda u: u < F.col(key)))
+    nth = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(group * width + inside)
     top, lowest = len(uppers) - 1, -1 if size["nulls"] or not uppers else 0
-    first = F.col("_id").isNull() | F.col("_id").isin(uppers) if len(uppers) < 100 else F.col("_id").isNull() | (F.element_at(literal(uppers), F.col("_range") + 1) == F.col("_id"))
-    above = F.when(F.col("_range") == top, F.lit(lowest)).otherwise(F.col("_range") + 1)
-    placed = docs.withColumn("_id", F.col(id_col)).withColumn("_range", nth)
-    places = F.array(F.struct(F.col("_range").alias("range"), F.lit(False).alias("visits")))
+    first = F.col(key).isNull() | F.col(key).isin(uppers) if len(uppers) < 100 else F.col(key).isNull() | (F.element_at(literal(uppers), F.col(range_) + 1) == F.col(key))
+    above = F.when(F.col(range_) == top, F.lit(lowest)).otherwise(F.col(range_) + 1)
+    placed = docs.withColumn(key, F.col(id_col)).withColumn(range_, nth)
+    places = F.array(F.struct(F.col(range_).alias("range"), F.lit(False).alias("visits")))
     visit = F.array(F.struct(above.alias("range"), F.lit(True).alias("visits")))
-    sent = placed.withColumn("_place", F.explode(F.when(first, F.concat(places, visit)).otherwise(places)))
-    order = Window.partitionBy("_place.range").orderBy("_place.visits", F.col("_id").desc_nulls_last(), F.col(text_col).desc_nulls_last())
+    sent = placed.withColumn(place, F.explode(F.when(first, F.concat(places, visit)).otherwise(places)))
+    order = Window.partitionBy(f"{place}.range").orderBy(f"{place}.visits", F.col(key).desc_nulls_last(), F.col(text_col).desc_nulls_last())
     led = sent.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
-    return led.where("not _place.visits").drop("_id", "_range", "_place")
+    return led.where(~F.col(f"{place}.visits")).drop(key, range_, place)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import free, saved
 from .url_filter import host_of
 
 __all__ = ["align", "article_slots", "extract", "fold", "infer_wrappers", "read_page", "text_of_page"]
@@ -369,18 +369,19 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", outp
     ``output`` is replaced, other columns are kept.
     """
     keep = [c for c in pages.columns if c not in (html_col, output)]
-    hosted = pages.withColumn("host", host_of(F.col(url_col)))
-    wrappers = saved(infer_wrappers(hosted.select("host", html_col), html_col), "wrappers")
+    hosted = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    wrappers = saved(infer_wrappers(hosted), "wrappers")
     # joined as the planner sees fit: broadcast below its threshold, else dealt by host, hot hosts split
-    known = wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"), F.col("stats").alias("_stats"))
-    rows = pages.select(*keep, F.col(html_col).alias("_html"), host_of(F.col(url_col)).alias("_host")).join(known, "_host", "left").select(*keep, "_html", "_wrapper", "_stats")
+    source, host, wrapper, stats = (free(pages, c) for c in ("_html", "_host", "_wrapper", "_stats"))
+    known = wrappers.select(F.col("host").alias(host), F.col("wrapper").alias(wrapper), F.col("stats").alias(stats))
+    rows = pages.select(*keep, F.col(html_col).alias(source), host_of(F.col(url_col)).alias(host)).join(known, host, "left").select(*keep, source, wrapper, stats)
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(output, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 some = batch.slice(k, 500)
-                texts = [text_of_page(source.as_py() or "", w, s) for source, w, s in zip(some.column("_html"), some.column("_wrapper").to_pylist(), some.column("_stats").to_pylist(), strict=True)]
+                texts = [text_of_page(page.as_py() or "", w, s) for page, w, s in zip(some.column(source), some.column(wrapper).to_pylist(), some.column(stats).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, output])
 
     return rows.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free, saved
 
 __all__ = ["dedup_lines", "line_key", "spread_lines"]
 
@@ -65,9 +65,10 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", tex
     lines = saved(_lines(docs, id_col, text_col, site_col), "lines")
     spread = spread_lines(lines, min_sites)
     met = lines.where("id is not null").join(spread, ["a", "b"]).where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")) | F.col("first.id").isNull())
-    gone = met.groupBy(F.col("id").alias("_id")).agg(F.collect_set("pos").alias("_gone"))
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
+    key, marks = free(docs, "_id"), free(docs, "_gone")
+    gone = met.groupBy(F.col("id").alias(key)).agg(F.collect_set("pos").alias(marks))
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(marks, i)), "\n")
+    text = F.when(F.col(marks).isNull(), F.col(text_col)).otherwise(kept)
     others = [c for c in docs.columns if c != "lines_removed"]
-    joined = docs.select(*others).join(gone, F.col(id_col) == F.col("_id"), "left")
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in others), F.coalesce(F.size("_gone"), F.lit(0)).alias("lines_removed"))
+    joined = docs.select(*others).join(gone, F.col(id_col) == F.col(key), "left")
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in others), F.coalesce(F.size(marks), F.lit(0)).alias("lines_removed"))
