@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["consensus", "diverse_representatives", "n_representatives", "propagate", "review_budget", "silhouettes"]
+__all__ = ["consensus", "diverse_representatives", "linkage_groups", "n_representatives", "propagate", "refine_regions", "review_budget", "silhouettes", "tuned"]
 
 
 def n_representatives(size: Column) -> Column:
@@ -100,3 +100,60 @@ def propagate(members: DataFrame, labels: DataFrame, fallback: str = "altro", co
     joined = members.join(labels.select("cluster_id", F.col("label").alias("_l")), "cluster_id", "left")
     known = F.col("_l").isNotNull()
     return joined.select("session_id", F.coalesce("_l", F.lit(fallback)).alias("label"), F.when(known, confidence).otherwise(fallback_confidence).alias("confidence"), F.when(known, "CLUSTER_PROPAGATION").otherwise("OUTLIER_DEFAULT").alias("method"))
+
+
+def refine_regions(members: DataFrame, min_size: int = 5, severe: float = 0.4, rounds: int = 3) -> DataFrame:
+    """(session_id, region): clusters are split by label while their labels conflict, for up to ``rounds`` rounds.
+
+    ``members`` has (session_id, cluster_id, label). In each round the label
+    distributions of all regions are found by one aggregation; regions whose
+    conflict is over ``severe`` are split into those of their labels that hold
+    ``min_size`` members, and what is left stays. It ends when no region
+    splits. Members stay distributed; only how many regions split is looked at.
+    """
+    from sessionloom.functions.numbers import conflict_severity
+    from sessionloom.sources.shared import saved
+
+    now = saved(members.select("session_id", F.col("cluster_id").alias("region"), "label"), "regions")
+    for _ in range(rounds):
+        counts = now.where("label IS NOT NULL").groupBy("region", "label").agg(F.count("*").alias("n"))
+        shape = counts.groupBy("region").agg(F.sum("n").alias("all"), F.collect_list(F.col("n").cast("double")).alias("ns"))
+        severity = conflict_severity(F.transform("ns", lambda x: x / F.col("all")))
+        torn = shape.where(severity > severe).select("region")
+        parts = saved(counts.where(F.col("n") >= min_size).join(torn, "region", "left_semi").select("region", "label", F.lit(True).alias("_split")), "region-parts")
+        if parts.isEmpty():
+            break
+        joined = now.join(parts, ["region", "label"], "left")
+        now = saved(joined.select("session_id", F.when(F.col("_split"), F.concat_ws(":", "region", "label")).otherwise(F.col("region")).alias("region"), "label"), "regions")
+    return now.select("session_id", "region")
+
+
+def linkage_groups(names: list[str], similarity, k: int | None = None) -> list[int]:
+    """Group numbers of a vocabulary of labels by average linkage down to ``k`` groups (half of the labels, 1 to 20).
+
+    For a list that fits a parameter, not for rows: the driver holds all pairs.
+    """
+    n = len(names)
+    wanted = max(1, min(n // 2, 20)) if k is None else k
+    groups = [[i] for i in range(n)]
+    while len(groups) > max(1, wanted):
+        best = max(((sum(similarity(names[i], names[j]) for i in a for j in b) / (len(a) * len(b)), -x, -y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y))
+        x, y = -best[1], -best[2]
+        groups[x] += groups.pop(y)
+    out = [0] * n
+    for g, members in enumerate(sorted(groups, key=min)):
+        for i in members:
+            out[i] = g
+    return out
+
+
+def tuned(parameters: dict[str, float], outlier_share: float, n_clusters: int) -> dict[str, float]:
+    """Clustering parameters moved within their bounds: looser where over .4 are outliers, stricter where under 3 clusters are found."""
+    size, samples = parameters["min_cluster_size"], parameters["min_samples"]
+    if outlier_share > 0.4:
+        size, samples = max(2, size - 1), max(1, samples - 1)
+    elif n_clusters < 3:
+        size = max(2, size - 1)
+    elif outlier_share < 0.05:
+        size = min(50, size + 1)
+    return {**parameters, "min_cluster_size": size, "min_samples": samples}

@@ -57,13 +57,14 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int, by: str | None = None
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-#: Vectors in a block.
-BLOCK = 512
+#: Most vectors in a block, and the fewest blocks that more than a handful of vectors are dealt into.
+BLOCK, FEWEST_BLOCKS = 2048, 8
 
 
 def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (g, i, v) packed into blocks of about BLOCK vectors of one group."""
-    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    """Rows (g, i, v) packed into blocks of up to about BLOCK vectors of one group."""
+    n = F.count("*")
+    sizes = rows.groupBy("g").agg(F.greatest(F.least(F.lit(FEWEST_BLOCKS), F.ceil(n / 64)), F.ceil(n / BLOCK)).alias("_n"))
     dealt = rows.join(sizes, "g").withColumn("_b", F.pmod(F.xxhash64("i"), F.col("_n")))
     return dealt.groupBy("g", "_b").agg(F.collect_list(F.struct("i", "v")).alias(name)).drop("_b")
 

@@ -180,3 +180,25 @@ def test_streaming(spark, tmp_path):
     assert counts.agg(F.sum("n")).first()[0] == 200
     memory = {r["label"]: (r["n"], r["oldest"]) for r in run(capped_memory(stream, 10), "update", "memory").collect()}
     assert memory == {"a": (10, 180), "b": (10, 181)}
+
+
+def test_regions_split_while_labels_conflict(spark):
+    rows = [(k, "c1", "ab"[k % 2]) for k in range(20)] + [(100 + k, "c2", "a") for k in range(9)] + [(200 + k, "c3", "abcdefg"[k % 7]) for k in range(14)]
+    got = {}
+    for r in C.refine_regions(spark.createDataFrame(rows, "session_id long, cluster_id string, label string"), severe=0.6).collect():
+        got.setdefault(r["region"], []).append(r["session_id"])
+    assert {k: len(v) for k, v in got.items()} == {"c1:a": 10, "c1:b": 10, "c2": 9, "c3": 14}
+
+
+def test_linkage_groups_and_tuning():
+    same = lambda a, b: float(a[0] == b[0])
+    assert C.linkage_groups(["a1", "b1", "a2", "b2", "a3"], same, 2) == [0, 1, 0, 1, 0]
+    assert C.linkage_groups([], same) == [] and C.linkage_groups(["x"], same) == [0]
+    assert C.tuned({"min_cluster_size": 5, "min_samples": 3}, 0.5, 10) == {"min_cluster_size": 4, "min_samples": 2}
+
+
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_small_tables_of_vectors(spark, n):
+    df = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(n)], "id long, v array<double>")
+    assert density_clusters(df).count() == n
+    assert nearest(df.withColumnRenamed("id", "query_id"), df, 5).count() == n * n
