@@ -220,3 +220,31 @@ def api13(spark, d):
     every = tenants(spark, d).select("tenant_id").crossJoin(F.broadcast(required))  # a fixed list for each tenant
     return every.join(tags(spark, d).select("tenant_id", "tag_name"), ["tenant_id", "tag_name"], "left_anti").select("tenant_id", c("tag_name").alias("required"))
 
+
+
+class FirstWordScorer:
+    """A scorer for tests: a text's label is its most common longer word."""
+
+    def classify(self, texts):
+        out = []
+        for text in texts:
+            words = [w for w in text.lower().split() if w.isalpha() and len(w) > 3]
+            best = max(sorted(set(words)), key=words.count, default="altro")
+            out.append((best, 0.9 if words.count(best) > 1 else 0.6, "most common word"))
+        return out
+
+
+@query("API1_classify_all")
+def api1(spark, d):
+    from sessionloom.engine import Engine
+
+    engine = Engine(FirstWordScorer())
+    return engine.classify(engine.sessions(messages(spark, d)))
+
+
+@query("API3_review_cases")
+def api3(spark, d):
+    from sessionloom.engine import Engine
+
+    engine = Engine(FirstWordScorer())
+    return engine.review_queue(engine.classify(engine.sessions(messages(spark, d)))).select("session_id", "label", "reasons")
