@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 __all__ = ["SPEAKERS", "drop_trivial_sessions", "engaged", "fold_sessions", "session_statistics", "speaker_messages", "top_sessions"]
 
-#: Speakers that count, and the prefix each gets in a session's text.
+#: Speakers that count, the prefix each gets in a session's text, greetings of users and welcomes of agents.
 SPEAKERS = {"USER": "[UTENTE] ", "AGENT": "[ASSISTENTE] "}
 GREETING = r"(?i)^\s*(ciao|salve|buongiorno|buonasera|hello|hi)\s*$"
-WELCOME = r"(?i)(ciao.*sono.*giulia|assistente.*digitale|come.*posso.*aiutarti)"
+WELCOME = r"(?i)(ciao.*sono|assistente.*digitale|come.*posso.*aiutarti)"
 
 
 def speaker_messages(messages: DataFrame) -> DataFrame:

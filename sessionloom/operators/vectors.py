@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.functions.numbers import euclidean
 
@@ -80,13 +81,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
-def label_similarity(queries: DataFrame, memory: DataFrame) -> DataFrame:
+def label_similarity(queries: DataFrame, memory: DataFrame, per_label: int = 50) -> DataFrame:
     """(query_id, label, score): .6 of the best, .3 of the mean and .1 of the median cosine with a label's vectors.
 
-    Queries are a stated set; ``memory`` has (label, v), at most a fixed number for each label.
+    ``queries`` has (query_id, v) and is a stated set; ``memory`` has (id,
+    label, v). A label is remembered by its ``per_label`` newest vectors (by
+    id), so one row holds them; queries come in blocks, and a block meets each
+    label in one product of matrices.
     """
-    from sessionloom.functions.numbers import cosine
+    newest = Window.partitionBy("label").orderBy(F.desc("id"))
+    held = memory.select("id", "label", "v").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= per_label)
+    labels = held.groupBy("label").agg(F.collect_list(F.struct(F.col("id").alias("i"), "v")).alias("m")).withColumn("g", F.lit(0))
+    q = _blocks(queries.select(F.lit(0).alias("g"), F.col("query_id").alias("i"), "v"), "q")
 
-    pairs = queries.select("query_id", F.col("v").alias("_q")).join(memory.select("label", "v"))
-    s = pairs.select("query_id", "label", cosine(F.col("_q"), F.col("v")).alias("s"))
-    return s.groupBy("query_id", "label").agg((F.max("s") * 0.6 + F.avg("s") * 0.3 + F.percentile("s", F.lit(0.5)) * 0.1).alias("score"))
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (qi, qv), (_, mv) = (_matrix(batch.column(c)[row]) for c in ("q", "m"))
+                s = _unit(qv) @ _unit(mv).T
+                score = 0.6 * s.max(axis=1) + 0.3 * s.mean(axis=1) + 0.1 * np.median(s, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array([batch.column("label")[row].as_py()] * len(qi), batch.column("label").type), pa.array(score)], names=["query_id", "label", "score"])
+
+    schema = T.StructType([T.StructField("query_id", T.LongType()), memory.schema["label"], T.StructField("score", T.DoubleType())])
+    return q.join(labels, "g").select("q", "label", "m").mapInArrow(multiply, schema)

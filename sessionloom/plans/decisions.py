@@ -161,6 +161,9 @@ COS = "list_dot_product(q.v, m.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(lis
 #: Queries: every vector whose id is divisible by 100; memory: all others.
 PAIRS = f", pairs AS (SELECT q.vec_id AS query_id, m.vec_id AS id, m.label, {COS} AS s FROM vectors q JOIN vectors m ON q.vec_id % 100 = 0 AND m.vec_id % 100 <> 0)\n"
 
+#: The same with the fifty newest vectors of each label.
+HELD = PAIRS.replace("JOIN vectors m ON", "JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn FROM vectors WHERE vec_id % 100 <> 0) WHERE rn <= 50) m ON")
+
 
 def asked(spark, d):
     return vectors(spark, d).where("vec_id % 100 = 0").select(c("vec_id").alias("query_id"), "v")
@@ -170,12 +173,12 @@ def memory(spark, d):
     return vectors(spark, d).where("vec_id % 100 <> 0").withColumnRenamed("vec_id", "id")
 
 
-@query("N1_similar_labels", with_(VECTORS) + PAIRS + "SELECT query_id, label, round(.6 * max(s) + .3 * avg(s) + .1 * median(s), 4) AS score FROM pairs GROUP BY query_id, label")
+@query("N1_similar_labels", with_(VECTORS) + HELD + "SELECT query_id, label, round(.6 * max(s) + .3 * avg(s) + .1 * median(s), 4) AS score FROM pairs GROUP BY query_id, label")
 def n1(spark, d):
     return label_similarity(asked(spark, d), memory(spark, d)).select("query_id", "label", F.round("score", 4).alias("score"))
 
 
-@query("N2_reuse_decision", with_(VECTORS) + PAIRS + ", scored AS (SELECT query_id, label, round(.6 * max(s) + .3 * avg(s) + .1 * median(s), 6) AS score FROM pairs GROUP BY query_id, label) SELECT query_id, arg_max(label, {'s': score, 'l': -label}) AS label, max(score) >= .5 AS reuse FROM scored GROUP BY query_id")
+@query("N2_reuse_decision", with_(VECTORS) + HELD + ", scored AS (SELECT query_id, label, round(.6 * max(s) + .3 * avg(s) + .1 * median(s), 6) AS score FROM pairs GROUP BY query_id, label) SELECT query_id, arg_max(label, {'s': score, 'l': -label}) AS label, max(score) >= .5 AS reuse FROM scored GROUP BY query_id")
 def n2(spark, d):
     scored = label_similarity(asked(spark, d), memory(spark, d)).withColumn("score", F.round("score", 6))
     return scored.groupBy("query_id").agg(F.max_by("label", F.struct("score", -c("label"))).alias("label"), (F.max("score") >= 0.5).alias("reuse"))
@@ -199,7 +202,7 @@ def n5(spark, d):
     return nearest(asked(spark, d), memory(spark, d), 5).select("query_id", "id")
 
 
-@query("S4_similar_labels_top", with_(VECTORS) + PAIRS + ", scored AS (SELECT query_id, label, round(.6 * max(s) + .3 * avg(s) + .1 * median(s), 6) AS score FROM pairs GROUP BY query_id, label) SELECT query_id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rn FROM scored) WHERE rn <= 3")
+@query("S4_similar_labels_top", with_(VECTORS) + HELD + ", scored AS (SELECT query_id, label, round(.6 * max(s) + .3 * avg(s) + .1 * median(s), 6) AS score FROM pairs GROUP BY query_id, label) SELECT query_id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rn FROM scored) WHERE rn <= 3")
 def s4(spark, d):
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "label")
     return label_similarity(asked(spark, d), memory(spark, d)).withColumn("rn", F.row_number().over(order)).where("rn <= 3").select("query_id", "label")
