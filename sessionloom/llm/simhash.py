@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from sessionloom.operators.graph import connected_components
 
-from .common import saved
+from .common import likely_in, saved
 
-__all__ = ["components_of", "fingerprint_bytes", "linked_fingerprints", "simhash_column", "trie_pairs"]
+__all__ = ["components_of", "fingerprint_bytes", "linked_fingerprints", "near_duplicates", "simhash_column", "similarity", "trie_pairs"]
 
 BITS = 64
 #: Shingles hashed at once; bounds memory only.
@@ -41,32 +41,39 @@ SEED = 42
 # -- fingerprints ---------------------------------------------------------------
 
 
-def fingerprint_bytes(text: bytes, words_per_shingle: int = 3) -> int:
-    """The fingerprint of a UTF-8 text as an unsigned number.
+def shingle_hashes(text: bytes, words_per_shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 values of a UTF-8 text's word shingles, repeats included, in parts; a text of fewer words is one shingle.
 
-    Bytes A-Z are lower-cased; words are runs of bytes other than space and
-    09-0D. A bit is 1 if it is set in over half of the shingles' XXH64 values,
-    repeats included. A text of fewer words is one shingle; no words give 0.
+    Bytes A-Z are lower-cased; words are runs of bytes other than space and 09-0D.
     """
     words = text.lower().split()
     if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= words_per_shingle:
-        return digest(b" ".join(words), SEED)
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = len(words) - words_per_shingle + 1
+    n = max(1, len(words) - words_per_shingle + 1)
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
-    stops = ends[words_per_shingle - 1 :].tolist()
-    counts = np.zeros(BITS, np.int64)
+    stops = ends[min(len(words), words_per_shingle) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, HASHED_AT_ONCE):
         some = slice(at, at + HASHED_AT_ONCE)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[some], stops[some], strict=True)], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[some], stops[some], strict=True)], np.uint64)
+
+
+def majority(hashes: Iterator[np.ndarray]) -> int:
+    """The SimHash of hash values: bits set in over half of them; 0 of none."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for part in hashes:
+        counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(part)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def fingerprint_bytes(text: bytes, words_per_shingle: int = 3) -> int:
+    """The fingerprint of a UTF-8 text as an unsigned number; see ``shingle_hashes`` for its shingles. No words give 0."""
+    return majority(shingle_hashes(text, words_per_shingle))
+
+
 def simhash_column(text: Column, words_per_shingle: int = 3) -> Column:
     """SimHash of a text column as a signed 64-bit number; a null counts as an empty text (0)."""
 
@@ -209,3 +216,105 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # written, so that the join below has an exchange of its own on both sides and a hot group can be split
     least = saved(nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("least_linked", "least").alias("component_id")), "component-ids")
     return prints.join(least, "fp").select(id_col, "fp", "component_id")
+
+
+# -- near-duplicates by similarity ------------------------------------------------
+
+#: Samples of a text, and shingles in a sample.
+SAMPLES, SAMPLED = 16, 4
+#: Rounds of choosing a group's hub.
+ROUNDS = 4
+
+
+def sample_fingerprints(text: bytes, words_per_shingle: int) -> list[int | None]:
+    """SimHash fingerprints of SAMPLES small samples of a text's distinct shingles; None where a sample is empty.
+
+    The range of hash values is cut into SAMPLES * SAMPLED bins; a sample is
+    the least value of each of its bins. Texts that share a share s of their
+    shingles have equal samples with probability of about s to the power SAMPLED.
+    """
+    parts = list(shingle_hashes(text, words_per_shingle))
+    if not parts:
+        return [None] * SAMPLES
+    hashes = np.sort(np.concatenate(parts))
+    bins = SAMPLES * SAMPLED
+    shift = np.uint64(BITS - bins.bit_length() + 1)
+    at = np.searchsorted(hashes, np.arange(bins, dtype=np.uint64) << shift)
+    least = hashes[np.minimum(at, len(hashes) - 1)]
+    there = (at < len(hashes)) & (least >> shift == np.arange(bins, dtype=np.uint64))
+    # an empty bin counts as itself, so that texts with other empty bins differ
+    filled = np.where(there, least, np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return [majority(iter([filled[k : k + SAMPLED]])) if there[k : k + SAMPLED].any() else None for k in range(0, bins, SAMPLED)]
+
+
+def similarity(a: bytes, b: bytes, words_per_shingle: int) -> float:
+    """Jaccard similarity of two texts' sets of shingles; 1 for two texts without words."""
+    x, y = (np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words_per_shingle)])) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, component_id), one for each row of ``docs`` with an id: components of texts with a similarity of ``least`` or more.
+
+    A whole text's SimHash differs by some ten bits at a similarity of .8,
+    which no trie join can take on many documents. So SimHash fingerprints of
+    small samples of shingles are joined, with no bit to spare, and every link
+    is verified on whole texts. Equal texts are one member of a group. In a
+    group of equal samples all members are held against its hub: the member
+    that meets most others over all samples, as the original of many variants
+    does; members that aren't similar to it meet the next hub, for ROUNDS
+    rounds. So a group of n members gives at most n links a round, never all
+    pairs. ``component_id`` is the smallest id of the component. Null and empty
+    texts are equal texts.
+    """
+
+    @F.arrow_udf(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("samples", T.ArrayType(T.LongType()))]))
+    def sketch(texts: pa.Array) -> pa.Array:
+        keys, samples = [], []
+        for t in texts:
+            data = (t.as_py() or "").encode("utf-8", "replace")
+            keys.append(xxhash.xxh3_128_digest(data))
+            samples.append([None if f is None else f - (1 << 64) if f >> 63 else f for f in sample_fingerprints(data, words_per_shingle)])
+        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64()))], ["key", "samples"])
+
+    @F.arrow_udf(T.DoubleType())
+    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([similarity((x.as_py() or "").encode("utf-8", "replace"), (y.as_py() or "").encode("utf-8", "replace"), words_per_shingle) for x, y in zip(a, b, strict=True)], pa.float64())
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = saved(rows.select("id", sketch.asNondeterministic()(F.col("text")).alias("s")).select("id", "s.key", "s.samples"), "sketches")
+    texts = saved(made.groupBy("key").agg(F.min("id").alias("rep")), "distinct-texts")
+    distinct = made.join(texts, (made["key"] == texts["key"]) & (made["id"] == texts["rep"]), "left_semi").dropDuplicates(["id"])
+    placed = distinct.select("id", F.posexplode("samples").alias("nth", "fp")).where("fp IS NOT NULL")
+    groups = placed.groupBy("nth", "fp").agg(F.count("*").alias("n")).where("n > 1")
+    active = saved(placed.join(saved(groups, "sample-groups"), ["nth", "fp"]).select("id", "nth", "fp", "n"), "grouped")
+    score = saved(active.groupBy("id").agg(F.sum("n").alias("met")), "met")
+
+    links = None
+    for _ in range(ROUNDS):
+        scored = active.join(score, "id")
+        hubs = saved(scored.groupBy("nth", "fp").agg(F.min_by("id", F.struct(-F.col("met"), "id")).alias("hub"), F.count("*").alias("left")).where("left > 1").select("nth", "fp", "hub"), "hubs")
+        met = active.join(hubs, ["nth", "fp"]).where("id != hub")
+        pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        if links is not None:
+            loose = links.select(F.col("u").alias("id")).unionAll(links.select(F.col("v").alias("id"))).distinct()
+            # members that have a link already are held against no other hub
+            held = met.join(loose, "id", "left_anti")
+            pairs = held.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        pairs = saved(pairs, "pairs")
+        needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
+        if needed.isEmpty():
+            break
+        some = saved(rows.where(likely_in(needed, "id", F.col("id"))).join(needed, "id", "left_semi").dropDuplicates(["id"]), "compared")
+        both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        new = saved(both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("j")).where(F.col("j") >= least).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        links = new if links is None else links.unionAll(new)
+        active = saved(active.join(hubs.withColumnRenamed("hub", "id"), ["nth", "fp", "id"], "left_anti"), "grouped")
+
+    of_copies = made.join(texts, "key").select("id", "rep")
+    if links is None:
+        return of_copies.select(F.col("id").alias(id_col), F.col("rep").alias("component_id"))
+    parts = saved(connected_components(links), "components")
+    found = of_copies.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    return found.select(F.col("id").alias(id_col), F.coalesce("component", "rep").alias("component_id"))

@@ -244,3 +244,52 @@ def test_crowded_node_is_joined_whole(spark, monkeypatch):
     keys = np.unique(np.concatenate([np.array([1 << a | 1 << b for a in range(20) for b in range(a)], np.uint64), np.array([0], np.uint64)]))
     want = {(i, j) for j in range(len(keys)) for i in range(j) if bin(int(keys[i] ^ keys[j])).count("1") <= 2}
     assert {(int(i), int(j)) for a, b in H.trie_pairs(keys, 21, 2) for i, j in zip(a, b, strict=True)} == want
+
+
+# -- near-duplicates by similarity --------------------------------------------------
+
+
+def brute_similarity(a, b, n=5):
+    def shingles(t):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def variant(random, words, share):
+    return [w if random.random() > share else f"v{random.integers(0, 10**9)}" for w in words]
+
+
+def test_near_duplicates_link_variants_of_an_original(spark):
+    random = np.random.default_rng(11)
+    rows, groups = [], {}
+    for g in range(12):
+        base = [f"w{x}" for x in random.integers(0, 3000, int(random.integers(120, 400)))]
+        # the original has the largest id, and variants are less like each other than like it
+        members = [" ".join(variant(random, base, 0.018)) for _ in range(int(random.integers(2, 40)))] + [" ".join(base)]
+        for m in members:
+            groups[len(rows)] = g
+            rows.append((len(rows), m))
+    rows += [(len(rows) + k, " ".join(f"w{x}" for x in random.integers(0, 3000, 200))) for k in range(40)]
+    rows += [(1000, rows[3][1]), (1001, rows[3][1]), (1002, None), (1003, ""), (1004, "one two"), (1005, "One  TWO")]
+    got = {r["doc_id"]: r["component_id"] for r in H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if brute_similarity(rows[a][1], rows[b][1]) >= 0.8]
+    linked = sum(got[rows[a][0]] == got[rows[b][0]] for a, b in pairs)
+    assert linked >= 0.98 * len(pairs)
+    # nothing else is linked
+    for a in range(len(rows)):
+        for b in range(a):
+            if a in groups and b in groups and groups[a] != groups[b]:
+                assert got[a] != got[b]
+    assert got[1001] == got[1000] == got[3] and got[1002] == got[1003] and got[1004] == got[1005]
+
+
+def test_near_duplicates_cases(spark, edge, empty):
+    got = H.near_duplicates(edge).collect()
+    assert len(got) == edge.where("doc_id IS NOT NULL").count()
+    found = {r["doc_id"]: r["component_id"] for r in got}
+    assert found[3] == found[4] == found[5] == 3 and found[7] == 7 and found[2] == 1 and found[6] == 6
+    assert H.near_duplicates(empty).count() == 0

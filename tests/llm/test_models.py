@@ -17,6 +17,7 @@ from sessionloom.llm import mixing as M
 from sessionloom.llm import queries as Q
 from sessionloom.llm import toxicity as T
 from sessionloom.llm import url_filter as U
+from sessionloom.llm.simhash import near_duplicates
 
 # -- language -----------------------------------------------------------------------
 
@@ -288,7 +289,7 @@ def test_pipeline_stages_take_effect(spark, sf):
         seen = after.cache()
         assert seen.count() > 0
         if name == "near_dedup":
-            again = Q.components_of(seen.select("doc_id", "text"))
+            again = near_duplicates(seen.select("doc_id", "text"))
             assert again.where("doc_id != component_id").count() == 0
     final = corpus_pipeline.STAGES[-1][1](spark, seen, sf)
     assert final.count() == seen.count()
