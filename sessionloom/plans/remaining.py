@@ -248,3 +248,107 @@ def api3(spark, d):
 
     engine = Engine(FirstWordScorer())
     return engine.review_queue(engine.classify(engine.sessions(messages(spark, d)))).select("session_id", "label", "reasons")
+
+
+@query("SRC6_tenant_scope", with_(FACTS) + "SELECT session_id, label FROM facts WHERE tenant_id = 3")
+def src6(spark, d):
+    from sessionloom.sources.catalog import for_tenant
+
+    return for_tenant(facts(spark, d), 3).select("session_id", "label")
+
+
+@query("SNK9_append_decision", with_(FACTS) + "SELECT session_id, label FROM facts WHERE review_status IN ('resolved', 'completed') AND label IS NOT NULL")
+def snk9(spark, d):
+    import uuid
+
+    from sessionloom.sources.jsonl import append_json
+    from sessionloom.sources.shared import shared_dir
+
+    path = f"{shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    rows = facts(spark, d).select("session_id", "label", "review_status")
+    for status in ("resolved", "completed"):
+        append_json(rows.where(c("review_status") == status).select("session_id", "label"), path)
+    return spark.read.schema("session_id long, label string").json(path).where("label IS NOT NULL")
+
+
+@query("SNK12_saved_model")
+def snk12(spark, d):
+    import uuid
+
+    from pyspark.ml import PipelineModel
+
+    from sessionloom.operators.models import fit_voters, soft_vote
+    from sessionloom.sources.shared import shared_dir
+
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", c("role").alias("label"))
+    path = f"{shared_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    fit_voters(rows.where("conv_id % 4 <> 0"), features=64).write().overwrite().save(path)
+    return soft_vote(PipelineModel.load(path), rows.where("conv_id % 4 = 0"), ["conv_id", "turn"]).select("conv_id", "turn", "label")
+
+
+@query("L2_label_groups")
+def l2(spark, d):
+    import difflib
+
+    # the labels of one vocabulary, given by a parameter, so the driver may hold them
+    names = [r["tag_name"] for r in tags(spark, d).select("tag_name").distinct().orderBy("tag_name").limit(500).collect()]
+    groups = C.linkage_groups(names, lambda a, b: difflib.SequenceMatcher(None, a, b).ratio())
+    return spark.createDataFrame(list(zip(names, groups, strict=True)), "label string, part long")
+
+
+@query("API2_client_status", with_(FACTS, TENANTS) + "SELECT tenant_name, is_active, count(session_id) AS n, round(avg(confidence), 4) AS mean_confidence, count(CASE WHEN review_status = 'pending' THEN 1 END) AS pending FROM tenants LEFT JOIN facts USING (tenant_id) GROUP BY ALL")
+def api2(spark, d):
+    by_tenant = facts(spark, d).groupBy("tenant_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.count_if(c("review_status") == "pending").alias("pending"))
+    joined = tenants(spark, d).join(by_tenant, "tenant_id", "left")
+    return joined.select("tenant_name", "is_active", F.coalesce("n", F.lit(0)).alias("n"), "mean_confidence", F.coalesce("pending", F.lit(0)).alias("pending"))
+
+
+@query("API4_tenant_labels", with_(FACTS) + "SELECT label, method, count(*) AS n, round(avg(confidence), 4) AS mean_confidence FROM facts WHERE tenant_id = 1 AND label IS NOT NULL GROUP BY GROUPING SETS ((label), (label, method))")
+def api4(spark, d):
+    from sessionloom.sources.catalog import for_tenant
+
+    for_tenant(facts(spark, d), 1).where("label IS NOT NULL").createOrReplaceTempView("loom_tenant_facts")
+    return spark.sql("SELECT label, method, count(*) AS n, round(avg(confidence), 4) AS mean_confidence FROM loom_tenant_facts GROUP BY GROUPING SETS ((label), (label, method))")
+
+
+@query("API5_all_sessions", with_(MESSAGES, SESSIONS, FACTS) + "SELECT s.session_id, s.n_messages, CASE WHEN f.review_status = 'pending' THEN 'in_review' WHEN f.review_status = 'auto_classified' THEN 'automatic' WHEN f.review_status IN ('resolved', 'completed') THEN 'reviewed' ELSE 'available' END AS status FROM sessions s LEFT JOIN facts f USING (session_id)")
+def api5(spark, d):
+    from sessionloom.operators.sessions import fold_sessions
+
+    status = F.when(c("review_status") == "pending", "in_review").when(c("review_status") == "auto_classified", "automatic").when(c("review_status").isin("resolved", "completed"), "reviewed").otherwise("available")
+    joined = fold_sessions(messages(spark, d)).select("session_id", "n_messages").join(facts(spark, d).select("session_id", "review_status"), "session_id", "left")
+    return joined.select("session_id", "n_messages", status.alias("status"))
+
+
+@query("API6_available_tags", with_(FACTS, TAGS) + ", u AS (SELECT label, count(*) AS n, round(avg(confidence), 4) AS conf FROM facts WHERE label <> '' GROUP BY 1) SELECT coalesce(label, tag_name) AS tag, coalesce(n, 0) AS n, conf FROM u FULL JOIN (SELECT DISTINCT tag_name FROM tags WHERE is_active) t ON label = tag_name")
+def api6(spark, d):
+    used = facts(spark, d).where("label <> ''").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("conf"))
+    known = tags(spark, d).where("is_active").select("tag_name").distinct()
+    return used.join(known, c("label") == c("tag_name"), "full").select(F.coalesce("label", "tag_name").alias("tag"), F.coalesce("n", F.lit(0)).alias("n"), "conf")
+
+
+@query("API9_prompt_status", with_(TAGS) + "SELECT tenant_id, count(*) AS n, count(CASE WHEN is_active THEN 1 END) AS active, count(tag_description) AS described FROM tags GROUP BY tenant_id")
+def api9(spark, d):
+    return tags(spark, d).groupBy("tenant_id").agg(F.count("*").alias("n"), F.count_if("is_active").alias("active"), F.count("tag_description").alias("described"))
+
+
+@query("API11_example_placeholder", with_(TAGS) + "SELECT tenant_id, 'Esempi:' || chr(10) || string_agg('- ' || tag_name, chr(10) ORDER BY tag_id) AS filled FROM tags WHERE is_active GROUP BY tenant_id")
+def api11(spark, d):
+    from sessionloom.plans.scalars import render
+
+    lines = tags(spark, d).where("is_active").groupBy("tenant_id").agg(F.array_sort(F.collect_list(F.struct("tag_id", F.concat(F.lit("- "), "tag_name").alias("line")))).alias("x"))
+    return lines.select("tenant_id", render(F.lit("Esempi:\n{{examples}}"), {"examples": F.array_join("x.line", "\n")}).alias("filled"))
+
+
+@query("Z18_training_selection", with_(FACTS) + "SELECT count(*) >= 5 AS enough, count(DISTINCT cluster_id) AS n_clusters, count(*) FILTER (label <> '' AND label <> 'altro') AS n_labelled FROM facts")
+def z18(spark, d):
+    labelled = (c("label") != "") & (c("label") != "altro")
+    return facts(spark, d).agg((F.count("*") >= 5).alias("enough"), F.count_distinct("cluster_id").alias("n_clusters"), F.count_if(labelled).alias("n_labelled"))
+
+
+@query("T13_tuned_parameters", with_(FACTS) + "SELECT CASE WHEN o > .4 THEN 4 WHEN k < 3 THEN 4 WHEN o < .05 THEN 6 ELSE 5 END AS min_cluster_size FROM (SELECT avg(CASE WHEN cluster_id IS NULL OR cluster_id = '-1' OR starts_with(cluster_id, 'outlier_') THEN 1.0 ELSE 0.0 END) AS o, count(DISTINCT cluster_id) AS k FROM facts)")
+def t13(spark, d):
+    outlier = c("cluster_id").isNull() | (c("cluster_id") == "-1") | c("cluster_id").startswith("outlier_")
+    seen = facts(spark, d).agg(F.avg(outlier.cast("double")).alias("o"), F.count_distinct("cluster_id").alias("k")).first()
+    found = C.tuned({"min_cluster_size": 5, "min_samples": 3}, seen["o"], seen["k"])
+    return spark.range(1).select(F.lit(found["min_cluster_size"]).alias("min_cluster_size"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["FACT_COLUMNS", "as_of", "facts", "messages", "table", "tags", "tenants", "vectors"]
+__all__ = ["FACT_COLUMNS", "as_of", "facts", "for_tenant", "messages", "table", "tags", "tenants", "vectors"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +65,8 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session vectors in double precision, with their tag."""
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
+
+
+def for_tenant(rows: DataFrame, tenant_id: int) -> DataFrame:
+    """The rows of one tenant; nothing is read across tenants by chance, as the id has to be given."""
+    return rows.where(F.col("tenant_id") == tenant_id)
