@@ -84,8 +84,8 @@ def silhouettes(vectors: DataFrame, cluster: str, v: str = "v") -> DataFrame:
 
     rows = vectors.where(F.col(cluster) != -1)
     shape = rows.groupBy(cluster).agg(F.count("*").alias("_n"), F.avg(dot(F.col(v), F.col(v))).alias("_q")).join(centroids(rows, cluster, v), cluster).withColumnRenamed(cluster, "_c")
-    # clusters are few; each member meets each cluster's three numbers and centre
-    far = rows.crossJoin(F.broadcast(shape)).withColumn("_d", F.greatest(F.lit(0.0), dot(F.col(v), F.col(v)) + F.col("_q") - 2 * dot(F.col(v), F.col("centroid"))))
+    # each member meets each cluster's numbers and centre; the planner broadcasts them if they are small enough
+    far = rows.crossJoin(shape).withColumn("_d", F.greatest(F.lit(0.0), dot(F.col(v), F.col(v)) + F.col("_q") - 2 * dot(F.col(v), F.col("centroid"))))
     own = F.col(cluster) == F.col("_c")
     keys = [c for c in vectors.columns if c != v]
     a = F.max(F.when(own & (F.col("_n") > 1), F.col("_d") * F.col("_n") / (F.col("_n") - 1)))

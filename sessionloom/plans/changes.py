@@ -90,10 +90,11 @@ def snk14(spark, d):
 @query("Z1_tenant_resolve", with_(TENANTS) + ", asked(name) AS (VALUES ('asia'), ('AFRICA'), ('Middle East'), ('europe'), ('nowhere')) SELECT name, (SELECT tenant_id FROM tenants WHERE is_active AND (tenant_name = name OR tenant_slug = name OR lower(tenant_name) = lower(name)) ORDER BY (tenant_name = name OR tenant_slug = name) DESC, tenant_id LIMIT 1) AS tenant_id FROM asked")
 def z1(spark, d):
     asked = spark.sql("SELECT explode(array('asia', 'AFRICA', 'Middle East', 'europe', 'nowhere')) AS name")
-    t = tenants(spark, d).where("is_active")  # tenants are a small dimension
-    exact = (c("tenant_name") == c("name")) | (c("tenant_slug") == c("name"))
-    met = asked.join(F.broadcast(t), exact | (F.lower("tenant_name") == F.lower("name")), "left")
-    return met.groupBy("name").agg(F.min_by("tenant_id", F.struct(~exact, "tenant_id")).alias("tenant_id"))
+    # by name or slug as they are, or else by name in lower case
+    pair = lambda key, kind: F.struct(key.alias("key"), F.lit(kind).alias("kind"))
+    known = tenants(spark, d).where("is_active").select("tenant_id", F.inline(F.array(pair(c("tenant_name"), 1), pair(c("tenant_slug"), 1), pair(F.lower("tenant_name"), 2))))
+    met = asked.select("name", F.inline(F.array(pair(c("name"), 1), pair(F.lower("name"), 2)))).join(known, ["key", "kind"], "left")
+    return met.groupBy("name").agg(F.min_by("tenant_id", F.when(c("tenant_id").isNotNull(), F.struct("kind", "tenant_id"))).alias("tenant_id"))
 
 
 @query("Z2_tenant_reference", with_(TENANTS) + ", asked(name) AS (VALUES ('0b1c2d3e-1111-2222-3333-444455556666'), ('ASIA'), ('short-id')) SELECT name, CASE WHEN length(name) > 20 AND contains(name, '-') THEN name ELSE (SELECT CAST(tenant_id AS STRING) FROM tenants WHERE tenant_name = name) END AS ref FROM asked")

@@ -165,7 +165,7 @@ def t1(spark, d):
     rows = vectors(spark, d)
     regions = centroids(rows, "label").join(radii(centroid_distances(rows, "label")), "label").withColumnRenamed("label", "region")  # one row for each cluster
     outliers = rows.where("vec_id % 50 = 0").select("vec_id", "v")
-    soft = outliers.crossJoin(F.broadcast(regions)).select("vec_id", "region", N.affinity(N.euclidean(c("v"), c("centroid")), c("radius")).alias("a")).where(F.round("a", 9) > 0.25)
+    soft = outliers.crossJoin(regions).select("vec_id", "region", N.affinity(N.euclidean(c("v"), c("centroid")), c("radius")).alias("a")).where(F.round("a", 9) > 0.25)
     return soft.select("vec_id", "region", F.round(c("a") / F.sum("a").over(Window.partitionBy("vec_id")), 4).alias("membership"))
 
 
