@@ -32,24 +32,26 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
     return keys.select("id", "site", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("line"), F.col("key")).alias("b"))
 
 
-def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """(a, b, id, pos) of the first occurrence of every line that stands on ``min_sites`` sites or more.
+def spread_lines(lines: DataFrame, min_sites: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of all lines that stand on ``min_sites`` sites or more, and (a, b, first) with each such line's first (id, pos).
 
     Lines of one site are set aside by comparing the least and the greatest
-    site; only the others are sketched. Every step is an aggregation with
-    partial sums, so a line of any frequency stays small.
+    site; only the others, a small part of all rows, go on to be sketched.
+    Every step is an aggregation with partial sums, so a line of any frequency
+    stays small.
     """
     spread = lines.groupBy("a", "b").agg(F.min("site").alias("low"), F.max("site").alias("high"), F.count("*").alias("n"))
     several = saved(spread.where(F.col("n") >= min_sites).where("low != high").select("a", "b"), "repeated-lines")
-    rows = lines.join(several, ["a", "b"], "left_semi")
+    rows = saved(lines.join(several, ["a", "b"], "left_semi"), "repeated-rows")
     sketch = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_K)))
     estimated = saved(rows.groupBy("a", "b").agg(sketch.alias("sites")), "line-sketches")
     sure = estimated.where(F.col("sites") > min_sites * (1 + NEAR)).select("a", "b")
     near = saved(estimated.where(F.col("sites").between(min_sites * (1 - NEAR), min_sites * (1 + NEAR))).select("a", "b"), "near-lines")
-    pairs = lines.join(near, ["a", "b"], "left_semi").groupBy("a", "b", "site").agg(F.lit(1).alias("one"))
+    pairs = rows.join(near, ["a", "b"], "left_semi").groupBy("a", "b", "site").agg(F.lit(1).alias("one"))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select("a", "b")
     chosen = saved(sure.unionAll(counted), "boilerplate")
-    return saved(lines.join(chosen, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.min(F.struct("id", "pos")).alias("first")), "first-lines")
+    found = rows.join(chosen, ["a", "b"], "left_semi")
+    return found, saved(found.groupBy("a", "b").agg(F.min(F.struct("id", "pos")).alias("first")), "first-lines")
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -63,8 +65,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", tex
     goes from one goes from all. Documents with a null id keep their texts.
     """
     lines = saved(_lines(docs, id_col, text_col, site_col), "lines")
-    spread = spread_lines(lines, min_sites)
-    met = lines.where("id is not null").join(spread, ["a", "b"]).where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")) | F.col("first.id").isNull())
+    rows, first = spread_lines(lines, min_sites)
+    met = rows.where("id is not null").join(first, ["a", "b"]).where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")) | F.col("first.id").isNull())
     key, marks = free(docs, "_id"), free(docs, "_gone")
     gone = met.groupBy(F.col("id").alias(key)).agg(F.collect_set("pos").alias(marks))
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(marks, i)), "\n")
