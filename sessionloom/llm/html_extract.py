@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, saved
+from .common import free, give_back, saved
 from .url_filter import host_of
 
 __all__ = ["align", "article_slots", "extract", "fold", "infer_wrappers", "read_page", "text_of_page"]
 
 TEXT = "#"
+#: Levels of containers that are told apart; no page that people read has so many.
+MOST_DEEP = 120
 #: Elements of HTML by what they do to the text around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -44,6 +47,8 @@ ARTICLE = frozenset("article main".split())
 NOT_ARTICLE = frozenset("nav footer aside form dialog menu".split())
 #: Words in a class, id or role that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 MARKS = frozenset("ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side rail nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead topbar footer bottombar copyright legal cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus discussion related recommended recommendations widget toolbar search form skip contentinfo complementary".split())
+#: Of these, the words that mark a part as no article even if it has articles inside.
+NEVER_MARKS = frozenset("comment comments reply replies respond disqus discussion related recommended recommendations ad ads advert promo sponsored".split())
 ARTICLE_MARKS = frozenset("main articlebody".split())
 
 _TOKEN = re.compile(
@@ -77,6 +82,8 @@ class _Page:
         self.parts: list[str] = []
         self.linked = self.chars = 0
         self.link = False
+        #: Open containers below MOST_DEEP, which are read as part of the one around them.
+        self.flat: Counter = Counter()
         self._read(source)
 
     def _end_block(self) -> None:
@@ -128,6 +135,9 @@ class _Page:
                     self._pop(last)
                 key = _key(tag, m["attrs"] or "")
                 if tag in CONTAINERS or _is_boilerplate(key, True):
+                    if len(self.stack) > MOST_DEEP:
+                        self.flat[tag] += 1
+                        continue
                     node = [key, "", []]
                     self.stack[-1][2].append(node)
                     self.stack.append(node)
@@ -137,7 +147,9 @@ class _Page:
         self._end_block()
 
     def _pop(self, tag: str) -> None:
-        if tag in self.names:
+        if self.flat[tag]:
+            self.flat[tag] -= 1
+        elif tag in self.names:
             k = len(self.names) - 1 - self.names[::-1].index(tag)
             del self.stack[k:], self.names[k:]
 
@@ -217,12 +229,13 @@ def _is_boilerplate(key: str, inside_article: bool) -> bool:
     words = set(_WORDS.findall(names))
     if inside_article and tag == "header":
         words -= {"header"}
-    return bool(words & MARKS) and not (tag in ARTICLE or words & ARTICLE_MARKS)
+    return bool(words & NEVER_MARKS) or bool(words & MARKS) and not (tag in ARTICLE or words & ARTICLE_MARKS)
 
 
 def _is_article(key: str) -> bool:
     tag, _, names = key.partition(".")
-    return tag in ARTICLE or bool(set(_WORDS.findall(names)) & ARTICLE_MARKS)
+    words = set(_WORDS.findall(names))
+    return (tag in ARTICLE or bool(words & ARTICLE_MARKS)) and not words & NEVER_MARKS
 
 
 def _holds_article(node: list) -> bool:
@@ -238,8 +251,9 @@ def _slots(nodes: list, path: str = "", inside: bool = False, dropped: bool = Fa
             key = node[0]
             within = inside or _is_article(key)
             # a mark on what surrounds the article, as "with-sidebar" on the body, says nothing about the article
-            marked = _is_boilerplate(key, within) and not (not inside and _holds_article(node))
-            yield from _slots(node[2], f"{path}>{key}", within, dropped or marked)
+            never = NEVER_MARKS & set(_WORDS.findall(key.partition(".")[2])) and key.partition(".")[0] not in ("html", "body")
+            marked = never or _is_boilerplate(key, within) and not (not inside and _holds_article(node))
+            yield from _slots(node[2], f"{path}>{key}", within, dropped or bool(marked))
 
 
 def article_slots(wrapper: list, stats: list[dict]) -> dict[str, bool]:
@@ -307,6 +321,8 @@ def _skeletons(pages: DataFrame, html_col: str) -> DataFrame:
                     patterns.append(json.dumps(fold(nodes), separators=(",", ":")))
                     slots.append([{"path": p, "hash": h.intdigest() - (1 << 63), "chars": c, "links": n} for p, (h, c, n) in found.items()])
                 yield pa.RecordBatch.from_arrays([some.column("host"), pa.array(patterns, pa.string()), pa.array(slots, pa.list_(pa.struct([("path", pa.string()), ("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())])))], names=["host", "pattern", "slots"])
+            batch = some = None
+            give_back()
 
     return pages.select("host", F.col(html_col).alias("html")).mapInArrow(run, _SKELETON)
 
@@ -383,5 +399,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", outp
                 some = batch.slice(k, 500)
                 texts = [text_of_page(page.as_py() or "", w, s) for page, w, s in zip(some.column(source), some.column(wrapper).to_pylist(), some.column(stats).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, output])
+            batch = some = None
+            give_back()
 
     return rows.mapInArrow(run, schema)

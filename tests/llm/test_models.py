@@ -251,7 +251,7 @@ def test_page_without_a_host_is_its_own_wrapper():
     assert X.text_of_page(PAGE, None, None) == "Title & more\nOne two three\nFour\ni1\ni2"
 
 
-@pytest.mark.parametrize(("source", "want"), [("", ""), ("<!-- open", ""), ("just text &lt;", "just text <"), ("<p>a<p>b</b></i></div>c", "a\nb\nc"), ("<script>if (a<b) {}</script>x", "x"), ("<p title='1>2'>q</p>", "q"), ("<div><div><div>" * 50 + "deep", "deep")])
+@pytest.mark.parametrize(("source", "want"), [("", ""), ("<!-- open", ""), ("just text &lt;", "just text <"), ("<p>a<p>b</b></i></div>c", "a\nb\nc"), ("<script>if (a<b) {}</script>x", "x"), ("<p title='1>2'>q</p>", "q"), ("<div><div><div>" * 2000 + "deep", "deep"), ("<div>" * 3000 + "a" + "</div>" * 3000 + "<footer>f</footer>", "a"), ("<article><p>a</p></article><section class=comments><article><p>b</p></article></section>", "a"), ("<div class=has-sidebar><article>a<article class=comment>b</article></article><aside>c</aside></div>", "a")])
 def test_faulty_pages(source, want):
     assert X.text_of_page(source, None, None) == want
 
