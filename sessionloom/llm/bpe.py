@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import give_back
+
 __all__ = ["WordBPE", "decode", "encode"]
 
 #: Texts are encoded in slices of about so many characters, to bound memory.
@@ -334,6 +336,8 @@ def _with_columns(docs: DataFrame, source: str, outputs: dict[str, T.DataType],
         for batch in batches:
             for some in slices(batch, source, SLICE_CHARS):
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), *make(some.column(source))], names=[*kept, *outputs])
+            batch = some = None
+            give_back()
 
     return docs.select(*keep).mapInArrow(run, schema)
 

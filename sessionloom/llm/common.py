@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.sources.shared import saved, shared_dir
 
-__all__ = ["free", "likely_in", "load", "saved", "shared_dir"]
+__all__ = ["free", "give_back", "likely_in", "load", "saved", "shared_dir"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +24,11 @@ def free(docs: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return memory that Arrow no longer uses to the system; workers outlive tasks, and several share a machine."""
+    pa.default_memory_pool().release_unused()
+
+
 #: Most bits of the filter that ``likely_in`` makes: 1 MB.
 MOST_BITS = 1 << 23
 

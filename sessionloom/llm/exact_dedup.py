@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import give_back, saved
 
 __all__ = ["chunk_digest", "collisions", "cut_points", "exact_duplicates", "recipe_column"]
 
@@ -110,6 +110,8 @@ def collisions(docs: DataFrame, text_col: str = "text", salt: int = 0, width: in
                         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(chunks, pa.binary())], names=["digest", "chunk"])
                         digests, chunks, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(chunks, pa.binary())], names=["digest", "chunk"])
+            batch = scalar = digests = chunks = None
+            give_back()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = chunk = None

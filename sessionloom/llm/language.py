@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import give_back, saved
 
 __all__ = ["ContextTree", "Model", "count_runs", "held_out", "identify", "train"]
 
@@ -93,6 +93,8 @@ def count_runs(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                         size = 0
                         if sum(len(r) for r, _ in held.values()) > REMEMBERED_RUNS:
                             yield from send()
+            batch = text = None
+            give_back()
         fold()
         yield from send()
 
@@ -288,6 +290,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", id_cols: tup
             names = [langs[b] if t else UNDECIDED for b, t in zip(best.tolist(), there.tolist(), strict=True)] if langs else [UNDECIDED] * batch.num_rows
             scores = np.where(there, share, 0.0) if langs else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in id_cols), pa.array(names, pa.string()), pa.array(scores)], names=[*id_cols, "lang_pred", "score"])
+            batch = text = None
+            give_back()
 
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(score, schema)

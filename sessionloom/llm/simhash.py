@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from sessionloom.operators.graph import connected_components
 
-from .common import likely_in, saved
+from .common import give_back, likely_in, saved
 
 __all__ = ["components_of", "fingerprint_bytes", "linked_fingerprints", "near_duplicates", "simhash_column", "similarity", "trie_pairs"]
 
@@ -79,6 +79,7 @@ def simhash_column(text: Column, words_per_shingle: int = 3) -> Column:
 
     @F.arrow_udf(T.LongType())
     def simhash(texts: pa.Array) -> pa.Array:
+        give_back()
         found = (fingerprint_bytes((t.as_py() or "").encode("utf-8", "replace"), words_per_shingle) for t in texts)
         return pa.array(np.fromiter(found, np.uint64, len(texts)).view(np.int64))
 
@@ -276,10 +277,12 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float =
             data = (t.as_py() or "").encode("utf-8", "replace")
             keys.append(xxhash.xxh3_128_digest(data))
             samples.append([None if f is None else f - (1 << 64) if f >> 63 else f for f in sample_fingerprints(data, words_per_shingle)])
+        give_back()
         return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64()))], ["key", "samples"])
 
     @F.arrow_udf(T.DoubleType())
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+        give_back()
         return pa.array([similarity((x.as_py() or "").encode("utf-8", "replace"), (y.as_py() or "").encode("utf-8", "replace"), words_per_shingle) for x, y in zip(a, b, strict=True)], pa.float64())
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import give_back, saved
 
 __all__ = ["Classifier", "nn_pu_risk_gradient", "score", "train", "train_linear"]
 
@@ -129,6 +129,8 @@ def _with_words(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
                 some = batch.slice(k, 200)
                 words = [sorted(words_of(t.as_py() or "")) for t in some.column(text_col)]
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(words, pa.list_(pa.string()))], names=[*keep, "words"])
+            batch = some = None
+            give_back()
 
     rows = docs.select(*dict.fromkeys([*keep, text_col]))
     return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in keep), T.StructField("words", T.ArrayType(T.StringType()))]))
@@ -188,6 +190,7 @@ def score(docs: DataFrame, classifier: Classifier, text_col: str = "text", outpu
 
     @F.arrow_udf(T.DoubleType())
     def toxicity(texts: pa.Array) -> pa.Array:
+        give_back()
         margins = [bias + sum(sorted(weights[w] for w in known.intersection(words_of(t.as_py() or "")))) for t in texts]
         return pa.array(classifier.score(np.array(margins, float)))
 
