@@ -14,6 +14,7 @@ fingerprint goes to budget + 1 of them, however many there are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -223,8 +224,10 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Samples of a text, and shingles in a sample.
 SAMPLES, SAMPLED = 16, 4
-#: Rounds of choosing a group's hub.
+#: Rounds of choosing a group's hub; what they leave is compared wholly, in blocks.
 ROUNDS = 4
+#: Most members and bytes of text of a block, on average, and columns of a product of matrices; bound memory only.
+BLOCK_ROWS, BLOCK_BYTES, COLUMNS_AT_ONCE = 512, 4_000_000, 4_096
 
 
 def sample_fingerprints(text: bytes, words_per_shingle: int) -> list[int | None]:
@@ -255,6 +258,81 @@ def similarity(a: bytes, b: bytes, words_per_shingle: int) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
+def shared_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``sets`` has in common with each of ``others``; a set's values are distinct."""
+    found = np.zeros((len(sets), len(others)), np.int64)
+
+    def places(of: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values, row = np.concatenate(of), np.repeat(np.arange(len(of)), [len(x) for x in of])
+        return np.unique(values), values, row
+
+    (known_a, a, row_a), (known_b, b, row_b) = places(sets), places(others)
+    both = np.intersect1d(known_a, known_b, assume_unique=True)
+    for k in range(0, len(both), COLUMNS_AT_ONCE):
+        some = both[k : k + COLUMNS_AT_ONCE]
+
+        def ones(values: np.ndarray, row: np.ndarray, n: int, some: np.ndarray = some) -> np.ndarray:
+            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            there = some[at] == values
+            made = np.zeros((n, len(some)), np.float32)
+            made[row[there], at[there]] = 1
+            return made
+
+        found += np.rint(ones(a, row_a, len(sets)) @ ones(b, row_b, len(others)).T).astype(np.int64)
+    return found
+
+
+def _grown(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, component) of earlier ``parts`` and new ``links`` (u, v)."""
+    earlier = [] if parts is None else [parts.select(F.col("node").alias("u"), F.col("component").alias("v"))]
+    return saved(connected_components(reduce(DataFrame.unionAll, earlier, links)), "components")
+
+
+def _residue_links(rows: DataFrame, active: DataFrame, made: DataFrame, words_per_shingle: int, least: float) -> DataFrame:
+    """Links (u, v) between all members (``active``: id, nth, fp, component) of a group that aren't in one component yet.
+
+    A group is cut into blocks, and each pair of blocks is a unit of work that
+    holds all texts of the one against all texts of the other. Two texts meet
+    in the group of their first equal sample only. What leaves a unit is a
+    spanning forest of its links.
+    """
+    of = active.join(made, "id")
+    blocks = of.groupBy("nth", "fp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES, F.lit(1.0))).cast("int").alias("blocks"))
+    dealt = of.join(blocks, ["nth", "fp"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "nth", "fp", "component", "samples", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    needed = saved(active.select("id").distinct(), "needed")
+    some = saved(rows.where(likely_in(needed, "id", F.col("id"))).join(needed, "id", "left_semi").dropDuplicates(["id"]), "compared")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, own = table["id"], table["own"].to_numpy()
+        nth, i, j = (table[c][0].as_py() for c in ("nth", "i", "j"))
+        part = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+        samples = [row[:nth] for row in table["samples"].to_pylist()]
+        before = np.array([[x or 0 for x in row] for row in samples], np.int64).reshape(len(ids), nth)
+        empty = np.array([[x is None for x in row] for row in samples], bool).reshape(len(ids), nth)
+        sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes((t.as_py() or "").encode("utf-8", "replace"), words_per_shingle)])) for t in table["text"]]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(a) and len(b):
+            both = shared_counts([sets[k] for k in a], [sets[k] for k in b])
+            near = both / (sizes[a][:, None] + sizes[b][None, :] - both) >= least
+            near &= part[a][:, None] != part[b][None, :]
+            x, y = np.nonzero(near)
+            u, v = a[x], b[y]
+            keep = (u < v) if i == j else np.ones(len(u), bool)
+            keep &= ~((before[u] == before[v]) & ~empty[u] & ~empty[v]).any(axis=1)
+            u, v = u[keep], v[keep]
+        parent: dict[int, int] = {}
+        _forest(u, v, parent)
+        ends = np.array([e for e in parent.items() if e[0] != e[1]], np.int64).reshape(-1, 2)
+        return pa.table({"u": ids.take(pa.array(ends[:, 0])), "v": ids.take(pa.array(ends[:, 1]))})
+
+    kind = rows.schema["id"].dataType
+    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+    return units.join(some, "id").groupBy("nth", "fp", "i", "j").applyInArrow(compare, schema)
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, component_id), one for each row of ``docs`` with an id: components of texts with a similarity of ``least`` or more.
 
@@ -264,10 +342,11 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float =
     is verified on whole texts. Equal texts are one member of a group. In a
     group of equal samples all members are held against its hub: the member
     that meets most others over all samples, as the original of many variants
-    does; members that aren't similar to it meet the next hub, for ROUNDS
-    rounds. So a group of n members gives at most n links a round, never all
-    pairs. ``component_id`` is the smallest id of the component. Null and empty
-    texts are equal texts.
+    does; members outside its component meet the next hub, for ROUNDS rounds.
+    A group is done when its members are one component, or have been hubs. What
+    is left then is compared wholly, in blocks: linear in the group where texts
+    are similar, and all pairs only of those that aren't. ``component_id`` is
+    the smallest id of the component. Null and empty texts are equal texts.
     """
 
     @F.arrow_udf(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("samples", T.ArrayType(T.LongType()))]))
@@ -286,38 +365,45 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float =
         return pa.array([similarity((x.as_py() or "").encode("utf-8", "replace"), (y.as_py() or "").encode("utf-8", "replace"), words_per_shingle) for x, y in zip(a, b, strict=True)], pa.float64())
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = saved(rows.select("id", sketch.asNondeterministic()(F.col("text")).alias("s")).select("id", "s.key", "s.samples"), "sketches")
+    made = saved(rows.select("id", sketch.asNondeterministic()(F.col("text")).alias("s"), F.octet_length("text").alias("size")).select("id", "s.key", "s.samples", "size"), "sketches")
     texts = saved(made.groupBy("key").agg(F.min("id").alias("rep")), "distinct-texts")
     distinct = made.join(texts, (made["key"] == texts["key"]) & (made["id"] == texts["rep"]), "left_semi").dropDuplicates(["id"])
     placed = distinct.select("id", F.posexplode("samples").alias("nth", "fp")).where("fp IS NOT NULL")
     groups = placed.groupBy("nth", "fp").agg(F.count("*").alias("n")).where("n > 1")
-    active = saved(placed.join(saved(groups, "sample-groups"), ["nth", "fp"]).select("id", "nth", "fp", "n"), "grouped")
-    score = saved(active.groupBy("id").agg(F.sum("n").alias("met")), "met")
+    found = saved(placed.join(saved(groups, "sample-groups"), ["nth", "fp"]).select("id", "nth", "fp", "n"), "grouped")
+    score = saved(found.groupBy("id").agg(F.sum("n").alias("met")), "met")
+    active = found.select("id", "nth", "fp", F.col("id").alias("component"))
 
-    links = None
+    parts = tested = None
     for _ in range(ROUNDS):
-        scored = active.join(score, "id")
-        hubs = saved(scored.groupBy("nth", "fp").agg(F.min_by("id", F.struct(-F.col("met"), "id")).alias("hub"), F.count("*").alias("left")).where("left > 1").select("nth", "fp", "hub"), "hubs")
-        met = active.join(hubs, ["nth", "fp"]).where("id != hub")
+        best = F.min_by(F.struct("id", "component"), F.struct(-F.col("met"), "id"))
+        hubs = saved(active.join(score, "id").groupBy("nth", "fp").agg(best.alias("h")).select("nth", "fp", F.col("h.id").alias("hub"), F.col("h.component").alias("of_hub")), "hubs")
+        met = active.join(hubs, ["nth", "fp"]).where("component != of_hub")
         pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        if links is not None:
-            loose = links.select(F.col("u").alias("id")).unionAll(links.select(F.col("v").alias("id"))).distinct()
-            # members that have a link already are held against no other hub
-            held = met.join(loose, "id", "left_anti")
-            pairs = held.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        pairs = saved(pairs, "pairs")
+        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionAll(pairs)
         needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
-        if needed.isEmpty():
+        if not needed.isEmpty():
+            some = saved(rows.where(likely_in(needed, "id", F.col("id"))).join(needed, "id", "left_semi").dropDuplicates(["id"]), "compared")
+            both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+            new = saved(both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("j")).where(F.col("j") >= least).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+            if not new.isEmpty():
+                parts = _grown(parts, new)
+        # a hub has met all members outside its component; a group within one component is done
+        left = active.join(hubs.select("nth", "fp", F.col("hub").alias("id")), ["nth", "fp", "id"], "left_anti")
+        if parts is not None:
+            left = left.drop("component").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "nth", "fp", F.coalesce("component", "id").alias("component"))
+        left = saved(left, "left")
+        open_groups = left.groupBy("nth", "fp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("nth", "fp")
+        active = saved(left.join(saved(open_groups, "open-groups"), ["nth", "fp"], "left_semi"), "grouped")
+        if active.isEmpty():
             break
-        some = saved(rows.where(likely_in(needed, "id", F.col("id"))).join(needed, "id", "left_semi").dropDuplicates(["id"]), "compared")
-        both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        new = saved(both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("j")).where(F.col("j") >= least).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        links = new if links is None else links.unionAll(new)
-        active = saved(active.join(hubs.withColumnRenamed("hub", "id"), ["nth", "fp", "id"], "left_anti"), "grouped")
+    else:
+        new = saved(_residue_links(rows, active, made.select("id", "samples", "size").dropDuplicates(["id"]), words_per_shingle, least), "links")
+        parts = parts if new.isEmpty() else _grown(parts, new)
 
     of_copies = made.join(texts, "key").select("id", "rep")
-    if links is None:
+    if parts is None:
         return of_copies.select(F.col("id").alias(id_col), F.col("rep").alias("component_id"))
-    parts = saved(connected_components(links), "components")
     found = of_copies.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select(F.col("id").alias(id_col), F.coalesce("component", "rep").alias("component_id"))

@@ -287,6 +287,45 @@ def test_near_duplicates_link_variants_of_an_original(spark):
     assert got[1001] == got[1000] == got[3] and got[1002] == got[1003] and got[1004] == got[1005]
 
 
+def test_near_copies_are_found_among_documents_that_share_a_passage(spark, monkeypatch):
+    random = np.random.default_rng(5)
+    passage = [f"p{x}" for x in range(260)]
+    own = lambda n: [f"x{x}" for x in random.integers(0, 10**9, n)]
+    rows = []
+    for _ in range(60):
+        # two texts with .81 or so, just above; other texts of the group stay just under .8
+        tail = own(45)
+        rows += [(len(rows), " ".join(passage + tail)), (len(rows) + 1, " ".join(passage + tail[:22] + own(23)))]
+    random.shuffle(rows)
+    want = {}
+    pairs = {frozenset((a[0], b[0])) for k, a in enumerate(rows) for b in rows[:k] if brute_similarity(a[1], b[1]) >= 0.8}
+    for a, b in map(sorted, pairs):
+        want[a], want[b] = a, a
+    assert len(pairs) == 60 and len(want) == 120
+    monkeypatch.setattr(H, "BLOCK_ROWS", 16)
+    got = {r["doc_id"]: r["component_id"] for r in H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_linked_groups_are_joined_by_a_later_link(spark):
+    random = np.random.default_rng(3)
+    base = [f"w{x}" for x in range(400)]
+    rows, at = [], base
+    for k in range(40):
+        rows.append((k, " ".join(at)))
+        at = [w if random.random() > 0.012 else f"v{random.integers(0, 10**9)}" for w in at]
+    texts = dict(rows)
+    got = {r["doc_id"]: r["component_id"] for r in H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert all(got[a] == got[b] for a in texts for b in range(a) if brute_similarity(texts[a], texts[b]) >= 0.8)
+
+
+def test_shared_counts_are_exact(monkeypatch):
+    monkeypatch.setattr(H, "COLUMNS_AT_ONCE", 7)
+    random = np.random.default_rng(1)
+    x, y = ([np.unique(random.integers(0, 90, n)).astype(np.uint64) for n in sizes] for sizes in ((0, 5, 40, 60), (30, 1, 50)))
+    assert H.shared_counts(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+
+
 def test_near_duplicates_cases(spark, edge, empty):
     got = H.near_duplicates(edge).collect()
     assert len(got) == edge.where("doc_id IS NOT NULL").count()
