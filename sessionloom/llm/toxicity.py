@@ -101,16 +101,22 @@ def train_linear(features: np.ndarray, positive: np.ndarray, prior: float, seed:
     return w, float(b)
 
 
-def _calibrate(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve from margins to labels, by Newton's method with a little damping."""
+def _calibrate(margin: np.ndarray, toxic: np.ndarray, of_toxic: int = 0, of_clean: int = 0) -> tuple[float, float]:
+    """Slope and shift of a logistic curve from margins to labels, by Newton's method with a little damping.
+
+    The rows are a sample of ``of_toxic`` and ``of_clean`` labelled rows, whose
+    shares they are weighted to; without these numbers they are all there are.
+    """
     if not len(margin) or toxic.all() or not toxic.any():
         return 1.0, 0.0
     x = np.stack([margin, np.ones(len(margin))], axis=1)
+    each = np.where(toxic, (of_toxic or toxic.sum()) / toxic.sum(), (of_clean or (~toxic).sum()) / (~toxic).sum())
+    each = each * len(margin) / each.sum()
     t = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
-        g = x.T @ (p - toxic) + 1e-3 * t
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (each * (p - toxic)) + 1e-3 * t
+        h = (x * (each * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         t = t - np.linalg.solve(h, g)
     return (float(t[0]), float(t[1])) if t[0] > 0 else (1.0, 0.0)
 
@@ -141,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Positive are up to ``most_positive`` documents with label 1; unlabelled are
     up to ``most_unlabelled`` of the others, whatever their label, picked by a
-    hash of the id. The class prior is the share of label 1 among the labels.
+    hash of the id. The class prior is the share of label 1 among the labels,
+    and the calibration counts labelled rows so that they keep that share.
     Without positive documents all texts score as the prior says. Null labels
     and ids are left out; a document with several labels is toxic if one is 1.
     """
@@ -175,7 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         features[k, [at[w] for w in listed_words]] = 1
     trained = [train_linear(features, labels_of == 1, prior, seed) for seed in range(classifiers)]
     weights, bias = np.mean([w for w, _ in trained], axis=0), float(np.mean([b for _, b in trained]))
-    slope, shift = _calibrate((features @ weights + bias)[labels_of >= 0], labels_of[labels_of >= 0] == 1)
+    labelled = labels_of >= 0
+    # the sample holds other shares of the labels than the corpus, so its rows are weighted back
+    slope, shift = _calibrate((features @ weights + bias)[labelled], labels_of[labelled] == 1, n.get(1, 0), sum(k for label, k in n.items() if label is not None and label >= 0 and label != 1))
     return Classifier(words, weights, bias, slope, shift)
 
 

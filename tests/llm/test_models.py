@@ -126,6 +126,24 @@ def test_held_out_toxicity(spark):
     assert all(got[k] == (k % 8 == 0) for k in range(600, 900))
 
 
+def test_scores_mean_the_same_at_any_sample_size(spark):
+    random = np.random.default_rng(2)
+    rows, labels = [], []
+    for k in range(3000):
+        toxic = k % 10 == 0
+        words = [f"w{x}" for x in random.integers(0, 200, 12)]
+        # a word that stands in clean texts as well, so that chances are in between
+        if random.random() < (0.6 if toxic else 0.15):
+            words.append("doubtful")
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    asked = spark.createDataFrame([(1, "w1 doubtful"), (2, "w1")], "doc_id long, text string")
+    chance = lambda **bounds: [r["score"] for r in T.score(asked, T.train(docs, known, **bounds)).orderBy("doc_id").collect()]
+    whole, sampled = chance(), chance(most_positive=300, most_unlabelled=400)
+    assert all(abs(math.log(a / (1 - a)) - math.log(b / (1 - b))) < 0.6 for a, b in zip(whole, sampled, strict=True))
+
+
 def test_toxicity_query(spark, sf):
     got = Q.op6_toxicity(spark, sf).collect()
     assert len({r["doc_id"] for r in got}) == len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
