@@ -1,8 +1,8 @@
 """Density clustering on a graph of nearest neighbours.
 
 A point's core distance is that of its ``min_samples``-th neighbour. Points
-whose core distance is within the cut are linked if they are neighbours whose
-mutual reachability is; the components of the links are the clusters, and a
+whose core distance is within the cut are linked if their mutual reachability
+is, however many nearer points they have; the components of the links are the clusters, and a
 point outside that is near enough to a core point joins its cluster. This is a
 flat cut of the density hierarchy: the hierarchy itself would have to be read
 in one place, which doesn't hold for large tenants.
@@ -10,16 +10,53 @@ in one place, which doesn't hold for large tenants.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.operators.graph import connected_components
-from sessionloom.operators.vectors import nearest
+from sessionloom.operators.vectors import _blocks, _matrix, _unit, nearest
 from sessionloom.sources.shared import saved
 
 __all__ = ["density_clusters"]
 
 
+def _links_within(rows: DataFrame, cut: float, by: str | None) -> DataFrame:
+    """Links (u, v) that join rows (id, v) of one group exactly as all pairs within ``cut`` do.
+
+    Each pair of blocks is one product of matrices, of whose links only a
+    spanning forest leaves it.
+    """
+    group = F.col(by) if by else F.lit(0)
+    of = rows.select(group.alias("g"), F.col("id").alias("i"), "v")
+    q, m = _blocks(of, "q"), _blocks(of, "m")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (qi, qv), (mi, mv) = (_matrix(batch.column(c)[row]) for c in ("q", "m"))
+                near = np.sqrt(np.maximum(0.0, 2 - 2 * (_unit(qv) @ _unit(mv).T))) <= cut
+                left, fresh, u, v = np.ones(len(qi), bool), np.ones(len(mi), bool), [], []
+                for seed in range(len(qi)):
+                    # every row and column is reached once, and linked to where its component began
+                    ends = np.array([seed]) if left[seed] else np.zeros(0, np.int64)
+                    left[ends] = False
+                    while len(ends):
+                        reached = np.flatnonzero(near[ends].any(axis=0) & fresh)
+                        fresh[reached] = False
+                        ends = np.flatnonzero(near[:, reached].any(axis=1) & left)
+                        left[ends] = False
+                        for found in (mi[reached], qi[ends]):
+                            u.append(np.full(len(found), qi[seed]))
+                            v.append(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (u, v)], names=["u", "v"])
+
+    return q.join(m, "g").select("q", "m").mapInArrow(join, "u long, v long").where("u != v")
+
+
 def density_clusters(vectors: DataFrame, min_cluster_size: int = 5, min_samples: int = 3, cut: float | None = None, quantile: float = 0.8, neighbours: int = 10, by: str | None = None) -> DataFrame:
     """(id, cluster, core, probability) for rows (id, v): cluster is the smallest id of its core points, or -1.
 
@@ -40,7 +77,8 @@ def density_clusters(vectors: DataFrame, min_cluster_size: int = 5, min_samples:
     dense = cores.where(F.col("core") <= (cut if cut is not None else 0.0)).select("i")
     within = near.where(F.col("d") <= (cut or 0.0))
     links = within.join(dense.withColumnRenamed("i", "query_id"), "query_id", "left_semi").join(dense.withColumnRenamed("i", "id"), "id", "left_semi")
-    members = saved(connected_components(links.select(F.col("query_id").alias("u"), F.col("id").alias("v"))), "members")
+    all_links = links.select(F.col("query_id").alias("u"), F.col("id").alias("v")).unionAll(_links_within(rows.join(dense.withColumnRenamed("i", "id"), "id", "left_semi"), cut or 0.0, by))
+    members = saved(connected_components(all_links), "members")
     border = within.join(dense.withColumnRenamed("i", "query_id"), "query_id", "left_anti").join(members.withColumnRenamed("node", "id"), "id").groupBy(F.col("query_id").alias("node")).agg(F.min_by("component", F.struct("d", "id")).alias("component"))
     every = members.unionAll(border)
     large = every.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_cluster_size).select("component")

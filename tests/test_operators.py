@@ -126,6 +126,14 @@ def test_nearest_against_brute_force(points):
         assert [got[q, p] for p in (1, 2, 3, 4)] == [ids[k] for k in order[:4]]
 
 
+def test_density_clusters_links_groups_of_copies_within_the_cut(spark):
+    # every copy's nearest rows are its own copies; the third group is far away
+    angles = [0.0] * 15 + [0.1] * 15 + [1.5] * 15
+    df = spark.createDataFrame([(k, [float(np.cos(a)), float(np.sin(a))]) for k, a in enumerate(angles)], "id long, v array<double>")
+    got = {r["id"]: r["cluster"] for r in density_clusters(df, cut=0.2).collect()}
+    assert got == {k: 0 if k < 30 else 30 for k in range(45)}
+
+
 def test_density_clusters_finds_the_blobs(points):
     rows, df = points
     got = {r["id"]: r["cluster"] for r in density_clusters(df, quantile=0.9).collect()}
