@@ -1,28 +1,31 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page is read as a stream of container tags and text slots. Neighbours that
-repeat are folded into repeated groups. The streams of one host are then
-aligned one after the other with the wrapper so far: where they agree, the
-wrapper stands; a part that one side lacks becomes optional; a part that one
-side repeats becomes repeated; text that differs becomes a slot, while text
-that is the same on all pages belongs to the template. The wrapper says which
-slots hold the article; a page is aligned with it and its article's slots are
-read.
-
-A wrapper is a list of nodes ``[key, flags, children]``: the key is a container
-with its class or ``#`` for text, flags hold ``?`` (optional) and ``+``
-(repeated).
+A page is read as a stream of containers and text slots. Neighbours that repeat
+are folded into repeated groups. The streams of one host are then aligned with
+the wrapper so far: where they agree, the wrapper stands; a part that one side
+lacks becomes optional; a part that one side repeats becomes repeated. Text
+that most pages of the host share is the template's; the rest is what
+slots hold, and the wrapper knows of each slot how much of its text varies and
+how much is links.
+
+To read a page it is aligned with its host's wrapper. Each of its texts then
+weighs as much as the wrapper says that its slot's text varies and isn't links;
+tags and class names make a container likelier or less likely. The article is
+the innermost container that holds nearly all weight, with its heading. Inside
+it, template text goes, and so do parts that several signs agree on (element,
+name, links, size, place, repetition): no name is enough by itself.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
-from collections import Counter
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,38 +35,67 @@ from pyspark.sql import types as T
 from .common import free, give_back, saved
 from .url_filter import host_of
 
-__all__ = ["align", "article_slots", "extract", "fold", "infer_wrappers", "read_page", "text_of_page"]
+__all__ = ["Node", "Plan", "align", "extract", "fold", "infer_plans", "read_page", "text_of_page"]
 
-TEXT = "#"
-#: Levels of containers that are told apart; no page that people read has so many.
-MOST_DEEP = 120
+#: Keys of text slots: of plain text and of headings.
+TEXT, HEADING = "#", "#h"
 #: Elements of HTML by what they do to the text around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-CONTAINERS = frozenset("html body div section article main nav header footer aside form fieldset dialog menu details address center figure table".split())
+CONTAINERS = frozenset("html body div section article main nav header footer aside form fieldset dialog menu details address center figure table ul ol dl".split())
+UNREAD = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select button".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
-LISTS = frozenset("ul ol dl".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
 NOT_ARTICLE = frozenset("nav footer aside form dialog menu".split())
-#: Words in a class, id or role that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+#: Words in a class, id or role that speak for menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 MARKS = frozenset("ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side rail nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead topbar footer bottombar copyright legal cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus discussion related recommended recommendations widget toolbar search form skip contentinfo complementary".split())
-#: Of these, the words that mark a part as no article even if it has articles inside.
-NEVER_MARKS = frozenset("comment comments reply replies respond disqus discussion related recommended recommendations ad ads advert promo sponsored".split())
+#: Of these, the words that say the same as a part of a longer name.
+PLAIN_MARKS = frozenset("comment comments reply replies respond disqus ad ads advert advertisement adsense promo sponsored share sharing social newsletter cookie cookies consent gdpr breadcrumb breadcrumbs pagination".split())
 ARTICLE_MARKS = frozenset("main articlebody".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<skip>script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|audio|video|select|button)\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=skip)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<[!?/][^>]*+>"
-    r"|<(?P<badclose>/?)(?P<bad>[a-zA-Z][^\s/>]*+)[^>]*+>",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Share of a host's pages that makes a text the template's, and the fewest different pages that can show it.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
+#: The fewest pages that show that a slot of a named article holds the template's text only.
+FIXED_PAGES = 8
+#: Share of the weight that the article's container holds.
+HOLDS = 0.8
+#: Points at which a part of the article goes.
+ENOUGH = 2.0
+#: A wrapper keeps what at least one in so many of its host's pages has; pages with rarer parts judge these by themselves.
+SUPPORT = 1024
+#: Wrappers aligned one after the other in one step of the tree of merges.
+FAN = 32
+
+_TAG = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE_TAG = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>")
+_END_OF = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in UNREAD}
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[a-z]+")
 
 
+class Node:
+    """A container or text slot of a page or a wrapper."""
+
+    __slots__ = ("key", "flags", "kids", "n", "parts", "chars", "links", "at", "weight", "literal")
+
+    def __init__(self, key: str, flags: str = "", kids: list[Node] | None = None, n: int = 1):
+        self.key, self.flags, self.kids, self.n = key, flags, [] if kids is None else kids, n
+        #: Of a page's nodes: unread pieces of text, their characters and those in links, and the place in the wrapper.
+        self.parts: list[str] | None = None
+        self.chars = self.links = 0
+        self.at = -1
+        self.weight, self.literal = 0.0, False
+
+    @property
+    def is_text(self) -> bool:
+        return self.key[:1] == "#"
+
+    def shape(self) -> frozenset[str]:
+        return frozenset(k.key for k in self.kids)
+
+
 @lru_cache(maxsize=4096)
 def _key(tag: str, attrs: str) -> str:
     """A container's key: its tag with role, id and classes, runs of digits as one sign."""
@@ -72,24 +104,106 @@ def _key(tag: str, attrs: str) -> str:
     return ".".join([tag, *names])
 
 
-class _Page:
-    """Containers as nested lists ``[key, flags, children]``, texts as ``[TEXT, "", [pieces, link characters, characters]]``."""
+@lru_cache(maxsize=65536)
+def _marks(key: str) -> tuple[str, float]:
+    """A key's tag, and how strongly its names speak against an article: 1.5 for a plain word, .5 for a part of a name."""
+    tag, *names = key.split(".")
+    if tag in ("html", "body") or tag[:1] == "#":
+        return tag, 0.0
+    mark = 0.0
+    for name in names:
+        words = set(_WORDS.findall(name))
+        if name in MARKS or words & PLAIN_MARKS or (len(words) == 1 and words & MARKS):
+            mark = 1.5
+        elif words & MARKS:
+            mark = max(mark, 0.5)
+    return tag, mark
+
+
+@lru_cache(maxsize=65536)
+def _is_article(key: str) -> bool:
+    tag, *names = key.split(".")
+    return (tag in ARTICLE or any(n in ARTICLE_MARKS for n in names)) and _marks(key)[1] < 1.5
+
+
+def _prior(key: str, inside: bool) -> float:
+    """How likely a container is to hold an article, by its element and names."""
+    tag, mark = _marks(key)
+    if tag in NOT_ARTICLE or (tag == "header" and not inside):
+        return 0.01
+    if mark >= 1.5:
+        return 0.02
+    return 10.0 if _is_article(key) else 0.7 if mark else 1.0
+
+
+def _allow(depth: int) -> None:
+    """Room for functions that call themselves once for each level of containers."""
+    if 4 * depth + 2000 > sys.getrecursionlimit():
+        sys.setrecursionlimit(4 * depth + 2000)
+
+
+# -- pages --------------------------------------------------------------------------
+
+
+def _tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) of a page: ``text`` with the text, ``open`` and ``close`` with tag and attributes.
+
+    Linear in the page: without a ``>`` ahead all is text, and after eight tags
+    whose quotes aren't closed, tags end at their first ``>``.
+    """
+    at, last, strict = 0, source.rfind(">"), 8
+    while at < len(source):
+        lt = source.find("<", at)
+        while lt >= 0 and not (source[lt + 1 : lt + 2].isalpha() or source[lt + 1 : lt + 2] in ("/", "!", "?")):
+            lt = source.find("<", lt + 1)
+        if lt < 0:
+            break
+        if source.startswith("<!--", lt):
+            if lt > at:
+                yield "text", source[at:lt], ""
+            end = source.find("-->", lt + 4)
+            at = len(source) if end < 0 else end + 3
+            continue
+        if lt > last:
+            break
+        if lt > at:
+            yield "text", source[at:lt], ""
+        m = _TAG.match(source, lt) if strict else None
+        if m is None:
+            m = _LOOSE_TAG.match(source, lt)
+            strict -= m is not None and strict > 0
+        if m is None:
+            at = source.find(">", lt) + 1
+            continue
+        at, tag = m.end(), m["tag"].lower()
+        yield "close" if m["close"] else "open", tag, m["attrs"]
+        if tag in UNREAD and not m["close"] and not m["attrs"].endswith("/"):
+            end = _END_OF[tag].search(source, at)
+            at = len(source) if end is None else end.end()
+    if at < len(source):
+        yield "text", source[at:], ""
+
+
+class _Reader:
+    """Builds a page's tree."""
 
     def __init__(self, source: str):
-        self.root: list = ["", "", []]
-        self.stack: list = [self.root]
-        self.names: list[str] = [""]
+        self.root = Node("")
+        self.stack = [self.root]
+        self.names = [""]
+        self.open: dict[str, int] = {}
         self.parts: list[str] = []
-        self.linked = self.chars = 0
+        self.linked = self.chars = self.deepest = 0
         self.link = False
-        #: Open containers below MOST_DEEP, which are read as part of the one around them.
-        self.flat: Counter = Counter()
+        self.block = TEXT
         self._read(source)
 
     def _end_block(self) -> None:
+        if self.chars:
+            node = Node(self.block)
+            node.parts, node.links, node.chars = self.parts, self.linked, self.chars
+            self.stack[-1].kids.append(node)
         if self.parts:
-            if self.chars:
-                self.stack[-1][2].append([TEXT, "", (self.parts, self.linked, self.chars)])
             self.parts, self.linked, self.chars = [], 0, 0
 
     def _text(self, piece: str) -> None:
@@ -100,63 +214,63 @@ class _Page:
             self.linked += n
 
     def _read(self, source: str) -> None:
-        at, in_head = 0, False
-        for m in _TOKEN.finditer(source):
-            if m.start() > at and not in_head:
-                self._text(source[at : m.start()])
-            at = m.end()
-            tag = m["tag"] or m["bad"]
-            if tag is None:
+        in_head = False
+        for kind, name, attrs in _tokens(source):
+            if kind == "text":
+                if not in_head:
+                    self._text(name)
                 continue
-            tag, close = tag.lower(), m["close"] or m["badclose"]
-            if tag == "head":
+            close = kind == "close"
+            if name == "head":
                 in_head = not close
-            elif tag == "body" and not close:
+            elif name == "body" and not close:
                 in_head = False
-            if in_head:
+            if in_head or name in UNREAD:
                 continue
-            if tag in INLINE:
-                if tag == "a":
+            if name in INLINE:
+                if name == "a":
                     self.link = not close
-            elif tag == "br" or tag == "wbr":
-                self.parts.append("\n" if tag == "br" else "")
-            elif tag in VOID:
-                if tag == "hr":
+            elif name == "br" or name == "wbr":
+                self.parts.append("\n" if name == "br" else "")
+            elif name in VOID:
+                if name == "hr":
                     self._end_block()
             else:
                 self._end_block()
                 self.link = False
+                self.block = HEADING if name in HEADINGS and not close else TEXT
                 if close:
-                    self._pop(tag)
+                    self._pop(name)
                     continue
                 # what a new block of text closes by its start: only marked blocks of text are on the stack
                 last = self.names[-1]
-                if last not in CONTAINERS and last not in LISTS and (tag == last or last in PARAGRAPHS):
+                if last not in CONTAINERS and (name == last or last in PARAGRAPHS):
                     self._pop(last)
-                key = _key(tag, m["attrs"] or "")
-                if tag in CONTAINERS or _is_boilerplate(key, True):
-                    if len(self.stack) > MOST_DEEP:
-                        self.flat[tag] += 1
-                        continue
-                    node = [key, "", []]
-                    self.stack[-1][2].append(node)
+                key = _key(name, attrs)
+                if name in CONTAINERS or _marks(key)[1]:
+                    node = Node(key)
+                    self.stack[-1].kids.append(node)
                     self.stack.append(node)
-                    self.names.append(tag)
-        if at < len(source) and not in_head:
-            self._text(source[at:])
+                    self.names.append(name)
+                    self.open[name] = self.open.get(name, 0) + 1
+                    self.deepest = max(self.deepest, len(self.stack))
         self._end_block()
 
     def _pop(self, tag: str) -> None:
-        if self.flat[tag]:
-            self.flat[tag] -= 1
-        elif tag in self.names:
-            k = len(self.names) - 1 - self.names[::-1].index(tag)
-            del self.stack[k:], self.names[k:]
+        if self.open.get(tag):
+            while True:
+                self.stack.pop()
+                name = self.names.pop()
+                self.open[name] -= 1
+                if name == tag:
+                    return
 
 
-def read_page(source: str) -> list:
+def read_page(source: str) -> list[Node]:
     """The nodes of a page; texts are unread pieces."""
-    return _Page(source).root[2]
+    page = _Reader(source)
+    _allow(page.deepest)
+    return page.root.kids
 
 
 def _join(parts: list[str]) -> str:
@@ -165,241 +279,554 @@ def _join(parts: list[str]) -> str:
     return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
-# -- wrappers ---------------------------------------------------------------------
+def _write(nodes: list[Node]) -> str:
+    """Nodes as text: a line for each, with its level, flags, count and key."""
+    lines, left = [], [(0, n) for n in reversed(nodes)]
+    while left:
+        depth, node = left.pop()
+        lines.append(f"{depth}\t{node.flags}\t{node.n}\t{node.key}")
+        left.extend((depth + 1, k) for k in reversed(node.kids))
+    return "\n".join(lines)
+
+
+def _parse(text: str) -> list[Node]:
+    """Nodes from what ``_write`` gives."""
+    root = Node("")
+    path, deepest = [root], 0
+    for line in text.split("\n") if text else []:
+        depth, flags, n, key = line.split("\t")
+        node = Node(key, flags, n=int(n))
+        del path[int(depth) + 1 :]
+        path[-1].kids.append(node)
+        path.append(node)
+        deepest = max(deepest, len(path))
+    _allow(deepest)
+    return root.kids
+
+
+# -- wrappers -----------------------------------------------------------------------
+
+
+def _alike(a: Node, b: Node) -> bool:
+    """Whether two neighbours of one key are of one kind: half of their children's keys agree."""
+    if a.is_text:
+        return True
+    x, y = a.shape(), b.shape()
+    return 2 * len(x & y) >= len(x | y)
 
 
-def _merge(a: list, b: list) -> list:
-    """Two nodes of one key as one."""
-    flags = "".join(f for f in "?+" if f in a[1] or f in b[1])
-    return [a[0], flags, align(a[2], b[2]) if a[0] != TEXT else []]
+def _flags(*flags: str) -> str:
+    return "".join(f for f in "?+" if any(f in x for x in flags))
 
 
-def _again(node: list, other: list) -> list:
-    merged = _merge(node, other)
-    return [merged[0], "".join(f for f in "?+" if f == "+" or f in merged[1]), merged[2]]
+def fold(nodes: list[Node]) -> list[Node]:
+    """Neighbours of one kind, and neighbouring groups of any length whose kinds recur, as repeated groups.
+
+    The stack of nodes seen so far has hashes of its prefixes, so two groups are
+    compared in one step; the group that may recur is known from the last place
+    of its last key.
+    """
+    out: list[Node] = []
+    prefix, power, before = [0], [1], []
+    last: dict[str, int] = {}
+    mod, base = (1 << 61) - 1, 1_000_003
 
+    def hashed(a: int, b: int) -> int:
+        return (prefix[b] - prefix[a] * power[b - a]) % mod
 
-def fold(nodes: list) -> list:
-    """Neighbours of one key, and neighbouring pairs or triples of keys that recur, as repeated groups."""
-    out: list = []
     for node in nodes:
-        out.append(node if node[0] == TEXT else [node[0], node[1], fold(node[2])])
-        folded = True
-        while folded:
-            folded = False
-            for g in (1, 2, 3):
-                if len(out) >= 2 * g and [n[0] for n in out[-g:]] == [n[0] for n in out[-2 * g : -g]]:
-                    out[-2 * g :] = [_again(x, y) for x, y in zip(out[-2 * g : -g], out[-g:], strict=True)]
-                    folded = True
-                    break
-    return [n if n[0] != TEXT else [TEXT, n[1], []] for n in out]
-
-
-def _optional(node: list) -> list:
-    return [node[0], "?" + node[1].replace("?", ""), node[2]]
-
-
-def align(wrapper: list, page: list) -> list:
-    """The wrapper that covers both: longest common sequence of keys; what one side lacks is optional."""
-    n, m = len(wrapper), len(page)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if wrapper[i][0] == page[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and wrapper[i][0] == page[j][0]:
-            out.append(_merge(wrapper[i], page[j]))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(_optional(wrapper[i]))
-            i += 1
-        else:
-            out.append(_optional(page[j]))
-            j += 1
-    return fold(out)
+        folded = Node(node.key, node.flags, [] if node.is_text else fold(node.kids), node.n)
+        folded.chars, folded.links = node.chars, node.links
+        out.append(folded)
+        prefix.append((prefix[-1] * base + hash_of(node.key)) % mod)
+        if len(power) < len(prefix):
+            power.append(power[-1] * base % mod)
+        before.append(last.get(node.key, -1))
+        last[node.key] = len(out) - 1
+        while True:
+            n = len(out)
+            g = n - 1 - before[-1]
+            if before[-1] < 0 or 2 * g > n or hashed(n - g, n) != hashed(n - 2 * g, n - g) or not all(_alike(x, y) for x, y in zip(out[n - 2 * g : n - g], out[n - g :], strict=True)):
+                break
+            for k in range(n - 1, n - g - 1, -1):
+                last[out[k].key] = before[k]
+            for k in range(n - 2 * g, n - g):
+                x, y = out[k], out[k + g]
+                out[k] = Node(x.key, _flags("+", "?" if "?" in x.flags and "?" in y.flags else ""), align(x.kids, y.kids, same_page=True), max(x.n, y.n))
+            del out[n - g :], prefix[n - g + 1 :], before[n - g :]
+    return out
 
 
-def _is_boilerplate(key: str, inside_article: bool) -> bool:
-    tag, _, names = key.partition(".")
-    if tag in ("html", "body"):
-        return False
-    if tag in NOT_ARTICLE or (tag == "header" and not inside_article):
-        return True
-    words = set(_WORDS.findall(names))
-    if inside_article and tag == "header":
-        words -= {"header"}
-    return bool(words & NEVER_MARKS) or bool(words & MARKS) and not (tag in ARTICLE or words & ARTICLE_MARKS)
+@lru_cache(maxsize=65536)
+def hash_of(key: str) -> int:
+    return xxhash.xxh64_intdigest(key) >> 4
+
+
+def _matches(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of places, ascending on both sides, of equal values: those that are unique on both sides first, then first fits between."""
+    once = lambda xs: {x: k for k, x in reversed(list(enumerate(xs)))}
+    in_a, in_b = once(a), once(b)
+    count_a, count_b = {}, {}
+    for counts, xs in ((count_a, a), (count_b, b)):
+        for x in xs:
+            counts[x] = counts.get(x, 0) + 1
+    unique = [(in_a[x], in_b[x]) for x in in_a if count_a[x] == 1 and count_b.get(x) == 1]
+    unique.sort()
+    # the longest ascending run of the unique ones
+    tails: list[int] = []
+    back: list[int] = []
+    ends: list[int] = []
+    for k, (_, j) in enumerate(unique):
+        at = bisect_left(tails, j)
+        back.append(ends[at - 1] if at else -1)
+        if at == len(tails):
+            tails.append(j)
+            ends.append(k)
+        else:
+            tails[at], ends[at] = j, k
+    anchors, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        anchors.append(unique[k])
+        k = back[k]
+    anchors.reverse()
+    places: dict = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    found, i, j = [], 0, 0
+    for to_i, to_j in [*anchors, (len(a), len(b))]:
+        while i < to_i and j < to_j:
+            at = places.get(a[i], ())
+            k = bisect_left(at, j)
+            if k < len(at) and at[k] < to_j:
+                found.append((i, at[k]))
+                j = at[k] + 1
+            i += 1
+        if to_i < len(a):
+            found.append((to_i, to_j))
+        i, j = to_i + 1, to_j + 1
+    return found
 
 
-def _is_article(key: str) -> bool:
-    tag, _, names = key.partition(".")
-    words = set(_WORDS.findall(names))
-    return (tag in ARTICLE or bool(words & ARTICLE_MARKS)) and not words & NEVER_MARKS
+def align(wrapper: list[Node], page: list[Node], same_page: bool = False) -> list[Node]:
+    """The wrapper that covers both: nodes of equal key and children are matched first, then nodes of equal key between; what one side lacks is optional.
+
+    Near-linear in the number of nodes. With ``same_page`` both sides are
+    repetitions on one page, whose counts of pages don't add up.
+    """
+    kinds_a, kinds_b = ([(n.key, n.shape()) for n in side] for side in (wrapper, page))
+    sure = _matches(kinds_a, kinds_b)
+    pairs: dict[int, int] = {}
+    i = j = 0
+    for to_i, to_j in [*sure, (len(wrapper), len(page))]:
+        for x, y in _matches([n.key for n in wrapper[i:to_i]], [n.key for n in page[j:to_j]]):
+            pairs[i + x] = j + y
+        if to_i < len(wrapper):
+            pairs[to_i] = to_j
+        i, j = to_i + 1, to_j + 1
+    out: list[Node] = []
+    j = 0
+    for i, a in enumerate(wrapper):
+        if i in pairs:
+            out.extend(_optional(b) for b in page[j : pairs[i]])
+            b = page[pairs[i]]
+            out.append(Node(a.key, _flags(a.flags, b.flags), [] if a.is_text else align(a.kids, b.kids, same_page), max(a.n, b.n) if same_page else a.n + b.n))
+            j = pairs[i] + 1
+        else:
+            out.append(_optional(a))
+    out.extend(_optional(b) for b in page[j:])
+    return fold(out)
 
 
-def _holds_article(node: list) -> bool:
-    return node[0] != TEXT and (_is_article(node[0]) or any(map(_holds_article, node[2])))
+def _optional(node: Node) -> Node:
+    return Node(node.key, _flags("?", node.flags), node.kids, node.n)
+
+
+def _supported(nodes: list[Node], least: float) -> list[Node]:
+    """The nodes that enough pages have."""
+    return [Node(n.key, n.flags, _supported(n.kids, least), n.n) for n in nodes if n.n >= least]
+
+
+class Plan:
+    """A host's wrapper with what is known of its nodes: characters in all, in links, and of the template; and the template's texts."""
+
+    def __init__(self, nodes: list[Node], sums: np.ndarray | None = None, template: frozenset[int] = frozenset()):
+        self.root = Node("", kids=nodes)
+        self.nodes: list[Node] = []
+        left = list(reversed(nodes))
+        while left:
+            node = left.pop()
+            node.at = len(self.nodes)
+            self.nodes.append(node)
+            left.extend(reversed(node.kids))
+        self.sums = np.zeros((len(self.nodes), 3)) if sums is None else sums
+        self.template = template
+        self.known: dict[int, dict[str, list[tuple[frozenset, list[int]]]]] = {}
+
+    def _index(self, parent: Node) -> dict[str, list[tuple[frozenset, list[int]]]]:
+        """Of a node's children: for each key the shapes there are, and the places of each."""
+        found = self.known.get(parent.at)
+        if found is None:
+            shapes: dict[str, dict[frozenset, list[int]]] = {}
+            for k, kid in enumerate(parent.kids):
+                shapes.setdefault(kid.key, {}).setdefault(kid.shape(), []).append(k)
+            found = self.known[parent.at] = {key: list(x.items()) for key, x in shapes.items()}
+        return found
+
+    def place(self, page: list[Node], parent: Node | None = None) -> None:
+        """Align a page's nodes with the wrapper: each gets the number of the wrapper's node that it repeats, or -1."""
+        parent = self.root if parent is None else parent
+        index, now = self._index(parent), 0
+        for node in page:
+            choices = index.get(node.key)
+            if choices is None:
+                self._unplaced(node)
+                continue
+            if len(choices) > 1:
+                shape = node.shape()
+                _, places = max(choices, key=lambda c: (len(c[0] & shape) / max(1, len(c[0] | shape)), c[1][-1] >= now))
+            else:
+                places = choices[0][1]
+            k = bisect_left(places, now)
+            now = places[k] if k < len(places) else places[0]
+            node.at = parent.kids[now].at
+            if not node.is_text:
+                self.place(node.kids, parent.kids[now])
+
+    def _unplaced(self, node: Node) -> None:
+        node.at = -1
+        for kid in node.kids:
+            self._unplaced(kid)
+
+    def worth(self, node: Node) -> float:
+        """What a character of a text weighs: less if its slot holds links or the template's text, as the wrapper has seen it."""
+        chars, links, template = self.sums[node.at] if node.at >= 0 and self.sums[node.at, 0] else (node.chars, node.links, 0)
+        return max(0.02, 1 - links / max(1, chars)) * (0.05 if node.literal else max(0.1, 1 - template / max(1, chars)))
+
+    def is_fixed(self, node: Node) -> bool:
+        """Whether a slot has held hardly anything but the template's text, on a number of pages."""
+        return node.at >= 0 and self.nodes[node.at].n >= FIXED_PAGES and self.sums[node.at, 2] >= 0.95 * self.sums[node.at, 0]
+
+    def share(self, node: Node, whole: Node) -> tuple[float, float]:
+        """A container's share of the characters of ``whole``, and the share of links among its own."""
+        of = lambda n: self.sums[n.at] if n.at >= 0 else (n.chars, n.links, 0)
+        if node.at < 0 or whole.at < 0:
+            return node.chars / max(1, whole.chars), node.links / max(1, node.chars)
+        mine, all_ = of(node), of(whole)
+        return mine[0] / max(1, all_[0]), mine[1] / max(1, mine[0])
+
+
+def hash_text(parts: list[str]) -> int:
+    return xxhash.xxh64_intdigest(_join(parts).encode("utf-8", "replace")) - (1 << 63)
+
+
+def _weigh(nodes: list[Node], plan: Plan, prior: float, inside: bool) -> tuple[float, int, int]:
+    """Weight, characters and characters in links of nodes, and of each by itself."""
+    sums = [0.0, 0, 0]
+    for node in nodes:
+        if node.is_text:
+            node.literal = bool(plan.template) and hash_text(node.parts) in plan.template
+            node.weight = node.chars * plan.worth(node) * prior
+        else:
+            node.weight, node.chars, node.links = _weigh(node.kids, plan, prior * _prior(node.key, inside), inside or _is_article(node.key))
+        sums[0] += node.weight
+        sums[1] += node.chars
+        sums[2] += node.links
+    return sums[0], sums[1], sums[2]
 
 
-def _slots(nodes: list, path: str = "", inside: bool = False, dropped: bool = False) -> Iterator[tuple[str, bool, bool, list]]:
-    """(path, inside an article, under boilerplate, node) of each text of a page or wrapper, in order."""
+def _headed(nodes: list[Node], but: Node, inside: bool) -> bool:
+    """Whether there is a heading beside ``but`` that may be the article's."""
     for node in nodes:
-        if node[0] == TEXT:
-            yield path, inside, dropped, node
+        if node is but:
+            continue
+        if node.key == HEADING:
+            if not node.literal and 2 * node.links < node.chars:
+                return True
+        elif not node.is_text and _marks(node.key)[1] == 0 and _prior(node.key, inside) >= 1 and _headed(node.kids, but, inside):
+            return True
+    return False
+
+
+def _article(root: Node) -> Node:
+    """The innermost container that holds nearly all weight, with its heading."""
+    inside = False
+    while not _is_article(root.key) or root.key.partition(".")[0] != "article":
+        inside = inside or _is_article(root.key)
+        best = max((k for k in root.kids if not k.is_text), key=lambda k: k.weight, default=None)
+        if best is None or best.weight < HOLDS * root.weight or root.weight == 0 or _headed(root.kids, best, inside):
+            return root
+        root = best
+    return root
+
+
+def _goes(node: Node, trailing: bool, plan: Plan, article: Node) -> bool:
+    """Whether a part with a mark, in an article, is none of it; ``trailing`` says that no plain part follows."""
+    tag, mark = _marks(node.key)
+    size, links = plan.share(node, article)
+    points = 2.0 * (tag in NOT_ARTICLE) + mark + (links >= 0.5) + 0.5 * (size < 0.2) - 0.5 * (size > 0.5)
+    if mark:
+        records = any("+" in k.flags and not k.is_text for k in (plan.nodes[node.at].kids if node.at >= 0 else fold(node.kids)))
+        points += 0.5 * trailing + 0.5 * records
+    return points >= ENOUGH
+
+
+def _is_marked(node: Node) -> bool:
+    return not node.is_text and (_marks(node.key)[1] > 0 or _marks(node.key)[0] in NOT_ARTICLE)
+
+
+def _texts(article: Node, plan: Plan) -> Iterator[Node]:
+    """The article's texts, in order."""
+    left = [article]
+    while left:
+        node = left.pop()
+        if node.is_text:
+            yield node
+            continue
+        trailing = True
+        for kid in reversed(node.kids):
+            if not _is_marked(kid) or not _goes(kid, trailing, plan, article):
+                left.append(kid)
+            trailing = trailing and (_is_marked(kid) or not kid.chars)
+
+
+def _read(nodes: list[Node], plan: Plan) -> str:
+    plan.place(nodes)
+    root = Node("", kids=nodes)
+    root.weight, root.chars, root.links = _weigh(nodes, plan, 1.0, False)
+    article = _article(root)
+    found = list(_texts(article, plan))
+    # a named article may quote a passage that many pages share; there a slot has to be the template's on all pages
+    template = [n for n in found if n.literal and (not _is_article(article.key) or plan.is_fixed(n))]
+    # where most of a page is like its host's other pages, these are copies, not a template
+    if 2 * sum(n.chars for n in template) <= sum(n.chars for n in found):
+        gone = set(map(id, template))
+        found = [n for n in found if id(n) not in gone]
+    return "\n".join(t for n in found if (t := _join(n.parts)))
+
+
+def _total(nodes: list[Node], plan: Plan, hashes: Iterator[int] | None, found: np.ndarray) -> tuple[int, int, int]:
+    sums = [0, 0, 0]
+    for node in nodes:
+        if node.is_text:
+            row = (node.chars, node.links, node.chars if hashes is not None and next(hashes) in plan.template else 0)
         else:
-            key = node[0]
-            within = inside or _is_article(key)
-            # a mark on what surrounds the article, as "with-sidebar" on the body, says nothing about the article
-            never = NEVER_MARKS & set(_WORDS.findall(key.partition(".")[2])) and key.partition(".")[0] not in ("html", "body")
-            marked = never or _is_boilerplate(key, within) and not (not inside and _holds_article(node))
-            yield from _slots(node[2], f"{path}>{key}", within, dropped or bool(marked))
+            row = _total(node.kids, plan, hashes, found)
+        if node.at >= 0:
+            found[node.at] += row
+        sums = [x + y for x, y in zip(sums, row, strict=True)]
+    return tuple(sums)
 
 
-def article_slots(wrapper: list, stats: list[dict]) -> dict[str, bool]:
-    """For each slot of a wrapper, by its path, whether it holds article text.
+def _sums(plan: Plan, page: list[Node], hashes: list[int] | None = None) -> np.ndarray:
+    """Characters in all, in links and of the template at each node of the wrapper, of one page that has been placed."""
+    found = np.zeros((len(plan.nodes), 3))
+    _total(page, plan, None if hashes is None else iter(hashes), found)
+    return found
 
-    Slots under menus and the like don't. If the wrapper has an article, only
-    slots inside it do; otherwise those whose text varies from page to page and
-    isn't mostly links.
-    """
-    known = {s["path"]: s for s in stats}
-    slots = list(_slots(wrapper))
-    has_article = any(inside and not dropped for _, inside, dropped, _ in slots)
-    out = {}
-    for path, inside, dropped, _ in slots:
-        s = known.get(path, {"pages": 1, "chars": 1, "links": 0, "constant": False})
-        template = s["constant"] and s["pages"] >= 3
-        varies = not template and s["links"] * 2 < max(1, s["chars"])
-        out[path] = not dropped and (inside if has_article else varies)
-    return out
 
+def _own_plan(nodes: list[Node]) -> Plan:
+    """A page as its own wrapper."""
+    plan = Plan(fold(nodes))
+    plan.place(nodes)
+    plan.sums = _sums(plan, nodes)
+    return plan
 
-@lru_cache(maxsize=1024)
-def _plan(wrapper: str, stats: str) -> tuple[list, dict[str, bool], bool]:
-    nodes = json.loads(wrapper)
-    keep = article_slots(nodes, json.loads(stats))
-    return nodes, keep, any(inside and not dropped for _, inside, dropped, _ in _slots(nodes))
 
+def text_of_page(source: str, plan: Plan | None = None) -> str:
+    """The article's blocks, joined by line ends, as the host's wrapper reads the page.
 
-def text_of_page(source: str, wrapper: str | None, stats: str | None) -> str:
-    """The article's blocks, joined by line ends, as the host's wrapper reads the page; a page without one is its own wrapper."""
+    A page without a wrapper, or in which its wrapper finds nothing, is its own wrapper.
+    """
     nodes = read_page(source)
-    if wrapper is None:
-        wrapper, stats = json.dumps(fold(nodes)), "[]"
-    _, keep, has_article = _plan(wrapper, stats or "[]")
-    slots = list(_slots(nodes))
-    if has_article and not any(keep.get(path) for path, *_ in slots):
-        # the article is an optional part of the wrapper that this page lacks
-        keep = {path: not dropped for path, _, dropped, _ in slots}
-    return "\n".join(text for path, _, _, node in slots if keep.get(path) and (text := _join(node[2][0])))
+    text = _read(nodes, plan) if plan is not None else ""
+    return text or _read(nodes, _own_plan(nodes))
 
 
-# -- Spark ------------------------------------------------------------------------
+# -- Spark --------------------------------------------------------------------------
 
-_SKELETON = T.StructType([T.StructField("host", T.StringType()), T.StructField("pattern", T.StringType()), T.StructField("slots", T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("chars", T.LongType()), T.StructField("links", T.LongType())])))])
+_BLOCK = pa.struct([("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64()), ("first", pa.bool_())])
+_SKELETON = "host string, page binary, tree string, pattern string, blocks array<struct<hash: long, chars: long, links: long, first: boolean>>"
 
 
-def _skeletons(pages: DataFrame, html_col: str) -> DataFrame:
-    """(host, pattern, slots) of each page: its folded stream, and for each slot a hash of its text and its size."""
+def _page_texts(nodes: list[Node]) -> Iterator[Node]:
+    left = list(reversed(nodes))
+    while left:
+        node = left.pop()
+        if node.is_text:
+            yield node
+        left.extend(reversed(node.kids))
+
+
+def _skeletons(pages: DataFrame) -> DataFrame:
+    """(host, page, tree, pattern, blocks): each page's nodes as they are and folded, and of each text a hash, its size, and whether it is the page's first such text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 some = batch.slice(k, 500)
-                patterns, slots = [], []
+                keys, trees, patterns, blocks = [], [], [], []
                 for source in some.column("html"):
                     nodes = read_page(source.as_py() or "")
-                    found: dict[str, list] = {}
-                    for path, _, _, node in _slots(nodes):
-                        parts, linked, chars = node[2]
-                        s = found.setdefault(path, [xxhash.xxh64(), 0, 0])
-                        for p in parts:
-                            s[0].update(p.encode("utf-8", "replace"))
-                        s[1] += chars
-                        s[2] += linked
-                    patterns.append(json.dumps(fold(nodes), separators=(",", ":")))
-                    slots.append([{"path": p, "hash": h.intdigest() - (1 << 63), "chars": c, "links": n} for p, (h, c, n) in found.items()])
-                yield pa.RecordBatch.from_arrays([some.column("host"), pa.array(patterns, pa.string()), pa.array(slots, pa.list_(pa.struct([("path", pa.string()), ("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())])))], names=["host", "pattern", "slots"])
+                    seen: set[int] = set()
+                    found = []
+                    for node in _page_texts(nodes):
+                        h = hash_text(node.parts)
+                        found.append({"hash": h, "chars": node.chars, "links": node.links, "first": h not in seen})
+                        seen.add(h)
+                    trees.append(_write(nodes))
+                    patterns.append(_write(fold(nodes)))
+                    keys.append(xxhash.xxh3_128_digest(trees[-1] + ",".join(str(b["hash"]) for b in found)))
+                    blocks.append(found)
+                yield pa.RecordBatch.from_arrays([some.column("host"), pa.array(keys, pa.binary()), pa.array(trees, pa.string()), pa.array(patterns, pa.string()), pa.array(blocks, pa.list_(_BLOCK))], names=["host", "page", "tree", "pattern", "blocks"])
             batch = some = None
             give_back()
 
-    return pages.select("host", F.col(html_col).alias("html")).mapInArrow(run, _SKELETON)
+    return pages.mapInArrow(run, _SKELETON)
 
 
-def _aligned(patterns: DataFrame, *keys: str) -> DataFrame:
-    """(keys, wrapper): for each key the patterns aligned one after the other, in the order of rows."""
+def _aligned(parts: DataFrame) -> DataFrame:
+    """(host, part, wrapper): the wrappers of each (host, part) aligned one after the other, those of most pages first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, wrapper = None, None
+        key: tuple | None = None
+        nodes: list[Node] = []
+        pages = 0
         done: list[tuple] = []
+
+        def emit() -> pa.RecordBatch:
+            rows, done[:] = list(done), []
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["host", "part", "n", "wrapper"])
+
+        def close() -> None:
+            if key is not None:
+                done.append((*key, pages, _write(_supported(nodes, pages / SUPPORT))))
+
         for batch in batches:
-            for *k, pattern in zip(*(batch.column(c).to_pylist() for c in (*keys, "pattern")), strict=True):
-                nodes = json.loads(pattern)
-                if k == key:
-                    wrapper = align(wrapper, nodes)
+            for host, part, n, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "n", "wrapper")), strict=True):
+                if (host, part) == key:
+                    nodes, pages = align(nodes, _parse(wrapper)), pages + n
                     continue
-                if key is not None:
-                    done.append((*key, json.dumps(wrapper, separators=(",", ":"))))
-                key, wrapper = k, nodes
-            if len(done) > 1000:
-                yield emit(done)
-                done = []
-        if key is not None:
-            done.append((*key, json.dumps(wrapper, separators=(",", ":"))))
-        yield emit(done)
+                close()
+                key, nodes, pages = (host, part), _parse(wrapper), n
+                if len(done) > 1000:
+                    yield emit()
+        close()
+        yield emit()
+
+    dealt = parts.repartition("host", "part").sortWithinPartitions("host", "part", F.desc("n"), "wrapper")
+    return dealt.select("host", "part", "n", "wrapper").mapInArrow(run, "host string, part long, n long, wrapper string")
 
-    schema = T.StructType([*(patterns.schema[k] for k in keys), T.StructField("wrapper", T.StringType())])
-    types = [pa.string() if isinstance(patterns.schema[k].dataType, T.StringType) else pa.int32() for k in keys]
 
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([*types, pa.string()])], names=[*keys, "wrapper"])
+def _counted(patterns: DataFrame) -> DataFrame:
+    """Patterns (host, wrapper, n) whose nodes carry the number of pages."""
 
-    return patterns.repartition(*keys).sortWithinPartitions(*keys, F.desc("n"), "pattern").mapInArrow(run, schema)
+    @F.arrow_udf(T.StringType())
+    def times(wrappers: pa.Array, counts: pa.Array) -> pa.Array:
+        out = []
+        for text, n in zip(wrappers.to_pylist(), counts.to_pylist(), strict=True):
+            rows = (line.split("\t") for line in text.split("\n")) if text else ()
+            out.append("\n".join(f"{depth}\t{flags}\t{n}\t{key}" for depth, flags, _, key in rows))
+        return pa.array(out, pa.string())
 
+    return patterns.select("host", times(F.col("wrapper"), F.col("n")).alias("wrapper"), "n")
 
-def infer_wrappers(pages: DataFrame, html_col: str = "html", salts: int = 16) -> DataFrame:
-    """(host, wrapper, stats) from pages with a ``host``.
 
-    Equal patterns of a host are counted before they move, so a host with very
-    many pages sends few rows; its patterns are aligned in ``salts`` parts, and
-    then the parts' wrappers. ``stats`` has the slots' sizes, and whether their
-    text is the same on all pages.
+def infer_plans(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, sums, template) of the hosts of ``pages`` (host, html): what ``Plan`` takes, one row for each host.
+
+    Copies of a page count once. A host's equal patterns are counted before
+    they are aligned, FAN at a time, in as many levels of merges as the host
+    with the most patterns needs. Wrappers keep what one page in SUPPORT has, so
+    their size depends on the pages' size, not on their number.
     """
-    skeletons = saved(_skeletons(pages, html_col), "skeletons")
-    patterns = skeletons.groupBy("host", "pattern").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64("pattern"), F.lit(salts)).cast("int"))
-    parts = _aligned(patterns, "host", "salt").select("host", F.col("wrapper").alias("pattern"), (-F.col("salt")).alias("n"))
-    wrappers = _aligned(parts, "host")
-    slots = skeletons.select("host", F.inline("slots")).groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), (F.min("hash") == F.max("hash")).alias("constant"))
-    stats = slots.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(F.struct("path", "pages", "chars", "links", "constant")))).alias("stats"))
-    return wrappers.join(stats, "host", "left")
+    skeletons = saved(_skeletons(pages).dropDuplicates(["host", "page"]), "skeletons")
+    patterns = saved(skeletons.groupBy("host", F.col("pattern").alias("wrapper")).agg(F.count("*").alias("n")), "patterns")
+    hosts = patterns.groupBy("host").agg(F.count("*").alias("patterns"), F.sum("n").alias("pages"))
+    part = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("patterns") / FAN))
+    parts = _counted(patterns).join(saved(hosts, "hosts"), "host").select("host", part.alias("part"), "n", "wrapper")
+    while True:
+        parts = saved(_aligned(parts), "wrappers")
+        if not (parts.agg(F.max("part")).first()[0] or 0):
+            break
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("long"))
+
+    texts = skeletons.select("host", F.inline("blocks")).where("first").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counts = skeletons.where(F.size("blocks") > 0).groupBy("host").agg(F.count("*").alias("pages"))
+    common = texts.where(F.col("n") >= TEMPLATE_PAGES).join(saved(counts, "page-counts"), "host").where(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    template = common.groupBy("host").agg(F.array_sort(F.collect_list("hash")).alias("template"))
+    wrappers = saved(parts.join(saved(template, "templates"), "host", "left").select("host", "wrapper", F.coalesce("template", F.array().cast("array<long>")).alias("template")), "wrappers")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for host, (_, sums) in held.items():
+                at = np.flatnonzero(sums.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(at), pa.string()), pa.array(at), *(pa.array(sums[at, k].astype(np.int64)) for k in range(3))], names=["host", "at", "chars", "links", "template"])
+            held.clear()
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                host, tree, blocks, wrapper, template = (batch.column(c)[k] for c in ("host", "tree", "blocks", "wrapper", "template"))
+                host = host.as_py()
+                if host not in held:
+                    if sum(len(p.nodes) for p, _ in held.values()) > 500_000:
+                        yield from emit()
+                    plan = Plan(_parse(wrapper.as_py()), template=frozenset(template.as_py()))
+                    held[host] = [plan, np.zeros((len(plan.nodes), 3))]
+                plan, sums = held[host]
+                nodes, blocks = _parse(tree.as_py()), blocks.as_py()
+                for node, block in zip(_page_texts(nodes), blocks, strict=True):
+                    node.chars, node.links = block["chars"], block["links"]
+                plan.place(nodes)
+                sums += _sums(plan, nodes, [b["hash"] for b in blocks])
+            batch = None
+            give_back()
+        yield from emit()
+
+    seen = skeletons.select("host", "tree", "blocks").join(wrappers, "host").select("host", "tree", "blocks", "wrapper", "template").mapInArrow(run, "host string, at long, chars long, links long, template long")
+    sums = seen.groupBy("host", "at").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("template").alias("template"))
+    listed = sums.groupBy("host").agg(F.collect_list(F.struct("at", "chars", "links", "template")).alias("sums"))
+    return wrappers.join(saved(listed, "sums"), "host", "left")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", output: str = "text") -> DataFrame:
     """``pages`` without their html, and with the main text in ``output``.
 
     Null, empty and text-free pages give an empty text. Pages without a host in
-    their URL share a wrapper. Whole pages are read, whatever their length or
-    faults: unclosed elements and comments end with the page. Repeated rows
-    give repeated results; an empty table stays empty. A column named
-    ``output`` is replaced, other columns are kept.
+    their URL share a wrapper. Whole pages are read, whatever their length,
+    depth or faults: unclosed elements and comments end with the page. Repeated
+    rows give repeated results and count once in the wrapper; an empty table
+    stays empty. A column named ``output`` is replaced, other columns are kept.
     """
     keep = [c for c in pages.columns if c not in (html_col, output)]
     hosted = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    wrappers = saved(infer_wrappers(hosted), "wrappers")
+    plans = saved(infer_plans(hosted), "plans")
     # joined as the planner sees fit: broadcast below its threshold, else dealt by host, hot hosts split
-    source, host, wrapper, stats = (free(pages, c) for c in ("_html", "_host", "_wrapper", "_stats"))
-    known = wrappers.select(F.col("host").alias(host), F.col("wrapper").alias(wrapper), F.col("stats").alias(stats))
-    rows = pages.select(*keep, F.col(html_col).alias(source), host_of(F.col(url_col)).alias(host)).join(known, host, "left").select(*keep, source, wrapper, stats)
+    source, host, wrapper, sums, template = (free(pages, c) for c in ("_html", "_host", "_wrapper", "_sums", "_template"))
+    known = plans.select(F.col("host").alias(host), F.col("wrapper").alias(wrapper), F.col("sums").alias(sums), F.col("template").alias(template))
+    rows = pages.select(*keep, F.col(html_col).alias(source), host_of(F.col(url_col)).alias(host)).join(known, host, "left").select(*keep, source, host, wrapper, sums, template)
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(output, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans: dict[str, Plan] = {}
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 some = batch.slice(k, 500)
-                texts = [text_of_page(page.as_py() or "", w, s) for page, w, s in zip(some.column(source), some.column(wrapper).to_pylist(), some.column(stats).to_pylist(), strict=True)]
+                texts = []
+                for at, page in enumerate(some.column(source)):
+                    name = some.column(host)[at].as_py()
+                    plan = plans.get(name)
+                    if plan is None and some.column(wrapper)[at].is_valid:
+                        plan = Plan(_parse(some.column(wrapper)[at].as_py()), template=frozenset(some.column(template)[at].as_py() or ()))
+                        for s in some.column(sums)[at].as_py() or ():
+                            plan.sums[s["at"]] = s["chars"], s["links"], s["template"]
+                        if sum(len(p.nodes) for p in plans.values()) > 500_000:
+                            plans.clear()
+                        plans[name] = plan
+                    texts.append(text_of_page(page.as_py() or "", plan))
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, output])
-            batch = some = None
+            batch = some = page = None
             give_back()
 
     return rows.mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 import html
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -266,23 +267,92 @@ PAGE = """<!doctype html><html><head><title>T</title></head><body class="with-si
 
 
 def test_page_without_a_host_is_its_own_wrapper():
-    assert X.text_of_page(PAGE, None, None) == "Title & more\nOne two three\nFour\ni1\ni2"
+    assert X.text_of_page(PAGE) == "Title & more\nOne two three\nFour\ni1\ni2"
 
 
-@pytest.mark.parametrize(("source", "want"), [("", ""), ("<!-- open", ""), ("just text &lt;", "just text <"), ("<p>a<p>b</b></i></div>c", "a\nb\nc"), ("<script>if (a<b) {}</script>x", "x"), ("<p title='1>2'>q</p>", "q"), ("<div><div><div>" * 2000 + "deep", "deep"), ("<div>" * 3000 + "a" + "</div>" * 3000 + "<footer>f</footer>", "a"), ("<article><p>a</p></article><section class=comments><article><p>b</p></article></section>", "a"), ("<div class=has-sidebar><article>a<article class=comment>b</article></article><aside>c</aside></div>", "a")])
+NAMED = '<article><h1>T</h1><div class="related-work"><p>Prior results matter.</p></div><div class="legal-analysis"><p>The court held.</p></div><p>End.</p></article>'
+
+
+@pytest.mark.parametrize(("source", "want"), [("", ""), ("<!-- open", ""), ("just text &lt;", "just text <"), ("<p>a<p>b</b></i></div>c", "a\nb\nc"), ("<script>if (a<b) {}</script>x", "x"), ("<p title='1>2'>q</p>", "q"), ("<div><div><div>" * 2000 + "deep", "deep"), ("<div>" * 3000 + "a" + "</div>" * 3000 + "<footer>f</footer>", "a"), ("<article><p>a</p></article><section class=comments><article><p>b</p></article></section>", "a"), ("<div class=has-sidebar><article>a<article class=comment>b</article></article><aside>c</aside></div>", "a"), (NAMED, "T\nPrior results matter.\nThe court held.\nEnd."), ("1 < 2 <b>and</b> 3 > 2", "1 < 2 and 3 > 2")])
 def test_faulty_pages(source, want):
-    assert X.text_of_page(source, None, None) == want
+    assert X.text_of_page(source) == want
 
 
 def keys(nodes):
-    return [(n[0], n[1], keys(n[2])) for n in nodes]
+    return [(n.key, n.flags, keys(n.kids)) for n in nodes]
 
 
 def test_alignment_generalises():
     a, b = (X.fold(X.read_page(s)) for s in ("<nav>x</nav><div class=c>1</div><div class=c>2</div>", "<div class=c>1</div><footer>y</footer>"))
     assert keys(X.align(a, b)) == [("nav", "?", [("#", "", [])]), ("div.c", "+", [("#", "", [])]), ("footer", "?", [("#", "", [])])]
-    repeated = X.fold(X.read_page("<section>a</section><table>b</table>" * 4))
-    assert keys(repeated) == [("section", "+", [("#", "", [])]), ("table", "+", [("#", "", [])])]
+    for kinds in (["section", "table"], ["section", "table", "ul", "ol", "nav", "dl"]):
+        repeated = X.fold(X.read_page("".join(f"<{k}>a</{k}>" for k in kinds) * 4))
+        assert keys(repeated) == [(k, "+", [("#", "", [])]) for k in kinds]
+
+
+def test_wide_deep_and_malformed_pages_take_linear_time():
+    random = np.random.default_rng(4)
+    wide = lambda n: "".join(f"<div class={x}><p>t{k}</p></div>" for k, x in enumerate(random.choice(list("abcdefgh"), n)))
+    seconds = []
+    for n in (5_000, 40_000):
+        began = time.perf_counter()
+        a, b = (X.fold(X.read_page(wide(n))) for _ in "ab")
+        X.align(a, b)
+        for bad in ("<a title='x>", '<div class="a ', "<p 'a\" >", "<!--", "<script>", "<svg><b>"):
+            X.text_of_page(bad * n)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 20 * seconds[0]
+    deep = "<div>" * 20_000
+    assert X.text_of_page(f"<nav>menu</nav>{deep}<p>far down</p>") == "far down"
+    # levels are told apart at any depth
+    assert X.text_of_page(f"{deep}<article>far down</article><footer>below</footer>") == "far down"
+
+
+def bare_pages(kind):
+    """Pages without class names or telling elements: menu, article, notice, in one of two orders of blocks."""
+    random = np.random.default_rng(6)
+    words = lambda n: " ".join(f"w{x}" for x in random.integers(0, 10**6, n))
+    rows = []
+    for k in range(12):
+        head, story = words(4), [words(int(random.integers(5, 20))) for _ in range(1 + k % 3)]
+        menu, notice = f"<{kind}>Start of the site and its many pages</{kind}>", f"<{kind}>All rights are with us and nobody else</{kind}>"
+        body = f"<{kind}><h2>{head}</h2>" + "".join(f"<p>{p}</p>" for p in story) + f"</{kind}>"
+        rows.append((k, f"http://{kind}.org/{k}", f"<body>{menu if k % 4 else ''}{body}{notice}</body>", "\n".join([head, *story])))
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["div", "section", "td"])
+def test_hosts_without_names_are_read_by_their_wrapper(spark, kind):
+    rows = bare_pages(kind)
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in X.extract(pages).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+    # by themselves the pages can't tell the notice from the article
+    alone = pages.withColumn("url", F.concat(F.lit("http://"), "page_id", F.lit(".net/")))
+    assert sum(r["text"] != got[r["page_id"]] for r in X.extract(alone).collect()) > (6 if kind == "td" else 0)
+
+
+def test_wrapper_knows_links_and_comments_that_a_page_does_not_show(spark):
+    rows = []
+    for k in range(9):
+        links = "".join(f"<a>see story {k} {j}</a> " for j in range(6)) if k else "see story zero"
+        comments = "".join(f"<div><p>reader {j} of {k} says that</p></div>" for j in range(k % 4 + 1)) + "<div><p>said.</p></div>"
+        rows.append((k, "http://x.org/", f"<div><p>{links}</p></div><div><h1>Head {k}</h1><p>{'prose ' * 40}{k}</p><div class=comments>{comments}</div></div>"))
+    got = {r["page_id"]: r["text"] for r in X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Head {k}\n{'prose ' * 40}{k}" for k in range(9)}
+
+
+def test_hosts_of_many_patterns_are_merged_as_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(X, "FAN", 2)
+    random = np.random.default_rng(2)
+    rows = []
+    for k in range(60):
+        extra = "".join(f"<{random.choice(['ul', 'table', 'center', 'details'])}>box {k} {j}</{'ul'}>" for j in range(int(random.integers(0, 5))))
+        rows.append((k, "http://many.org/", f"<div>Same old menu on every page</div><main><p>Tale {k} of many words</p></main>{extra}<div>Same old notice</div>"))
+    # copies of a page don't make its text a template
+    rows += [(100 + k, "http://copies.org/", "<div><p>One page, many times</p></div>") for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in X.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert all(got[k] == (f"Tale {k} of many words" if k < 100 else "One page, many times") for k in got)
 
 
 def test_template_text_goes_where_pages_have_no_article(spark):
