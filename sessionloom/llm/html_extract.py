@@ -335,6 +335,9 @@ def fold(nodes: list[Node]) -> list[Node]:
         return (prefix[b] - prefix[a] * power[b - a]) % mod
 
     for node in nodes:
+        if out and node.is_text and out[-1].key == node.key:
+            out[-1] = Node(node.key, _flags("+", "?" if "?" in node.flags and "?" in out[-1].flags else ""), n=max(node.n, out[-1].n))
+            continue
         folded = Node(node.key, node.flags, [] if node.is_text else fold(node.kids), node.n)
         folded.chars, folded.links = node.chars, node.links
         out.append(folded)
@@ -413,13 +416,16 @@ def align(wrapper: list[Node], page: list[Node], same_page: bool = False) -> lis
     Near-linear in the number of nodes. With ``same_page`` both sides are
     repetitions on one page, whose counts of pages don't add up.
     """
+    if not wrapper or not page:
+        return fold([_optional(n) for n in (*wrapper, *page)])
     kinds_a, kinds_b = ([(n.key, n.shape()) for n in side] for side in (wrapper, page))
-    sure = _matches(kinds_a, kinds_b)
+    sure = [(k, k) for k in range(len(kinds_a))] if kinds_a == kinds_b else _matches(kinds_a, kinds_b)
     pairs: dict[int, int] = {}
     i = j = 0
     for to_i, to_j in [*sure, (len(wrapper), len(page))]:
-        for x, y in _matches([n.key for n in wrapper[i:to_i]], [n.key for n in page[j:to_j]]):
-            pairs[i + x] = j + y
+        if i < to_i and j < to_j:
+            for x, y in _matches([n.key for n in wrapper[i:to_i]], [n.key for n in page[j:to_j]]):
+                pairs[i + x] = j + y
         if to_i < len(wrapper):
             pairs[to_i] = to_j
         i, j = to_i + 1, to_j + 1
