@@ -234,8 +234,10 @@ def sample_fingerprints(text: bytes, words_per_shingle: int) -> list[int | None]
     """SimHash fingerprints of SAMPLES small samples of a text's distinct shingles; None where a sample is empty.
 
     The range of hash values is cut into SAMPLES * SAMPLED bins; a sample is
-    the least value of each of its bins. Texts that share a share s of their
-    shingles have equal samples with probability of about s to the power SAMPLED.
+    the least value of each of its bins. Texts with a share s of all their
+    different shingles in common (two thirds, where Dice's similarity is .8) have
+    a sample equal with probability of about s to the power SAMPLED, so one of
+    SAMPLES is equal with .97 or more.
     """
     parts = list(shingle_hashes(text, words_per_shingle))
     if not parts:
@@ -252,10 +254,10 @@ def sample_fingerprints(text: bytes, words_per_shingle: int) -> list[int | None]
 
 
 def similarity(a: bytes, b: bytes, words_per_shingle: int) -> float:
-    """Jaccard similarity of two texts' sets of shingles; 1 for two texts without words."""
+    """Dice similarity of two texts' sets of shingles, the share of shingles that are in both; 1 for two texts without words."""
     x, y = (np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words_per_shingle)])) for t in (a, b))
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+    return 2 * both / (len(x) + len(y)) if len(x) + len(y) else 1.0
 
 
 def shared_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -316,7 +318,7 @@ def _residue_links(rows: DataFrame, active: DataFrame, made: DataFrame, words_pe
         u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(a) and len(b):
             both = shared_counts([sets[k] for k in a], [sets[k] for k in b])
-            near = both / (sizes[a][:, None] + sizes[b][None, :] - both) >= least
+            near = 2 * both >= least * (sizes[a][:, None] + sizes[b][None, :])
             near &= part[a][:, None] != part[b][None, :]
             x, y = np.nonzero(near)
             u, v = a[x], b[y]
@@ -336,8 +338,9 @@ def _residue_links(rows: DataFrame, active: DataFrame, made: DataFrame, words_pe
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, component_id), one for each row of ``docs`` with an id: components of texts with a similarity of ``least`` or more.
 
-    A whole text's SimHash differs by some ten bits at a similarity of .8,
-    which no trie join can take on many documents. So SimHash fingerprints of
+    The similarity is Dice's, which for texts of about one length is the cosine
+    that a SimHash estimates. A whole text's SimHash differs by some ten bits or
+    more at .8, which no trie join can take on many documents. So SimHash fingerprints of
     small samples of shingles are joined, with no bit to spare, and every link
     is verified on whole texts. Equal texts are one member of a group. In a
     group of equal samples all members are held against its hub: the member
@@ -360,7 +363,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float =
         return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64()))], ["key", "samples"])
 
     @F.arrow_udf(T.DoubleType())
-    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         give_back()
         return pa.array([similarity((x.as_py() or "").encode("utf-8", "replace"), (y.as_py() or "").encode("utf-8", "replace"), words_per_shingle) for x, y in zip(a, b, strict=True)], pa.float64())
 
@@ -386,7 +389,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float =
         if not needed.isEmpty():
             some = saved(rows.where(likely_in(needed, "id", F.col("id"))).join(needed, "id", "left_semi").dropDuplicates(["id"]), "compared")
             both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-            new = saved(both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("j")).where(F.col("j") >= least).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+            new = saved(both.select("a", "b", alike(F.col("x"), F.col("y")).alias("j")).where(F.col("j") >= least).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
             if not new.isEmpty():
                 parts = _grown(parts, new)
         # a hub has met all members outside its component; a group within one component is done
