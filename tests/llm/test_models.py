@@ -2,6 +2,7 @@
 
 import html
 import math
+import os
 import re
 import time
 import zlib
@@ -122,7 +123,7 @@ def test_held_out_toxicity(spark):
             labels.append((k, int(k % 8 == 0)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = T.train(docs.where("doc_id < 600"), spark.createDataFrame([x for x in labels if x[0] < 600], "doc_id long, toxic int"))
-    assert set(model.words) == set(bad)
+    assert {T.feature(w) for w in bad} <= set(model.features)
     got = {r["doc_id"]: r["score"] >= 0.7 for r in T.score(docs, model, keep=["doc_id"]).collect()}
     assert all(got[k] == (k % 8 == 0) for k in range(600, 900))
 
@@ -145,6 +146,37 @@ def test_scores_mean_the_same_at_any_sample_size(spark):
     assert all(abs(math.log(a / (1 - a)) - math.log(b / (1 - b))) < 0.6 for a, b in zip(whole, sampled, strict=True))
 
 
+def test_calibration_follows_the_prior():
+    random = np.random.default_rng(5)
+    toxic = random.random(20_000) < 0.2
+    margin = random.normal(size=20_000) * 0.7 + np.where(toxic, 2.0, -1.0)
+    positive = np.concatenate([np.ones(2_000, bool), np.zeros(20_000, bool)])
+    margins = np.concatenate([random.normal(size=2_000) * 0.7 + 2.0, margin])
+    slope, shift = T._calibrate(margins, positive, 0.2)
+    p = 1 / (1 + np.exp(-(slope * margin + shift)))
+    assert p.mean() == pytest.approx(0.2, abs=0.005)
+    for low in (0.1, 0.5, 0.8):
+        some = (p > low) & (p < low + 0.15)
+        assert toxic[some].mean() == pytest.approx(p[some].mean(), abs=0.13)
+
+
+def test_sparse_rows_are_the_dense_ones():
+    rows = T.Rows(np.array([0, 2, 2, 3]), np.array([1, 3, 0]), np.array([0.5, 2.0, 1.0]), 4)
+    w = np.array([1.0, 2.0, 3.0, 4.0])
+    assert (rows @ w).tolist() == [9.0, 0.0, 1.0]
+    owner, at, value = rows.part(np.array([2, 0]))
+    assert owner.tolist() == [0, 1, 1] and at.tolist() == [0, 1, 3] and value.tolist() == [1.0, 0.5, 2.0]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the larger table")
+def test_held_out_labels_of_a_table(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()}
+    rows = [r for r in Q.op6_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+    truth, predicted = np.array([labels[r["doc_id"]] == 1 for r in rows]), np.array([r["predicted"] == 1 for r in rows])
+    assert predicted[truth].mean() >= 0.9 and predicted[~truth].mean() <= 0.01
+
+
 def test_toxicity_query(spark, sf):
     got = Q.op6_toxicity(spark, sf).collect()
     assert len({r["doc_id"] for r in got}) == len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
