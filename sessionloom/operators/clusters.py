@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["consensus", "diverse_representatives", "linkage_groups", "n_representatives", "propagate", "refine_regions", "review_budget", "silhouettes", "tuned"]
+__all__ = ["consensus", "disjoint_pairs", "diverse_representatives", "linkage_groups", "merge_candidates", "n_representatives", "propagate", "refine_regions", "review_budget", "silhouettes", "tuned"]
 
 
 def n_representatives(size: Column) -> Column:
@@ -63,36 +67,84 @@ def diverse_representatives(vectors: DataFrame, cluster: str, id_col: str = "id"
     sizes = members.groupBy("c").agg(F.count("*").alias("size")).withColumn("wanted", n_representatives(F.col("size")))
     key = F.struct(F.round("distance", 9).alias("d"), F.col("i"))
     chosen = saved(members.groupBy("c").agg(F.min_by(F.struct("i", "v"), key).alias("r")).select("c", F.lit(1).alias("rank"), "r.i", "r.v"), "representatives")
-    out, near = chosen, saved(members.select("c", "i", "v", F.lit(float("inf")).alias("near")), "members")
+    wanted, rows = saved(sizes, "wanted"), saved(members.select("c", "i", "v"), "members")
+    out = chosen
     for rank in range(2, most + 1):
-        last = chosen.select("c", F.col("v").alias("_v"))
-        near = saved(near.join(last, "c").select("c", "i", "v", F.least("near", euclidean(F.col("v"), F.col("_v"))).alias("near")), "members")
-        far = near.join(sizes.where(F.col("wanted") >= rank).select("c"), "c", "left_semi").join(out.select("c", "i"), ["c", "i"], "left_anti")
+        # all chosen so far, of which a cluster has at most ``most``, as one row beside its members
+        picked = out.groupBy("c").agg(F.collect_list("v").alias("_vs"), F.collect_list("i").alias("_is")).join(wanted.where(F.col("wanted") >= rank).select("c"), "c", "left_semi")
+        near = F.array_min(F.transform("_vs", lambda x: euclidean(F.col("v"), x)))
+        far = rows.join(picked, "c").where(~F.array_contains("_is", F.col("i"))).select("c", "i", "v", near.alias("near"))
         chosen = saved(far.groupBy("c").agg(F.max_by(F.struct("i", "v"), F.struct(F.round("near", 9), -F.col("i"))).alias("r")).select("c", F.lit(rank).alias("rank"), "r.i", "r.v"), "representatives")
         out = out.unionAll(chosen)
     return out.select(F.col("c").alias(cluster), F.col("i").alias(id_col), "rank")
 
 
-def silhouettes(vectors: DataFrame, cluster: str, v: str = "v") -> DataFrame:
+def silhouettes(vectors: DataFrame, cluster: str, v: str = "v", id_col: str = "vec_id") -> DataFrame:
     """``vectors`` with each member's ``silhouette`` under squared distances; clusters named -1 are left out.
 
     The mean squared distance to a cluster follows from its size, its centre
-    and the mean of its members' squared lengths, so no pairs of members are made.
+    and the mean of its members' squared lengths, so no pairs of members are
+    made. Members and clusters meet in blocks, each a product of matrices, of
+    which the two least distances of a member leave it. Ids are distinct.
     """
     from sessionloom.functions.numbers import dot
-    from sessionloom.operators.vectors import centroids
+    from sessionloom.operators.vectors import _matrix, block_pairs, centroids
 
     rows = vectors.where(F.col(cluster) != -1)
-    shape = rows.groupBy(cluster).agg(F.count("*").alias("_n"), F.avg(dot(F.col(v), F.col(v))).alias("_q")).join(centroids(rows, cluster, v), cluster).withColumnRenamed(cluster, "_c")
-    # each member meets each cluster's numbers and centre; the planner broadcasts them if they are small enough
-    far = rows.crossJoin(shape).withColumn("_d", F.greatest(F.lit(0.0), dot(F.col(v), F.col(v)) + F.col("_q") - 2 * dot(F.col(v), F.col("centroid"))))
-    own = F.col(cluster) == F.col("_c")
-    keys = [c for c in vectors.columns if c != v]
-    a = F.max(F.when(own & (F.col("_n") > 1), F.col("_d") * F.col("_n") / (F.col("_n") - 1)))
-    b = F.min(F.when(~own, F.col("_d")))
-    found = far.groupBy(*keys).agg(a.alias("_a"), b.alias("_b"))
-    s = F.when(F.col("_a").isNull() | F.col("_b").isNull(), 0.0).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b"))
-    return found.select(*keys, s.alias("silhouette"))
+    shape = rows.groupBy(cluster).agg(F.count("*").alias("_n"), F.avg(dot(F.col(v), F.col(v))).alias("_q")).join(centroids(rows, cluster, v), cluster)
+    # a cluster as a vector: twice its centre, and the mean squared length of its members
+    shapes = shape.select(F.lit(0).alias("g"), F.col(cluster).cast("long").alias("i"), F.concat(F.transform("centroid", lambda x: 2 * x), F.array("_q")).alias("v"))
+    asked = rows.select(F.lit(0).alias("g"), F.col(id_col).cast("long").alias("i"), F.concat(F.col(v), F.array(F.col(cluster).cast("double"))).alias("v"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (qi, qv), (mi, mv) = (_matrix(batch.column(c)[row]) for c in ("q", "m"))
+                own = qv[:, -1].astype(np.int64)[:, None] == mi[None, :]
+                far = (qv[:, :-1] ** 2).sum(axis=1)[:, None] + mv[:, -1][None, :] - qv[:, :-1] @ mv[:, :-1].T
+                inside = np.where(own, far, np.inf).min(axis=1)
+                outside = np.where(own, np.inf, far).min(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(inside), pa.array(outside)], names=["_id", "_a", "_b"])
+
+    met = block_pairs(asked, shapes).mapInArrow(meet, "_id long, _a double, _b double").groupBy("_id").agg(F.greatest(F.lit(0.0), F.min("_a")).alias("_a"), F.greatest(F.lit(0.0), F.min("_b")).alias("_b"))
+    joined = rows.drop(v).join(met, F.col(id_col) == F.col("_id")).join(shape.select(F.col(cluster).alias("_c"), "_n"), F.col(cluster) == F.col("_c"))
+    own = F.col("_a") * F.col("_n") / (F.col("_n") - 1)
+    s = F.when((F.col("_n") < 2) | (F.col("_b") == float("inf")), 0.0).otherwise((F.col("_b") - own) / F.greatest("_b", own))
+    return joined.select(*(c for c in vectors.columns if c != v), s.alias("silhouette"))
+
+
+def merge_candidates(regions: DataFrame, least_cosine: float = 0.85, least_ratio: float = 0.3, least_share: float = 0.7) -> DataFrame:
+    """(a, b, cosine) of regions that may be merged, from (region, label, share, size, centre): one row for each region.
+
+    Both have the same dominant label with a share over ``least_share``, sizes
+    whose ratio is over ``least_ratio``, and centres at ``least_cosine`` or more.
+    """
+    from sessionloom.functions.numbers import cosine
+
+    r = regions.where(F.col("share") > least_share)
+    a, b = (r.select("label", F.col("region").alias(x), F.col("size").alias(f"_n{x}"), F.col("centre").alias(f"_v{x}")) for x in "ab")
+    met = a.join(b, "label").where("a < b").where(F.least("_na", "_nb") / F.greatest("_na", "_nb") > least_ratio)
+    return met.select("a", "b", cosine(F.col("_va"), F.col("_vb")).alias("cosine")).where(F.round("cosine", 9) >= least_cosine)
+
+
+def disjoint_pairs(candidates: DataFrame) -> DataFrame:
+    """(a, b, cosine): of candidate pairs the best first, so that no region stands in two, ties to the smaller regions.
+
+    In each round the pairs that are best for both their regions are taken, and
+    all others of these regions go, which gives what taking one by one would.
+    """
+    from sessionloom.sources.shared import saved
+
+    left, out = saved(candidates, "merge-candidates"), None
+    while not left.isEmpty():
+        best = F.min(F.struct((-F.round("cosine", 9)).alias("s"), "a", "b")).alias("best")
+        ends = left.select(F.explode(F.array("a", "b")).alias("region"), "a", "b", "cosine").groupBy("region").agg(best)
+        mutual = ends.groupBy("best.a", "best.b").count().where("count = 2").select("a", "b")
+        taken = saved(left.join(mutual, ["a", "b"], "left_semi"), "merge-pairs")
+        out = taken if out is None else out.unionAll(taken)
+        used = taken.select(F.explode(F.array("a", "b")).alias("used"))
+        left = saved(left.join(used, F.col("a") == F.col("used"), "left_anti").join(used, F.col("b") == F.col("used"), "left_anti"), "merge-candidates")
+    return candidates if out is None else out
 
 
 def propagate(members: DataFrame, labels: DataFrame, fallback: str = "altro", confidence: float = 0.85, fallback_confidence: float = 0.3) -> DataFrame:
@@ -129,22 +181,26 @@ def refine_regions(members: DataFrame, min_size: int = 5, severe: float = 0.4, r
 
 
 def linkage_groups(names: list[str], similarity, k: int | None = None) -> list[int]:
-    """Group numbers of a vocabulary of labels by average linkage down to ``k`` groups (half of the labels, 1 to 20).
+    """Group numbers of one tenant's labels by average linkage down to ``k`` groups (half of the labels, 1 to 20).
 
-    For a list that fits a parameter, not for rows: the driver holds all pairs.
+    A tenant's labels are a vocabulary that people keep, so a task may hold all their pairs.
     """
     n = len(names)
-    wanted = max(1, min(n // 2, 20)) if k is None else k
-    groups = [[i] for i in range(n)]
-    while len(groups) > max(1, wanted):
-        best = max(((sum(similarity(names[i], names[j]) for i in a for j in b) / (len(a) * len(b)), -x, -y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y))
-        x, y = -best[1], -best[2]
-        groups[x] += groups.pop(y)
-    out = [0] * n
-    for g, members in enumerate(sorted(groups, key=min)):
-        for i in members:
-            out[i] = g
-    return out
+    wanted = max(1, max(1, min(n // 2, 20)) if k is None else k)
+    near = np.full((n, n), -np.inf)
+    for i in range(n):
+        for j in range(i):
+            near[i, j] = near[j, i] = similarity(names[j], names[i])
+    size, member = np.ones(n), np.arange(n)
+    for _ in range(n - wanted):
+        x, y = sorted(np.unravel_index(np.argmax(near), near.shape))
+        # the mean over all pairs, from the means of the two parts
+        merged = (size[x] * near[x] + size[y] * near[y]) / (size[x] + size[y])
+        near[x], near[:, x] = merged, merged
+        near[y], near[:, y], near[x, x] = -np.inf, -np.inf, -np.inf
+        size[x] += size[y]
+        member[member == y] = x
+    return np.unique(member, return_inverse=True)[1].tolist()
 
 
 def tuned(parameters: dict[str, float], outlier_share: float, n_clusters: int) -> dict[str, float]:

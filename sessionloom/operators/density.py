@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.operators.graph import connected_components
-from sessionloom.operators.vectors import _blocks, _matrix, _unit, nearest
+from sessionloom.operators.vectors import _matrix, _unit, block_pairs, nearest
 from sessionloom.sources.shared import saved
 
-__all__ = ["density_clusters"]
+__all__ = ["density_clusters", "recluster_outliers"]
 
 
 def _links_within(rows: DataFrame, cut: float, by: str | None) -> DataFrame:
@@ -32,7 +32,6 @@ def _links_within(rows: DataFrame, cut: float, by: str | None) -> DataFrame:
     """
     group = F.col(by) if by else F.lit(0)
     of = rows.select(group.alias("g"), F.col("id").alias("i"), "v")
-    q, m = _blocks(of, "q"), _blocks(of, "m")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,7 +53,7 @@ def _links_within(rows: DataFrame, cut: float, by: str | None) -> DataFrame:
                             v.append(found)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (u, v)], names=["u", "v"])
 
-    return q.join(m, "g").select("q", "m").mapInArrow(join, "u long, v long").where("u != v")
+    return block_pairs(of, of).mapInArrow(join, "u long, v long").where("u != v")
 
 
 def density_clusters(vectors: DataFrame, min_cluster_size: int = 5, min_samples: int = 3, cut: float | None = None, quantile: float = 0.8, neighbours: int = 10, by: str | None = None) -> DataFrame:
@@ -73,7 +72,8 @@ def density_clusters(vectors: DataFrame, min_cluster_size: int = 5, min_samples:
     near = saved(found.select("query_id", "id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity"))).alias("d"), F.row_number().over(order).alias("place")), "neighbours")
     cores = saved(near.where(F.col("place") == min_samples).select(F.col("query_id").alias("i"), F.col("d").alias("core")), "cores")
     if cut is None:
-        cut = cores.agg(F.percentile("core", F.lit(quantile))).first()[0]
+        # off by one part in 100,000 of the ranks at most
+        cut = cores.agg(F.percentile_approx("core", F.lit(quantile), F.lit(100_000))).first()[0]
     dense = cores.where(F.col("core") <= (cut if cut is not None else 0.0)).select("i")
     within = near.where(F.col("d") <= (cut or 0.0))
     links = within.join(dense.withColumnRenamed("i", "query_id"), "query_id", "left_semi").join(dense.withColumnRenamed("i", "id"), "id", "left_semi")
@@ -87,3 +87,24 @@ def density_clusters(vectors: DataFrame, min_cluster_size: int = 5, min_samples:
     strength = F.when(F.col("component").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("core") / F.lit(2.0 * (cut or 1.0)))).otherwise(0.0)
     return joined.select("id", F.coalesce("component", F.lit(-1)).alias("cluster"), "core", strength.alias("probability"))
 
+
+def recluster_outliers(clusters: DataFrame, history: DataFrame, vectors: DataFrame, most_old: int = 20, least: int = 5, min_cluster_size: int = 3, min_samples: int = 2, quantile: float = 0.9) -> DataFrame:
+    """(id, cluster) of this run's outliers and of up to ``most_old`` of earlier runs, clustered again with looser parameters.
+
+    ``clusters`` is this run's result (id, cluster), ``history`` has the outliers
+    of earlier runs (id; those with the greatest ids count as the latest),
+    ``vectors`` has (id, v) of both. With fewer than ``least`` in all, and where
+    a row stays alone, the cluster is -1. New clusters are numbered from the
+    greatest of this run's on, by their smallest member.
+    """
+    new = clusters.where("cluster = -1").select("id")
+    old = history.select("id").join(new, "id", "left_anti").distinct().orderBy(F.desc("id")).limit(most_old)
+    ids = saved(new.unionByName(old), "outliers")
+    if ids.count() < least:
+        return ids.select("id", F.lit(-1).cast("long").alias("cluster"))
+    again = saved(density_clusters(vectors.join(ids, "id", "left_semi"), min_cluster_size, min_samples, quantile=quantile).select("id", "cluster"), "reclustered")
+    top = clusters.agg(F.greatest(F.coalesce(F.max("cluster"), F.lit(-1)), F.lit(-1)).alias("top"))
+    # few new clusters: a row for each
+    names = again.where("cluster != -1").select("cluster").distinct().withColumn("nth", F.row_number().over(Window.orderBy("cluster"))).crossJoin(top)
+    named = again.join(names, "cluster", "left")
+    return named.select("id", F.coalesce(F.col("top") + F.col("nth"), F.lit(-1)).cast("long").alias("cluster"))

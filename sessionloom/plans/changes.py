@@ -25,16 +25,16 @@ def snk1(spark, d):
     return M.upsert(base(spark, d).where("session_id % 3 <> 0"), batch, ["session_id", "tenant_id"], keep=("review_status",))
 
 
-@query("SNK2_upsert_by_session", with_(FACTS) + f", base AS ({BASE} WHERE session_id < 600), batch AS (SELECT session_id, 'fixed' AS label FROM facts WHERE session_id BETWEEN 500 AND 700) SELECT coalesce(b.session_id, n.session_id) AS session_id, b.tenant_id, coalesce(n.label, b.label) AS label, b.confidence, b.review_status FROM base b FULL JOIN batch n USING (session_id)")
+@query("SNK2_upsert_by_session", with_(FACTS) + f", base AS ({BASE} WHERE session_id % 3 <> 1), batch AS (SELECT session_id, 'fixed' AS label FROM facts WHERE session_id % 5 = 0) SELECT coalesce(b.session_id, n.session_id) AS session_id, b.tenant_id, coalesce(n.label, b.label) AS label, b.confidence, b.review_status FROM base b FULL JOIN batch n USING (session_id)")
 def snk2(spark, d):
-    batch = facts(spark, d).where("session_id BETWEEN 500 AND 700").select("session_id", F.lit("fixed").alias("label"))
-    return M.upsert(base(spark, d).where("session_id < 600"), batch, ["session_id"])
+    batch = facts(spark, d).where("session_id % 5 = 0").select("session_id", F.lit("fixed").alias("label"))
+    return M.upsert(base(spark, d).where("session_id % 3 <> 1"), batch, ["session_id"])
 
 
-@query("SNK3_upsert_by_tag", with_(FACTS, TAGS) + ", base AS (SELECT session_id, session_id % 25 AS tag_id, round(confidence, 6) AS confidence FROM facts WHERE session_id < 500), batch AS (SELECT f.session_id, t.tag_id, .5 AS confidence FROM facts f JOIN tags t ON t.tag_id = f.session_id % 20 WHERE t.is_active AND f.session_id < 520) SELECT coalesce(b.session_id, n.session_id) AS session_id, coalesce(b.tag_id, n.tag_id) AS tag_id, coalesce(n.confidence, b.confidence) AS confidence FROM base b FULL JOIN batch n ON b.session_id = n.session_id AND b.tag_id = n.tag_id")
+@query("SNK3_upsert_by_tag", with_(FACTS, TAGS) + ", base AS (SELECT session_id, session_id % 25 AS tag_id, round(confidence, 6) AS confidence FROM facts WHERE session_id % 4 <> 0), batch AS (SELECT f.session_id, t.tag_id, .5 AS confidence FROM facts f JOIN tags t ON t.tag_id = f.session_id % 20 WHERE t.is_active AND f.session_id % 2 = 0) SELECT coalesce(b.session_id, n.session_id) AS session_id, coalesce(b.tag_id, n.tag_id) AS tag_id, coalesce(n.confidence, b.confidence) AS confidence FROM base b FULL JOIN batch n ON b.session_id = n.session_id AND b.tag_id = n.tag_id")
 def snk3(spark, d):
-    old = facts(spark, d).where("session_id < 500").select("session_id", (c("session_id") % 25).alias("tag_id"), F.round("confidence", 6).alias("confidence"))
-    named = facts(spark, d).where("session_id < 520").withColumn("tag_id", c("session_id") % 20).join(tags(spark, d).where("is_active").select("tag_id"), "tag_id")
+    old = facts(spark, d).where("session_id % 4 <> 0").select("session_id", (c("session_id") % 25).alias("tag_id"), F.round("confidence", 6).alias("confidence"))
+    named = facts(spark, d).where("session_id % 2 = 0").withColumn("tag_id", c("session_id") % 20).join(tags(spark, d).where("is_active").select("tag_id"), "tag_id")
     return M.upsert(old, named.select("session_id", "tag_id", F.lit(0.5).alias("confidence")), ["session_id", "tag_id"])
 
 
@@ -56,10 +56,10 @@ def snk6(spark, d):
     return left.agg(F.count("*").alias("n_left")).crossJoin(gone)  # one row each
 
 
-@query("SNK7_mark_for_review", with_(FACTS) + f", base AS ({BASE} WHERE session_id < 100), ids AS (SELECT event_id AS session_id FROM events WHERE event_id BETWEEN 90 AND 110) SELECT coalesce(b.session_id, i.session_id) AS session_id, b.tenant_id, b.label, b.confidence, CASE WHEN i.session_id IS NULL THEN b.review_status ELSE 'pending' END AS review_status FROM base b FULL JOIN ids i USING (session_id)")
+@query("SNK7_mark_for_review", with_(FACTS) + f", base AS ({BASE} WHERE session_id % 3 <> 0), ids AS (SELECT event_id AS session_id FROM events WHERE event_id % 10 = 0) SELECT coalesce(b.session_id, i.session_id) AS session_id, b.tenant_id, b.label, b.confidence, CASE WHEN i.session_id IS NULL THEN b.review_status ELSE 'pending' END AS review_status FROM base b FULL JOIN ids i USING (session_id)")
 def snk7(spark, d):
-    marks = table(spark, d, "events").where("event_id BETWEEN 90 AND 110").select(c("event_id").alias("session_id"), F.lit("pending").alias("review_status"))
-    return M.upsert(base(spark, d).where("session_id < 100"), marks, ["session_id"])
+    marks = table(spark, d, "events").where("event_id % 10 = 0").select(c("event_id").alias("session_id"), F.lit("pending").alias("review_status"))
+    return M.upsert(base(spark, d).where("session_id % 3 <> 0"), marks, ["session_id"])
 
 
 @query("SNK8_resolve_review", with_(FACTS) + f", base AS ({BASE}) SELECT session_id, tenant_id, CASE WHEN review_status = 'pending' AND session_id % 2 = 0 THEN 'human' ELSE label END AS label, CASE WHEN review_status = 'pending' AND session_id % 2 = 0 THEN greatest(.9, coalesce(confidence, 0)) ELSE confidence END AS confidence, CASE WHEN review_status = 'pending' AND session_id % 2 = 0 THEN 'completed' ELSE review_status END AS review_status FROM base")

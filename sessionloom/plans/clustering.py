@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import numbers as N
 from sessionloom.operators import clusters as C
-from sessionloom.operators.density import density_clusters
-from sessionloom.operators.vectors import centroid_distances
+from sessionloom.operators.density import density_clusters, recluster_outliers
+from sessionloom.operators.vectors import centroid_distances, percentiles
 from sessionloom.plans.oracle import FACTS, VECTORS, with_
 from sessionloom.plans.registry import query
 from sessionloom.plans.relational import BUDGET
@@ -140,13 +140,10 @@ def p4(spark, d):
 
 @query("P5_recluster_outliers")
 def p5(spark, d):
-    # this run's outliers, with up to twenty earlier ones, clustered with looser parameters
+    # the run before clustered the first two thirds; its outliers are the history of this run on the rest
     rows = vectors(spark, d).select(c("vec_id").alias("id"), "v")
-    first = density_clusters(rows, quantile=0.5).where("cluster = -1").select("id")
-    old = first.orderBy(F.desc("id")).limit(20)
-    pool = rows.join(first.unionByName(old).distinct(), "id", "left_semi")
-    again = density_clusters(pool, min_cluster_size=3, min_samples=2, quantile=0.9)
-    return again.select("id", F.when(c("cluster") == -1, -1).otherwise(c("cluster")).alias("cluster"))
+    history = density_clusters(rows.where("id % 3 <> 0"), quantile=0.5).where("cluster = -1").select("id")
+    return recluster_outliers(density_clusters(rows.where("id % 3 = 0"), quantile=0.5), history, rows)
 
 
 # -- fuzzy regions ------------------------------------------------------------------
@@ -155,18 +152,25 @@ RADII = ", radii AS (SELECT label, quantile_cont(distance, 0.75) AS radius FROM
 
 
 def radii(rows):
-    return rows.groupBy("label").agg(F.percentile("distance", F.lit(0.75)).alias("radius"))
+    return percentiles(rows, "label", "distance", 0.75, "radius")
 
 
-@query("T1_initial_regions", with_(VECTORS) + CENTROIDS + RADII + ", aff AS (SELECT v.vec_id, c.label AS region, greatest(.1, 1 - sqrt(list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) / (2 * radius)) AS a FROM vectors v CROSS JOIN centroids c JOIN radii r ON r.label = c.label WHERE v.vec_id % 50 = 0) SELECT vec_id, region, round(a / sum(a) OVER (PARTITION BY vec_id), 4) AS membership FROM aff WHERE round(a, 9) > .25")
+@query("T1_initial_regions", with_(VECTORS) + CENTROIDS + RADII + ", core AS (SELECT vec_id, label FROM far JOIN radii USING (label) WHERE round(distance, 9) <= round(radius, 9)), out AS (SELECT * FROM vectors WHERE vec_id NOT IN (SELECT vec_id FROM core)), aff AS (SELECT v.vec_id, c.label AS region, greatest(.1, 1 - sqrt(list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) / (2 * radius)) AS a FROM out v CROSS JOIN centroids c JOIN radii r ON r.label = c.label), soft AS (SELECT vec_id, region, a / sum(a) OVER (PARTITION BY vec_id) AS m FROM aff WHERE round(a, 9) > .25) SELECT vec_id, CAST(label AS VARCHAR) AS region, CAST(1 AS DOUBLE) AS membership FROM core UNION ALL SELECT vec_id, CAST(region AS VARCHAR), round(m, 4) FROM soft UNION ALL SELECT vec_id, 'outlier_' || CAST(vec_id AS VARCHAR), CAST(1 AS DOUBLE) FROM out WHERE vec_id NOT IN (SELECT vec_id FROM soft)")
 def t1(spark, d):
-    from sessionloom.operators.vectors import centroids
+    from sessionloom.operators.vectors import centroids, soft_memberships
 
     rows = vectors(spark, d)
-    regions = centroids(rows, "label").join(radii(centroid_distances(rows, "label")), "label").withColumnRenamed("label", "region")  # one row for each cluster
-    outliers = rows.where("vec_id % 50 = 0").select("vec_id", "v")
-    soft = outliers.crossJoin(regions).select("vec_id", "region", N.affinity(N.euclidean(c("v"), c("centroid")), c("radius")).alias("a")).where(F.round("a", 9) > 0.25)
-    return soft.select("vec_id", "region", F.round(c("a") / F.sum("a").over(Window.partitionBy("vec_id")), 4).alias("membership"))
+    far = centroid_distances(rows, "label")
+    radius = radii(far)
+    inside = F.round("distance", 9) <= F.round("radius", 9)
+    placed = far.join(radius, "label").select("vec_id", "label", "v", inside.alias("core"))
+    regions = centroids(rows, "label").join(radius, "label").withColumnRenamed("label", "region")
+    out = placed.where("NOT core").select("vec_id", "v")
+    soft = soft_memberships(out.withColumnRenamed("vec_id", "id"), regions, 0.25).withColumnRenamed("id", "vec_id")
+    # a row that no region takes is a region of its own
+    alone = out.select("vec_id").join(soft, "vec_id", "left_anti").select("vec_id", F.concat(F.lit("outlier_"), c("vec_id").cast("string")).alias("region"), F.lit(1.0).alias("membership"))
+    core = placed.where("core").select("vec_id", c("label").cast("string").alias("region"), F.lit(1.0).alias("membership"))
+    return core.unionByName(soft.select("vec_id", c("region").cast("string").alias("region"), F.round("membership", 4).alias("membership"))).unionByName(alone)
 
 
 @query("T2_region_labels", with_(FACTS) + "SELECT cluster_id, label, round(sum(confidence) / sum(sum(confidence)) OVER (PARTITION BY cluster_id), 4) AS p FROM facts WHERE cluster_id IS NOT NULL AND label IS NOT NULL AND confidence IS NOT NULL GROUP BY 1, 2")
@@ -214,13 +218,27 @@ def t7(spark, d):
     return facts(spark, d).where("confidence IS NOT NULL").join(conflicts(spark, d), "cluster_id").select("session_id", F.round(F.greatest(F.lit(0.1), c("confidence") - c("severity") * 0.3), 4).alias("confidence"))
 
 
-@query("T8_merge_candidates", with_(FACTS) + DIST + ", s AS (SELECT cluster_id, arg_max(label, {'p': p, 'l': label}) AS dominant, max(p) AS top FROM p GROUP BY 1), n AS (SELECT cluster_id, sum(n) AS n FROM c GROUP BY 1), r AS (SELECT * FROM s JOIN n USING (cluster_id)) SELECT a.cluster_id AS a, b.cluster_id AS b FROM r a JOIN r b ON a.dominant = b.dominant AND a.cluster_id < b.cluster_id WHERE least(a.n, b.n) / greatest(a.n, b.n) > .3 AND a.top > .3 AND b.top > .3")
+REGIONS = ", parts AS (SELECT label || ':' || CAST(vec_id % 4 AS VARCHAR) AS region, label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM vectors), means AS (SELECT region, label, i, avg(x) AS x, count(*) AS n FROM parts GROUP BY ALL), regions AS (SELECT region, label, max(n) AS n, list(x ORDER BY i) AS w FROM means GROUP BY ALL)\n"
+
+
+def vector_regions(spark, d):
+    """Regions of vectors (a quarter of each label's), with their dominant label, its share, their size and centre."""
+    from sessionloom.operators.vectors import centroids
+
+    rows = vectors(spark, d).withColumn("region", F.concat_ws(":", c("label").cast("string"), (c("vec_id") % 4).cast("string")))
+    counts = rows.groupBy("region", "label").agg(F.count("*").alias("k"))
+    shape = counts.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("label"), (F.max("k") / F.sum("k")).alias("share"), F.sum("k").alias("size"))
+    return shape.join(centroids(rows, "region"), "region").withColumnRenamed("centroid", "centre")
+
+
+@query("T8_merge_candidates", with_(VECTORS) + REGIONS + "SELECT a.region AS a, b.region AS b, round(list_dot_product(a.w, b.w) / sqrt(list_dot_product(a.w, a.w) * list_dot_product(b.w, b.w)), 4) AS cosine FROM regions a JOIN regions b ON a.label = b.label AND a.region < b.region WHERE least(a.n, b.n) / greatest(a.n, b.n) > .3 AND round(list_dot_product(a.w, b.w) / sqrt(list_dot_product(a.w, a.w) * list_dot_product(b.w, b.w)), 9) >= .1")
 def t8(spark, d):
-    counts = facts(spark, d).where("cluster_id IS NOT NULL AND label IS NOT NULL").groupBy("cluster_id", "label").agg(F.count("*").alias("k"))
-    r = counts.groupBy("cluster_id").agg(F.max_by("label", F.struct("k", "label")).alias("dominant"), (F.max("k") / F.sum("k")).alias("top"), F.sum("k").alias("n")).where("top > 0.3")
-    # regions are a small table: one row for each cluster
-    a, b = r.select("dominant", c("cluster_id").alias("a"), c("n").alias("na")), r.select("dominant", c("cluster_id").alias("b"), c("n").alias("nb"))
-    return a.join(b, "dominant").where("a < b AND least(na, nb) / greatest(na, nb) > 0.3").select("a", "b")
+    return C.merge_candidates(vector_regions(spark, d), least_cosine=0.1).withColumn("cosine", F.round("cosine", 4))
+
+
+@query("T8_merge_pairs")
+def t8_pairs(spark, d):
+    return C.disjoint_pairs(C.merge_candidates(vector_regions(spark, d), least_cosine=0.1)).select("a", "b")
 
 
 @query("T9_region_merge", with_(FACTS) + "SELECT CAST(CAST(cluster_id AS BIGINT) // 2 AS BIGINT) AS region, count(*) AS size, round(sum(confidence) / count(confidence), 4) AS centre, round(max(confidence), 4) AS strongest FROM facts WHERE regexp_matches(cluster_id, '^[0-9]+$') GROUP BY 1")

@@ -423,7 +423,7 @@ def s8(spark, d):
 
 @query("U1_difference", "SELECT event_id AS id FROM events EXCEPT SELECT doc_id FROM documents")
 def u1(spark, d):
-    return table(spark, d, "events").select(F.col("event_id").alias("id")).exceptAll(table(spark, d, "documents").select("doc_id"))
+    return table(spark, d, "events").select(F.col("event_id").alias("id")).subtract(table(spark, d, "documents").select("doc_id"))
 
 
 @query("U2_member_union", with_(FACTS) + "SELECT session_id FROM facts WHERE cluster_id = '3' UNION SELECT session_id FROM facts WHERE label = 'click'")

@@ -55,7 +55,7 @@ def ml12(spark, d):
     out = None
     for quantile in (0.5, 0.8):
         named = density_clusters(rows, quantile=quantile).select("id", "cluster").join(rows, "id")
-        scored = C.silhouettes(named, "cluster").agg(F.round(F.avg("silhouette"), 4).alias("silhouette")).select(F.lit(quantile).alias("quantile"), "silhouette")
+        scored = C.silhouettes(named, "cluster", id_col="id").agg(F.round(F.avg("silhouette"), 4).alias("silhouette")).select(F.lit(quantile).alias("quantile"), "silhouette")
         out = scored if out is None else out.unionAll(scored)
     return out
 
@@ -166,11 +166,11 @@ def z33(spark, d):
     return out.select("vec_id", F.round(F.abs(c("p")[0]), 4).alias("x"), F.round(F.abs(c("p")[1]), 4).alias("y"))
 
 
-@query("Z35_tag_suggestion", with_(VECTORS) + ", parts AS (SELECT label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM vectors), means AS (SELECT label, i, avg(x) AS x FROM parts GROUP BY ALL), cent AS (SELECT label, list(x ORDER BY i) AS w FROM means GROUP BY label) SELECT vec_id, round(max(list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w))), 4) AS best FROM vectors CROSS JOIN cent WHERE vec_id % 25 = 0 GROUP BY vec_id")
+@query("Z35_tag_suggestion", with_(VECTORS) + ", parts AS (SELECT label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM vectors), means AS (SELECT label, i, avg(x) AS x FROM parts GROUP BY ALL), cent AS (SELECT label, list(x ORDER BY i) AS w FROM means GROUP BY label) SELECT vec_id, round(max(list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w))), 4) AS best FROM vectors CROSS JOIN cent GROUP BY vec_id")
 def z35(spark, d):
     from sessionloom.operators.vectors import centroids, nearest
 
-    asked = vectors(spark, d).where("vec_id % 25 = 0").select(c("vec_id").alias("query_id"), "v")
+    asked = vectors(spark, d).select(c("vec_id").alias("query_id"), "v")
     cent = centroids(vectors(spark, d), "label").select(c("label").alias("id"), c("centroid").alias("v"))
     return nearest(asked, cent, 1).select(c("query_id").alias("vec_id"), F.round("similarity", 4).alias("best"))
 
@@ -290,10 +290,15 @@ def snk12(spark, d):
 def l2(spark, d):
     import difflib
 
-    # the labels of one vocabulary, given by a parameter, so the driver may hold them
-    names = [r["tag_name"] for r in tags(spark, d).select("tag_name").distinct().orderBy("tag_name").limit(500).collect()]
-    groups = C.linkage_groups(names, lambda a, b: difflib.SequenceMatcher(None, a, b).ratio())
-    return spark.createDataFrame(list(zip(names, groups, strict=True)), "label string, part long")
+    import pandas as pd
+
+    def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(pdf["tag_name"].unique())
+        parts = C.linkage_groups(names, lambda a, b: difflib.SequenceMatcher(None, a, b).ratio())
+        return pd.DataFrame({"tenant_id": key[0], "label": names, "part": parts})
+
+    # each tenant's vocabulary apart
+    return tags(spark, d).select("tenant_id", "tag_name").groupBy("tenant_id").applyInPandas(group, "tenant_id long, label string, part long")
 
 
 @query("API2_client_status", with_(FACTS, TENANTS) + "SELECT tenant_name, is_active, count(session_id) AS n, round(avg(confidence), 4) AS mean_confidence, count(CASE WHEN review_status = 'pending' THEN 1 END) AS pending FROM tenants LEFT JOIN facts USING (tenant_id) GROUP BY ALL")

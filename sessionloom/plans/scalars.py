@@ -15,12 +15,12 @@ from sessionloom.plans.oracle import FACTS, TAGS, VECTORS, with_
 from sessionloom.plans.registry import query
 from sessionloom.sources.catalog import facts, table, tags, vectors
 
-#: A raw label made from each document, with capitals, punctuation and accents.
-RAW = "left(text, 40)"
+#: Each document's whole text as a raw label, with capitals, punctuation and accents.
+RAW = "text"
 
 
 def raw(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.left("text", F.lit(40)).alias("raw"))
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("raw"))
 
 
 def scalar(name: str, sql: str, make) -> None:
@@ -138,9 +138,9 @@ def x15(spark, d):
 PATTERNS = {"access": [r"th.*er", r"idiot"], "booking": [r"qu[ae]\s+de", r"verpf"], "info": [r"^\s*the\b"]}
 
 
-@query("X16_regex_intents", "SELECT doc_id, list_filter([CASE WHEN regexp_matches(t, 'th.*er') OR regexp_matches(t, 'idiot') THEN 'access' END, CASE WHEN regexp_matches(t, 'qu[ae]\\s+de') OR regexp_matches(t, 'verpf') THEN 'booking' END, CASE WHEN regexp_matches(t, '^\\s*the\\b') THEN 'info' END], lambda x: x IS NOT NULL) AS intents FROM (SELECT doc_id, left(lower(text), 200) AS t FROM documents)")
+@query("X16_regex_intents", "SELECT doc_id, list_filter([CASE WHEN regexp_matches(t, 'th.*er') OR regexp_matches(t, 'idiot') THEN 'access' END, CASE WHEN regexp_matches(t, 'qu[ae]\\s+de') OR regexp_matches(t, 'verpf') THEN 'booking' END, CASE WHEN regexp_matches(t, '^\\s*the\\b') THEN 'info' END], lambda x: x IS NOT NULL) AS intents FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def x16(spark, d):
-    t = F.left(F.lower("text"), F.lit(200))
+    t = F.lower("text")
     found = [F.when(F.lit(False) | sum((t.rlike(p).cast("int") for p in ps), F.lit(0)).cast("boolean"), name) for name, ps in PATTERNS.items()]
     return table(spark, d, "documents").select("doc_id", F.array_compact(F.array(*found)).alias("intents"))
 
@@ -150,12 +150,12 @@ def x18(spark, d):
     return facts(spark, d).select("session_id", L.match_bucket(F.col("llm_conf")).alias("bucket"))
 
 
-@query("X19_word_overlap", "SELECT d.doc_id, b.item_id, CAST(len(list_filter(regexp_split_to_array(lower(left(b.text, 200)), '[ \\t\\n\\f\\r\\x0B]+'), lambda w: length(w) > 3 AND contains(lower(left(d.text, 400)), w))) AS DOUBLE) + CASE WHEN abs(length(left(d.text, 400)) - length(left(b.text, 200))) < 50 THEN 0.5 ELSE 0.0 END AS score FROM documents d CROSS JOIN (SELECT * FROM benchmark WHERE item_id < 3) b")
+@query("X19_word_overlap", "SELECT d.conv_id, d.turn, b.item_id, CAST(len(list_filter(regexp_split_to_array(lower(b.text), '[ \\t\\n\\f\\r\\x0B]+'), lambda w: length(w) > 3 AND contains(lower(d.text), w))) AS DOUBLE) + CASE WHEN abs(length(d.text) - length(b.text)) < 50 THEN 0.5 ELSE 0.0 END AS score FROM conversations d CROSS JOIN benchmark b")
 def x19(spark, d):
-    # the examples are a handful, given by a parameter
-    examples = table(spark, d, "benchmark").where("item_id < 3").select("item_id", F.left("text", F.lit(200)).alias("example"))
-    docs = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(400)).alias("text"))
-    return docs.crossJoin(F.broadcast(examples)).select("doc_id", "item_id", L.word_overlap(F.col("text"), F.col("example")).alias("score"))
+    # every message against the stated set of examples
+    examples = table(spark, d, "benchmark").select("item_id", F.col("text").alias("example"))
+    said = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return said.crossJoin(examples).select("conv_id", "turn", "item_id", L.word_overlap(F.col("text"), F.col("example")).alias("score"))
 
 
 @query("X21_template", with_(FACTS) + "SELECT session_id, 'Label ' || coalesce(label, '{{label}}') || ' for ' || CAST(user_id AS STRING) || ' in {{missing}}' AS prompt FROM facts")
@@ -261,9 +261,9 @@ def v3(spark, d):
 
 @query("V4_radius", with_(VECTORS) + CENTROIDS + "SELECT label, round(quantile_cont(distance, 0.75), 4) AS radius FROM far GROUP BY label")
 def v4(spark, d):
-    from sessionloom.operators.vectors import centroid_distances
+    from sessionloom.operators.vectors import centroid_distances, percentiles
 
-    return centroid_distances(vectors(spark, d), "label").groupBy("label").agg(F.round(F.percentile("distance", F.lit(0.75)), 4).alias("radius"))
+    return percentiles(centroid_distances(vectors(spark, d), "label"), "label", "distance", 0.75, "radius").select("label", F.round("radius", 4).alias("radius"))
 
 
 @query("W5_closest_to_centroid", with_(VECTORS) + CENTROIDS + "SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), vec_id) AS rn FROM far) WHERE rn <= 3")
@@ -276,10 +276,10 @@ def w5(spark, d):
 
 @query("V6_affinity", with_(VECTORS) + CENTROIDS + "SELECT vec_id, round(greatest(0.1, 1 - distance / (2 * r)), 4) AS affinity FROM far JOIN (SELECT label, quantile_cont(distance, 0.75) AS r FROM far GROUP BY label) USING (label)")
 def v6(spark, d):
-    from sessionloom.operators.vectors import centroid_distances
+    from sessionloom.operators.vectors import centroid_distances, percentiles
 
     far = centroid_distances(vectors(spark, d), "label")
-    return far.join(far.groupBy("label").agg(F.percentile("distance", F.lit(0.75)).alias("r")), "label").select("vec_id", F.round(N.affinity(F.col("distance"), F.col("r")), 4).alias("affinity"))
+    return far.join(percentiles(far, "label", "distance", 0.75, "r"), "label").select("vec_id", F.round(N.affinity(F.col("distance"), F.col("r")), 4).alias("affinity"))
 
 
 def label_maps(spark, d):
@@ -326,11 +326,16 @@ def js1(spark, d):
 
 @query("JS2_parse_response", with_(FACTS) + RESPONSES + """SELECT session_id, CASE WHEN session_id % 4 < 3 THEN event_type END AS label, CAST(CASE session_id % 4 WHEN 0 THEN 1 WHEN 1 THEN .5 WHEN 2 THEN .25 END AS DOUBLE) AS confidence, CASE session_id % 4 WHEN 1 THEN 'seen' WHEN 0 THEN 'Classificato come ' || event_type WHEN 2 THEN 'Classificato come ' || event_type END AS motivation FROM r""")
 def js2(spark, d):
+    rows = parsed(responses(spark, d))
+    label = F.lower(F.trim("predicted_label"))
+    motivation = F.coalesce(F.nullif(F.trim("motivation"), F.lit("")), F.concat(F.lit("Classificato come "), label))
+    return rows.select("session_id", label.alias("label"), N.clamp(F.col("confidence")).alias("confidence"), motivation.alias("motivation")).withColumn("confidence", F.when(F.col("label").isNotNull(), F.col("confidence")))
+
+
+def parsed(rows):
+    """Responses with the fields of their repaired JSON; a response is repaired and parsed once, however many fields are used."""
     j = F.from_json(N.repair_json(F.col("raw")), "predicted_label string, confidence double, motivation string")
-    rows = responses(spark, d).select("session_id", j.alias("j"))
-    label = F.lower(F.trim("j.predicted_label"))
-    motivation = F.coalesce(F.nullif(F.trim("j.motivation"), F.lit("")), F.concat(F.lit("Classificato come "), label))
-    return rows.select("session_id", label.alias("label"), N.clamp(F.col("j.confidence")).alias("confidence"), motivation.alias("motivation")).withColumn("confidence", F.when(F.col("label").isNotNull(), F.col("confidence")))
+    return rows.select("*", F.inline(F.array(j)))
 
 
 KNOWN = ["click", "view", "error", "signup", "purchase"]
@@ -342,19 +347,21 @@ def js3(spark, d):
     named = F.filter(F.array(*map(F.lit, KNOWN)), lambda x: F.contains(low, x) | F.contains(low, F.replace(x, F.lit("_"), F.lit(" "))))
     number = F.nullif(F.regexp_extract("raw", r"(\d+\.?\d*)%?", 1), F.lit("")).cast("double")
     share = N.clamp(F.when(number > 1, number / 100).otherwise(number))
-    rows = responses(spark, d).where("session_id % 4 = 3").withColumn("named", named)
+    # what no repair makes JSON of
+    rows = parsed(responses(spark, d)).where("predicted_label IS NULL").select("session_id", "raw").withColumn("named", named)
     confidence = F.when(F.size("named") == 1, F.coalesce(share, F.lit(0.4))).when(F.size("named") > 1, 0.2).otherwise(0.1)
     return rows.select("session_id", F.when(F.size("named") == 1, F.get("named", F.lit(0))).otherwise("altro").alias("label"), confidence.alias("confidence"))
 
 
-@query("JS4_extract_tag", with_(FACTS) + RESPONSES + "SELECT session_id, CASE WHEN session_id % 4 IN (0, 1) THEN event_type ELSE event_type END AS tag FROM r WHERE session_id % 4 <> 2")
+@query("JS4_extract_tag", with_(FACTS) + RESPONSES + "SELECT session_id, event_type AS tag FROM r")
 def js4(spark, d):
     text = F.when(F.col("session_id") % 4 == 3, F.concat(F.lit("Tag: "), "event_type", F.lit(", sure"))).otherwise(F.col("raw"))
-    inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    fields = [F.get_json_object(inner, f"$.{k}") for k in ("predicted_label", "label", "tag", "classification")]
+    keys = ("predicted_label", "label", "tag", "classification")
+    rows = responses(spark, d).select("session_id", text.alias("text")).select("*", F.inline(F.array(F.from_json(N.repair_json(F.col("text")), ", ".join(f"{k} string" for k in keys)))))
+    text, fields = F.col("text"), [F.col(k) for k in keys]
     patterns = [F.regexp_extract(text, p, 1) for p in (r"(?i)tag:\s*([^,\n]+)", r"(?i)etichetta:\s*([^,\n]+)", r"(?i)classif[ic]*azione:\s*([^,\n]+)", r"(?i)suggerisco:\s*([^,\n]+)")]
     found = F.coalesce(*(F.nullif(F.nullif(F.lower(F.trim(c)), F.lit("")), F.lit("altro")) for c in [*fields, *patterns]), F.lit(""))
-    return responses(spark, d).where("session_id % 4 <> 2").select("session_id", found.alias("tag"))
+    return rows.select("session_id", found.alias("tag"))
 
 
 @query("JS5_valid_schema", "SELECT event_id, json_valid(props) AND json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') AS valid FROM events")
