@@ -54,7 +54,9 @@ def fingerprints(docs: DataFrame, texts: dict[str, str], keep: list[str], id_col
     """
     names = [f"_{k}" for k in range(len(texts))]
     kept = list(dict.fromkeys([id_col, *keep]))
-    marked = saved(docs.select(*kept, *(digest(canonical(F.col(t)), bits).alias(n) for t, n in zip(texts, names, strict=True))), "digests")
+    # canonical forms have a projection of their own, so that each is made once
+    canons = docs.select(*kept, *(canonical(F.col(t)).alias(n) for t, n in zip(texts, names, strict=True)))
+    marked = saved(canons.select(*kept, *(digest(F.col(n), bits).alias(n) for n in names)), "digests")
     pairs = marked.select(id_col, F.explode(F.array(*names)).alias("digest"))
     shared = saved(pairs.groupBy("digest").count().where("count > 1").select("digest"), "shared-digests")
     members = saved(pairs.join(shared, "digest", "left_semi").select(id_col).where(F.col(id_col).isNotNull()).distinct(), "sharers")
@@ -102,6 +104,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, columns: list[str]) -
     places = F.array(F.struct(F.col(range_).alias("range"), F.lit(False).alias("visits")))
     visit = F.array(F.struct(above.alias("range"), F.lit(True).alias("visits")))
     sent = placed.withColumn(place, F.explode(F.when(first, F.concat(places, visit)).otherwise(places)))
-    order = Window.partitionBy(f"{place}.range").orderBy(f"{place}.visits", F.col(key).desc_nulls_last(), F.col(text_col).desc_nulls_last())
-    led = sent.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
+    # a task for each range or few, whatever the number of shuffle partitions
+    dealt = sent.withColumn(range_, F.col(f"{place}.range")).repartition(int(ranges), range_)
+    order = Window.partitionBy(range_).orderBy(f"{place}.visits", F.col(key).desc_nulls_last(), F.col(text_col).desc_nulls_last())
+    led = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
     return led.where(~F.col(f"{place}.visits")).drop(key, range_, place)

@@ -31,8 +31,8 @@ __all__ = ["ContextTree", "Model", "count_runs", "held_out", "identify", "train"
 
 #: Longest context in bytes.
 ORDER = 4
-#: A language's tree keeps what makes up at least one part in so many of its bytes; so it has at most so many entries of each order.
-ENTRIES = 1 << 17
+#: Entries of each order that the trees of all languages have at most; each tree keeps what makes up at least one part of its language's bytes in its share of them.
+ENTRIES = 1 << 19
 #: Bytes counted or scored at once; bounds memory only.
 BYTES_AT_ONCE = 4_000_000
 #: Runs whose costs a worker remembers; bounds memory only.
@@ -40,8 +40,18 @@ REMEMBERED_RUNS = 1_000_000
 UNDECIDED = "und"
 
 
-def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The run of ORDER + 1 bytes that ends at each byte of each text, as a number, and the text's index; before a text are zeros."""
+def parts_of(text: bytes) -> Iterator[tuple[bytes, int]]:
+    """A text in parts of BYTES_AT_ONCE, each after the last bytes of the part before it, and how many these are."""
+    for a in range(0, len(text), BYTES_AT_ONCE):
+        before = min(ORDER, a)
+        yield text[a - before : a + BYTES_AT_ONCE], before
+
+
+def runs_of(texts: list[bytes], before: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The run of ORDER + 1 bytes that ends at each byte of each text, as a number, and the text's index; before a text are zeros.
+
+    The first ``before`` bytes of a text are read as the context of what follows only.
+    """
     pad = b"\0" * ORDER
     data = np.frombuffer(pad.join([b"", *texts]), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -50,6 +60,9 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         codes[k:] |= data[: len(data) - k if k else None] << np.uint64(8 * k)
     owner = np.repeat(np.arange(len(texts)), sizes)
     at = np.arange(int(sizes.sum())) + ORDER * (owner + 1)
+    if before is not None and any(before):
+        inside = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= np.repeat(before, sizes)
+        at, owner = at[inside], owner[inside]
     return codes[at], owner
 
 
@@ -60,13 +73,13 @@ def count_runs(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[bytes]] = {}
+        waiting: dict[str, list[tuple[bytes, int]]] = {}
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         size = 0
 
         def fold() -> None:
             for lang, texts in waiting.items():
-                runs, n = np.unique(runs_of(texts)[0], return_counts=True)
+                runs, n = np.unique(runs_of([t for t, _ in texts], [b for _, b in texts])[0], return_counts=True)
                 if lang in held:
                     both, inverse = np.unique(np.concatenate([held[lang][0], runs]), return_inverse=True)
                     n = np.bincount(inverse, np.concatenate([held[lang][1], n])).astype(np.int64)
@@ -84,10 +97,9 @@ def count_runs(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 data = text.as_py().encode("utf-8", "replace")
-                for a in range(0, max(1, len(data)), BYTES_AT_ONCE):
-                    part = data[a : a + BYTES_AT_ONCE]
+                for part in parts_of(data):
                     waiting.setdefault(lang, []).append(part)
-                    size += len(part)
+                    size += len(part[0])
                     if size >= BYTES_AT_ONCE:
                         fold()
                         size = 0
@@ -175,16 +187,17 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", entries: int = ENTRIES) -> Model:
     """Context trees from all rows with a language and a text.
 
-    The counts of each order are sums over all texts; entries that make up less
-    than one part in ``entries`` of a language's bytes are left out of its
-    tree, so that it has at most ``entries`` of each order, and the model has a
-    bound on its size, for any corpus. Tables without such rows give a model
-    without languages.
+    The counts of each order are sums over all texts. Each language has an
+    equal share of ``entries``; entries that make up less than one part in that
+    share of a language's bytes are left out of its tree. So the model has at
+    most ``entries`` of each order, for any corpus and any number of languages.
+    Tables without such rows give a model without languages.
     """
     runs = saved(count_runs(docs, text_col, lang_col), "runs")
     totals = {r["lang"]: r["n"] for r in runs.groupBy("lang").agg(F.sum("n").alias("n")).collect() if r["n"]}
     found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {lang: [] for lang in totals}
-    least = F.create_map(*(F.lit(x) for lang, n in totals.items() for x in (lang, max(1, -(-n // entries))))) if totals else None
+    share = max(256, entries // max(1, len(totals)))
+    least = F.create_map(*(F.lit(x) for lang, n in totals.items() for x in (lang, max(1, -(-n // share))))) if totals else None
     for k in range(ORDER + 1 if totals else 0):
         short = F.col("run").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
         kept = runs.groupBy("lang", short.alias("entry")).agg(F.sum("n").alias("n")).where(F.col("n") >= least[F.col("lang")])
@@ -224,9 +237,9 @@ class _Scorer:
                 self.runs, self.known = np.insert(self.runs, place, runs[new]), np.insert(self.known, place, costs[new], axis=0)
         return costs
 
-    def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Code length in bits of each text (of some MB together) in each language."""
-        codes, owner = runs_of(texts)
+    def lengths(self, texts: list[bytes], before: list[int] | None = None) -> np.ndarray:
+        """Code length in bits of each text (of some MB together) in each language, but for its first ``before`` bytes."""
+        codes, owner = runs_of(texts, before)
         # a run has 40 bits, which leaves 24 for the text's index
         both = np.sort(codes << np.uint64(24) | owner.astype(np.uint64))
         start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
@@ -253,8 +266,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", id_cols: tup
 
     ``score`` is the language's share of probability if all are equally likely
     beforehand. Texts without a letter, null texts, and all texts under a model
-    without languages are ``und`` with score 0. Whole texts are scored, long
-    ones in parts. Only the text decides; other columns are not read.
+    without languages are ``und`` with score 0. Whole texts are scored; long
+    ones in parts, each after the end of the one before, which changes no code
+    length. Only the text decides, so repeated rows get equal results; other
+    columns, whatever their names, are not read. An empty table stays empty.
     """
     packed = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1))
     key, langs = uuid.uuid4().hex, model.langs
@@ -269,21 +284,23 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", id_cols: tup
             there = np.zeros(batch.num_rows, bool)
             waiting: list[bytes] = []
             owners: list[int] = []
+            before: list[int] = []
             size = 0
             for k, text in enumerate(batch.column("_text")):
                 if not text.is_valid:
                     continue
                 there[k] = True
                 data = text.as_py().encode("utf-8", "replace")
-                for a in range(0, len(data), BYTES_AT_ONCE):
-                    waiting.append(data[a : a + BYTES_AT_ONCE])
+                for part, b in parts_of(data):
+                    waiting.append(part)
                     owners.append(k)
-                    size += len(waiting[-1])
+                    before.append(b)
+                    size += len(part)
                     if size >= BYTES_AT_ONCE:
-                        np.add.at(bits, owners, scorer.lengths(waiting))
-                        waiting, owners, size = [], [], 0
+                        np.add.at(bits, owners, scorer.lengths(waiting, before))
+                        waiting, owners, before, size = [], [], [], 0
             if waiting:
-                np.add.at(bits, owners, scorer.lengths(waiting))
+                np.add.at(bits, owners, scorer.lengths(waiting, before))
             if langs:
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000)).sum(axis=1)

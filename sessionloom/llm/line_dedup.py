@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, saved
+from .common import free, likely_in, saved
 
 __all__ = ["dedup_lines", "line_key", "spread_lines"]
 
@@ -68,9 +68,21 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", tex
     rows, first = spread_lines(lines, min_sites)
     met = rows.where("id is not null").join(first, ["a", "b"]).where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")) | F.col("first.id").isNull())
     key, marks = free(docs, "_id"), free(docs, "_gone")
-    gone = met.groupBy(F.col("id").alias(key)).agg(F.collect_set("pos").alias(marks))
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(marks, i)), "\n")
-    text = F.when(F.col(marks).isNull(), F.col(text_col)).otherwise(kept)
+    gone = saved(met.groupBy(F.col("id").alias(key)).agg(F.collect_set("pos").alias(marks)), "gone-lines")
     others = [c for c in docs.columns if c != "lines_removed"]
-    joined = docs.select(*others).join(gone, F.col(id_col) == F.col(key), "left")
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in others), F.coalesce(F.size(marks), F.lit(0)).alias("lines_removed"))
+    # texts that certainly keep all lines stay where they are
+    changes = likely_in(gone, key, F.col(id_col))
+    joined = docs.where(changes).select(*others).join(gone, F.col(id_col) == F.col(key), "left")
+    text = F.when(F.col(marks).isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(marks)))
+    changed = joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in others), F.coalesce(F.size(marks), F.lit(0)).alias("lines_removed"))
+    return docs.where(~changes).select(*others, F.lit(0).alias("lines_removed")).unionAll(changed)
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """A text without some of its lines (numbers from 0), in linear time: the lines are split once, and the others looked up."""
+
+    def rest(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")
+
+    return F.get(F.transform(F.array(F.split(text, "\n")), rest), F.lit(0))

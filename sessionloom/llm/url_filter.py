@@ -1,11 +1,12 @@
 """URL filters by a path-template tree, by DataFrame functions only.
 
 Each host has a tree of its paths' segments. Going down, segments that vary
-(runs of digits, rare values) become wildcards, and branches whose labelled
-outcomes don't differ significantly from those of their parent are merged into
-the wildcard branch. The labels are the outcomes of explicit rules. A template
-is rejected if its share of blocked labels, smoothed towards its parent's, is
-too high; templates without labels take their parent's share.
+(runs of digits, rare values) become wildcards, and sibling branches whose
+labelled outcomes don't differ significantly from each other are merged. The
+labels are the outcomes of explicit rules. The tree goes down as far as labels
+still differ within a branch. A template is rejected if its share of blocked
+labels, smoothed towards its parent's, is too high; templates without labels
+take their parent's share.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from .common import saved
 __all__ = ["host_of", "judge_urls", "path_of", "rule_of"]
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Levels of the tree; the segments below the last level count as one.
-DEPTH = 4
 
 
 def host_of(url: Column) -> Column:
@@ -47,11 +46,28 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def _segments(path: Column) -> list[Column]:
-    """The path's segments by level, runs of digits as wildcards; empty where the path is shorter."""
-    parts = F.filter(F.split(F.regexp_replace(path, r"\d+", "*"), "/"), lambda s: s != "")
-    levels = [F.coalesce(F.get(parts, F.lit(k)), F.lit("")) for k in range(DEPTH - 1)]
-    return [*levels, F.array_join(F.slice(parts, F.lit(DEPTH), F.greatest(F.size(parts) - (DEPTH - 1), F.lit(0))), "/")]
+def _segments(path: Column) -> Column:
+    """The path's segments, runs of digits as wildcards."""
+    return F.filter(F.split(F.regexp_replace(path, r"\d+", "*"), "/"), lambda s: s != "")
+
+
+def _groups(children: DataFrame, similar: float) -> DataFrame:
+    """(node, part, group): the frequent children of each node, in groups of those whose labels don't differ.
+
+    A node has few frequent children. They are put in order by their share of
+    blocked labels; where two neighbours differ by ``similar`` standard errors,
+    a new group begins. A group is named by its least member and their number.
+    """
+    order = Window.partitionBy("node").orderBy(F.col("b") / F.col("l"), "part")
+    before = lambda c: F.lag(c).over(order)
+    pooled = (F.col("b") + before("b")) / (F.col("l") + before("l"))
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / before("l")))
+    apart = F.coalesce(F.abs(F.col("b") / F.col("l") - before("b") / before("l")) > similar * error, F.lit(False)) & (F.coalesce(error, F.lit(0.0)) > 0)
+    numbered = children.withColumn("apart", apart.cast("int")).withColumn("nth", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = numbered.groupBy("node", "nth").agg(F.min("part").alias("name"), F.count("*").alias("k"))
+    several = numbered.groupBy("node").agg(F.max("nth").alias("top")).where("top > 0").select("node")
+    name = F.when(F.col("k") > 1, F.concat(F.lit("{"), "name", F.lit(" +"), (F.col("k") - 1).cast("string"), F.lit("}"))).otherwise(F.col("name"))
+    return numbered.join(several, "node", "left_semi").join(sizes, ["node", "nth"]).select("node", "part", name.alias("group"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", least_share: float = 0.02, least_pages: int = 5, similar: float = 1.96, strength: float = 10.0, reject_above: float = 0.8) -> DataFrame:
@@ -59,48 +75,55 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
 
     ``rule`` is the rule that decided, ``verdict`` its outcome or else that of
     the URL's template: ``block`` if ``purity``, the smoothed share of blocked
-    labels, is over ``reject_above``. A segment stays literal if it holds at
+    labels, is over ``reject_above``. A segment can stay literal if it holds at
     least ``least_share`` of its parent's pages and ``least_pages``, so a node
-    has a bounded number of children, and its labels differ from the other
-    branches' by ``similar`` standard errors. ``strength`` is the weight of the
-    parent's share in the smoothing, and of the share over all hosts in a
-    host's. Without any label all is allowed. Null and malformed URLs have an
-    empty host and path, and are judged as such. Repeated rows are counted and
-    judged singly. An empty table gives an empty result.
+    has a bounded number of children, and if it has labels; children whose
+    labels don't differ by ``similar`` standard errors are merged, and all
+    others are the wildcard's. A branch whose labels are all alike has nothing
+    to tell apart below, so it ends there, at any depth. ``strength`` is the
+    weight of the parent's share in the smoothing, and of the share over all
+    hosts in a host's. Without any label all is allowed. Null and malformed
+    URLs have an empty host and path, and are judged as such. Repeated rows are
+    counted and judged singly. Other columns, whatever their names, are not
+    read. An empty table gives an empty result.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     verdicts = {rule: verdict for verdict, rule in rules}
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    parts = [f"s{k}" for k in range(DEPTH)]
-    ruled = urls.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).select("*", *(s.alias(c) for s, c in zip(_segments(F.col("path")), parts, strict=True)))
+    ruled = urls.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("segments", _segments(F.col("path")))
     outcome = reduce(lambda c, r: c.when(F.col("rule") == r[0], F.lit(r[1])), verdicts.items(), F.when(F.lit(False), F.lit("")))
     blocked, labelled = F.count_if(outcome == "block"), F.count_if(F.col("rule").isNotNull())
-    tree = saved(ruled.groupBy("host", *parts).agg(F.count("*").alias("n"), blocked.alias("b"), labelled.alias("l")), "branches")
-
-    # from the top level down, name each branch by its segment or by the wildcard
-    above = ["host"]
-    for k, part in enumerate(parts):
-        sums = [F.sum(c).alias(c) for c in ("n", "b", "l")]
-        child = tree.groupBy(*above, part).agg(*sums)
-        parent = child.groupBy(*above).agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "b", "l")))
-        share = F.col("all_b") / F.col("all_l")
-        error = F.sqrt(share * (1 - share) / F.col("l"))
-        differs = (F.col("l") > 0) & (F.abs(F.col("b") / F.col("l") - share) > similar * error) & (error > 0)
-        common = (F.col("n") >= least_pages) & (F.col("n") >= least_share * F.col("all_n"))
-        stays = saved(child.join(parent, above).where(common & differs | (F.col(part) == "")).select(*above, part, F.col(part).alias(f"t{k}")), "literals")
-        tree = saved(tree.join(stays, [*above, part], "left").withColumn(f"t{k}", F.coalesce(f"t{k}", F.lit("*"))), "branches")
-        above.append(f"t{k}")
-
-    # each template's share, smoothed from the top down
-    total = tree.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("l"), F.lit(0)).alias("l")).first()
-    templates = saved(tree.groupBy(*above).agg(F.sum("b").alias("b"), F.sum("l").alias("l")), "templates")
-    purity = F.lit(total["b"] / total["l"] if total["l"] else 0.0)
-    for k in range(len(above)):
-        node = Window.partitionBy(*above[: k + 1])
-        purity = (F.sum("b").over(node) + strength * purity) / (F.sum("l").over(node) + strength)
-    judged = saved(templates.select(*above, purity.alias("purity")), "templates")
-    shown = F.concat(F.col("host"), *(F.when(F.col(f"t{k}") != "", F.concat(F.lit("/"), F.col(f"t{k}"))).otherwise("") for k in range(DEPTH)))
-    known = saved(tree.join(judged, above).select("host", *parts, shown.alias("template"), "purity"), "judged-branches")
-
+    branches = saved(ruled.groupBy("host", "segments").agg(F.count("*").alias("n"), blocked.alias("b"), labelled.alias("l")), "branches")
+    total = branches.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("l"), F.lit(0)).alias("l")).first()
+    everywhere = F.lit(total["b"] / total["l"] if total["l"] else 0.0)
+
+    def judged(rows: DataFrame) -> DataFrame:
+        """Rows with their node's smoothed share in ``purity``, and whether its labels differ."""
+        sums = rows.groupBy("node").agg(F.sum("b").alias("_b"), F.sum("l").alias("_l"), F.max("above").alias("_p"))
+        share = sums.select("node", ((F.col("_b") + strength * F.col("_p")) / (F.col("_l") + strength)).alias("purity"), ((F.col("_b") > 0) & (F.col("_b") < F.col("_l"))).alias("mixed"))
+        return saved(rows.drop("above").join(saved(share, "nodes"), "node"), "branches")
+
+    # level by level: a node is a template; rows of nodes whose labels are alike are done
+    open_ = judged(branches.select("host", "segments", "n", "b", "l", F.col("host").alias("node"), everywhere.alias("above")))
+    done, k = None, 0
+    while True:
+        over = ~F.col("mixed") | (F.size("segments") < k)
+        ended = open_.where(over).select("host", "segments", "node", "purity")
+        done = ended if done is None else done.unionAll(ended)
+        open_ = open_.where(~over).withColumn("part", F.coalesce(F.get("segments", F.lit(k)), F.lit("")))
+        below = open_.groupBy("node").agg(F.sum("n").alias("all_n"), F.max(F.size("segments")).alias("deepest"))
+        if below.where(F.col("deepest") > k).isEmpty():
+            done = done.unionAll(open_.select("host", "segments", "node", "purity"))
+            break
+        sums = open_.groupBy("node", "part").agg(*(F.sum(c).alias(c) for c in ("n", "b", "l")))
+        frequent = sums.join(below.select("node", "all_n"), "node").where((F.col("l") > 0) & (F.col("n") >= least_pages) & (F.col("n") >= least_share * F.col("all_n")))
+        groups = saved(_groups(frequent, similar), "branch-groups")
+        # paths that end here are a branch of their own
+        group = F.when(F.col("part") == "", F.lit("")).otherwise(F.coalesce("group", F.lit("*")))
+        placed = open_.join(groups, ["node", "part"], "left").select("host", "segments", "n", "b", "l", F.when(group == "", F.concat("node", F.lit("/"))).otherwise(F.concat_ws("/", "node", group)).alias("node"), F.col("purity").alias("above"))
+        open_ = judged(placed)
+        k += 1
+
+    known = saved(done.select("host", "segments", F.rtrim(F.col("node"), F.lit("/")).alias("template"), "purity"), "judged-branches")
     verdict = F.coalesce(outcome, F.when(F.col("purity") > reject_above, "block").otherwise("allow"))
-    return ruled.join(known, ["host", *parts], "left").select(F.col("id").alias(id_col), "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
+    return ruled.join(known, ["host", "segments"], "left").select(F.col("id").alias(id_col), "host", "path", "rule", "template", "purity", verdict.alias("verdict"))

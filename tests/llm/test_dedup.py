@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 import unicodedata
 
 import duckdb
@@ -162,6 +163,18 @@ def test_lines_on_many_sites(spark):
         assert sorted(map(tuple, dedup_lines(df, least).select("doc_id", "text", "lines_removed").collect()), key=str) == brute_lines(rows, least)
 
 
+def test_many_lines_in_one_text_take_linear_time(spark):
+    seconds = []
+    for n in (20_000, 160_000):
+        lines = "\n".join(f"line {k}" for k in range(n))
+        df = spark.createDataFrame([(d, lines + f"\nown {d}", f"s{d}") for d in range(3)], "doc_id long, text string, source string")
+        began = time.perf_counter()
+        got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in dedup_lines(df, 3).select("doc_id", "text", "lines_removed").collect()}
+        seconds.append(time.perf_counter() - began)
+        assert got == {0: (lines + "\nown 0", 0), 1: ("own 1", n), 2: ("own 2", n)}
+    assert seconds[1] < 16 * seconds[0]
+
+
 def test_lines_of_nothing(empty):
     assert dedup_lines(empty).count() == 0
 
