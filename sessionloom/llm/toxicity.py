@@ -15,10 +15,9 @@ clean texts are used for the prior only.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import give_back, saved
 
-__all__ = ["Classifier", "feature", "nn_pu_risk_gradient", "score", "train", "train_linear"]
+__all__ = ["Classifier", "features_of", "nn_pu_risk_gradient", "score", "train", "train_linear"]
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the sample that the classifier is fitted on.
@@ -40,8 +39,8 @@ MOST_FEATURES, LEAST_TEXTS = 4_096, 4
 CLEAR = 4.0
 #: Lengths of the beginnings of words that are features beside the words.
 BEGINNINGS = range(4, 8)
-#: Characters looked at in one go, and words a worker remembers; bound memory only.
-CHARS_AT_ONCE, REMEMBERED_WORDS = 1_000_000, 200_000
+#: Characters looked at in one go; bounds memory only.
+CHARS_AT_ONCE = 1_000_000
 
 
 def words_of(text: str) -> Counter[str]:
@@ -58,31 +57,26 @@ def words_of(text: str) -> Counter[str]:
     return found
 
 
-def feature(name: str) -> int:
-    """The number of a feature: of a word, or of ``^`` and a beginning of words."""
-    return xxhash.xxh64_intdigest(name) - (1 << 63)
-
+def features_of(word: str) -> list[str]:
+    """The features of a word: itself, and its beginnings with a ``^`` before them."""
+    return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)]
 
-def features_of(word: str) -> list[int]:
-    """The features of a word: itself and its beginnings."""
-    return [feature(word), *(feature("^" + word[:k]) for k in BEGINNINGS if len(word) > k)]
 
+def number(name: str) -> int:
+    """A feature as a number, to count it by."""
+    return xxhash.xxh64_intdigest(name) - (1 << 63)
 
-def values_of(words: dict[str, int], places: dict[int, int], known: dict[str, tuple[int, ...]]) -> tuple[list[int], list[float]]:
-    """Columns and values of a text's row: for each feature that the model knows whether it is there, and how frequent it is.
 
-    ``known`` remembers the columns of words.
-    """
+def values_of(words: dict[str, int], places: dict[str, int]) -> tuple[list[int], list[float]]:
+    """Columns and values of a text's row: for each feature that the model knows whether it is there, and how frequent it is."""
     counts: dict[int, int] = {}
+    total = 0
     for word, n in words.items():
-        at = known.get(word)
-        if at is None:
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-            at = known[word] = tuple(places[f] for f in features_of(word) if f in places)
-        for k in at:
-            counts[k] = counts.get(k, 0) + n
-    total = sum(words.values())
+        total += n
+        for f in features_of(word):
+            k = places.get(f)
+            if k is not None:
+                counts[k] = counts.get(k, 0) + n
     at = sorted(counts)
     return [*(2 * k for k in at), *(2 * k + 1 for k in at)], [*(0.5 for _ in at), *(float(np.log1p(100 * counts[k] / (total + 20))) for k in at)]
 
@@ -91,12 +85,11 @@ def values_of(words: dict[str, int], places: dict[int, int], known: dict[str, tu
 class Classifier:
     """Features and their weights (of being there, and of frequency): the mean of several linear classifiers, and its calibration."""
 
-    features: list[int]
+    features: list[str]
     weights: np.ndarray
     bias: float
     slope: float = 1.0
     shift: float = 0.0
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         """Probability of the toxic label for margins (bias and weights summed up)."""
@@ -211,7 +204,7 @@ def _feature_counts(rows: DataFrame) -> DataFrame:
                 some = batch.slice(k, 500)
                 lists = some.column("words")
                 coded = lists.flatten().dictionary_encode()
-                of_word = [features_of(w) for w in coded.dictionary.to_pylist()]
+                of_word = [[number(f) for f in features_of(w)] for w in coded.dictionary.to_pylist()]
                 size = np.array([len(f) for f in of_word], np.int64)
                 flat = np.fromiter((f for fs in of_word for f in fs), np.int64, int(size.sum()))
                 features, code = np.unique(flat, return_inverse=True)
@@ -229,6 +222,17 @@ def _feature_counts(rows: DataFrame) -> DataFrame:
     return rows.select("positive", "words").mapInArrow(run, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
+def _names(rows: DataFrame, chosen: dict[int, int]) -> DataFrame:
+    """(feature, name) of the chosen features, as found in the words of the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {(n, f) for w in batch.column("word").to_pylist() for f in features_of(w) if (n := number(f)) in chosen}
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([f for _, f in found], pa.string())], names=["feature", "name"])
+
+    return rows.where("positive").select(F.explode("words").alias("word")).distinct().mapInArrow(run, "feature long, name string").distinct()
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, classifiers: int = 3) -> Classifier:
     """A classifier from ``docs`` and the labels of some of them.
 
@@ -258,13 +262,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = (F.col("p") + F.col("u")) / float(n_p + n_u)
     clear = (F.col("p") / float(n_p) - F.col("u") / float(max(1, n_u))) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / max(1, n_u)) + 1e-12)
     found = _feature_counts(rows).where(F.col("p") >= LEAST_TEXTS).withColumn("clear", clear).where(F.col("clear") >= CLEAR)
-    features = [r["feature"] for r in found.orderBy(F.desc("clear"), "feature").limit(MOST_FEATURES).collect()]
+    chosen = {r["feature"]: k for k, r in enumerate(found.orderBy(F.desc("clear"), "feature").limit(MOST_FEATURES).collect())}
+    named = {r["name"]: chosen[r["feature"]] for r in _names(rows, chosen).collect()}
+    features = sorted(named, key=lambda f: (named[f], f))
     places = {f: k for k, f in enumerate(features)}
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            some = [values_of(dict(zip(w, c, strict=True)), places, remembered) for w, c in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            some = [values_of(dict(zip(w, c, strict=True)), places) for w, c in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("positive"), pa.array([a for a, _ in some], pa.list_(pa.int32())), pa.array([v for _, v in some], pa.list_(pa.float64()))], names=["_id", "positive", "at", "value"])
 
     schema = T.StructType([rows.schema["_id"], rows.schema["positive"], T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.DoubleType()))])
@@ -278,10 +283,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Classifier(features, weights, bias, slope, shift)
 
 
-#: Of the worker's last classifier: its key, and the columns of words.
-_remembered: dict[str, dict[str, tuple[int, ...]]] = {}
-
-
 def score(docs: DataFrame, classifier: Classifier, text_col: str = "text", output: str = "score", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the probability that a text is toxic in ``output``.
 
@@ -289,17 +290,14 @@ def score(docs: DataFrame, classifier: Classifier, text_col: str = "text", outpu
     have equal scores, so repeated rows do; an empty table stays empty. A column
     named ``output`` is replaced, other columns are kept, whatever their names.
     """
-    places, weights, bias, key = {f: k for k, f in enumerate(classifier.features)}, classifier.weights, classifier.bias, classifier.key
+    places, weights, bias = {f: k for k, f in enumerate(classifier.features)}, classifier.weights, classifier.bias
 
     @F.arrow_udf(T.DoubleType())
     def toxicity(texts: pa.Array) -> pa.Array:
         give_back()
-        if key not in _remembered:
-            _remembered.clear()
-            _remembered[key] = {}
         margins = []
         for t in texts:
-            at, values = values_of(words_of(t.as_py() or ""), places, _remembered[key])
+            at, values = values_of(words_of(t.as_py() or ""), places)
             margins.append(bias + sum(v * weights[k] for k, v in zip(at, values, strict=True)))
         return pa.array(classifier.score(np.array(margins, float)))
 
