@@ -1,6 +1,6 @@
 """Registered queries and the SQL they are held against."""
 
-from sessionloom.plans import aggregates, changes, clustering, decisions, models, relational, remaining, scalars  # noqa: F401
+from sessionloom.plans import aggregates, changes, clustering, decisions, models, registries, relational, remaining, scalars  # noqa: F401
 from sessionloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["oracle_sql", "queries"]

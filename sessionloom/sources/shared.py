@@ -7,14 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["saved", "shared_dir"]
+__all__ = ["release", "saved", "shared_dir"]
+
+#: Tables written by this process, which ``release`` removes.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     It is the session's ``spark.checkpoint.dir``, or the folder already set on
-    the context; only where neither is set (local tests) a temporary one is made.
+    the context. Where neither is set a temporary one is made if the master is
+    local; on a cluster that would be one machine's own, so it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -23,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="sessionloom-checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -37,4 +43,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sessionloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables that ``saved`` has written in this process, once results that read them are written; returns how many."""
+    jvm, n = spark._jvm, len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
