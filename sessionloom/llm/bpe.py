@@ -44,6 +44,17 @@ def byte_symbols() -> list[str]:
     return [at[b] for b in range(256)]
 
 
+#: Letters and digits that are newer than the library's character classes (Unicode 16), to which they are neither.
+NEWER = "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 323B0-33479 3D000-3FC3F"
+#: Capitals that Python's tables (Unicode 15) don't know, with their small letters.
+NEWER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+
+
+def _as_class(ranges: str) -> str:
+    """Ranges of hexadecimal numbers as the inside of a character class."""
+    return "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in ranges.split())
+
+
 class WordBPE:
     """A tokenizer file whose words end in a marker; see ``encode_words`` for the method."""
 
@@ -79,7 +90,12 @@ class WordBPE:
         self.bytes_of = {s: b for b, s in enumerate(self.symbols)}
         self.as_symbols = {b: s for b, s in enumerate(self.symbols)}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.word = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        split = split.replace(r"\s", r"\p{White_Space}")
+        self.word = regex.compile(split)
+        # characters that are newer than the library's tables are no letters or digits to it
+        newer = _as_class(NEWER)
+        self.newer = regex.compile(f"[{newer}{''.join(map(chr, NEWER_CAPITALS))}]")
+        self.word_but_newer = regex.compile("(?V1)" + regex.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--[{newer}]]", split))
         self.white = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.token_array = pa.array(self.tokens, pa.string())
@@ -98,9 +114,12 @@ class WordBPE:
 
         No word holds white space, so folding it first would change nothing.
         """
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.word.findall(text.lower())
+        if text.isascii():
+            return self.word.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if self.newer.search(text):
+            return self.word_but_newer.findall(text.translate(NEWER_CAPITALS))
+        return self.word.findall(text)
 
     def pieces(self, text: str) -> list[str | int]:
         """Words, and the ids of special tokens, in order."""

@@ -1,10 +1,12 @@
 """BPE against the tokenizers library."""
 
 import random
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -54,6 +56,15 @@ def test_any_latin_text(ours, theirs, texts):
     check(ours, theirs, texts)
 
 
+def test_every_kind_of_character_is_split_as_the_library_does(ours, theirs):
+    # all that Python's tables or those of regex call a letter, a digit or a mark, but for long runs of ideographs and private use; and every 16th of the rest
+    telling = regex.compile(r"[\p{L}\p{N}\p{M}\p{Z}\p{Cc}\p{Cf}]")
+    plain = [(0x3500, 0x4D00), (0x4F00, 0x9F00), (0xAC10, 0xD790), (0x17010, 0x18700), (0x20010, 0x2A600), (0x2A710, 0x2EBD0), (0x30010, 0x323A0), (0x323C0, 0x33470), (0x3D010, 0x3FC30)]
+    some = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and not any(a <= c < b for a, b in plain) and (c % 16 == 0 and c < 0x40000 or telling.match(chr(c)) or (unicodedata.category(chr(c)) != "Cn" and not 0xE000 <= c <= 0xF8FF and c < 0xF0000))]
+    for k in range(0, len(some), 20_000):
+        check(ours, theirs, [f"a{chr(c)}b1{chr(c)}{chr(c)} {chr(c)}'s !{chr(c)}?" for c in some[k : k + 20_000]])
+
+
 def test_pair_check_is_exact(ours):
     r = np.random.default_rng(0)
     ids = np.array([i for t, i in ours.inner.items() if len(t) > 1])
