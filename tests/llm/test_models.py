@@ -245,6 +245,44 @@ def test_mixing_targets_and_sizes(spark):
     assert sorted(map(str, got)) == sorted(map(str, M.mix(docs.repartition(2), [3.0, 1.0, 2.0]).collect()))
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_draw_against_brute_force(spark, weighted):
+    random = np.random.default_rng(7)
+    rows = [(k, " ".join("x" * int(random.integers(0, 30))), "ab"[k % 3 == 0], float(random.integers(1, 5))) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double").repartition(3)
+    got = {r["doc_id"]: r for r in M.mix(docs, [3.0, 1.0], weight_col="weight" if weighted else None).collect()}
+    u = {r["doc_id"]: r["u"] for r in docs.select("doc_id", M.uniform("doc_id", F.xxhash64("text")).alias("u")).collect()}
+    for source in "ab":
+        mine = [(i, len(t.split()), w if weighted else 1.0) for i, t, s, w in rows if s == source]
+        target = got[mine[0][0]]["target"]
+        rate = target / sum(n * w for _, n, w in mine)
+        while True:  # what documents at two copies can't take is due to the others
+            full, rest = sum(2 * n for _, n, w in mine if rate * w >= 2), sum(n * w for _, n, w in mine if rate * w < 2)
+            raised = max(rate, (target - full) / rest) if rest else rate
+            if raised <= rate * (1 + 1e-9):
+                break
+            rate = raised
+        ranking, copies, wanted = [], {}, target
+        for i, n, w in mine:
+            due = min(rate * w, 2.0)
+            copies[i] = math.floor(due + 1e-9)
+            wanted -= copies[i] * n
+            chance = max(due - copies[i], 0.0)
+            if chance > 0:
+                odds = u[i] / (1 - u[i]) * (1 - chance) / chance
+                ranking.append((odds / (1 + odds), i, n))
+        filled, rest = 0, []
+        for rank, i, n in sorted(ranking):
+            if filled + n <= wanted and not rest:
+                filled, copies[i] = filled + n, copies[i] + 1
+            else:
+                rest.append((abs(n - (wanted - filled)), rank, i, n))
+        fits = [x for x in ((abs(n - (wanted - filled)), rank, i, n) for _, rank, i, n in rest) if x[3] > 0 and x[0] < wanted - filled]
+        if fits:
+            copies[min(fits)[2]] += 1
+        assert {i: got[i]["copies"] for i, _, _ in mine} == copies
+
+
 def test_weighted_mixing_takes_more_of_heavy_documents(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('w ', 5) AS text", "'a' AS source", "CASE WHEN id % 4 = 0 THEN 6.0D ELSE 1.0D END AS weight")
     got = M.mix(docs, [1.0], share=0.6, weight_col="weight").collect()
