@@ -117,6 +117,19 @@ def test_density_clusters_against_brute_force(spark):
         assert got[k] == min(same) or sizes[-1] and len(same) < 5
 
 
+def test_tables_of_random_planes_find_nearly_all_links(spark):
+    random = np.random.default_rng(4)
+    centres = random.normal(size=(12, 24))
+    x = np.concatenate([c + random.normal(scale=0.12, size=(50, 24)) for c in centres] + [random.normal(size=(80, 24))])
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    exact, found = ({r["id"]: r["cluster"] for r in density_clusters(vectors, cut=0.2, tables=t, bucket=20).collect()} for t in (0, 16))
+    assert len(set(exact.values())) == 13
+    pairs = [(a, b) for a in exact for b in range(0, a, 7) if exact[a] == exact[b] != -1]
+    assert sum(found[a] == found[b] != -1 for a, b in pairs) >= 0.9 * len(pairs)
+    # and joins nothing that all pairs leave apart
+    assert all(exact[k] == exact[found[k]] for k in found if found[k] != -1)
+
+
 def test_linkage_is_average_linkage():
     near = {("a", "b"): 0.9, ("a", "c"): 0.2, ("b", "c"): 0.4, ("a", "d"): 0.1, ("b", "d"): 0.1, ("c", "d"): 0.35}
     got = C.linkage_groups(list("abcd"), lambda x, y: near[(x, y)], 2)
