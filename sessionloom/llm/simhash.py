@@ -298,8 +298,9 @@ def _residue_links(rows: DataFrame, active: DataFrame, made: DataFrame, words_pe
     in the group of their first equal sample only. What leaves a unit is a
     spanning forest of its links.
     """
-    of = active.join(made, "id")
-    blocks = of.groupBy("nth", "fp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES, F.lit(1.0))).cast("int").alias("blocks"))
+    # both written, so that their join has an exchange of its own and a hot group can be split
+    of = saved(active.join(made, "id"), "grouped")
+    blocks = saved(of.groupBy("nth", "fp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES, F.lit(1.0))).cast("int").alias("blocks")), "blocks")
     dealt = of.join(blocks, ["nth", "fp"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "nth", "fp", "component", "samples", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     needed = saved(active.select("id").distinct(), "needed")
