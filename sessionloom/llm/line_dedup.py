@@ -72,7 +72,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", tex
     others = [c for c in docs.columns if c != "lines_removed"]
     # texts that certainly keep all lines stay where they are
     changes = likely_in(gone, key, F.col(id_col))
-    joined = docs.where(changes).select(*others).join(gone, F.col(id_col) == F.col(key), "left")
+    # lists of positions are small as files and large in memory, so they are not to be broadcast by their size on disk
+    joined = docs.where(changes).select(*others).join(gone.hint("merge"), F.col(id_col) == F.col(key), "left")
     text = F.when(F.col(marks).isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(marks)))
     changed = joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in others), F.coalesce(F.size(marks), F.lit(0)).alias("lines_removed"))
     return docs.where(~changes).select(*others, F.lit(0).alias("lines_removed")).unionAll(changed)
