@@ -154,19 +154,17 @@ def z34(spark, d):
 @query("API7_retrain_and_swap")
 def api7(spark, d):
     """Voters fitted on more rows take the present ones' place, in a folder of their own, only if they are as good on rows that neither has seen."""
-    import uuid
-
     from pyspark.ml import PipelineModel
 
     from sessionloom.operators.models import fit_voters, soft_vote
-    from sessionloom.sources.shared import shared_dir
+    from sessionloom.sources.shared import fresh_path
 
     rows = table(spark, d, "conversations").select("conv_id", "turn", "text", c("role").alias("label"))
     held = rows.where("conv_id % 4 = 0")
     accuracy = lambda model: soft_vote(model, held, ["conv_id", "turn", "label"]).toDF("conv_id", "turn", "truth", "label", "p").agg(F.avg((c("truth") == c("label")).cast("double"))).first()[0]
     now, new = fit_voters(rows.where("conv_id % 4 = 1"), features=64), fit_voters(rows.where("conv_id % 4 <> 0"), features=64)
     before, after = accuracy(now), accuracy(new)
-    path = f"{shared_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "model")
     (new if after >= before else now).write().overwrite().save(path)
     return soft_vote(PipelineModel.load(path), held, ["conv_id", "turn"]).select("conv_id", "turn", "label", F.lit(after >= before).alias("swapped"))
 
@@ -174,16 +172,14 @@ def api7(spark, d):
 @query("SRC10_saved_topics")
 def src10(spark, d):
     """The topics by a model that was saved and loaded, which are those of the model itself."""
-    import uuid
-
     from pyspark.ml import PipelineModel
     from pyspark.ml.functions import vector_to_array
 
     from sessionloom.operators.models import topics
-    from sessionloom.sources.shared import shared_dir
+    from sessionloom.sources.shared import fresh_path
 
     rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    path = f"{shared_dir(spark).rstrip('/')}/topics-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "topics")
     topics(rows, k=4).write().overwrite().save(path)
     p = vector_to_array("topic_probabilities")
     return PipelineModel.load(path).transform(rows).select("conv_id", "turn", (F.array_position(p, F.array_max(p)) - 1).alias("topic"))

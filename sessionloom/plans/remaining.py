@@ -73,11 +73,9 @@ def x20(spark, d):
 
 @query("SNK11_debug_export", with_(FACTS) + "SELECT method, count(*) AS n FROM facts GROUP BY method")
 def snk11(spark, d):
-    import uuid
+    from sessionloom.sources.shared import fresh_path
 
-    from sessionloom.sources.shared import shared_dir
-
-    path = f"{shared_dir(spark).rstrip('/')}/debug-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "debug")
     facts(spark, d).select("session_id", "method").write.json(path)
     return spark.read.schema("session_id long, method string").json(path).groupBy("method").agg(F.count("*").alias("n"))
 
@@ -177,12 +175,10 @@ def z35(spark, d):
 
 @query("Z42_supervision_log", with_(FACTS) + "SELECT count(*) AS n FROM facts WHERE method = 'HUMAN_REVIEW'")
 def z42(spark, d):
-    import uuid
-
     from sessionloom.sources.jsonl import append_json
-    from sessionloom.sources.shared import shared_dir
+    from sessionloom.sources.shared import fresh_path
 
-    path = f"{shared_dir(spark).rstrip('/')}/supervision-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "supervision")
     rows = facts(spark, d).where("method = 'HUMAN_REVIEW'").select("session_id", "label")
     append_json(rows.where("session_id % 2 = 0"), path)
     append_json(rows.where("session_id % 2 = 1"), path)
@@ -203,12 +199,10 @@ def z44(spark, d):
 
 @query("SRC7_decision_log", with_(FACTS) + "SELECT session_id, label AS human_decision FROM facts WHERE method = 'HUMAN_REVIEW' AND label IS NOT NULL")
 def src7(spark, d):
-    import uuid
-
     from sessionloom.sources.jsonl import append_json, read_decisions
-    from sessionloom.sources.shared import shared_dir
+    from sessionloom.sources.shared import fresh_path
 
-    path = f"{shared_dir(spark).rstrip('/')}/decisions-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "decisions")
     rows = facts(spark, d).where("method = 'HUMAN_REVIEW'").select(c("session_id").cast("string").alias("session_id"), c("label").alias("human_decision"))
     append_json(rows, path)
     return read_decisions(spark, path).select(c("session_id").cast("long").alias("session_id"), "human_decision")
@@ -259,12 +253,10 @@ def src6(spark, d):
 
 @query("SNK9_append_decision", with_(FACTS) + "SELECT session_id, label FROM facts WHERE review_status IN ('resolved', 'completed') AND label IS NOT NULL")
 def snk9(spark, d):
-    import uuid
-
     from sessionloom.sources.jsonl import append_json
-    from sessionloom.sources.shared import shared_dir
+    from sessionloom.sources.shared import fresh_path
 
-    path = f"{shared_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "log")
     rows = facts(spark, d).select("session_id", "label", "review_status")
     for status in ("resolved", "completed"):
         append_json(rows.where(c("review_status") == status).select("session_id", "label"), path)
@@ -273,15 +265,13 @@ def snk9(spark, d):
 
 @query("SNK12_saved_model")
 def snk12(spark, d):
-    import uuid
-
     from pyspark.ml import PipelineModel
 
     from sessionloom.operators.models import fit_voters, soft_vote
-    from sessionloom.sources.shared import shared_dir
+    from sessionloom.sources.shared import fresh_path
 
     rows = table(spark, d, "conversations").select("conv_id", "turn", "text", c("role").alias("label"))
-    path = f"{shared_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "model")
     fit_voters(rows.where("conv_id % 4 <> 0"), features=64).write().overwrite().save(path)
     return soft_vote(PipelineModel.load(path), rows.where("conv_id % 4 = 0"), ["conv_id", "turn"]).select("conv_id", "turn", "label")
 

@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["release", "saved", "shared_dir"]
+__all__ = ["fresh_path", "release", "saved", "shared_dir"]
 
-#: Tables written by this process, which ``release`` removes.
+#: Tables and folders written by this process, which ``release`` removes.
 _written: list[str] = []
 
 
@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing stands at yet; ``release`` removes what is written there."""
+    path = f"{shared_dir(spark).rstrip('/')}/sessionloom-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -41,9 +48,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     if it is below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sessionloom-{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
