@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode
-from .common import likely_in, load, saved
+from .common import fresh_path, likely_in, load, saved
 from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprints, with_next
 from .html_extract import extract
@@ -18,6 +18,7 @@ from .mixing import mix
 from .simhash import components_of
 from .toxicity import score, train as train_toxicity
 from .url_filter import judge_urls
+from .warc import read_warc, records_of_pages, write_warc
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -158,11 +159,36 @@ FROM documents
 """
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive, read back: responses, whose digests are those of the payloads read, and revisits."""
+    path = fresh_path(spark, "warc")
+    write_warc(records_of_pages(load(spark, sf_dir, "pages"), least_bytes=0), path)
+    columns = ["record_id", "record_type", "payload_digest", "payload_length", "refers_to", "digest_ok"]
+    found = read_warc(spark, path, columns).where(F.col("record_type").isin("response", "revisit"))
+    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return found.select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", page("refers_to").alias("refers_to"), "digest_ok")
+
+
+OP11_SQL = """
+WITH payloads AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages
+), bits AS (
+    SELECT *, list_aggregate(list_transform(string_split(sha1(payload), ''), lambda d: right(bin(strpos('0123456789abcdef', d) + 15), 4)), 'string_agg', '') AS bits FROM payloads
+)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda j: CAST(substr(bits, 5 * k + j + 1, 1) AS INT) * CAST(2 ** (4 - j) AS INT))) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to,
+       CASE WHEN page_id IS NOT DISTINCT FROM keep THEN TRUE END AS digest_ok
+FROM bits
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_language": op3_language, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_language": op3_language, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup, "op11_warc": op11_warc}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op11_warc": OP11_SQL}
