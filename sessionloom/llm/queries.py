@@ -14,6 +14,7 @@ from .fingerprints import fingerprints, with_next
 from .html_extract import extract
 from .language import held_out, identify, train
 from .line_dedup import dedup_lines
+from .merkle import concatenated, folded, leaf_hash, merkle_manifest
 from .mixing import mix
 from .simhash import components_of
 from .toxicity import score, train as train_toxicity
@@ -184,11 +185,72 @@ FROM bits
 """
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents, and the root that each one gives, a seventh of them after tampering."""
+    docs = load(spark, sf_dir, "documents")
+    leaf = lambda n_chars: leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, leaf(F.col("n_chars") + 1))
+    found = merkle_manifest(docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), tampered.alias("tampered")), "leaf", "lang", "doc_id", keep=["doc_id", "tampered"])
+    told = found.select("doc_id", "leaf", "subroot", "root", F.sha2(concatenated(), 256).alias("proof_sha256"), folded(F.coalesce("tampered", "leaf")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of all levels, and each leaf's path with its proof so far, of trees given by (tree, i, leaf, node)."""
+    return f"""
+{name}_nodes(tree, level, i, h, n) AS (
+    SELECT tree, 0, i, leaf, count(*) OVER (PARTITION BY tree) FROM {leaves}
+    UNION ALL
+    SELECT tree, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), max((n + 1) // 2) FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, i // 2
+), {name}_paths(tree, leaf_i, level, i, node, proof) AS (
+    SELECT tree, i, 0, i, node, '' FROM {leaves}
+    UNION ALL
+    SELECT p.tree, p.leaf_i, p.level + 1, p.i // 2,
+           sha256(CASE WHEN s.h IS NULL THEN p.node WHEN p.i % 2 = 0 THEN p.node || s.h ELSE s.h || p.node END), p.proof || coalesce(s.h, '')
+    FROM {name}_paths p JOIN {name}_nodes t ON t.tree = p.tree AND t.level = p.level AND t.i = p.i AND t.n > 1
+    LEFT JOIN {name}_nodes s ON s.tree = p.tree AND s.level = p.level AND s.i = xor(p.i, CAST(1 AS BIGINT))
+), {name}_tops AS (
+    SELECT p.tree, p.leaf_i, p.node, p.proof, t.h AS top FROM {name}_paths p JOIN {name}_nodes t ON t.tree = p.tree AND t.level = p.level AND t.n = 1
+)"""
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+# crc32 of a decimal id, bit by bit, as DuckDB has no function for it
+OP12_SQL = f"""
+WITH RECURSIVE crcs(doc_id, rest, crc) AS (
+    SELECT doc_id, CAST(doc_id AS VARCHAR), CAST(4294967295 AS BIGINT) FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+    UNION ALL
+    SELECT doc_id, substr(rest, 2), list_reduce(list_prepend(xor(crc, CAST(ascii(rest) AS BIGINT)), [CAST(k AS BIGINT) for k in range(8)]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END) FROM crcs WHERE rest <> ''
+), hashed AS (
+    SELECT doc_id, coalesce('s' || lang, '') AS tree, {{leaf}} AS leaf,
+           CASE WHEN xor(crc, CAST(4294967295 AS BIGINT)) % 7 = 0 THEN {{tampered}} ELSE {{leaf}} END AS node
+    FROM documents LEFT JOIN (SELECT doc_id, crc FROM crcs WHERE rest = '') USING (doc_id)
+), leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed
+), {_tree_sql("low", "leaves").strip()}, subroots AS (
+    SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, tree AS own, h AS leaf, h AS node FROM low_nodes WHERE n = 1
+), {_tree_sql("high", "subroots").strip()}, tampered AS (
+    SELECT l.tree, l.i, s.i AS high_i, p.proof, 0 AS forest, p.node AS node FROM leaves l JOIN low_tops p ON p.tree = l.tree AND p.leaf_i = l.i JOIN subroots s ON s.own = l.tree
+), rising(tree, i, level, high_i, node) AS (
+    SELECT tree, i, 0, high_i, node FROM tampered
+    UNION ALL
+    SELECT r.tree, r.i, r.level + 1, r.high_i // 2, sha256(CASE WHEN s.h IS NULL THEN r.node WHEN r.high_i % 2 = 0 THEN r.node || s.h ELSE s.h || r.node END)
+    FROM rising r JOIN high_nodes t ON t.level = r.level AND t.i = r.high_i AND t.n > 1 LEFT JOIN high_nodes s ON s.level = r.level AND s.i = xor(r.high_i, CAST(1 AS BIGINT))
+)
+SELECT l.doc_id, l.leaf, s.leaf AS subroot, h.top AS root, sha256(p.proof || h.proof) AS proof_sha256, r.node AS folded_root, r.node = h.top AS verified
+FROM leaves l JOIN low_tops p ON p.tree = l.tree AND p.leaf_i = l.i JOIN subroots s ON s.own = l.tree JOIN high_tops h ON h.leaf_i = s.i
+JOIN rising r ON r.tree = l.tree AND r.i = l.i AND r.level = (SELECT max(level) FROM high_nodes)
+""".replace("{leaf}", f"sha256({' || '.join(map(_field_sql, ['doc_id', 'source', 'lang', 'n_chars', 'text']))})").replace("{tampered}", f"sha256({' || '.join(map(_field_sql, ['doc_id', 'source', 'lang', '(n_chars + 1)', 'text']))})")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_language": op3_language, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup, "op11_warc": op11_warc}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_language": op3_language, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup, "op11_warc": op11_warc, "op12_merkle": op12_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op11_warc": OP11_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op11_warc": OP11_SQL, "op12_merkle": OP12_SQL}
