@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode
 from .common import fresh_path, likely_in, load, saved
+from .divergence import divergence
 from .exact_dedup import exact_duplicates
 from .fingerprints import fingerprints, with_next
 from .html_extract import extract
@@ -246,11 +247,49 @@ JOIN rising r ON r.tree = l.tree AND r.i = l.i AND r.level = (SELECT max(level)
 """.replace("{leaf}", f"sha256({' || '.join(map(_field_sql, ['doc_id', 'source', 'lang', 'n_chars', 'text']))})").replace("{tampered}", f"sha256({' || '.join(map(_field_sql, ['doc_id', 'source', 'lang', '(n_chars + 1)', 'text']))})")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and the terms that mark them."""
+    return divergence(load(spark, sf_dir, "documents"), least=30, top=50)
+
+
+OP13_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS (
+    SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+), langs AS (
+    SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), sources AS (
+    SELECT DISTINCT lang, source FROM docs
+), dense AS (
+    SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY s.lang, s.source) AS total, l.v,
+           1 + (1000000000 * (k.n + 5)) // CAST(l.total + 5 * l.v AS BIGINT) AS q
+    FROM sources s JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), shares AS (
+    SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // CAST(total + 5 * v AS BIGINT) AS p, q FROM dense
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(d.value, 0) AS value FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM shares x JOIN shares y USING (lang, term) GROUP BY ALL) d
+    ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+), found AS (
+    SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs
+    UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_language": op3_language, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup, "op11_warc": op11_warc, "op12_merkle": op12_merkle}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_language": op3_language, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_fingerprints": op9_fingerprints, "op10_exact_dedup": op10_exact_dedup, "op11_warc": op11_warc, "op12_merkle": op12_merkle, "op13_divergence": op13_divergence}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op11_warc": OP11_SQL, "op12_merkle": OP12_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op11_warc": OP11_SQL, "op12_merkle": OP12_SQL, "op13_divergence": OP13_SQL}
