@@ -58,7 +58,7 @@ NAMED = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri"
 WHOLE = {"payload", "digest_ok"}
 #: Bytes after which a task gives its rows on, and after which small files no longer share a partition.
 BATCH_BYTES = 4_000_000
-SPLIT_BYTES = 128 << 20
+SPLIT_BYTES = 32 << 20
 #: A writer begins another file after so many bytes, so no file is a large unit of work.
 FILE_BYTES = 256 << 20
 #: A header block longer than this isn't one.
@@ -205,12 +205,22 @@ DECIDES = {
 }
 
 
-def _holds(test: D.Filter, row: dict[str, Any]) -> bool:
-    """Whether a header's columns pass a predicate; as in SQL, a null passes none but those on nulls."""
+def _decided(test: D.Filter) -> bool:
+    """Whether the scan can decide a predicate: on one header field, perhaps negated."""
+    if isinstance(test, D.Not):
+        return _decided(test.child)
+    return (type(test) in DECIDES or isinstance(test, D.IsNull | D.IsNotNull)) and test.attribute[0] in {*NAMED, "content_length"} and len(test.attribute) == 1
+
+
+def _holds(test: D.Filter, row: dict[str, Any]) -> bool | None:
+    """What a predicate gives on a header's columns; as in SQL, that is null where the value is, but for predicates on nulls."""
+    if isinstance(test, D.Not):
+        held = _holds(test.child, row)
+        return None if held is None else not held
     value = row[test.attribute[0]]
-    if isinstance(test, D.IsNull):
-        return value is None
-    return value is not None and (isinstance(test, D.IsNotNull) or DECIDES[type(test)](value, test.value))
+    if isinstance(test, D.IsNull | D.IsNotNull):
+        return (value is None) == isinstance(test, D.IsNull)
+    return None if value is None else DECIDES[type(test)](value, test.value)
 
 
 def _records(file: Any, name: str, tests: list[D.Filter], wanted: set[str]) -> Iterator[dict[str, Any]]:
@@ -302,7 +312,7 @@ class WarcReader(D.DataSourceReader):
     def pushFilters(self, filters: list[D.Filter]) -> Iterator[D.Filter]:
         """Predicates on header fields are decided in the scan, all others by Spark."""
         for test in filters:
-            if test.attribute[0] in {*NAMED, "content_length"} and len(test.attribute) == 1 and (isinstance(test, D.IsNull | D.IsNotNull) or type(test) in DECIDES):
+            if _decided(test):
                 self.tests.append(test)
             else:
                 yield test
