@@ -79,9 +79,11 @@ def diverse_representatives(vectors: DataFrame, cluster: str, id_col: str = "id"
     return out.select(F.col("c").alias(cluster), F.col("i").alias(id_col), "rank")
 
 
-def silhouettes(vectors: DataFrame, cluster: str, v: str = "v", id_col: str = "vec_id") -> DataFrame:
+def silhouettes(vectors: DataFrame, cluster: str, v: str = "v", id_col: str = "vec_id", by: str | None = None) -> DataFrame:
     """``vectors`` with each member's ``silhouette`` under squared distances; clusters named -1 are left out.
 
+    With ``by`` (whole numbers) each value has clusters of its own, and an id counts once in each.
+
     The mean squared distance to a cluster follows from its size, its centre
     and the mean of its members' squared lengths, so no pairs of members are
     made. Members and clusters meet in blocks, each a product of matrices, of
@@ -90,11 +92,13 @@ def silhouettes(vectors: DataFrame, cluster: str, v: str = "v", id_col: str = "v
     from sessionloom.functions.numbers import dot
     from sessionloom.operators.vectors import _matrix, block_pairs, centroids
 
-    rows = vectors.where(F.col(cluster) != -1)
-    shape = rows.groupBy(cluster).agg(F.count("*").alias("_n"), F.avg(dot(F.col(v), F.col(v))).alias("_q")).join(centroids(rows, cluster, v), cluster)
+    rows = vectors.where(F.col(cluster) != -1).withColumn("_g", F.col(by).cast("long") if by else F.lit(0).cast("long"))
+    keyed = rows.withColumn("_key", F.struct("_g", cluster))
+    shape = keyed.groupBy("_key").agg(F.count("*").alias("_n"), F.avg(dot(F.col(v), F.col(v))).alias("_q")).join(centroids(keyed, "_key", v), "_key")
+    shape = shape.select(F.col("_key._g").alias("_g"), F.col(f"_key.{cluster}").alias(cluster), "_n", "_q", "centroid")
     # a cluster as a vector: twice its centre, and the mean squared length of its members
-    shapes = shape.select(F.lit(0).alias("g"), F.col(cluster).cast("long").alias("i"), F.concat(F.transform("centroid", lambda x: 2 * x), F.array("_q")).alias("v"))
-    asked = rows.select(F.lit(0).alias("g"), F.col(id_col).cast("long").alias("i"), F.concat(F.col(v), F.array(F.col(cluster).cast("double"))).alias("v"))
+    shapes = shape.select(F.col("_g").alias("g"), F.col(cluster).cast("long").alias("i"), F.concat(F.transform("centroid", lambda x: 2 * x), F.array("_q")).alias("v"))
+    asked = rows.select(F.col("_g").alias("g"), F.col(id_col).cast("long").alias("i"), F.concat(F.col(v), F.array(F.col(cluster).cast("double"))).alias("v"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,10 +108,12 @@ def silhouettes(vectors: DataFrame, cluster: str, v: str = "v", id_col: str = "v
                 far = (qv[:, :-1] ** 2).sum(axis=1)[:, None] + mv[:, -1][None, :] - qv[:, :-1] @ mv[:, :-1].T
                 inside = np.where(own, far, np.inf).min(axis=1)
                 outside = np.where(own, np.inf, far).min(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(inside), pa.array(outside)], names=["_id", "_a", "_b"])
+                group = np.full(len(qi), batch.column("g")[row].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(qi), pa.array(inside), pa.array(outside)], names=["_m", "_id", "_a", "_b"])
 
-    met = block_pairs(asked, shapes).mapInArrow(meet, "_id long, _a double, _b double").groupBy("_id").agg(F.greatest(F.lit(0.0), F.min("_a")).alias("_a"), F.greatest(F.lit(0.0), F.min("_b")).alias("_b"))
-    joined = rows.drop(v).join(met, F.col(id_col) == F.col("_id")).join(shape.select(F.col(cluster).alias("_c"), "_n"), F.col(cluster) == F.col("_c"))
+    met = block_pairs(asked, shapes).mapInArrow(meet, "_m long, _id long, _a double, _b double").groupBy("_m", "_id").agg(F.greatest(F.lit(0.0), F.min("_a")).alias("_a"), F.greatest(F.lit(0.0), F.min("_b")).alias("_b"))
+    own = shape.select(F.col("_g").alias("_s"), F.col(cluster).alias("_c"), "_n")
+    joined = rows.drop(v).join(met, (F.col(id_col) == F.col("_id")) & (F.col("_g") == F.col("_m"))).join(own, (F.col(cluster) == F.col("_c")) & (F.col("_g") == F.col("_s")))
     own = F.col("_a") * F.col("_n") / (F.col("_n") - 1)
     s = F.when((F.col("_n") < 2) | (F.col("_b") == float("inf")), 0.0).otherwise((F.col("_b") - own) / F.greatest("_b", own))
     return joined.select(*(c for c in vectors.columns if c != v), s.alias("silhouette"))

@@ -74,13 +74,13 @@ def _numbers(rows: DataFrame) -> DataFrame:
 
 
 def block_pairs(queries: DataFrame, memory: DataFrame) -> DataFrame:
-    """(q, m): each block of the queries with each block of the memory of its group; both sides have (g, i, v).
+    """(g, q, m): each block of the queries with each block of the memory of its group; both sides have (g, i, v).
 
     A block of queries is sent to every block of the memory, by group and number,
     so that the pairs of one group are dealt over all tasks.
     """
     q = _blocks(queries, "q").drop("b").join(_numbers(memory), "g").select("g", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("b"))
-    return q.join(_blocks(memory, "m"), ["g", "b"]).select("q", "m")
+    return q.join(_blocks(memory, "m"), ["g", "b"]).select("g", "q", "m")
 
 
 def percentiles(rows: DataFrame, key: str, value: str, share: float, output: str, slack: float = 0.005) -> DataFrame:

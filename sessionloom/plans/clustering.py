@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import numbers as N
 from sessionloom.operators import clusters as C
 from sessionloom.operators.density import density_clusters, recluster_outliers
+from sessionloom.operators.hierarchy import hierarchical_clusters
 from sessionloom.operators.vectors import centroid_distances, percentiles
 from sessionloom.plans.oracle import FACTS, VECTORS, with_
 from sessionloom.plans.registry import query
@@ -21,7 +22,8 @@ c = F.col
 @query("C1_density_clusters")
 def c1(spark, d):
     rows = vectors(spark, d).select(c("vec_id").alias("id"), "v")
-    return density_clusters(rows).select("id", "cluster", F.round("probability", 4).alias("probability"))
+    found = hierarchical_clusters(rows, min_cluster_size=5, min_samples=3, epsilon=0.08)
+    return found.select("id", "cluster", F.round("probability", 4).alias("probability"), F.round("outlier_score", 4).alias("outlier_score"))
 
 
 @query("C2_silhouette", with_(VECTORS) + """, p AS (SELECT a.vec_id, a.label AS own, b.label AS other, avg(2 - 2 * list_dot_product(a.v, b.v) + (list_dot_product(a.v, a.v) - 1) + (list_dot_product(b.v, b.v) - 1)) AS m, count(*) AS n FROM vectors a CROSS JOIN vectors b GROUP BY 1, 2, 3),
@@ -42,7 +44,7 @@ def c4(spark, d):
     # groups of ten and more are clustered on their own; a single sub-cluster refines nothing
     rows = vectors(spark, d).select(c("vec_id").alias("id"), "v", "label")
     large = rows.groupBy("label").count().where("count >= 10").select("label")
-    found = density_clusters(rows.join(large, "label", "left_semi"), by="label").join(rows.select("id", "label"), "id")
+    found = hierarchical_clusters(rows.join(large, "label", "left_semi"), by="label").join(rows.select("id", "label"), "id")
     return found.groupBy("label").agg(F.count_distinct(F.when(c("cluster") != -1, c("cluster"))).alias("n_parts"), F.count_if(c("cluster") == -1).alias("n_outliers"))
 
 

@@ -144,9 +144,9 @@ def q13(spark, d):
     return facts(spark, d).where("label = 'altro'").select("session_id", F.when(agree & (c("ml_conf") >= 0.9), "reuse").when(agree, "new").otherwise("human").alias("action"))
 
 
-@query("Q15_tag_bootstrap", with_(FACTS, TAGS) + ", t AS (SELECT llm_label, count(*) AS n, round(avg(llm_conf), 4) AS conf FROM facts WHERE llm_label IS NOT NULL GROUP BY 1) SELECT llm_label, n, conf >= .85 AS approved FROM t WHERE n >= 3 AND conf >= .4 AND llm_label NOT IN (SELECT tag_name FROM tags) ORDER BY n DESC, llm_label LIMIT 20")
+@query("Q15_tag_bootstrap", with_(FACTS, TAGS) + ", t AS (SELECT llm_label, count(*) AS n, round(avg(llm_conf), 4) AS conf FROM facts WHERE llm_label IS NOT NULL GROUP BY 1) SELECT llm_label, n, conf >= .85 AS approved FROM t WHERE n >= 3 AND conf >= .6 AND llm_label NOT IN (SELECT tag_name FROM tags) ORDER BY n DESC, llm_label LIMIT 20")
 def q15(spark, d):
-    topics = facts(spark, d).where("llm_label IS NOT NULL").groupBy("llm_label").agg(F.count("*").alias("n"), F.round(F.avg("llm_conf"), 4).alias("conf")).where("n >= 3 AND conf >= 0.4")
+    topics = facts(spark, d).where("llm_label IS NOT NULL").groupBy("llm_label").agg(F.count("*").alias("n"), F.round(F.avg("llm_conf"), 4).alias("conf")).where("n >= 3 AND conf >= 0.6")
     return topics.join(tags(spark, d).select(c("tag_name").alias("llm_label")), "llm_label", "left_anti").orderBy(F.desc("n"), "llm_label").limit(20).select("llm_label", "n", (c("conf") >= 0.85).alias("approved"))
 
 

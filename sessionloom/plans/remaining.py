@@ -6,25 +6,29 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import labels as L
 from sessionloom.operators import clusters as C
-from sessionloom.operators.density import density_clusters
+from sessionloom.operators.hierarchy import grid_clusters, hierarchical_clusters
 from sessionloom.plans.oracle import FACTS, MESSAGES, SESSIONS, TAGS, TENANTS, VECTORS, with_
 from sessionloom.plans.registry import query
 from sessionloom.sources.catalog import facts, messages, table, tags, tenants, vectors
+from sessionloom.sources.shared import saved
 
 c = F.col
 
 
 @query("C5_generic_clusters")
 def c5(spark, d):
-    return density_clusters(vectors(spark, d).select(c("vec_id").alias("id"), "v"), min_cluster_size=3, min_samples=2).groupBy("cluster").agg(F.count("*").alias("size"))
+    return hierarchical_clusters(vectors(spark, d).select(c("vec_id").alias("id"), "v"), min_cluster_size=3, min_samples=2).groupBy("cluster").agg(F.count("*").alias("size"))
 
 
 @query("C8_sub_clusters")
 def c8(spark, d):
+    # groups of ten and more are clustered on their own; smaller ones stay whole
     rows = vectors(spark, d).select(c("vec_id").alias("id"), "v", "label")
-    found = density_clusters(rows, min_cluster_size=3, min_samples=2, by="label").join(rows.select("id", "label"), "id")
-    part = F.when(c("cluster") == -1, F.concat(c("label").cast("string"), F.lit("_mixed"))).otherwise(F.concat_ws("_sub_", c("label").cast("string"), c("cluster").cast("string")))
-    return found.select("id", part.alias("part"))
+    large = rows.groupBy("label").count().where("count >= 10").select("label")
+    found = hierarchical_clusters(rows.join(large, "label", "left_semi"), min_cluster_size=3, min_samples=2, by="label").select("id", "cluster")
+    label = c("label").cast("string")
+    part = F.when(c("cluster").isNull(), label).when(c("cluster") == -1, F.concat(label, F.lit("_mixed"))).otherwise(F.concat_ws("_sub_", label, c("cluster").cast("string")))
+    return rows.select("id", "label").join(found, "id", "left").select("id", part.alias("part"))
 
 
 @query("T10_refined_regions")
@@ -50,14 +54,15 @@ def ml5(spark, d):
 
 @query("ML12_clustering_search")
 def ml12(spark, d):
-    # scored by the silhouette, over a fixed grid of cuts
+    # every setting of the grid, read from one spanning tree for each number of samples; one without two clusters scores -1
+    grid = [(m, s, e) for m in (3, 5, 8, 10, 15) for s in (1, 2, 3, 5) for e in (0.0, 0.01, 0.05, 0.1)]
     rows = vectors(spark, d).select(c("vec_id").alias("id"), "v")
-    out = None
-    for quantile in (0.5, 0.8):
-        named = density_clusters(rows, quantile=quantile).select("id", "cluster").join(rows, "id")
-        scored = C.silhouettes(named, "cluster", id_col="id").agg(F.round(F.avg("silhouette"), 4).alias("silhouette")).select(F.lit(quantile).alias("quantile"), "silhouette")
-        out = scored if out is None else out.unionAll(scored)
-    return out
+    placed = saved(grid_clusters(rows, grid).select("run", "id", "cluster"), "grid-clusters")
+    settings = spark.createDataFrame([(n, *g) for n, g in enumerate(grid)], "run long, min_cluster_size int, min_samples int, epsilon double")
+    sizes = placed.groupBy("run").agg(F.count_distinct(F.when(c("cluster") != -1, c("cluster"))).alias("n_clusters"), F.count_if(c("cluster") == -1).alias("n_outliers"))
+    scored = C.silhouettes(placed.join(rows, "id"), "cluster", id_col="id", by="run").groupBy("run").agg(F.avg("silhouette").alias("s"))
+    score = F.when(c("n_clusters") > 1, F.round("s", 4)).otherwise(-1.0).alias("silhouette")
+    return settings.join(sizes, "run").join(scored, "run", "left").select("min_cluster_size", "min_samples", "epsilon", "n_clusters", "n_outliers", score)
 
 
 @query("Q8_analysis_mode", with_(FACTS) + "SELECT tenant_id, CASE WHEN count(*) FILTER (method = 'HUMAN_REVIEW') = 0 THEN 'full' WHEN count(*) FILTER (review_status = 'pending') > 50 THEN 'representatives' ELSE 'new_only' END AS mode FROM facts GROUP BY tenant_id")
