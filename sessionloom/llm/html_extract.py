@@ -120,6 +120,12 @@ def _marks(key: str) -> tuple[str, float]:
     return tag, mark
 
 
+@lru_cache(maxsize=65536)
+def _is_plain(key: str) -> bool:
+    """Whether a name says outright that a part is reader comments, an advert or a notice."""
+    return any(PLAIN_MARKS & set(_WORDS.findall(name)) for name in key.split(".")[1:])
+
+
 @lru_cache(maxsize=65536)
 def _is_article(key: str) -> bool:
     tag, *names = key.split(".")
@@ -512,6 +518,10 @@ class Plan:
         """Whether a slot has held hardly anything but the template's text, on a number of pages."""
         return node.at >= 0 and self.nodes[node.at].n >= FIXED_PAGES and self.sums[node.at, 2] >= 0.95 * self.sums[node.at, 0]
 
+    def repeats(self, node: Node) -> bool:
+        """Whether most of what stands in a container is the template's text."""
+        return node.at >= 0 and self.sums[node.at, 0] > 0 and 2 * self.sums[node.at, 2] >= self.sums[node.at, 0]
+
     def share(self, node: Node, whole: Node) -> tuple[float, float]:
         """A container's share of the characters of ``whole``, and the share of links among its own."""
         of = lambda n: self.sums[n.at] if n.at >= 0 else (n.chars, n.links, 0)
@@ -566,12 +576,20 @@ def _article(root: Node) -> Node:
 
 
 def _goes(node: Node, trailing: bool, plan: Plan, article: Node) -> bool:
-    """Whether a part with a mark, in an article, is none of it; ``trailing`` says that no plain part follows."""
+    """Whether a part with a mark, in an article, is none of it; ``trailing`` says that no plain part follows.
+
+    Names that an article may have for its own parts take no text away, nor with
+    size and place: the page or its host's other pages have to show something of
+    the kind (links, records in a row, the same text on most pages).
+    """
     tag, mark = _marks(node.key)
     size, links = plan.share(node, article)
+    records = any("+" in k.flags and not k.is_text for k in (plan.nodes[node.at].kids if node.at >= 0 else fold(node.kids)))
+    shown = links >= 0.5 or records or plan.repeats(node)
+    if not shown and tag not in NOT_ARTICLE and not _is_plain(node.key):
+        return False
     points = 2.0 * (tag in NOT_ARTICLE) + mark + (links >= 0.5) + 0.5 * (size < 0.2) - 0.5 * (size > 0.5)
     if mark:
-        records = any("+" in k.flags and not k.is_text for k in (plan.nodes[node.at].kids if node.at >= 0 else fold(node.kids)))
         points += 0.5 * trailing + 0.5 * records
     return points >= ENOUGH
 

@@ -431,6 +431,20 @@ def test_faulty_pages(source, want):
     assert X.text_of_page(source) == want
 
 
+@pytest.mark.parametrize("name", ["legal", "side", "search", "alert", "copyright"])
+def test_a_name_alone_takes_no_text_from_an_article(name):
+    around = "<p>One paragraph of some length, with words.</p>" * 3
+    part = f'<p class="{name}">The {name} view is long.</p>'
+    assert f"The {name} view is long." in X.text_of_page(f"<article><h1>T</h1>{around}{part}{around}</article>")
+    assert f"The {name} view is long." in X.text_of_page(f"<article><h1>T</h1>{around}{part}</article>")
+
+
+def test_a_section_called_discussion_is_kept_and_links_under_a_name_go():
+    page = '<article><h1>T</h1><p>First half of it all.</p><section id="discussion"><h2>Discussion</h2><p>Second half of it all.</p></section><section id="legal"><p>Third.</p></section></article>'
+    assert X.text_of_page(page) == "T\nFirst half of it all.\nDiscussion\nSecond half of it all.\nThird."
+    assert X.text_of_page(page.replace("<p>Third.</p>", "<a>terms of use</a> <a>privacy</a>")).endswith("Second half of it all.")
+
+
 def keys(nodes):
     return [(n.key, n.flags, keys(n.kids)) for n in nodes]
 
