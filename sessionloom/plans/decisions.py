@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from sessionloom.functions import labels as L
 from sessionloom.functions import numbers as N
 from sessionloom.operators import decisions as D
+from sessionloom.operators.semantic_cache import semantic_hits
 from sessionloom.operators.vectors import label_similarity, nearest
 from sessionloom.plans.oracle import FACTS, TAGS, VECTORS, with_
 from sessionloom.plans.registry import query
 from sessionloom.sources.catalog import facts, tags, vectors
+from sessionloom.sources.shared import saved
 
 c = F.col
 
@@ -303,3 +305,30 @@ def l11(spark, d):
     rows = facts(spark, d)
     cache = rows.where("label IS NOT NULL").groupBy("text").agg(F.min_by("label", F.struct("ts", "session_id")).alias("cached"), F.min("ts").alias("since"))
     return rows.join(cache, "text", "left").selectExpr("session_id", "CASE WHEN ts - since <= INTERVAL 24 HOURS THEN cached ELSE label END AS label")
+
+
+# questions of eight are variants of one: its vector and a little of their own
+ASKED = """, base AS (SELECT a.vec_id AS id, list_transform(list_zip(b.v, a.v), lambda z: z[1] + CAST(.2 AS DOUBLE) * z[2]) AS v FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id - a.vec_id % 8),
+asked AS (SELECT f.session_id AS id, f.tenant_id % 2 AS g, f.ts, f.text, f.label, v FROM facts f JOIN base ON base.id = f.session_id),
+exact AS (SELECT q.id, arg_min(m.label, {'t': m.ts, 'i': m.id}) AS label FROM asked q JOIN asked m ON q.text = m.text AND q.g = m.g AND m.label IS NOT NULL AND (m.ts < q.ts OR m.ts = q.ts AND m.id < q.id) AND q.ts - m.ts < INTERVAL 24 HOURS GROUP BY q.id),
+near AS (SELECT q.id, arg_min(m.label, {'t': m.ts, 'i': m.id}) AS label FROM asked q JOIN asked m ON q.g = m.g AND m.label IS NOT NULL AND (m.ts < q.ts OR m.ts = q.ts AND m.id < q.id) AND q.ts - m.ts < INTERVAL 24 HOURS
+         AND round(list_dot_product(q.v, m.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(m.v, m.v))), 9) > .95 GROUP BY q.id)
+"""
+
+
+@query("L11_semantic_cache", with_(FACTS, VECTORS) + ASKED + "SELECT a.id AS session_id, CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN n.id IS NOT NULL THEN 'semantic' ELSE 'none' END AS hit, CASE WHEN e.id IS NOT NULL THEN e.label WHEN n.id IS NOT NULL THEN n.label ELSE a.label END AS label FROM asked a LEFT JOIN exact e ON e.id = a.id LEFT JOIN near n ON n.id = a.id")
+def l11_semantic(spark, d):
+    rows = vectors(spark, d).select(c("vec_id").alias("id"), "v")
+    first = rows.select(c("id").alias("first"), c("v").alias("w"))
+    own = rows.join(first, c("first") == c("id") - c("id") % 8).select("id", F.zip_with("w", "v", lambda a, b: a + F.lit(0.2) * b).alias("v"))
+    told = facts(spark, d).select(c("session_id").alias("id"), (c("tenant_id") % 2).alias("g"), "ts", "text", "label").join(own, "id")
+    asked = saved(told.withColumn("at", F.unix_micros(c("ts").cast("timestamp")) / F.lit(1e6)), "asked")
+    known = asked.where("label is not null")
+    # equal texts first: the first answer of the last 24 hours
+    key = lambda rows: rows.select(F.xxhash64("g", "text").alias("g"), "id", "at", F.array(F.lit(1.0)).alias("v"))
+    exact = semantic_hits(key(asked), key(known)).select("id", c("hit").alias("e"))
+    near = semantic_hits(asked.select("g", "id", "at", "v"), known.select("g", "id", "at", "v")).select("id", c("hit").alias("n"))
+    found = asked.join(exact, "id", "left").join(near, "id", "left").select("id", c("label").alias("own"), "e", "n", F.coalesce("e", "n").alias("h"))
+    answers = known.select(c("id").alias("h"), "label")
+    kind = F.when(c("e").isNotNull(), "exact").when(c("n").isNotNull(), "semantic").otherwise("none")
+    return found.join(answers, "h", "left").select(c("id").alias("session_id"), kind.alias("hit"), F.when(c("h").isNull(), c("own")).otherwise(c("label")).alias("label"))
