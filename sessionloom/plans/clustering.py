@@ -92,6 +92,33 @@ def r4(spark, d):
     return rows.withColumn("rn", F.row_number().over(order)).where("rn <= 5").join(slots, "cluster_id").where("rn <= slots").select("session_id", "cluster_id")
 
 
+def review_selection(spark, d, order):
+    """Rows of clusters in some order as far as 60 slots go, the least sure first within each."""
+    rows = facts(spark, d).where("cluster_id IS NOT NULL")
+    clusters = rows.groupBy("cluster_id").agg(F.count("*").alias("size"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.5)), 6).alias("sure"), F.min("session_id").alias("first"))
+    slots = C.review_budget(clusters, 60, order).where("slots > 0")
+    place = Window.partitionBy("cluster_id").orderBy(c("confidence").asc_nulls_first(), "session_id")
+    return rows.withColumn("rn", F.row_number().over(place)).where("rn <= 5").join(slots, "cluster_id").where("rn <= slots").select("session_id", "cluster_id")
+
+
+def review_sql(order: str) -> str:
+    return with_(FACTS) + f""", clusters AS (SELECT cluster_id, count(*) AS size, round(coalesce(avg(confidence), .5), 6) AS sure, min(session_id) AS first FROM facts WHERE cluster_id IS NOT NULL GROUP BY cluster_id),
+plan AS (SELECT *, CASE WHEN size <= 3 THEN size WHEN size <= 10 THEN 3 WHEN size <= 50 THEN 4 ELSE 5 END AS base FROM clusters),
+b AS (SELECT cluster_id, greatest(0, least(base, 60 - coalesce(sum(base) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS slots FROM plan),
+r AS (SELECT session_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence NULLS FIRST, session_id) AS rn FROM facts WHERE cluster_id IS NOT NULL) SELECT session_id, cluster_id FROM r JOIN b USING (cluster_id) WHERE rn <= slots"""
+
+
+@query("R4_review_by_confidence", review_sql("sure, cluster_id"))
+def r4_sure(spark, d):
+    return review_selection(spark, d, [c("sure").asc(), c("cluster_id").asc()])
+
+
+@query("R4_review_in_order", review_sql("first"))
+def r4_first(spark, d):
+    # clusters as they came up first
+    return review_selection(spark, d, [c("first").asc()])
+
+
 CONSENSUS = """, votes AS (SELECT cluster_id, llm_label AS label, llm_conf AS confidence FROM facts WHERE is_representative AND cluster_id IS NOT NULL AND llm_label IS NOT NULL),
 k AS (SELECT cluster_id, label, count(*) AS k, avg(confidence) AS mean FROM votes GROUP BY 1, 2), r AS (SELECT *, sum(k) OVER (PARTITION BY cluster_id) AS n, row_number() OVER (PARTITION BY cluster_id ORDER BY k DESC, label) AS rn FROM k),
 s AS (SELECT cluster_id, label, confidence FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC, label) AS rn FROM votes) WHERE rn = 1),

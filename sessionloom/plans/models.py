@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionloom.operators import models as M
@@ -105,6 +106,22 @@ def ml14(spark, d):
     return rows.select("session_id", chat_lines(F.left("text", F.lit(500)), c("label")).alias("line"))
 
 
+@query("ML14_finetune_top_up", with_(FACTS, TAGS) + """, own AS (SELECT user_id, session_id, '{"messages":[{"role":"user","content":"' || CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END || '"},{"role":"assistant","content":"' || label || '"}]}' AS line FROM facts WHERE method = 'HUMAN_REVIEW' AND label <> '' AND label <> 'altro' AND length(trim(text)) >= 10),
+few AS (SELECT user_id, count(*) AS n FROM own GROUP BY 1 HAVING count(*) < 20), curated AS (SELECT row_number() OVER (ORDER BY tag_id) AS k, '{"messages":[{"role":"user","content":"' || coalesce(tag_description, tag_name) || '"},{"role":"assistant","content":"' || tag_name || '"}]}' AS line FROM tags WHERE is_active)
+SELECT user_id, 'human' AS source, line FROM own UNION ALL SELECT user_id, 'curated', line FROM few JOIN curated ON k <= 30 - n""")
+def ml14_top_up(spark, d):
+    # users with fewer than 20 examples of their own get curated ones, up to 30 in all
+    from sessionloom.sources.jsonl import chat_lines
+
+    rows = facts(spark, d).where("method = 'HUMAN_REVIEW' AND label <> '' AND label <> 'altro' AND length(trim(text)) >= 10")
+    cut = F.when(F.length("text") > 500, F.concat(F.left("text", F.lit(500)), F.lit("..."))).otherwise(c("text"))
+    own = rows.select("user_id", F.lit("human").alias("source"), chat_lines(cut, c("label")).alias("line"))
+    few = own.groupBy("user_id").agg(F.count("*").alias("n")).where("n < 20").select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), 30 - c("n"))).alias("k"))
+    # tags are a vocabulary that people keep
+    curated = tags(spark, d).where("is_active").select(F.row_number().over(Window.orderBy("tag_id")).cast("long").alias("k"), chat_lines(F.coalesce("tag_description", "tag_name"), c("tag_name")).alias("line"))
+    return own.unionAll(few.join(curated, "k").select("user_id", F.lit("curated").alias("source"), "line"))
+
+
 @query("ML15_log_sync", with_(FACTS) + "SELECT count(*) FILTER (doc_id IS NULL) AS only_table, count(*) FILTER (session_id IS NULL) AS only_log, count(*) FILTER (doc_id IS NOT NULL AND session_id IS NOT NULL) AS both_sides FROM (SELECT session_id FROM facts WHERE method = 'HUMAN_REVIEW') f FULL JOIN labels l ON f.session_id = l.doc_id")
 def ml15(spark, d):
     f = facts(spark, d).where("method = 'HUMAN_REVIEW'").select("session_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Window
@@ -122,10 +123,27 @@ def occurrences(words: list[str]) -> str:
     return " + ".join(f"len(regexp_extract_all(lower(text), '{w}'))" for w in words)
 
 
-@query("X14_keyword_category", f"SELECT doc_id, CASE WHEN a >= e AND a > 0 THEN 'articles' WHEN e > 0 THEN 'endings' END AS category FROM (SELECT doc_id, {occurrences(KEYWORDS['articles'])} AS a, {occurrences(KEYWORDS['endings'])} AS e FROM documents)")
+def frequent_words(texts, id_col: str, text_col: str, most: int = 3):
+    """(id, words): a text's most frequent words of more than three letters, ties by place; texts without one give no row."""
+    words = texts.select(id_col, F.posexplode(F.split(F.lower(text_col), r"[ \t\n\f\r\x0B]+")).alias("at", "w")).where(F.length("w") > 3)
+    counts = words.groupBy(id_col, "w").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "at"))
+    top = counts.withColumn("k", place).where(F.col("k") <= most)
+    return top.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]), ", ").alias("words"))
+
+
+@query("X14_keyword_category", f"""WITH scored AS (SELECT doc_id, text, {occurrences(KEYWORDS['articles'])} AS a, {occurrences(KEYWORDS['endings'])} AS e FROM documents),
+words AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\f\\r\\x0B]+')) AS w, generate_subscripts(regexp_split_to_array(lower(text), '[ \\t\\n\\f\\r\\x0B]+'), 1) AS pos FROM scored WHERE a = 0 AND e = 0),
+counts AS (SELECT doc_id, w, count(*) AS n, min(pos) AS pos FROM words WHERE length(w) > 3 GROUP BY 1, 2),
+top AS (SELECT doc_id, string_agg(w, ', ' ORDER BY n DESC, pos) AS words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS k FROM counts) WHERE k <= 3 GROUP BY 1)
+SELECT doc_id, CASE WHEN a >= e AND a > 0 THEN 'articles' WHEN e > 0 THEN 'endings' WHEN words IS NOT NULL THEN 'Argomento: ' || words ELSE 'Cluster ' || CAST(doc_id AS VARCHAR) END AS category FROM scored LEFT JOIN top USING (doc_id)""")
 def x14(spark, d):
+    # texts without any keyword are named by their most frequent words, else by their number
     best = F.greatest(*keyword_scores(F.col("text"), KEYWORDS))
-    return table(spark, d, "documents").withColumn("best", best).select("doc_id", F.when(F.col("best.score") > 0, F.col("best.category")).alias("category"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.when(best["score"] > 0, best["category"]).alias("found"))
+    rest = frequent_words(docs.where("found is null"), "doc_id", "text")
+    named = F.coalesce("found", F.concat(F.lit("Argomento: "), "words"), F.concat(F.lit("Cluster "), F.col("doc_id").cast("string")))
+    return docs.drop("text").join(rest, "doc_id", "left").select("doc_id", named.alias("category"))
 
 
 @query("X15_keyword_presence", "SELECT doc_id, CASE WHEN a >= e AND a > 0 THEN 'articles' WHEN e > 0 THEN 'endings' ELSE 'altro' END AS tag FROM (SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in KEYWORDS["articles"]) + " AS a, " + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in KEYWORDS["endings"]) + " AS e FROM documents)")
@@ -138,11 +156,17 @@ def x15(spark, d):
 PATTERNS = {"access": [r"th.*er", r"idiot"], "booking": [r"qu[ae]\s+de", r"verpf"], "info": [r"^\s*the\b"]}
 
 
-@query("X16_regex_intents", "SELECT doc_id, list_filter([CASE WHEN regexp_matches(t, 'th.*er') OR regexp_matches(t, 'idiot') THEN 'access' END, CASE WHEN regexp_matches(t, 'qu[ae]\\s+de') OR regexp_matches(t, 'verpf') THEN 'booking' END, CASE WHEN regexp_matches(t, '^\\s*the\\b') THEN 'info' END], lambda x: x IS NOT NULL) AS intents FROM (SELECT doc_id, lower(text) AS t FROM documents)")
+#: Categories tried in turn where no intent is found.
+FALLBACK = {"contact": [r"@", r"tel"], "numbers": [r"[0-9]{2}"]}
+
+
+@query("X16_regex_intents", "WITH found AS (SELECT doc_id, t, list_filter([CASE WHEN regexp_matches(t, 'th.*er') OR regexp_matches(t, 'idiot') THEN 'access' END, CASE WHEN regexp_matches(t, 'qu[ae]\\s+de') OR regexp_matches(t, 'verpf') THEN 'booking' END, CASE WHEN regexp_matches(t, '^\\s*the\\b') THEN 'info' END], lambda x: x IS NOT NULL) AS intents FROM (SELECT doc_id, lower(text) AS t FROM documents)) SELECT doc_id, CASE WHEN len(intents) > 0 THEN intents WHEN contains(t, '@') OR contains(t, 'tel') THEN ['contact'] WHEN regexp_matches(t, '[0-9]{2}') THEN ['numbers'] ELSE ['altro'] END AS intents FROM found")
 def x16(spark, d):
     t = F.lower("text")
-    found = [F.when(F.lit(False) | sum((t.rlike(p).cast("int") for p in ps), F.lit(0)).cast("boolean"), name) for name, ps in PATTERNS.items()]
-    return table(spark, d, "documents").select("doc_id", F.array_compact(F.array(*found)).alias("intents"))
+    hit = lambda ps: F.coalesce(reduce(lambda a, b: a | b, (t.rlike(p) for p in ps)), F.lit(False))
+    found = F.array_compact(F.array(*(F.when(hit(ps), name) for name, ps in PATTERNS.items())))
+    other = F.coalesce(*(F.when(hit(ps), F.array(F.lit(name))) for name, ps in FALLBACK.items()), F.array(F.lit("altro")))
+    return table(spark, d, "documents").select("doc_id", F.when(F.size(found) > 0, found).otherwise(other).alias("intents"))
 
 
 @query("X18_match_bucket", with_(FACTS) + "SELECT session_id, CASE WHEN llm_conf >= .95 THEN 'exact' WHEN llm_conf >= .85 THEN 'high' WHEN llm_conf >= .7 THEN 'medium' WHEN llm_conf >= .5 THEN 'low' ELSE 'none' END AS bucket FROM facts")
