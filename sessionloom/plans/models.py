@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionloom.operators import models as M
+from sessionloom.operators import topics as T
 from sessionloom.plans.oracle import FACTS, TAGS, with_
 from sessionloom.plans.registry import query
 from sessionloom.sources.catalog import facts, table, tags
+from sessionloom.sources.shared import saved
 
 c = F.col
 
@@ -22,7 +24,7 @@ def ml1(spark, d):
 @query("ML2_soft_vote")
 def ml2(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "text", c("role").alias("label"))
-    model = M.fit_voters(rows.where("conv_id % 3 <> 0"), features=256)
+    model = M.fit_voters(rows.where("conv_id % 3 <> 0"), features=256, margins=True)
     return M.soft_vote(model, rows.where("conv_id % 3 = 0"), ["conv_id", "turn"]).withColumn("confidence", F.round("confidence", 4))
 
 
@@ -69,6 +71,50 @@ def ml9(spark, d):
     return counts.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where("rn <= 5").drop("rn")
 
 
+# a document's topic is its vector's cluster; those without a vector are unseen
+TOPICS = """topics AS (SELECT vec_id AS doc_id, CAST(label AS BIGINT) AS topic FROM embeddings),
+counts AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents) GROUP BY 1, 2),
+by_topic AS (SELECT topic, term, sum(n) AS n FROM counts JOIN topics USING (doc_id) GROUP BY 1, 2), words AS (SELECT topic, sum(n) AS words FROM by_topic GROUP BY 1),
+terms AS (SELECT topic, term, n / words * ln(1 + (SELECT avg(words) FROM words) / f) AS weight FROM by_topic JOIN words USING (topic) JOIN (SELECT term, sum(n) AS f FROM by_topic GROUP BY 1) USING (term)),
+scores AS (SELECT doc_id, topic, sum(c.n * weight) / any_value(size) AS score FROM counts c JOIN terms USING (term) JOIN (SELECT doc_id, sum(n) AS size FROM counts GROUP BY 1) USING (doc_id) GROUP BY 1, 2)
+"""
+
+
+def topic_model(spark, d):
+    """(counts, topics, terms) of the documents."""
+    counts = saved(T.term_counts(table(spark, d, "documents"), "doc_id", "text"), "term-counts")
+    topics = table(spark, d, "embeddings").select(c("vec_id").alias("doc_id"), c("label").cast("long").alias("topic"))
+    return counts, topics, saved(T.topic_terms(counts, topics, "doc_id"), "terms")
+
+
+@query("ML9_topic_terms", with_(TOPICS) + "SELECT topic, term, round(weight, 6) AS weight FROM terms QUALIFY row_number() OVER (PARTITION BY topic ORDER BY round(weight, 9) DESC, term) <= 10")
+def ml9_terms(spark, d):
+    _, _, terms = topic_model(spark, d)
+    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 9)), "term"))
+    return terms.withColumn("k", place).where("k <= 10").select("topic", "term", F.round("weight", 6).alias("weight"))
+
+
+@query("ML9_typical_texts", with_(TOPICS) + "SELECT topic, doc_id, CAST(row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, doc_id) AS INT) AS place FROM scores JOIN topics USING (doc_id, topic) QUALIFY place <= 3")
+def ml9_texts(spark, d):
+    counts, topics, terms = topic_model(spark, d)
+    return T.typical_texts(counts, topics, terms, "doc_id")
+
+
+@query("ML8_topic_shares", with_(TOPICS) + "SELECT doc_id, topic, round(score / sum(score) OVER (PARTITION BY doc_id), 6) AS share FROM scores")
+def ml8_shares(spark, d):
+    counts, _, terms = topic_model(spark, d)
+    return T.topic_shares(counts, terms, "doc_id").withColumn("share", F.round("share", 6))
+
+
+@query("ML8_topic_features")
+def ml8_features(spark, d):
+    counts, topics, terms = topic_model(spark, d)
+    # topics are as many as clusters of the vectors
+    names = [r["topic"] for r in topics.select("topic").distinct().orderBy("topic").collect()]
+    found = T.topic_features(T.topic_shares(counts, terms, "doc_id"), table(spark, d, "documents"), names, "doc_id", components=3)
+    return found.withColumn("reduced", F.transform("reduced", lambda x: F.round(x, 6)))
+
+
 GRID = "unnest(range(2, 20)) AS t"
 
 
