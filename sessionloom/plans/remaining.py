@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import labels as L
 from sessionloom.operators import clusters as C
 from sessionloom.operators.hierarchy import grid_clusters, hierarchical_clusters
+from sessionloom.operators.regions import adapt_regions
 from sessionloom.plans.oracle import FACTS, MESSAGES, SESSIONS, TAGS, TENANTS, VECTORS, with_
 from sessionloom.plans.registry import query
 from sessionloom.sources.catalog import facts, messages, table, tags, tenants, vectors
@@ -37,6 +38,15 @@ def t10(spark, d):
     return C.refine_regions(rows).groupBy("region").agg(F.count("*").alias("size"))
 
 
+@query("T10_adapted_regions")
+def t10_adapted(spark, d):
+    # a quarter of each cluster's vectors is a region to begin with; the log says how they are labelled
+    rows = vectors(spark, d).select(c("vec_id").alias("id"), "v", F.concat_ws(":", c("label").cast("string"), (c("vec_id") % 4).cast("string")).alias("region"))
+    told = facts(spark, d).select(c("session_id").alias("id"), "label", "confidence")
+    found = adapt_regions(rows.join(told, "id", "left"))
+    return found.select("id", "region", F.round("weight", 4).alias("weight"), F.round("conf", 4).alias("confidence"))
+
+
 @query("T14_region_tables", with_(FACTS) + "SELECT cluster_id, label, count(*) AS n FROM facts WHERE cluster_id IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2")
 def t14(spark, d):
     from sessionloom.sources.shared import saved
