@@ -19,12 +19,27 @@ def base(spark, d):
     return facts(spark, d).select("session_id", "tenant_id", "label", F.round("confidence", 6).alias("confidence"), "review_status")
 
 
-@query("SNK1_upsert_classification", with_(FACTS) + f", base AS ({BASE} WHERE session_id % 3 <> 0), batch AS ({BASE} WHERE session_id % 2 = 0) SELECT coalesce(b.session_id, n.session_id) AS session_id, coalesce(b.tenant_id, n.tenant_id) AS tenant_id, coalesce(upper(n.label), b.label) AS label, coalesce(n.confidence, b.confidence) AS confidence, coalesce(b.review_status, n.review_status) AS review_status FROM base b FULL JOIN batch n ON b.session_id = n.session_id AND b.tenant_id = n.tenant_id")
+SNK1_SQL = with_(FACTS) + f", base AS ({BASE} WHERE session_id % 3 <> 0), batch AS ({BASE} WHERE session_id % 2 = 0) SELECT coalesce(b.session_id, n.session_id) AS session_id, coalesce(b.tenant_id, n.tenant_id) AS tenant_id, coalesce(upper(n.label), b.label) AS label, coalesce(n.confidence, b.confidence) AS confidence, coalesce(b.review_status, n.review_status) AS review_status FROM base b FULL JOIN batch n ON b.session_id = n.session_id AND b.tenant_id = n.tenant_id"
+
+
+@query("SNK1_upsert_classification", SNK1_SQL)
 def snk1(spark, d):
     batch = base(spark, d).where("session_id % 2 = 0").withColumn("label", F.upper("label"))
     return M.upsert(base(spark, d).where("session_id % 3 <> 0"), batch, ["session_id", "tenant_id"], keep=("review_status",))
 
 
+@query("SNK1_upsert_by_bucket", SNK1_SQL)
+def snk1_buckets(spark, d):
+    # the same change of a table in buckets, of which only those of the batch are read and written
+    from sessionloom.sources import buckets as B
+    from sessionloom.sources.shared import fresh_path
+
+    keys, path, old = ["session_id", "tenant_id"], fresh_path(spark, "upserts"), base(spark, d).where("session_id % 3 <> 0")
+    B.create_buckets(old, path, keys)
+    B.upsert_buckets(base(spark, d).where("session_id % 2 = 0").withColumn("label", F.upper("label")), path, old.schema, keys, keep=("review_status",))
+    return B.read_buckets(spark, path, old.schema)
+
+
 @query("SNK2_upsert_by_session", with_(FACTS) + f", base AS ({BASE} WHERE session_id % 3 <> 1), batch AS (SELECT session_id, 'fixed' AS label FROM facts WHERE session_id % 5 = 0) SELECT coalesce(b.session_id, n.session_id) AS session_id, b.tenant_id, coalesce(n.label, b.label) AS label, b.confidence, b.review_status FROM base b FULL JOIN batch n USING (session_id)")
 def snk2(spark, d):
     batch = facts(spark, d).where("session_id % 5 = 0").select("session_id", F.lit("fixed").alias("label"))

@@ -154,3 +154,61 @@ def test_spanning_tree_by_rounds_is_that_of_one_task(spark):
     df = spark.createDataFrame([(t, min(a, b), max(a, b), w) for t, a, b, w in edges], "tree long, u long, v long, w double").repartition(3)
     small, rounds = (sorted(map(tuple, H.spanning_tree(df, most).distinct().collect())) for most in (10**6, 20))
     assert small == rounds and len(small) == 3 * 59
+
+
+def vectors_of(sf):
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{sf}/embeddings.parquet").to_pylist()
+    return [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float), [int(r["label"]) for r in rows]
+
+
+def named(ids, found):
+    return {i: -1 if c == -1 else ids[c] for i, (c, _, _) in zip(ids, found, strict=True)}
+
+
+def test_clustering_queries_against_brute_force(spark, sf):
+    from sessionloom.plans import queries
+
+    ids, x, labels = vectors_of(sf)
+    found = brute(x, 5, 3, 0.08, "eom")
+    got = {r["id"]: r for r in queries()["C1_density_clusters"](spark, sf).collect()}
+    assert {i: r["cluster"] for i, r in got.items()} == named(ids, found)
+    for i, (_, probability, score) in zip(ids, found, strict=True):
+        assert (got[i]["probability"], got[i]["outlier_score"]) == pytest.approx((probability, score), abs=1e-4)
+    sizes = {r["cluster"]: r["size"] for r in queries()["C5_generic_clusters"](spark, sf).collect()}
+    own = list(named(ids, brute(x, 3, 2, 0.0, "eom")).values())
+    assert sizes == {c: own.count(c) for c in set(own)}
+    parts = {r["id"]: r["part"] for r in queries()["C8_sub_clusters"](spark, sf).collect()}
+    refined = {r["label"]: (r["n_parts"], r["n_outliers"]) for r in queries()["C4_refined_groups"](spark, sf).collect()}
+    for t in set(labels):
+        at = [k for k, y in enumerate(labels) if y == t]
+        members = [ids[k] for k in at]
+        if len(at) < 10:
+            assert all(parts[i] == str(t) for i in members) and t not in refined
+            continue
+        sub = named(members, brute(x[at], 3, 2, 0.0, "eom"))
+        assert {i: parts[i] for i in members} == {i: f"{t}_mixed" if c == -1 else f"{t}_sub_{c}" for i, c in sub.items()}
+        own = [c for c, _, _ in brute(x[at], 5, 3, 0.0, "eom")]
+        assert refined[t] == (len(set(own) - {-1}), own.count(-1))
+
+
+def test_clustering_search_against_brute_force(spark, sf):
+    from sessionloom.plans import queries
+
+    ids, x, _ = vectors_of(sf)
+    rows = queries()["ML12_clustering_search"](spark, sf).collect()
+    assert len({(r["min_cluster_size"], r["min_samples"], r["epsilon"]) for r in rows}) == len(rows) == 80
+    for r in rows:
+        own = np.array([c for c, _, _ in brute(x, r["min_cluster_size"], r["min_samples"], r["epsilon"], "eom")])
+        kinds = sorted(set(own.tolist()) - {-1})
+        assert (r["n_clusters"], r["n_outliers"]) == (len(kinds), int((own == -1).sum()))
+        if len(kinds) > 1 and r["min_samples"] == 2:
+            inside = x[own != -1]
+            means = np.array([((inside[:, None, :] - x[own == c][None]) ** 2).sum(axis=2).mean(axis=1) for c in kinds]).T
+            place = np.array([kinds.index(c) for c in own[own != -1]])
+            n = np.array([(own == c).sum() for c in kinds])[place]
+            a = means[np.arange(len(place)), place] * n / (n - 1)
+            means[np.arange(len(place)), place] = np.inf
+            b = means.min(axis=1)
+            assert r["silhouette"] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=2e-4)
