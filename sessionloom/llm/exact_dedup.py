@@ -133,8 +133,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal if their bytes are; a null text is an empty one, so nulls
     and empty texts form one group. Of a group the row with the largest id
     stays; null ids rank below all others. Repeated rows (same id and text)
-    are counted singly in ``group_size`` and share their ``kept``. Other
-    columns are not read. If a digest is found to stand for two different
+    are counted singly in ``group_size`` and share their ``kept``. Texts of any
+    length are read whole, and other columns not at all. An empty table gives an
+    empty result. If a digest is found to stand for two different
     chunks, all recipes are made anew under another salt, and wider.
     """
     salt = 0

@@ -49,8 +49,9 @@ def fingerprints(docs: DataFrame, texts: dict[str, str], keep: list[str], id_col
     compared: ``rebuild`` gets the saved table of digests (``keep``, ``id_col``
     and ``shares``, true for rows with such a text) and returns the rows with
     their texts; by default they are looked up in ``docs``. Copies are brought
-    together before they move, so a group of any size stays small. Other
-    columns are not read.
+    together before they move, so a group of any size stays small. Texts of any
+    length are read whole, other columns not at all; repeated rows give repeated
+    results, and an empty table an empty one.
     """
     names = [f"_{k}" for k in range(len(texts))]
     kept = list(dict.fromkeys([id_col, *keep]))

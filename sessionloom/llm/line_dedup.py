@@ -63,6 +63,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, id_col: str = "doc_id", tex
     line stays, all others go, so no content is lost. Blank lines stay, and so
     do null and empty texts. Rows of one id are taken as one document: what
     goes from one goes from all. Documents with a null id keep their texts.
+    Texts of any length are read whole. A column ``lines_removed`` is replaced,
+    other columns are kept, whatever their names. An empty table stays empty.
     """
     lines = saved(_lines(docs, id_col, text_col, site_col), "lines")
     rows, first = spread_lines(lines, min_sites)

@@ -207,8 +207,9 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     over links of at most ``budget`` bits, the row's own included. Null and
     empty texts have fingerprint 0, which links like any other. A null id is
     never a component's name unless all ids of the component are null; then
-    ``component_id`` is null. Repeated rows are in the same component. Other
-    columns are not read.
+    ``component_id`` is null. Repeated rows are in the same component. Texts of
+    any length are read whole, other columns not at all. An empty table gives an
+    empty result.
     """
     prints = saved(docs.select(F.col(id_col).alias(id_col), simhash_column(F.col(text_col), words_per_shingle).alias("fp")), "simhash")
     nodes = saved(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
@@ -350,7 +351,9 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float =
     A group is done when its members are one component, or have been hubs. What
     is left then is compared wholly, in blocks: linear in the group where texts
     are similar, and all pairs only of those that aren't. ``component_id`` is
-    the smallest id of the component. Null and empty texts are equal texts.
+    the smallest id of the component. Null and empty texts are equal texts, and
+    repeated rows one document. Texts of any length are read whole, other columns
+    not at all, whatever their names. An empty table gives an empty result.
     """
 
     @F.arrow_udf(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("samples", T.ArrayType(T.LongType()))]))
