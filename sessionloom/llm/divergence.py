@@ -31,6 +31,8 @@ ROWS, CELLS = 4, 1 << 20
 PART = 1 << 16
 #: Different terms that a task holds before it puts them into the sketch, or sends their counts.
 HELD = 400_000
+#: What a document adds to a term's count besides its occurrences, which a task never has so many of: one number holds both.
+DOCUMENT = 1 << 36
 #: Share that a term without occurrences is given, and the scale of shares.
 PSEUDO, SCALE = 5, 1_000_000_000
 
@@ -127,27 +129,24 @@ def _counter(reached: np.ndarray, cells: int) -> Callable[[Iterator[pa.RecordBat
         at = _cells(lang, terms, len(reached), cells)
         return np.logical_and.reduce([(reached[r, at[r] >> 3] >> (7 - (at[r] & 7))) & 1 for r in range(len(reached))]).astype(bool)
 
-    def send(held: dict[tuple[bytes, bytes], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (times, docs) in held.items():
-            terms = [*docs]
+    def send(held: dict[tuple[bytes, bytes], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), counts in held.items():
+            terms = [*counts]
             keep = np.flatnonzero(survivors(lang, terms)) if terms else []
             kept = [terms[k] for k in keep]
-            n = len(kept)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * n, pa.binary()).cast(pa.string()), pa.array([source] * n, pa.binary()).cast(pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([times[t] for t in kept], pa.int64()), pa.array([docs[t] for t in kept], pa.int64())],
-                names=["lang", "source", "term", "n", "docs"],
-            )
+            sums = np.fromiter((counts[t] for t in kept), np.int64, len(kept))
+            same = lambda value: pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(kept), np.int32)), pa.array([value], pa.binary()).cast(pa.string())).dictionary_decode()
+            yield pa.RecordBatch.from_arrays([same(lang), same(source), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sums % DOCUMENT), pa.array(sums // DOCUMENT)], names=["lang", "source", "term", "n", "docs"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
+        held: dict[tuple[bytes, bytes], dict[bytes, int]] = {}
         size = 0
         for lang, source, text in _documents(batches):
-            times, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            own = Counter(terms_of(text))
-            before = len(docs)
-            times.update(own)
-            docs.update(own.keys())
-            size += len(docs) - before
+            counts = held.setdefault((lang, source), {})
+            before, get = len(counts), counts.get
+            for term, n in Counter(terms_of(text)).items():
+                counts[term] = get(term, 0) + n + DOCUMENT
+            size += len(counts) - before
             if size > HELD:
                 yield from send(held)
                 held, size = {}, 0
