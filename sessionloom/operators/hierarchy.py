@@ -180,7 +180,7 @@ def reachability_edges(vectors: DataFrame, cores: DataFrame, tile: int = TILE, w
 # -- the condensed tree -------------------------------------------------------------
 
 #: What condensing gives: clusters with their parents, and points (or parts) that fall out of a cluster or stay in it.
-CONDENSED = "run long, tree long, kind string, node long, level double, ck long, cb double, pk long, pb double, size long"
+CONDENSED = "run long, origin long, tree long, kind string, node long, level double, ck long, cb double, pk long, pb double, size long"
 
 
 def _merges(rows: pd.DataFrame) -> tuple[list[int], list[int], list[list[int]], list[float], list[int], list[int]]:
@@ -225,8 +225,8 @@ def _level(distance: float) -> float:
 
 
 def _condense(rows: pd.DataFrame) -> pd.DataFrame:
-    """The condensed tree below the root cluster (rk, rb) of one tree (run, tree, u, v, w, su, sv, rk, rb, least_size)."""
-    run, tree, rk, rb, m = (rows[c].iloc[0] for c in ("run", "tree", "rk", "rb", "least_size"))
+    """The condensed tree below the root cluster (rk, rb) of one tree (run, origin, tree, u, v, w, su, sv, rk, rb, least_size)."""
+    run, origin, tree, rk, rb, m = (rows[c].iloc[0] for c in ("run", "origin", "tree", "rk", "rb", "least_size"))
     names, _, children, height, size, least = _merges(rows)
     out: list[tuple] = []
     todo = [(max(range(len(size)), key=lambda k: (size[k], k)), int(rk), float(rb))]
@@ -254,12 +254,15 @@ def _condense(rows: pd.DataFrame) -> pd.DataFrame:
     for c in ("node", "pk", "ck", "size"):
         found[c] = found[c].astype("Int64")
     found.insert(0, "tree", int(tree))
+    found.insert(0, "origin", int(origin))
     found.insert(0, "run", int(run))
     return found
 
 
 def condensed(edges: DataFrame, most: int = MOST_EDGES) -> tuple[DataFrame, DataFrame]:
-    """Clusters (run, ck, cb, pk, pb, size) and points (run, node, level, ck, cb) of spanning trees (run, tree, u, v, w, least_size).
+    """Clusters (run, origin, ck, cb, pk, pb, size) and points (run, node, level, ck, cb) of spanning trees (run, tree, u, v, w, least_size).
+
+    ``origin`` is the spanning tree a cluster comes from, whatever parts it was condensed in.
 
     A cluster is named by its least member and the density (1 / distance) it
     begins at; a tree's root begins at -1. A point falls out of its last cluster
@@ -270,10 +273,10 @@ def condensed(edges: DataFrame, most: int = MOST_EDGES) -> tuple[DataFrame, Data
     one = F.lit(1).cast("long")
     root = Window.partitionBy("run", "tree")
     roots = edges.groupBy("run", "tree").agg(F.min(F.least("u", "v")).alias("rk"))
-    now = edges.join(roots, ["run", "tree"]).select("run", "tree", "u", "v", "w", one.alias("su"), one.alias("sv"), "rk", F.lit(-1.0).alias("rb"), "least_size")
-    clusters = [roots.select("run", F.col("rk").alias("ck"), F.lit(-1.0).alias("cb"), F.lit(None).cast("long").alias("pk"), F.lit(None).cast("double").alias("pb"), F.lit(None).cast("long").alias("size"))]
+    now = edges.join(roots, ["run", "tree"]).select("run", F.col("tree").alias("origin"), "tree", "u", "v", "w", one.alias("su"), one.alias("sv"), "rk", F.lit(-1.0).alias("rb"), "least_size")
+    clusters = [roots.select("run", F.col("tree").alias("origin"), F.col("rk").alias("ck"), F.lit(-1.0).alias("cb"), F.lit(None).cast("long").alias("pk"), F.lit(None).cast("double").alias("pb"), F.lit(None).cast("long").alias("size"))]
     points = []
-    cluster = ["run", "ck", "cb", "pk", "pb", "size"]
+    cluster = ["run", "origin", "ck", "cb", "pk", "pb", "size"]
     point = ["run", "node", "level", "ck", "cb"]
     while True:
         sizes = saved(now.groupBy("run", "tree").agg(F.count("*").alias("n")), "tree-sizes")
@@ -301,7 +304,7 @@ def condensed(edges: DataFrame, most: int = MOST_EDGES) -> tuple[DataFrame, Data
         heavy = saved(known.join(weights, ["run", "tree", "part"]).select("run", "tree", "node", "part", "weight"), "weighed")
         side = lambda e: heavy.select("run", "tree", F.col("node").alias(e), F.col("part").alias(f"p{e}"), F.col("weight").alias(f"w{e}"))
         tops = upper.join(side("u"), ["run", "tree", "u"]).join(side("v"), ["run", "tree", "v"])
-        tops = tops.select("run", "tree", F.col("pu").alias("u"), F.col("pv").alias("v"), "w", F.col("wu").alias("su"), F.col("wv").alias("sv"), "rk", "rb", "least_size", "top", "cut")
+        tops = tops.select("run", "origin", "tree", F.col("pu").alias("u"), F.col("pv").alias("v"), "w", F.col("wu").alias("su"), F.col("wv").alias("sv"), "rk", "rb", "least_size", "top", "cut")
         level_only = F.max("w").over(root) == F.min("w").over(root)
         tops = saved(tops.withColumn("level_only", level_only), "upper-edges")
         met = saved(tops.where("not level_only").drop("level_only", "top", "cut").groupBy("run", "tree").applyInPandas(_condense, CONDENSED).unionAll(_one_level(tops.where("level_only"))), "condensed")
@@ -310,24 +313,24 @@ def condensed(edges: DataFrame, most: int = MOST_EDGES) -> tuple[DataFrame, Data
         points.append(known.join(falls, ["run", "tree", "part"]).select(*point))
         stays = met.where("kind = 'stay'").select("run", "tree", F.col("node").alias("part"), F.col("ck").alias("k"), F.col("cb").alias("b"))
         goes_on = lower.join(known.select("run", "tree", F.col("node").alias("u"), "part"), ["run", "tree", "u"]).join(stays, ["run", "tree", "part"])
-        now = saved(goes_on.select("run", F.col("part").alias("tree"), "u", "v", "w", "su", "sv", F.col("k").alias("rk"), F.col("b").alias("rb"), "least_size"), "lower-trees")
+        now = saved(goes_on.select("run", "origin", F.col("part").alias("tree"), "u", "v", "w", "su", "sv", F.col("k").alias("rk"), F.col("b").alias("rb"), "least_size"), "lower-trees")
     return saved(_union(clusters), "clusters"), saved(_union(points), "points")
 
 
 def _one_level(edges: DataFrame) -> DataFrame:
     """As ``_condense``, where all edges have one length: any number of parts that part at once."""
-    ends = edges.select("run", "tree", "w", "rk", "rb", "least_size", F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("su").alias("size")), F.struct(F.col("v").alias("node"), F.col("sv").alias("size")))).alias("e"))
-    parts = ends.select("run", "tree", "w", "rk", "rb", "least_size", "e.*").distinct()
+    ends = edges.select("run", "origin", "tree", "w", "rk", "rb", "least_size", F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("su").alias("size")), F.struct(F.col("v").alias("node"), F.col("sv").alias("size")))).alias("e"))
+    parts = ends.select("run", "origin", "tree", "w", "rk", "rb", "least_size", "e.*").distinct()
     big = F.col("size") >= F.col("least_size")
     counts = parts.groupBy("run", "tree").agg(F.count_if(big).alias("big"))
     level = F.when(F.col("w") == 0, float("inf")).when(F.col("w") == float("inf"), 0.0).otherwise(1 / F.col("w"))
     known = parts.join(counts, ["run", "tree"]).withColumn("level", level)
     none = lambda kind: F.lit(None).cast(kind)
-    falls = known.where(~big).select("run", "tree", F.lit("out").alias("kind"), "node", "level", F.col("rk").alias("ck"), F.col("rb").alias("cb"), none("long").alias("pk"), none("double").alias("pb"), "size")
+    falls = known.where(~big).select("run", "origin", "tree", F.lit("out").alias("kind"), "node", "level", F.col("rk").alias("ck"), F.col("rb").alias("cb"), none("long").alias("pk"), none("double").alias("pb"), "size")
     several = F.col("big") > 1
     key, birth = F.when(several, F.col("node")).otherwise(F.col("rk")).alias("ck"), F.when(several, F.col("level")).otherwise(F.col("rb")).alias("cb")
-    stays = known.where(big).select("run", "tree", F.lit("stay").alias("kind"), "node", none("double").alias("level"), key, birth, none("long").alias("pk"), none("double").alias("pb"), "size")
-    born = known.where(big & several).select("run", "tree", F.lit("cluster").alias("kind"), none("long").alias("node"), none("double").alias("level"), F.col("node").alias("ck"), F.col("level").alias("cb"), F.col("rk").alias("pk"), F.col("rb").alias("pb"), "size")
+    stays = known.where(big).select("run", "origin", "tree", F.lit("stay").alias("kind"), "node", none("double").alias("level"), key, birth, none("long").alias("pk"), none("double").alias("pb"), "size")
+    born = known.where(big & several).select("run", "origin", "tree", F.lit("cluster").alias("kind"), none("long").alias("node"), none("double").alias("level"), F.col("node").alias("ck"), F.col("level").alias("cb"), F.col("rk").alias("pk"), F.col("rb").alias("pb"), "size")
     return falls.unionAll(stays).unionAll(born)
 
 
@@ -343,12 +346,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 KEY = ["run", "ck", "cb"]
 
 
-def _valued(clusters: DataFrame, points: DataFrame, least_density: Column) -> DataFrame:
-    """Clusters with ``last`` (the density at which all below is gone), and ``flag``: worth more than its clusters below, from the leaves up.
+def _worth(clusters: DataFrame, points: DataFrame) -> DataFrame:
+    """Clusters with their own ``worth``, ``own_last`` (the density at which all that leaves them is gone) and ``below`` (how many clusters they part into).
 
     A cluster is worth the sum, over what leaves it, of the density it leaves at
-    less the one the cluster begins at. Rounds go by height, each over the
-    clusters whose clusters below are done.
+    less the one the cluster begins at.
     """
     born = F.greatest(F.col("cb"), F.lit(0.0))
     own = points.groupBy(*KEY).agg(F.sum(F.col("level") - born).alias("s"), F.max("level").alias("far"))
@@ -356,8 +358,62 @@ def _valued(clusters: DataFrame, points: DataFrame, least_density: Column) -> Da
     gone = below.groupBy(*KEY).agg(F.sum((F.col("birth") - born) * F.col("size")).alias("gone"), F.max("birth").alias("gone_far"), F.count("*").alias("below"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     every = clusters.join(own, KEY, "left").join(gone, KEY, "left")
-    every = saved(every.select(*clusters.columns, (zero("s") + zero("gone")).alias("worth"), F.greatest(zero("far"), zero("gone_far")).alias("own_last"), F.coalesce("below", F.lit(0)).alias("below")), "cluster-worth")
-    done = saved(every.where("below = 0").select(*clusters.columns, "worth", "own_last", F.col("own_last").alias("last"), F.col("pk").isNotNull().alias("flag"), F.lit(True).alias("leaf")), "valued")
+    return every.select(*clusters.columns, (zero("s") + zero("gone")).alias("worth"), F.greatest(zero("far"), zero("gone_far")).alias("own_last"), F.coalesce("below", F.lit(0)).alias("below"))
+
+
+#: What selection gives of each cluster: its topmost chosen ancestor (tk, tb), when all that leaves that one is gone, and when all below the cluster itself is.
+MAPPED = "run long, ck long, cb double, tk long, tb double, most double, last double"
+
+
+def _choose(rows: pd.DataFrame) -> pd.DataFrame:
+    """MAPPED of the clusters of one tree (run, ck, cb, pk, pb, worth, own_last, below, method, epsilon), as ``_chosen_by_rounds`` finds it."""
+    rows = rows.sort_values(["cb", "ck"], ignore_index=True)  # what is above begins earlier
+    ck, cb, worth, last = (rows[c].tolist() for c in ("ck", "cb", "worth", "own_last"))
+    own_last, leaf, n = list(last), [b == 0 for b in rows["below"].tolist()], len(ck)
+    place = {key: k for k, key in enumerate(zip(ck, cb, strict=True))}
+    rooted = rows["pk"].isna().tolist()
+    up = [-1 if r else place[(int(a), b)] for r, a, b in zip(rooted, rows["pk"].tolist(), rows["pb"].tolist(), strict=True)]
+    sums, flag = [0.0] * n, [False] * n
+    for k in range(n - 1, -1, -1):
+        flag[k] = up[k] >= 0 and (leaf[k] or worth[k] >= sums[k])
+        if not leaf[k] and not flag[k]:
+            worth[k] = sums[k]
+        if up[k] >= 0:
+            sums[up[k]] += worth[k]
+            last[up[k]] = max(last[up[k]], last[k])
+    method, epsilon = rows["method"].iloc[0], float(rows["epsilon"].iloc[0])
+    rest, climbed = [False] * n, [False] * n
+    for k in range(n):
+        if not (leaf[k] and up[k] >= 0 if method == "leaf" else flag[k]):
+            continue
+        if not (epsilon > 0 and cb[k] * epsilon > 1):
+            rest[k] = True
+            continue
+        at = k
+        while not climbed[at]:  # else it has been followed to its end
+            if up[up[at]] < 0:
+                rest[at] = True
+                break
+            climbed[at], at = True, up[at]
+            if cb[at] * epsilon < 1:
+                rest[at] = True
+                break
+    top = [-1] * n
+    for k in range(n):
+        top[k] = top[up[k]] if up[k] >= 0 and top[up[k]] >= 0 else k if rest[k] else -1
+    some = np.array(top, np.int64)
+    there, at = some >= 0, np.maximum(some, 0)
+    pick = lambda of: pd.Series(np.array(of)[at]).where(there)
+    return pd.DataFrame({"run": rows["run"], "ck": ck, "cb": cb, "tk": pd.Series(np.array(ck, np.int64)[at]).astype("Int64").where(there), "tb": pick(cb), "most": pick(own_last), "last": last})
+
+
+def _valued(every: DataFrame) -> DataFrame:
+    """Clusters of ``_worth`` with ``last`` (the density at which all below is gone), and ``flag``: worth more than its clusters below, from the leaves up.
+
+    Rounds go by height, each over the clusters whose clusters below are done.
+    """
+    kept = [c for c in every.columns if c not in ("worth", "own_last", "below")]
+    done = saved(every.where("below = 0").select(*kept, "worth", "own_last", F.col("own_last").alias("last"), F.col("pk").isNotNull().alias("flag"), F.lit(True).alias("leaf")), "valued")
     parts, waiting = [done], every.where("below > 0")
     sums = None
     while True:
@@ -366,25 +422,19 @@ def _valued(clusters: DataFrame, points: DataFrame, least_density: Column) -> Da
         sums = saved(sums, "sums")
         ready = waiting.join(sums, KEY).where("below = seen")
         keeps = (F.col("worth") >= F.col("sum")) & F.col("pk").isNotNull()
-        found = saved(ready.select(*clusters.columns, F.when(keeps, F.col("worth")).otherwise(F.col("sum")).alias("worth"), "own_last", F.greatest("own_last", "deep").alias("last"), keeps.alias("flag"), F.lit(False).alias("leaf")), "valued")
+        found = saved(ready.select(*kept, F.when(keeps, F.col("worth")).otherwise(F.col("sum")).alias("worth"), "own_last", F.greatest("own_last", "deep").alias("last"), keeps.alias("flag"), F.lit(False).alias("leaf")), "valued")
         if found.isEmpty():
             break
         parts.append(found)
         sums = sums.join(found.select(*KEY), KEY, "left_anti")
-        waiting = waiting.join(found.select(*KEY), KEY, "left_anti")
+        # written, so that rounds don't pile up in the plan
+        waiting = saved(waiting.join(found.select(*KEY), KEY, "left_anti"), "waiting")
     return saved(_union(parts), "valued")
 
 
-def selected(clusters: DataFrame, points: DataFrame, settings: DataFrame) -> DataFrame:
-    """(run, node, level, cluster, probability, outlier_score) for the points of ``condensed``.
-
-    ``settings`` has (run, method, epsilon): ``eom`` takes the clusters that are
-    worth more than the clusters below them, ``leaf`` those that have none; a
-    cluster that begins at less than ``epsilon`` gives way to its nearest
-    ancestor that begins at more, or to the last one before the root. A root is
-    no cluster. ``cluster`` is the least member of the cluster, or -1.
-    """
-    valued = _valued(clusters, points, F.lit(0.0)).join(settings, "run")
+def _chosen_by_rounds(every: DataFrame) -> DataFrame:
+    """MAPPED of clusters of ``_worth`` with their method and epsilon, of trees that no task can hold."""
+    valued = _valued(every)
     # chosen ones that begin too close climb
     chosen = valued.where(F.when(F.col("method") == "leaf", F.col("leaf") & F.col("pk").isNotNull()).otherwise(F.col("flag")))
     slim = saved(valued.select(*KEY, "pk", "pb", "epsilon", F.col("own_last").alias("own_last"), "last"), "slim")
@@ -407,7 +457,26 @@ def selected(clusters: DataFrame, points: DataFrame, settings: DataFrame) -> Dat
         step = state.join(above, ["run", "ak", "ab"], "left")
         state = saved(step.select(*KEY, F.col("nk").alias("ak"), F.col("nb").alias("ab"), F.coalesce("uk", "tk").alias("tk"), F.when(F.col("uk").isNotNull(), F.col("ub")).otherwise(F.col("tb")).alias("tb")), "ancestors")
     lasts = slim.select("run", F.col("ck").alias("tk"), F.col("cb").alias("tb"), F.col("own_last").alias("most"))
-    mapped = saved(state.select(*KEY, "tk", "tb").join(lasts, ["run", "tk", "tb"], "left").join(slim.select(*KEY, "last"), KEY), "mapped")
+    return state.select(*KEY, "tk", "tb").join(lasts, ["run", "tk", "tb"], "left").join(slim.select(*KEY, "last"), KEY).select(*KEY, "tk", "tb", "most", "last")
+
+
+def selected(clusters: DataFrame, points: DataFrame, settings: DataFrame, most: int = MOST_EDGES) -> DataFrame:
+    """(run, node, level, cluster, probability, outlier_score) for the points of ``condensed``.
+
+    ``settings`` has (run, method, epsilon): ``eom`` takes the clusters that are
+    worth more than the clusters below them, ``leaf`` those that have none; a
+    cluster that begins at less than ``epsilon`` gives way to its nearest
+    ancestor that begins at more, or to the last one before the root. A root is
+    no cluster. ``cluster`` is the least member of the cluster, or -1. Trees of
+    up to ``most`` clusters are chosen from in one task each, larger ones in
+    rounds by height.
+    """
+    every = saved(_worth(clusters, points).join(F.broadcast(settings), "run"), "cluster-worth")
+    large = saved(every.groupBy("run", "origin").agg(F.count("*").alias("n")).where(F.col("n") > most).select("run", "origin"), "large-trees")
+    mapped = every.join(large, ["run", "origin"], "left_anti").groupBy("run", "origin").applyInPandas(_choose, MAPPED)
+    if not large.isEmpty():
+        mapped = mapped.unionAll(_chosen_by_rounds(every.join(large, ["run", "origin"], "left_semi")))
+    mapped = saved(mapped, "mapped")
     known = points.join(mapped, KEY)
     level, most = F.col("level"), F.col("most")
     probability = F.when(F.col("tk").isNull(), 0.0).when((most == 0) | (level == float("inf")), 1.0).otherwise(F.least(level, most) / most)
@@ -482,7 +551,7 @@ def grid_clusters(vectors: DataFrame, grid: Sequence[tuple[int, int, float]], me
     clusters, points = condensed(trees.join(F.broadcast(shapes), "samples").select("run", "tree", "u", "v", "w", "least_size"), most)
     runs = spark.createDataFrame([(pairs.index((m, s)), n, method, float(e)) for n, (m, s, e) in enumerate(grid)], "shape long, run long, method string, epsilon double")
     each = lambda df: df.withColumnRenamed("run", "shape").join(F.broadcast(runs.select("shape", "run")), "shape").drop("shape")
-    found = selected(saved(each(clusters), "run-clusters"), each(points), runs.select("run", "method", "epsilon"))
+    found = selected(saved(each(clusters), "run-clusters"), each(points), runs.select("run", "method", "epsilon"), most)
     numbered = spark.createDataFrame([(n, s) for n, (_, s, _) in enumerate(grid)], "run long, samples int")
     asked = vectors.select("id").crossJoin(F.broadcast(numbered)).join(cores.select("id", "samples", "core"), ["id", "samples"], "left")  # a row for each setting, as asked for
     out = asked.join(found.select("run", F.col("node").alias("id"), "cluster", "probability", "outlier_score"), ["run", "id"], "left")

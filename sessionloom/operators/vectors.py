@@ -49,7 +49,7 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int, by: str | None = None
                 # by similarity, ties by id: ids ascend within a block
                 order = np.argsort(mi, kind="stable")
                 s, mi = s[:, order], mi[order]
-                best = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :top]
+                best = _best(np.round(s, 12), top)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, top)), pa.array(mi[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "id", "similarity"])
 
     pairs = met.mapInArrow(multiply, "query_id long, id long, similarity double")
@@ -118,6 +118,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
+def _best(s: np.ndarray, top: int) -> np.ndarray:
+    """The places of each row's ``top`` greatest values, in order; of equal ones the first."""
+    least = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top, None]
+    row, at = np.nonzero(s >= least)
+    value = s[row, at]
+    order = np.lexsort((at, -value, row))
+    # of those equal to the least one as many as there is room for
+    place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(s)))[row]
+    return at[order][place < top].reshape(len(s), top)
+
+
 def label_similarity(queries: DataFrame, memory: DataFrame, per_label: int = 50) -> DataFrame:
     """(query_id, label, score): .6 of the best, .3 of the mean and .1 of the median cosine with a label's vectors.
 

@@ -214,3 +214,22 @@ def test_clustering_search_against_brute_force(spark, sf):
             means[np.arange(len(place)), place] = np.inf
             b = means.min(axis=1)
             assert r["silhouette"] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=2e-4)
+
+
+@pytest.mark.parametrize(("method", "epsilon"), [("eom", 0.0), ("leaf", 0.0), ("leaf", 0.3), ("eom", 0.25)])
+def test_selection_in_one_task_equals_rounds_and_needs_none(spark, monkeypatch, method, epsilon):
+    # each cluster but the last parts into a leaf and the next one, so there are as many rounds as clusters below each other
+    chain = [(0, 9, 0, -1.0, None, None, None)]
+    points = []
+    for k in range(1, 6):
+        up = (chain[0][2], chain[0][3]) if k == 1 else (k - 1, float(k - 1))
+        chain += [(0, 9, k, float(k), *up, 20), (0, 9, 100 + k, float(k), *up, 5)]
+        points += [(0, 1000 + k, k + 1.5, 100 + k, float(k)), (0, 2000 + k, k + 0.5, k, float(k))]
+    clusters = spark.createDataFrame(chain, "run long, origin long, ck long, cb double, pk long, pb double, size long")
+    fallen = spark.createDataFrame(points, "run long, node long, level double, ck long, cb double")
+    settings = spark.createDataFrame([(0, method, epsilon)], "run long, method string, epsilon double")
+    names, saved = [], H.saved
+    monkeypatch.setattr(H, "saved", lambda df, name: (names.append(name), saved(df, name))[1])
+    one = sorted(map(tuple, H.selected(clusters, fallen, settings).collect()))
+    assert len(names) <= 3
+    assert one == sorted(map(tuple, H.selected(clusters, fallen, settings, most=1).collect()))
