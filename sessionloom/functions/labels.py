@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["clean_topic_name", "context_hint", "length_fallback", "match_bucket", "normalise_dedup", "normalise_memory", "normalise_plain", "preview", "resolve_label", "rule_domain", "summarise", "word_overlap"]
+__all__ = ["clean_topic_name", "context_hint", "length_fallback", "match_bucket", "normalise_dedup", "normalise_memory", "normalise_plain", "preview", "resolve_label", "rule_domain", "summarise"]
 
 #: Rewrites of a normalised label, applied in this order.
 DEDUP_REWRITES = [("prenotazioni", "prenotazione"), ("referti", "ritiro_referti"), ("pagamenti", "fatturazione"), ("contatti", "orari_contatti"), ("informazioni", "info")]
@@ -100,12 +100,6 @@ def match_bucket(similarity: Column) -> Column:
     return F.when(similarity >= 0.95, "exact").when(similarity >= 0.85, "high").when(similarity >= 0.7, "medium").when(similarity >= 0.5, "low").otherwise("none")
 
 
-def word_overlap(text: Column, example: Column) -> Column:
-    """How many words of over three letters of an example occur in a text, and a half if the lengths are close."""
-    words = F.filter(F.split(F.lower(example), r"\s+"), lambda w: (F.length(w) > 3) & F.contains(F.lower(text), w))
-    return F.size(words) + F.when(F.abs(F.length(text) - F.length(example)) < 50, 0.5).otherwise(0.0)
-
-
 def length_fallback(text: Column) -> Column:
     """Confidence of a fallback label, by the length of the text alone."""
     n = F.length(F.trim(text))

@@ -176,10 +176,16 @@ def x18(spark, d):
 
 @query("X19_word_overlap", "SELECT d.conv_id, d.turn, b.item_id, CAST(len(list_filter(regexp_split_to_array(lower(b.text), '[ \\t\\n\\f\\r\\x0B]+'), lambda w: length(w) > 3 AND contains(lower(d.text), w))) AS DOUBLE) + CASE WHEN abs(length(d.text) - length(b.text)) < 50 THEN 0.5 ELSE 0.0 END AS score FROM conversations d CROSS JOIN benchmark b")
 def x19(spark, d):
-    # every message against the stated set of examples
-    examples = table(spark, d, "benchmark").select("item_id", F.col("text").alias("example"))
-    said = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return said.crossJoin(examples).select("conv_id", "turn", "item_id", L.word_overlap(F.col("text"), F.col("example")).alias("score"))
+    # every message against the stated set of examples, whose different words are looked for once in each message
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 3)
+    examples = table(spark, d, "benchmark").select("item_id", F.length("text").alias("size"), words.alias("words"))
+    known = examples.select(F.explode("words").alias("word")).agg(F.array_sort(F.collect_set("word")).alias("known"))  # one row
+    numbered = examples.crossJoin(F.broadcast(known)).select("item_id", "size", F.transform("words", lambda w: F.array_position("known", w).cast("int")).alias("at"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # small tables are one file, and pairs are many
+    said = table(spark, d, "conversations").select("conv_id", "turn", "text").repartition(parts, "conv_id", "turn").select("conv_id", "turn", F.lower("text").alias("low"), F.length("text").alias("length"))
+    held = said.crossJoin(F.broadcast(known)).select("conv_id", "turn", "length", F.transform("known", lambda w: F.contains(F.col("low"), w)).alias("found"))
+    close = F.when(F.abs(F.col("length") - F.col("size")) < 50, 0.5).otherwise(0.0)
+    return held.crossJoin(F.broadcast(numbered)).select("conv_id", "turn", "item_id", (F.size(F.filter("at", lambda k: F.element_at("found", k))) + close).alias("score"))
 
 
 @query("X21_template", with_(FACTS) + "SELECT session_id, 'Label ' || coalesce(label, '{{label}}') || ' for ' || CAST(user_id AS STRING) || ' in {{missing}}' AS prompt FROM facts")

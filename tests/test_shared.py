@@ -144,3 +144,17 @@ def test_label_queries_against_brute_force(spark, sf):
     assert queries()["SRC10_saved_topics"](spark, sf).where("topic NOT BETWEEN 0 AND 3").count() == 0
     assert queries()["ML1_embedding"](spark, sf).where("dimension != 32 OR length != 1").count() == 0
     assert queries()["H3_hash_label"](spark, sf).where("bucket NOT BETWEEN 0 AND 4").count() == 0
+
+
+def test_word_overlap_looks_for_words_once_in_a_message(spark, sf):
+    from sessionloom import plans
+
+    plan = plans.queries()["X19_word_overlap"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(k for k, line in enumerate(plan) if "Join" in line)
+    assert not any("Contains" in line or "contains(" in line or "lower(" in line for line in plan[:join])
+
+
+def test_tag_bootstrap_keeps_tags_of_medium_confidence(spark):
+    from sessionloom import plans
+
+    assert plans.queries()["Q15_tag_bootstrap"](spark, "/root/testdata/sf0.01").count() > 0
