@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -55,6 +56,15 @@ def _as_class(ranges: str) -> str:
     return "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in ranges.split())
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all characters are below 256, and so none is newer than any table."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordBPE:
     """A tokenizer file whose words end in a marker; see ``encode_words`` for the method."""
 
@@ -94,7 +104,8 @@ class WordBPE:
         self.word = regex.compile(split)
         # characters that are newer than the library's tables are no letters or digits to it
         newer = _as_class(NEWER)
-        self.newer = regex.compile(f"[{newer}{''.join(map(chr, NEWER_CAPITALS))}]")
+        # Python's own module looks classes up in a table, where ``regex`` tries range by range
+        self.newer = re.compile(f"[{newer}{''.join(map(chr, NEWER_CAPITALS))}]")
         self.word_but_newer = regex.compile("(?V1)" + regex.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--[{newer}]]", split))
         self.white = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
@@ -117,7 +128,7 @@ class WordBPE:
         if text.isascii():
             return self.word.findall(text.lower())
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if self.newer.search(text):
+        if not _is_latin(text) and self.newer.search(text):
             return self.word_but_newer.findall(text.translate(NEWER_CAPITALS))
         return self.word.findall(text)
 

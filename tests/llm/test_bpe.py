@@ -103,3 +103,13 @@ def test_query(spark, sf, theirs):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_texts_of_latin_letters_are_not_searched_for_newer_ones(monkeypatch):
+    from sessionloom.llm.bpe import WordBPE
+    from sessionloom.llm.queries import tokenizer_path
+
+    bpe = WordBPE(tokenizer_path())
+    want = bpe.words("Grün, año \u00e9t\u00e9")
+    bpe.newer = None
+    assert bpe.words("Grün, año \u00e9t\u00e9") == want
