@@ -43,6 +43,8 @@ def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts with a similarity (Dice's, of five-word shingles) of .8 or more the document with the smallest id.
 
+    SimHash fingerprints meet by the trie walk, and texts that it links are compared.
+
     Rows that repeat an id count as one document; rows without an id stay.
     Null and empty texts are equal texts, so one of them stays. An empty table
     stays empty. Only texts of documents that may have to go are moved.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +28,10 @@ def free(docs: DataFrame, name: str) -> str:
 
 
 def give_back() -> None:
-    """Return memory that Arrow no longer uses to the system; workers outlive tasks, and several share a machine."""
+    """Return memory that Arrow and Python no longer use to the system; workers outlive tasks, and several share a machine."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 #: Most bits of the filter that ``likely_in`` makes: 1 MB.

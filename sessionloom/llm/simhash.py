@@ -27,7 +27,7 @@ from sessionloom.operators.graph import connected_components
 
 from .common import give_back, likely_in, saved
 
-__all__ = ["components_of", "fingerprint_bytes", "linked_fingerprints", "near_duplicates", "simhash_column", "similarity", "trie_pairs"]
+__all__ = ["components_of", "fingerprint_bytes", "grouped_fingerprints", "linked_fingerprints", "near_duplicates", "simhash_column", "similarity", "trie_pairs"]
 
 BITS = 64
 #: Shingles hashed at once; bounds memory only.
@@ -225,6 +225,8 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Samples of a text, and shingles in a sample.
 SAMPLES, SAMPLED = 16, 4
+#: Bits in which fingerprints of a whole text or a sample may differ to be linked by the trie walk.
+BUDGET = 2
 #: Rounds of choosing a group's hub; what they leave is compared wholly, in blocks.
 ROUNDS = 4
 #: Most members and bytes of text of a block, on average, and columns of a product of matrices; bound memory only.
@@ -232,7 +234,7 @@ BLOCK_ROWS, BLOCK_BYTES, COLUMNS_AT_ONCE = 512, 4_000_000, 4_096
 
 
 def sample_fingerprints(text: bytes, words_per_shingle: int) -> list[int | None]:
-    """SimHash fingerprints of SAMPLES small samples of a text's distinct shingles; None where a sample is empty.
+    """SimHash fingerprints of SAMPLES small samples of a text's distinct shingles, and that of the whole text; None where there are no shingles.
 
     The range of hash values is cut into SAMPLES * SAMPLED bins; a sample is
     the least value of each of its bins. Texts with a share s of all their
@@ -242,7 +244,7 @@ def sample_fingerprints(text: bytes, words_per_shingle: int) -> list[int | None]
     """
     parts = list(shingle_hashes(text, words_per_shingle))
     if not parts:
-        return [None] * SAMPLES
+        return [None] * (SAMPLES + 1)
     hashes = np.sort(np.concatenate(parts))
     bins = SAMPLES * SAMPLED
     shift = np.uint64(BITS - bins.bit_length() + 1)
@@ -251,7 +253,8 @@ def sample_fingerprints(text: bytes, words_per_shingle: int) -> list[int | None]
     there = (at < len(hashes)) & (least >> shift == np.arange(bins, dtype=np.uint64))
     # an empty bin counts as itself, so that texts with other empty bins differ
     filled = np.where(there, least, np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return [majority(iter([filled[k : k + SAMPLED]])) if there[k : k + SAMPLED].any() else None for k in range(0, bins, SAMPLED)]
+    samples = [majority(iter([filled[k : k + SAMPLED]])) if there[k : k + SAMPLED].any() else None for k in range(0, bins, SAMPLED)]
+    return [*samples, majority(hashes[k : k + HASHED_AT_ONCE] for k in range(0, len(hashes), HASHED_AT_ONCE))]
 
 
 def similarity(a: bytes, b: bytes, words_per_shingle: int) -> float:
@@ -285,6 +288,16 @@ def shared_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
     return found
 
 
+def grouped_fingerprints(placed: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """``placed`` with each fingerprint (``fp``) replaced by its group's: the least one reachable by links of the trie walk."""
+    prints = saved(placed.select("fp").distinct(), "fingerprints")
+    group = connected_components(linked_fingerprints(prints, budget)).where("node <> component")
+    # few fingerprints have a neighbour; written, so that the planner knows
+    near = saved(group.select(F.col("node").alias("fp"), F.col("component").alias("_group")), "fingerprint-groups")
+    others = [c for c in placed.columns if c != "fp"]
+    return placed.join(near, "fp", "left").select(*others, F.coalesce("_group", "fp").alias("fp"))
+
+
 def _grown(parts: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components (node, component) of earlier ``parts`` and new ``links`` (u, v)."""
     earlier = [] if parts is None else [parts.select(F.col("node").alias("u"), F.col("component").alias("v"))]
@@ -341,11 +354,12 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float =
     """Rows (id, component_id), one for each row of ``docs`` with an id: components of texts with a similarity of ``least`` or more.
 
     The similarity is Dice's, which for texts of about one length is the cosine
-    that a SimHash estimates. A whole text's SimHash differs by some ten bits or
-    more at .8, which no trie join can take on many documents. So SimHash fingerprints of
-    small samples of shingles are joined, with no bit to spare, and every link
-    is verified on whole texts. Equal texts are one member of a group. In a
-    group of equal samples all members are held against its hub: the member
+    that a SimHash estimates. SimHash fingerprints of whole texts, and of small
+    samples of their shingles, go through the trie walk with a budget of BUDGET
+    bits, and every link is verified on whole texts. The samples are there
+    as a whole text's SimHash differs by some ten bits or more at .8, a budget
+    that no walk can take on many documents. Equal texts are one member of a group. In a
+    group of linked fingerprints all members are held against its hub: the member
     that meets most others over all samples, as the original of many variants
     does; members outside its component meet the next hub, for ROUNDS rounds.
     A group is done when its members are one component, or have been hubs. What
@@ -375,7 +389,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float =
     made = saved(rows.select("id", sketch.asNondeterministic()(F.col("text")).alias("s"), F.octet_length("text").alias("size")).select("id", "s.key", "s.samples", "size"), "sketches")
     texts = saved(made.groupBy("key").agg(F.min("id").alias("rep")), "distinct-texts")
     distinct = made.join(texts, (made["key"] == texts["key"]) & (made["id"] == texts["rep"]), "left_semi").dropDuplicates(["id"])
-    placed = distinct.select("id", F.posexplode("samples").alias("nth", "fp")).where("fp IS NOT NULL")
+    placed = grouped_fingerprints(distinct.select("id", F.posexplode("samples").alias("nth", "fp")).where("fp IS NOT NULL"))
     groups = placed.groupBy("nth", "fp").agg(F.count("*").alias("n")).where("n > 1")
     found = saved(placed.join(saved(groups, "sample-groups"), ["nth", "fp"]).select("id", "nth", "fp", "n"), "grouped")
     score = saved(found.groupBy("id").agg(F.sum("n").alias("met")), "met")

@@ -378,3 +378,19 @@ def test_near_duplicates_cases(spark, edge, empty):
     found = {r["doc_id"]: r["component_id"] for r in got}
     assert found[3] == found[4] == found[5] == 3 and found[7] == 7 and found[2] == 1 and found[6] == 6
     assert H.near_duplicates(empty).count() == 0
+
+
+def test_fingerprints_are_grouped_by_the_trie_walk(spark):
+    far = 0x5555555555555555
+    rows = [(1, 0, 0), (2, 0, 0b11), (3, 1, 0b1111), (4, 0, 0b1111111), (5, 0, far), (6, 2, far)]
+    got = {r["id"]: (r["nth"], r["fp"]) for r in H.grouped_fingerprints(spark.createDataFrame(rows, "id long, nth int, fp long")).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (1, 0), 4: (0, 0b1111111), 5: (0, far), 6: (2, far)}
+
+
+def test_near_duplicates_go_through_the_trie_walk(spark, monkeypatch):
+    budgets, walk = [], H.linked_fingerprints
+    monkeypatch.setattr(H, "linked_fingerprints", lambda prints, budget: (budgets.append(budget), walk(prints, budget))[1])
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "one two three")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in H.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and budgets == [H.BUDGET]
