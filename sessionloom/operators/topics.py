@@ -35,10 +35,26 @@ def topic_terms(counts: DataFrame, topics: DataFrame, id_col: str) -> DataFrame:
     return joined.select("topic", "term", (F.col("n") / F.col("words") * F.log(1 + F.col("A") / F.col("f"))).alias("weight"))
 
 
+#: Terms with more than one in so many of all counts are frequent; there are no more of them than that.
+FREQUENT = 16_384
+
+
 def _scores(counts: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
-    """(id, topic, score): the mean weight that a text's words have in a topic, for topics that share a term with it."""
+    """(id, topic, score): the mean weight that a text's words have in a topic, for topics that share a term with it.
+
+    Weights of frequent terms, a bounded number of rows for each topic, go to where the texts' counts
+    lie, which are then summed up before anything moves; only counts of the
+    other terms are sent.
+    """
     sizes = counts.groupBy(id_col).agg(F.sum("n").alias("words"))
-    met = counts.join(terms, "term").groupBy(id_col, "topic").agg(F.sum(F.col("n") * F.col("weight")).alias("s"))
+    often = saved(counts.groupBy("term").agg(F.count("*").alias("k")), "term-rows")
+    total = often.agg(F.sum("k").alias("total"))  # one row
+    frequent = saved(often.crossJoin(F.broadcast(total)).where(F.col("k") * FREQUENT > F.col("total")).select("term"), "frequent-terms")
+    near = counts.join(F.broadcast(terms.join(F.broadcast(frequent), "term", "left_semi")), "term")
+    far = counts.join(F.broadcast(frequent), "term", "left_anti").join(terms, "term")
+    # summed up apart, so that each text's counts of frequent terms are one row for each topic before they move
+    parts = [met.groupBy(id_col, "topic").agg(F.sum(F.col("n") * F.col("weight")).alias("s")) for met in (near, far)]
+    met = parts[0].unionAll(parts[1]).groupBy(id_col, "topic").agg(F.sum("s").alias("s"))
     return met.join(sizes, id_col).select(id_col, "topic", (F.col("s") / F.col("words")).alias("score"))
 
 

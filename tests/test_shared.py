@@ -158,3 +158,15 @@ def test_tag_bootstrap_keeps_tags_of_medium_confidence(spark):
     from sessionloom import plans
 
     assert plans.queries()["Q15_tag_bootstrap"](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_scores_of_topics_move_no_counts_of_frequent_terms(spark, monkeypatch):
+    from sessionloom.operators import topics as T
+
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 1), (2, "c", 3)], "id long, term string, n long")
+    terms = spark.createDataFrame([(0, "a", 0.5), (1, "a", 0.25), (0, "b", 1.0), (1, "c", 2.0)], "topic long, term string, weight double")
+    want = [(1, 0, 0.666667), (1, 1, 0.166667), (2, 0, 0.125), (2, 1, 1.5625)]
+    # all terms, the one that two texts have, or none are frequent
+    for most in (100, 3, 1):
+        monkeypatch.setattr(T, "FREQUENT", most)
+        assert sorted((r["id"], r["topic"], round(r["score"], 6)) for r in T._scores(counts, terms, "id").collect()) == want
