@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.sources.shared import saved
 
 __all__ = ["term_counts", "topic_features", "topic_shares", "topic_terms", "typical_texts"]
 
 
+#: Counts that a task gives out at once; bounds memory only.
+COUNTS_AT_ONCE = 100_000
+
+
 def term_counts(texts: DataFrame, id_col: str, text_col: str, pattern: str = "[a-z]{3,}") -> DataFrame:
-    """(id, term, n): how often a text has each term, in lower case; null texts and texts without one give no row."""
-    terms = texts.select(id_col, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(pattern), F.lit(0))).alias("term"))
-    return terms.groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    """(id, term, n): how often a text has each term, in lower case; null texts and texts without one give no row.
+
+    Terms are counted where the texts lie, and nothing moves. Rows that repeat
+    an id have counts of their own.
+    """
+    schema = T.StructType([texts.schema[id_col], T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).findall
+        for batch in batches:
+            rows, terms, counts = [], [], []
+            for k, text in enumerate(batch.column(1)):
+                found = Counter(find(text.as_py() or ""))
+                rows += [k] * len(found)
+                terms += found.keys()
+                counts += found.values()
+                if len(rows) > COUNTS_AT_ONCE or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=[id_col, "term", "n"])
+                    rows, terms, counts = [], [], []
+
+    return texts.select(id_col, F.lower(text_col).alias("_text")).mapInArrow(count, schema)
 
 
 def topic_terms(counts: DataFrame, topics: DataFrame, id_col: str) -> DataFrame:

@@ -170,3 +170,11 @@ def test_scores_of_topics_move_no_counts_of_frequent_terms(spark, monkeypatch):
     for most in (100, 3, 1):
         monkeypatch.setattr(T, "FREQUENT", most)
         assert sorted((r["id"], r["topic"], round(r["score"], 6)) for r in T._scores(counts, terms, "id").collect()) == want
+
+
+def test_terms_are_counted_where_texts_lie(spark):
+    from sessionloom.operators import topics as T
+
+    found = T.term_counts(spark.createDataFrame([(1, "The cat. THE dog, a"), (2, None), (3, "x")], "id long, text string"), "id", "text")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, "cat", 1), (1, "dog", 1), (1, "the", 2)]
