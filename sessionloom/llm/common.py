@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.sources.shared import fresh_path, saved, shared_dir
+from sessionloom.sources.shared import discard, fresh_path, saved, shared_dir
 
-__all__ = ["free", "fresh_path", "give_back", "likely_in", "load", "saved", "shared_dir"]
+__all__ = ["discard", "free", "fresh_path", "give_back", "likely_in", "load", "saved", "shared_dir"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

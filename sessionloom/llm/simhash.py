@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from sessionloom.operators.graph import connected_components
 
-from .common import give_back, likely_in, saved
+from .common import discard, give_back, likely_in, saved
 
 __all__ = ["components_of", "fingerprint_bytes", "grouped_fingerprints", "linked_fingerprints", "near_duplicates", "simhash_column", "similarity", "trie_pairs"]
 
@@ -301,7 +301,9 @@ def grouped_fingerprints(placed: DataFrame, budget: int = BUDGET) -> DataFrame:
 def _grown(parts: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components (node, component) of earlier ``parts`` and new ``links`` (u, v)."""
     earlier = [] if parts is None else [parts.select(F.col("node").alias("u"), F.col("component").alias("v"))]
-    return saved(connected_components(reduce(DataFrame.unionAll, earlier, links)), "components")
+    grown = saved(connected_components(reduce(DataFrame.unionAll, earlier, links)), "components")
+    discard(*([] if parts is None else [parts]))
+    return grown
 
 
 def _residue_links(rows: DataFrame, active: DataFrame, made: DataFrame, words_per_shingle: int, least: float) -> DataFrame:
@@ -408,15 +410,18 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float =
             some = saved(rows.where(likely_in(needed, "id", F.col("id"))).join(needed, "id", "left_semi").dropDuplicates(["id"]), "compared")
             both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
             new = saved(both.select("a", "b", alike(F.col("x"), F.col("y")).alias("j")).where(F.col("j") >= least).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+            discard(some)
             if not new.isEmpty():
                 parts = _grown(parts, new)
+            discard(new)
         # a hub has met all members outside its component; a group within one component is done
         left = active.join(hubs.select("nth", "fp", F.col("hub").alias("id")), ["nth", "fp", "id"], "left_anti")
         if parts is not None:
             left = left.drop("component").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "nth", "fp", F.coalesce("component", "id").alias("component"))
         left = saved(left, "left")
-        open_groups = left.groupBy("nth", "fp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("nth", "fp")
-        active = saved(left.join(saved(open_groups, "open-groups"), ["nth", "fp"], "left_semi"), "grouped")
+        open_groups = saved(left.groupBy("nth", "fp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("nth", "fp"), "open-groups")
+        active = saved(left.join(open_groups, ["nth", "fp"], "left_semi"), "grouped")
+        discard(needed, hubs, left, open_groups)
         if active.isEmpty():
             break
     else:

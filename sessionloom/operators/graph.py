@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.sources.shared import saved
+from sessionloom.sources.shared import discard, saved
 
 __all__ = ["connected_components"]
 
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for every node of ``edges`` (u, v: any type with an order); component is the smallest node.
 
     Rows with a null end are left out; loops and repeated links change nothing.
-    Each round is written to the shared folder, so that lineage stays short.
+    Each round is written to the shared folder, so that lineage stays short, and
+    the round before is removed.
     The number of links never grows, and rounds grow with the logarithm of the
     longest chain. An empty table gives an empty result.
     """
@@ -39,7 +40,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or state["n"] == 0:
             break
-        before = state
-        now = saved(_small_star(_large_star(now)), "links")
+        before, last = state, now
+        now = saved(_small_star(_large_star(last)), "links")
+        discard(last)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)

@@ -7,10 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["fresh_path", "release", "saved", "shared_dir"]
+__all__ = ["discard", "fresh_path", "release", "saved", "shared_dir"]
 
 #: Tables and folders written by this process, which ``release`` removes.
 _written: list[str] = []
+#: While it is true, Spark removes a query's shuffle files when the query ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,18 +47,37 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage where lost executors can't take the data with them,
     and gives the planner the true size, so that it broadcasts the table only
-    if it is below ``spark.sql.autoBroadcastJoinThreshold``.
+    if it is below ``spark.sql.autoBroadcastJoinThreshold``. Shuffle files of the
+    write go with it, as nothing reads them again.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``saved`` has written and that nothing reads any more, so that rounds don't add up on disk."""
+    for table in tables:
+        folders = {file.rpartition("/")[0].rpartition("/")[2] for file in table.inputFiles()}
+        for path in [p for p in _written if p.rpartition("/")[2] in folders]:
+            _written.remove(path)
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> int:
     """Remove the tables that ``saved`` has written in this process, once results that read them are written; returns how many."""
-    jvm, n = spark._jvm, len(_written)
+    n = len(_written)
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
     return n

@@ -5,9 +5,11 @@ import os
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from sessionloom.operators import clusters as C
 from sessionloom.operators.density import density_clusters, recluster_outliers
+from sessionloom.operators.graph import connected_components
 from sessionloom.operators.vectors import nearest, percentiles
 from sessionloom.plans import queries
 from sessionloom.plans.registries import strict
@@ -178,3 +180,32 @@ def test_terms_are_counted_where_texts_lie(spark):
     found = T.term_counts(spark.createDataFrame([(1, "The cat. THE dog, a"), (2, None), (3, "x")], "id long, text string"), "id", "text")
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(1, "cat", 1), (1, "dog", 1), (1, "the", 2)]
+
+
+def test_saved_leaves_no_shuffle_files(spark):
+    import time
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = blocks.getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(shared.CLEANUP, "false")
+    df = shared.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "some")
+    assert df.count() == 7 and spark.conf.get(shared.CLEANUP, "false") == setting
+    # the count above has a shuffle of its own, the write had one with as many rows as tasks and keys; files go a moment later
+    for _ in range(50):
+        if len({f.split("_")[1] for f in files() - before}) <= 1:
+            break
+        time.sleep(0.2)
+    assert len({f.split("_")[1] for f in files() - before}) <= 1
+
+
+def test_rounds_of_components_are_removed(spark):
+    chain = spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    shared.release(spark)
+    found = connected_components(chain)
+    assert {r["component"] for r in found.collect()} == {0} and found.count() == 41
+    folder = shared.shared_dir(spark).removeprefix("file://")
+    assert len(shared._written) == 1 and len([x for x in os.listdir(folder) if x.startswith("sessionloom-links")]) == 1
