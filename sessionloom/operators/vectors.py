@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from sessionloom.functions.numbers import euclidean
 
-__all__ = ["block_pairs", "centroid_distances", "centroids", "label_similarity", "nearest", "percentiles", "soft_memberships"]
+__all__ = ["block_pairs", "centroid_distances", "centroids", "label_similarity", "nearest", "percentiles", "products", "soft_memberships"]
 
 
 def centroids(vectors: DataFrame, key: str, v: str = "v") -> DataFrame:
@@ -44,13 +44,13 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int, by: str | None = None
         for batch in batches:
             for row in range(batch.num_rows):
                 (qi, qv), (mi, mv) = (_matrix(batch.column(c)[row]) for c in ("q", "m"))
-                s = _unit(qv) @ _unit(mv).T
-                top = min(k, s.shape[1])
+                top = min(k, len(mi))
                 # by similarity, ties by id: ids ascend within a block
                 order = np.argsort(mi, kind="stable")
-                s, mi = s[:, order], mi[order]
-                best = _best(np.round(s, 12), top)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, top)), pa.array(mi[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "id", "similarity"])
+                mi, mv = mi[order], mv[order]
+                for some, s in products(qv, mv):
+                    best = _best(np.round(s, 12), top)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi[some], top)), pa.array(mi[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "id", "similarity"])
 
     pairs = met.mapInArrow(multiply, "query_id long, id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
@@ -59,6 +59,8 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int, by: str | None = None
 
 #: Most vectors in a block, and the fewest blocks that more than a handful of vectors are dealt into.
 BLOCK, FEWEST_BLOCKS = 2048, 8
+#: Most values of a product of blocks that a task holds at once; bounds memory only.
+CELLS = 1 << 18
 
 
 def _blocks(rows: DataFrame, name: str) -> DataFrame:
@@ -118,6 +120,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
+def products(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Cosines of the rows of two blocks, some rows of the first at a time: (which rows, their cosines), of about CELLS values each."""
+    unit, step = _unit(y).T, max(1, CELLS // max(1, len(y)))
+    for k in range(0, len(x), step):
+        some = slice(k, k + step)
+        yield some, _unit(x[some]) @ unit
+
+
 def _best(s: np.ndarray, top: int) -> np.ndarray:
     """The places of each row's ``top`` greatest values, in order; of equal ones the first."""
     least = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top, None]

@@ -209,3 +209,41 @@ def test_rounds_of_components_are_removed(spark):
     assert {r["component"] for r in found.collect()} == {0} and found.count() == 41
     folder = shared.shared_dir(spark).removeprefix("file://")
     assert len(shared._written) == 1 and len([x for x in os.listdir(folder) if x.startswith("sessionloom-links")]) == 1
+
+
+def test_blocks_are_multiplied_some_rows_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sessionloom.operators import vectors as V
+
+    random = np.random.default_rng(2)
+    x, y = random.normal(size=(2048, 16)), random.normal(size=(2048, 16))
+
+    class Met:
+        def mapInArrow(self, function, schema):
+            self.function = function
+            return self
+
+        withColumn = where = lambda self, *a: self
+
+    def block(v):
+        return pa.array([[{"i": k, "v": row.tolist()} for k, row in enumerate(v)]], pa.list_(pa.struct([("i", pa.int64()), ("v", pa.list_(pa.float64()))])))
+
+    met, batch = Met(), pa.RecordBatch.from_arrays([block(x), block(y)], names=["q", "m"])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(V, "block_pairs", lambda *a: met)
+        frame = type("D", (), {"select": lambda self, *a: self})()
+        patch.setattr(V, "F", type("F", (), {n: staticmethod(lambda *a: type("C", (), {"alias": lambda s, *a: s, "__le__": lambda s, o: s, "over": lambda s, *a: s})()) for n in ("lit", "col", "desc", "round", "row_number")}))
+        patch.setattr(V, "Window", type("W", (), {"partitionBy": staticmethod(lambda *a: type("O", (), {"orderBy": lambda s, *a: s})())}))
+        V.nearest(frame, frame, 5)
+    tracemalloc.start()
+    found = list(met.function(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    ids = np.concatenate([b.column("id").to_numpy() for b in found]).reshape(2048, 5)
+    unit = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y)]
+    assert (ids == np.argsort(-(unit[0] @ unit[1].T), axis=1)[:, :5]).all()
+    # the product of two whole blocks alone has 34 MB
+    assert most < 25
