@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.operators.graph import connected_components
-from sessionloom.operators.vectors import _matrix, _unit, block_pairs, nearest
+from sessionloom.operators.vectors import _matrix, block_pairs, nearest, products
 from sessionloom.sources.shared import saved
 
 __all__ = ["density_clusters", "recluster_outliers"]
@@ -38,7 +38,7 @@ def _links_within(rows: DataFrame, cut: float, by: str | None) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 (qi, qv), (mi, mv) = (_matrix(batch.column(c)[row]) for c in ("q", "m"))
-                near = np.sqrt(np.maximum(0.0, 2 - 2 * (_unit(qv) @ _unit(mv).T))) <= cut
+                near = np.concatenate([np.sqrt(np.maximum(0.0, 2 - 2 * s)) <= cut for _, s in products(qv, mv)])
                 left, fresh, u, v = np.ones(len(qi), bool), np.ones(len(mi), bool), [], []
                 for seed in range(len(qi)):
                     # every row and column is reached once, and linked to where its component began
