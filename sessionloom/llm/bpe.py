@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import give_back
+from .common import give_back, small_batches
 
 __all__ = ["WordBPE", "decode", "encode"]
 
@@ -369,6 +369,7 @@ def _with_columns(docs: DataFrame, source: str, outputs: dict[str, T.DataType],
             batch = some = None
             give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(*keep).mapInArrow(run, schema)
 
 

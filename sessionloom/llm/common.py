@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.sources.shared import discard, fresh_path, saved, shared_dir
 
-__all__ = ["discard", "free", "fresh_path", "give_back", "likely_in", "load", "saved", "shared_dir"]
+__all__ = ["discard", "free", "fresh_path", "give_back", "likely_in", "load", "saved", "shared_dir", "small_batches"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,23 @@ def give_back() -> None:
         trim(0)
 
 
+#: Bytes after which an Arrow batch of texts goes to Python; bounds memory only.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on no batch that the session sends to Python holds more than ``BATCH_BYTES`` and one row.
+
+    Spark's own bounds (10,000 rows, 64 MB) let each task hold some hundred MB of
+    texts outside the heap, as a batch's buffers double while they grow, and
+    Python as much again. A lower setting stays. It has to hold when the plan
+    runs, so it isn't taken back.
+    """
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 #: Most bits of the filter that ``likely_in`` makes: 1 MB.
 MOST_BITS = 1 << 23
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from sessionloom.operators.graph import connected_components
 
-from .common import discard, give_back, likely_in, saved
+from .common import discard, give_back, likely_in, saved, small_batches
 
 __all__ = ["components_of", "fingerprint_bytes", "grouped_fingerprints", "linked_fingerprints", "near_duplicates", "simhash_column", "similarity", "trie_pairs"]
 
@@ -211,6 +211,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     any length are read whole, other columns not at all. An empty table gives an
     empty result.
     """
+    small_batches(docs.sparkSession)
     prints = saved(docs.select(F.col(id_col).alias(id_col), simhash_column(F.col(text_col), words_per_shingle).alias("fp")), "simhash")
     nodes = saved(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
     member = saved(connected_components(linked_fingerprints(nodes.select("fp"), budget)), "components")
@@ -387,6 +388,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, least: float =
         give_back()
         return pa.array([similarity((x.as_py() or "").encode("utf-8", "replace"), (y.as_py() or "").encode("utf-8", "replace"), words_per_shingle) for x, y in zip(a, b, strict=True)], pa.float64())
 
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made = saved(rows.select("id", sketch.asNondeterministic()(F.col("text")).alias("s"), F.octet_length("text").alias("size")).select("id", "s.key", "s.samples", "size"), "sketches")
     texts = saved(made.groupBy("key").agg(F.min("id").alias("rep")), "distinct-texts")

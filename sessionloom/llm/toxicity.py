@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, saved
+from .common import give_back, saved, small_batches
 
 __all__ = ["Classifier", "features_of", "nn_pu_risk_gradient", "score", "train", "train_linear"]
 
@@ -191,6 +191,7 @@ def _with_words(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
             batch = some = None
             give_back()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(*dict.fromkeys([*keep, text_col]))
     return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in keep), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))]))
 
@@ -302,5 +303,6 @@ def score(docs: DataFrame, classifier: Classifier, text_col: str = "text", outpu
         return pa.array(classifier.score(np.array(margins, float)))
 
     columns = [c for c in (docs.columns if keep is None else keep) if c != output]
+    small_batches(docs.sparkSession)
     # so marked that the planner keeps one call where the score is used more than once
     return docs.select(*columns, toxicity.asNondeterministic()(F.col(text_col)).alias(output))
