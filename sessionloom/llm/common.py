@@ -72,5 +72,9 @@ def likely_in(keys: DataFrame, key: str, column: Column) -> Column:
     found = set_bytes.toArrow()
     bitmap = np.zeros(bits // 8, np.uint8)
     bitmap[found["byte"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
-    byte = F.conv(F.hex(F.substr(F.lit(bitmap.tobytes()), F.floor(at(column) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # a table of one row, not a literal, which would stand in hexadecimal in each description of a plan that the driver makes and keeps
+    table = keys.sparkSession.createDataFrame([(bitmap.tobytes(),)], "bitmap binary").coalesce(1)
+    del found, bitmap
+    give_back()
+    byte = F.conv(F.hex(F.substr(table.scalar(), F.floor(at(column) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return column.isNotNull() & (F.getbit(byte, (at(column) % 8).cast("int")) == 1)

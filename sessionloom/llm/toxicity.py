@@ -281,6 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     trained = [train_linear(matrix, is_positive, prior, seed) for seed in range(classifiers)]
     weights, bias = np.mean([w for w, _ in trained], axis=0), float(np.mean([b for _, b in trained]))
     slope, shift = _calibrate(matrix @ weights + bias, is_positive, prior)
+    del sample, at, matrix
+    give_back()  # else the driver keeps the sample's memory
     return Classifier(features, weights, bias, slope, shift)
 
 

@@ -25,22 +25,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
+def _outside_stars(edges: DataFrame) -> int:
+    """How many nodes have several smaller neighbours, or a smaller and a larger one. If none has, every link joins a node to its component's smallest."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).alias("n")).first()["n"]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for every node of ``edges`` (u, v: any type with an order); component is the smallest node.
 
     Rows with a null end are left out; loops and repeated links change nothing.
     Each round is written to the shared folder, so that lineage stays short, and
     the round before is removed.
+    It ends when all components are stars, without a round that only confirms it.
     The number of links never grows, and rounds grow with the logarithm of the
     longest chain. An empty table gives an empty result.
     """
-    now = saved(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct(), "links")
-    before = None
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before or state["n"] == 0:
-            break
-        before, last = state, now
+    links = edges.where("u is not null and v is not null and u != v")
+    now = saved(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    while _outside_stars(now):
+        last = now
         now = saved(_small_star(_large_star(last)), "links")
         discard(last)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

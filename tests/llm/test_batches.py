@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, simhash, toxicity
-from sessionloom.llm.common import BATCH_BYTES
+from sessionloom.llm.common import BATCH_BYTES, likely_in
 from sessionloom.llm.queries import tokenizer_path
 
 CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -44,3 +44,17 @@ def test_a_lower_bound_stays(spark, conf):
     conf.set(CONF, "1m")
     bpe.encode(docs, tokenizer_path())
     assert conf.get(CONF) == "1m"
+
+
+def test_the_filter_of_keys_is_not_part_of_the_plan(spark):
+    """Spark keeps descriptions of plans in the driver, again for each step of adaptive execution."""
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"))
+    keys = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("_id"))
+    may = likely_in(keys, "_id", F.col("doc_id"))
+    found = docs.where(may).withColumn("may", F.lit(1)).unionAll(docs.where(~may).withColumn("may", F.lit(0)))
+    assert len(found._jdf.queryExecution().toString()) < 50_000
+    counts = {(r["may"], r["third"]): r["count"] for r in found.groupBy("may", (F.col("doc_id") % 3 == 0).alias("third")).count().collect()}
+    assert counts[1, True] == 66_667 and (0, True) not in counts and counts[1, False] < 0.2 * counts[0, False]
+    assert sum(counts.values()) == 200_000
+    none = likely_in(keys.limit(0), "_id", F.col("doc_id"))
+    assert docs.where(none).isEmpty()

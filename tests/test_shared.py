@@ -211,6 +211,16 @@ def test_rounds_of_components_are_removed(spark):
     assert len(shared._written) == 1 and len([x for x in os.listdir(folder) if x.startswith("sessionloom-links")]) == 1
 
 
+def test_components_end_without_a_round_that_confirms_them(spark, monkeypatch):
+    from sessionloom.operators import graph
+
+    rounds = []
+    monkeypatch.setattr(graph, "_large_star", lambda edges, f=graph._large_star: rounds.append(1) or f(edges))
+    ends = lambda rows: {(r["node"], r["component"]) for r in connected_components(spark.createDataFrame(rows, "u long, v long")).collect()}
+    assert ends([(1, 2), (3, 1), (5, 9), (2, 1)]) == {(1, 1), (2, 1), (3, 1), (5, 5), (9, 5)} and rounds == []
+    assert ends([(5, 1), (5, 9), (5, 7)]) == {(x, 1) for x in (1, 5, 7, 9)} and len(rounds) == 1
+
+
 def test_blocks_are_multiplied_some_rows_at_a_time():
     import tracemalloc
 
