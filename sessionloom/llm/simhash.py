@@ -241,7 +241,8 @@ def sample_fingerprints(text: bytes, words_per_shingle: int) -> list[int | None]
     the least value of each of its bins. Texts with a share s of all their
     different shingles in common (two thirds, where Dice's similarity is .8) have
     a sample equal with probability of about s to the power SAMPLED, so one of
-    SAMPLES is equal with .97 or more.
+    SAMPLES is equal with .97 or more. Samples that differ, those of short texts
+    too, have fingerprints that are as far apart as any two.
     """
     parts = list(shingle_hashes(text, words_per_shingle))
     if not parts:
@@ -254,6 +255,11 @@ def sample_fingerprints(text: bytes, words_per_shingle: int) -> list[int | None]
     there = (at < len(hashes)) & (least >> shift == np.arange(bins, dtype=np.uint64))
     # an empty bin counts as itself, so that texts with other empty bins differ
     filled = np.where(there, least, np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    if not there.all():
+        # what fills it follows from its whole sample, as values that all short texts share would leave a majority few bits to differ in
+        whole = filled.reshape(SAMPLES, SAMPLED).copy()
+        for k in np.flatnonzero(~there).tolist():
+            filled[k] = xxhash.xxh64_intdigest(whole[k // SAMPLED].tobytes(), k)
     samples = [majority(iter([filled[k : k + SAMPLED]])) if there[k : k + SAMPLED].any() else None for k in range(0, bins, SAMPLED)]
     return [*samples, majority(hashes[k : k + HASHED_AT_ONCE] for k in range(0, len(hashes), HASHED_AT_ONCE))]
 

@@ -365,6 +365,17 @@ def test_recall_on_all_pairs_of_a_table(spark):
     assert all(root(i) == root(got[i]) for i in sets)
 
 
+def test_the_walk_links_no_different_samples_of_short_texts():
+    random = np.random.default_rng(7)
+    texts = {" ".join(f"w{x}" for x in row).encode() for row in random.integers(0, 10**6, (10_000, 8))}
+    keys = np.unique(np.array([f for t in texts for f in H.sample_fingerprints(t, 5)[: H.SAMPLES] if f is not None], np.uint64))
+    assert len(keys) > 30_000
+    assert sum(len(a) for a, _ in H.trie_pairs(keys, 21, H.BUDGET)) == 0
+    # what is in common still gives an equal sample
+    a, b = (H.sample_fingerprints(t, 5) for t in (b"a b c d e f g h i", b"a b c d e f g h j"))
+    assert any(x == y is not None for x, y in zip(a, b, strict=True))
+
+
 def test_shared_counts_are_exact(monkeypatch):
     monkeypatch.setattr(H, "COLUMNS_AT_ONCE", 7)
     random = np.random.default_rng(1)
