@@ -3,9 +3,13 @@
 Two vectors reach each other at the largest of their distance and their core
 distances (that of the ``min_samples``-th neighbour). The minimum spanning tree
 of these distances holds the whole hierarchy. It is found without all pairs in
-one place: tiles of vectors meet, each gives the spanning tree of its own
-pairs, and Borůvka rounds, in which each component takes its least outgoing
-edge, join what is left until a task can hold it. The tree is condensed from
+one place: a first tree joins each vector to its nearest ones, all tiles of
+vectors meet, and of a pair of tiles only those pairs go on that are closer than
+the longest edge between them on the first tree, as no other can be in a minimum
+spanning tree. Where that tree is too large for a task, or leaves parts
+unconnected, tiles give the spanning tree of their own pairs, and Borůvka
+rounds, in which each component takes its least outgoing edge, join what is left
+until a task can hold it. The tree is condensed from
 its longest edges down: a tree that no task can hold is cut at a distance, what
 lies above is condensed with the parts below as weighted points, and the parts
 follow as trees of their own. Equal distances count as one step, so the result
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.operators.graph import connected_components
-from sessionloom.operators.vectors import FEWEST_BLOCKS, _matrix, _unit, nearest
+from sessionloom.operators.vectors import DECIMALS, FEWEST_BLOCKS, _matrix, _unit, nearest, nearest_of
 from sessionloom.sources.shared import saved
 
 __all__ = ["condensed", "grid_clusters", "hierarchical_clusters", "selected", "spanning_tree"]
@@ -35,6 +39,8 @@ __all__ = ["condensed", "grid_clusters", "hierarchical_clusters", "selected", "s
 MOST_EDGES, TILE, SUB = 1_000_000, 8192, 2048
 #: Distances count to so many decimals.
 DIGITS = 6
+#: Fewest neighbours of each vector that the first tree is made of; more make it better, and change no result.
+NEIGHBOURS = 8
 
 Rows = Iterator[pa.RecordBatch]
 
@@ -72,29 +78,112 @@ def _prim_across(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return come[order], order
 
 
+def _far(av: np.ndarray, ac: np.ndarray, bv: np.ndarray, bc: np.ndarray) -> np.ndarray:
+    """The distances at which vectors with cores reach each other."""
+    return _reach(_unit(av) @ _unit(bv).T, ac[:, None], bc[None, :])
+
+
+def _reach(cosine: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.round(np.maximum(np.sqrt(np.maximum(0.0, 2 - 2 * cosine)), np.maximum(one, other)), DIGITS)
+
+
+def _inner(ids: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    one, other = _prim(far)
+    return ids[one], ids[other], far[one, other]
+
+
+def _across(ids: np.ndarray, others: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    one, other = _prim_across(far)
+    low, high = np.minimum(one, other), np.maximum(one, other) - len(ids)
+    return ids[low], others[high], far[low, high]
+
+
+def _edges(tree: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    u, v, w = (np.concatenate(z) for z in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(z) for z in (np.full(len(u), tree), np.minimum(u, v).astype(np.int64), np.maximum(u, v).astype(np.int64), w)], names=["tree", "u", "v", "w"])
+
+
 def _tile_trees(batches: Rows) -> Rows:
     """Edges (tree, u, v, w) of the spanning trees of two tiles' pairs; a vector's last position is its core distance."""
     for batch in batches:
         for row in range(batch.num_rows):
             (ai, av), (bi, bv) = (_matrix(batch.column(c)[row]) for c in ("q", "m"))
             same = batch.column("same")[row].as_py()
-            u, v, w = [], [], []
+            found = []
             for x in range(0, len(ai), SUB):
                 for y in range(x if same else 0, len(bi), SUB):
                     a, b = slice(x, x + SUB), slice(y, y + SUB)
-                    far = np.sqrt(np.maximum(0.0, 2 - 2 * (_unit(av[a, :-1]) @ _unit(bv[b, :-1]).T)))
-                    far = np.round(np.maximum(far, np.maximum(av[a, -1:], bv[b, -1:].T)), DIGITS)
-                    ids = np.concatenate([ai[a], bi[b]])
+                    far = _far(av[a, :-1], av[a, -1], bv[b, :-1], bv[b, -1])
+                    found.append(_inner(ai[a], far) if same and x == y else _across(ai[a], bi[b], far))
+            yield _edges(batch.column("g")[row].as_py(), found)
+
+
+def _line(rows: pd.DataFrame) -> pd.DataFrame:
+    """(tree, i, pos, gap): all ends of a forest (tree, u, v, w) in a line, with the ``gap`` before each.
+
+    The longest edge between two of them on the forest is the largest gap
+    between their places; what the forest doesn't connect is infinitely apart.
+    """
+    rows = rows.sort_values("w")
+    names, ends = np.unique(np.concatenate([rows["u"], rows["v"]]), return_inverse=True)
+    n, half = len(names), len(rows)
+    above, last, after, gap = list(range(n)), list(range(n)), [-1] * n, [np.inf] * n
+    # a component's top is its first, and a joined one is lined up behind the other
+    for a, b, w in zip(ends[:half].tolist(), ends[half:].tolist(), rows["w"].tolist(), strict=True):
+        while above[a] != a:
+            above[a] = a = above[above[a]]
+        while above[b] != b:
+            above[b] = b = above[above[b]]
+        above[b], after[last[a]], gap[b], last[a] = a, b, w, last[b]
+    line = []
+    for at in range(n):
+        if above[at] == at:
+            while at >= 0:
+                line.append(at)
+                at = after[at]
+    return pd.DataFrame({"tree": rows["tree"].iloc[0], "i": names[line], "pos": np.arange(n), "gap": np.array(gap)[line]})
+
+
+def _after(gap: np.ndarray) -> np.ndarray:
+    """The largest gap behind each place of a part of the line, up to its end."""
+    return np.append(np.maximum.accumulate(gap[:0:-1])[::-1], 0.0)
+
+
+def _closer(batches: Rows) -> Rows:
+    """Edges (tree, u, v, w) of two tiles' pairs that are closer than the longest edge between them on the first tree, or as many as hold a spanning tree of these.
+
+    A vector's last three positions are its core distance, its place in the
+    line of the first tree, and the gap before it. ``between`` is the largest
+    gap of the tiles that lie between the two.
+    """
+    for batch in batches:
+        for row in range(batch.num_rows):
+            same, between = (batch.column(c)[row].as_py() for c in ("same", "between"))
+            (ai, av), (bi, bv) = ((i[o], v[o]) for i, v in (_matrix(batch.column(c)[row]) for c in ("q", "m")) for o in [np.argsort(v[:, -2])])
+            au, bu = _unit(av[:, :-3]), _unit(bv[:, :-3])
+            (ac, ag), (bc, bg) = ((v[:, -3], v[:, -1]) for v in (av, bv))
+            found = []
+            for x in range(0, len(ai), SUB):
+                a = slice(x, x + SUB)
+                for y in range(x if same else 0, len(bi), SUB):
+                    b = slice(y, y + SUB)
                     if same and x == y:
-                        one, other = _prim(far)
-                        u.append(ai[a][one]), v.append(ai[a][other]), w.append(far[one, other])
-                    else:
-                        one, other = _prim_across(far)
-                        low, high = np.minimum(one, other), np.maximum(one, other)
-                        u.append(ids[low]), v.append(ids[high]), w.append(far[low, high - len(ai[a])])
-            u, v, w = (np.concatenate(z) for z in (u, v, w))
-            tree = np.full(len(u), batch.column("g")[row].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (tree, np.minimum(u, v).astype(np.int64), np.maximum(u, v).astype(np.int64), w)], names=["tree", "u", "v", "w"])
+                        found.append(_inner(ai[a], _far(au[a], ac[a], bu[b], bc[b])))
+                        continue
+                    rest = ag[x + SUB : y] if same else np.concatenate([ag[x + SUB :], [between], bg[:y]])
+                    one, other = np.maximum(_after(ag[a]), rest.max(initial=0.0)), np.maximum.accumulate(bg[b])
+                    cosine = au[a] @ bu[b].T
+                    with np.errstate(over="ignore"):
+                        least = (1 - z**2 / 2 - 1e-9 for z in (one, other))  # a little less than needed, as the exact test follows
+                        k, m = np.nonzero(cosine >= np.minimum(next(least)[:, None], next(least)[None, :]))
+                    # a spanning tree of all these pairs has fewer edges than there are vectors
+                    if len(k) <= max(cosine.size // 16, sum(cosine.shape)):
+                        w = _reach(cosine[k, m], ac[a][k], bc[b][m])
+                        near = w < np.maximum(one[k], other[m])
+                        k, m, w = k[near], m[near], w[near]
+                    some = len(k) < sum(cosine.shape)
+                    found.append((ai[a][k], bi[b][m], w) if some else _across(ai[a], bi[b], _reach(cosine, ac[a][:, None], bc[b][None, :])))
+            yield _edges(batch.column("g")[row].as_py(), found)
 
 
 def _tiles(rows: DataFrame, tile: int) -> DataFrame:
@@ -102,12 +191,31 @@ def _tiles(rows: DataFrame, tile: int) -> DataFrame:
 
     A tile is sent to as many places as its group has tiles.
     """
-    n = F.count("*")
-    sizes = rows.groupBy("g").agg(F.greatest(F.least(F.lit(FEWEST_BLOCKS), F.ceil(n / 64)), F.ceil(n / tile)).cast("long").alias("n"))
+    sizes = _tile_counts(rows, tile).select("g", "n")
     dealt = rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("i"), F.col("n")).cast("long"))
-    packed = dealt.groupBy("g", "b", "n").agg(F.collect_list(F.struct("i", "v")).alias("q"))
-    sent = packed.select("g", F.col("b").alias("a"), "q", F.explode(F.sequence(F.col("b"), F.col("n") - 1)).alias("b"))
-    return sent.join(packed.select("g", "b", F.col("q").alias("m")), ["g", "b"]).select("g", "q", "m", (F.col("a") == F.col("b")).alias("same"))
+    return _met(dealt.groupBy("g", "b", "n").agg(F.collect_list(F.struct("i", "v")).alias("q"))).select("g", "q", "m", "same")
+
+
+def _tile_counts(rows: DataFrame, tile: int) -> DataFrame:
+    n = F.count("*")
+    return rows.groupBy("g").agg(F.greatest(F.least(F.lit(FEWEST_BLOCKS), F.ceil(n / 64)), F.ceil(n / tile)).cast("long").alias("n"), n.alias("size"))
+
+
+def _met(packed: DataFrame) -> DataFrame:
+    """Both tiles are sent, as pairs dealt by the one of them alone would be few and uneven."""
+    one = packed.select("g", F.col("b").alias("a"), "q", F.explode(F.sequence(F.col("b"), F.col("n") - 1)).alias("b"))
+    other = packed.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("a"), "b", F.col("q").alias("m"))
+    return one.join(other, ["g", "a", "b"]).withColumn("same", F.col("a") == F.col("b"))
+
+
+def _line_tiles(rows: DataFrame, tile: int) -> DataFrame:
+    """As ``_tiles`` of rows (g, i, v, pos, gap), with ``between``; a tile is a part of the line, and an earlier one is ``q``."""
+    dealt = rows.join(_tile_counts(rows, tile), "g").withColumn("b", F.floor(F.col("pos") * F.col("n") / F.col("size")).cast("long"))
+    gaps = dealt.groupBy("g", "b").agg(F.max("gap").alias("gap")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("b", "gap"))).alias("gaps")).select("g", F.col("gaps.gap").alias("gaps"))
+    packed = dealt.groupBy("g", "b", "n").agg(F.collect_list(F.struct("i", F.concat("v", F.array(F.col("pos").cast("double"), "gap")).alias("v"))).alias("q"))
+    inner = F.array_max(F.slice("gaps", (F.col("a") + 2).cast("int"), F.greatest(F.lit(0), F.col("b") - F.col("a") - 1).cast("int")))
+    # the largest gap of each tile: a short list for each group
+    return _met(packed).join(gaps, "g").select("g", "q", "m", "same", F.coalesce(inner, F.lit(0.0)).alias("between"))
 
 
 def _kruskal(rows: pd.DataFrame) -> pd.DataFrame:
@@ -177,6 +285,24 @@ def reachability_edges(vectors: DataFrame, cores: DataFrame, tile: int = TILE, w
     return found.drop("tree").join(of, "u").select("tree", "u", "v", "w").distinct()
 
 
+def tree_edges(vectors: DataFrame, cores: DataFrame, near: DataFrame, tile: int = TILE, most: int = MOST_EDGES) -> DataFrame:
+    """As ``reachability_edges``, from neighbours (i, id, d): the first tree, and all edges that may better it.
+
+    Groups of more than ``most`` vectors have no first tree.
+    """
+    small = saved(vectors.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("g"), "small-groups")
+    of = cores.join(small, "g", "left_semi")
+    side = lambda i, c: of.select(F.col("g").alias("tree"), F.col("id").alias(i), F.col("core").alias(c))
+    met = near.groupBy(F.least("i", "id").alias("u"), F.greatest("i", "id").alias("v")).agg(F.min("d").alias("d"))
+    met = met.join(side("u", "cu"), "u").join(side("v", "cv").drop("tree"), "v").select("tree", "u", "v", F.greatest("d", "cu", "cv").alias("w"))
+    first = saved(spanning_tree(saved(met, "near-edges"), most), "first-tree")
+    line = saved(first.groupBy("tree").applyInPandas(_line, "tree long, i long, pos long, gap double"), "line")
+    rows = vectors.join(of, ["g", "id"]).select("g", F.col("id").alias("i"), F.concat("v", F.array("core")).alias("v")).join(line.withColumnRenamed("tree", "g"), ["g", "i"])
+    found = first.unionAll(_line_tiles(rows, tile).mapInArrow(_closer, "tree long, u long, v long, w double"))
+    large = vectors.join(small, "g", "left_anti")
+    return found if large.isEmpty() else found.unionAll(reachability_edges(large, cores, tile))
+
+
 # -- the condensed tree -------------------------------------------------------------
 
 #: What condensing gives: clusters with their parents, and points (or parts) that fall out of a cluster or stay in it.
@@ -487,22 +613,35 @@ def selected(clusters: DataFrame, points: DataFrame, settings: DataFrame, most:
 # -- all together -------------------------------------------------------------------
 
 
-def core_distances(vectors: DataFrame, wanted: Sequence[int], within: DataFrame | None = None) -> DataFrame:
-    """(g, id, samples, core) of rows (g, id, v): the distance of the ``samples``-th neighbour, or of the last where there are fewer.
+def neighbours(vectors: DataFrame, most: int, within: DataFrame | None = None, tile: int = TILE) -> DataFrame:
+    """(i, id, place, d): the ``most`` nearest of each row (g, id, v) in its group. ``within`` (id, _bucket) restricts them."""
+
+    def both_ways(batches: Rows) -> Rows:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q, m = (_matrix(batch.column(c)[row]) for c in ("q", "m"))
+                yield from nearest_of(q, m, most + 1)
+                if not batch.column("same")[row].as_py():
+                    yield from nearest_of(m, q, most + 1)
 
-    One without neighbours has none. ``within`` (id, _bucket) restricts neighbours.
-    """
-    most = max(wanted)
     if within is None:
-        met = nearest(vectors.withColumnRenamed("id", "query_id"), vectors, most + 1, "g").where("query_id <> id")
+        tiles = _tiles(vectors.select("g", F.col("id").alias("i"), "v"), tile)
+        met = tiles.mapInArrow(both_ways, "query_id long, id long, similarity double").where("query_id <> id")
         near = met.select(F.col("query_id").alias("i"), "id", "similarity")
     else:
         rows = vectors.join(within, "id").withColumn("gb", F.xxhash64("g", "_bucket"))
         met = nearest(rows.select(F.col("id").alias("query_id"), "v", "gb"), rows.select("id", "v", "gb"), most + 1, "gb")
         near = met.where("query_id <> id").groupBy(F.col("query_id").alias("i"), "id").agg(F.max("similarity").alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("similarity"), "id"))
-    far = near.withColumn("place", place).where(F.col("place") <= most).select("i", "place", F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity"))), DIGITS).alias("d"))
-    cores = far.groupBy("i").agg(*(F.max(F.when(F.col("place") <= k, F.col("d"))).alias(f"_{k}") for k in wanted))
+    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc(F.round("similarity", DECIMALS)), "id"))
+    return near.withColumn("place", place).where(F.col("place") <= most).select("i", "id", "place", F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity"))), DIGITS).alias("d"))
+
+
+def core_distances(vectors: DataFrame, near: DataFrame, wanted: Sequence[int]) -> DataFrame:
+    """(g, id, samples, core) of rows (g, id, v) with their neighbours: the distance of the ``samples``-th, or of the last where there are fewer.
+
+    One without neighbours has none.
+    """
+    cores = near.groupBy("i").agg(*(F.max(F.when(F.col("place") <= k, F.col("d"))).alias(f"_{k}") for k in wanted))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("samples"), F.col(f"_{k}").alias("core")) for k in wanted))).alias("c")
     return vectors.select("g", "id").join(cores.select(F.col("i").alias("id"), each), "id").select("g", "id", "c.*")
 
@@ -534,10 +673,12 @@ def grid_clusters(vectors: DataFrame, grid: Sequence[tuple[int, int, float]], me
     group = F.xxhash64(F.col(by)) if by else F.lit(0).cast("long")
     rows = vectors.select(group.alias("g"), "id", "v")
     samples = sorted({s for _, s, _ in grid})
-    cores = saved(core_distances(rows, samples, within), "cores")
+    near = saved(neighbours(rows, max(samples) if within is not None else max(NEIGHBOURS, *samples), within, tile), "neighbours")
+    cores = saved(core_distances(rows, near, samples), "cores")
     trees = None
     for s in samples:
-        edges = reachability_edges(rows, cores.where(F.col("samples") == s).drop("samples"), tile, within)
+        own_cores = cores.where(F.col("samples") == s).drop("samples")
+        edges = tree_edges(rows, own_cores, near, tile, most) if within is None else reachability_edges(rows, own_cores, tile, within)
         own = spanning_tree(saved(edges, "reachability"), most)
         if within is not None:
             own = _forest_joined(saved(own, "forest"), rows.select(F.col("g").alias("tree"), F.col("id").alias("node")))

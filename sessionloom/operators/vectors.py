@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from sessionloom.functions.numbers import euclidean
 
-__all__ = ["block_pairs", "centroid_distances", "centroids", "label_similarity", "nearest", "percentiles", "products", "soft_memberships"]
+__all__ = ["block_pairs", "centroid_distances", "centroids", "label_similarity", "nearest", "nearest_of", "percentiles", "products", "soft_memberships"]
 
 
 def centroids(vectors: DataFrame, key: str, v: str = "v") -> DataFrame:
@@ -43,20 +43,25 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int, by: str | None = None
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                (qi, qv), (mi, mv) = (_matrix(batch.column(c)[row]) for c in ("q", "m"))
-                top = min(k, len(mi))
-                # by similarity, ties by id: ids ascend within a block
-                order = np.argsort(mi, kind="stable")
-                mi, mv = mi[order], mv[order]
-                for some, s in products(qv, mv):
-                    best = _best(np.round(s, 12), top)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi[some], top)), pa.array(mi[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "id", "similarity"])
+                yield from nearest_of(*(_matrix(batch.column(c)[row]) for c in ("q", "m")), k)
 
     pairs = met.mapInArrow(multiply, "query_id long, id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def nearest_of(queries: tuple[np.ndarray, np.ndarray], memory: tuple[np.ndarray, np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, id, similarity): the ``k`` nearest of a block (ids, vectors) of the memory to each of a block of queries."""
+    (qi, qv), (mi, mv) = queries, memory
+    top = min(k, len(mi))
+    # by similarity, ties by id: ids ascend within a block
+    order = np.argsort(mi, kind="stable")
+    mi, mv = mi[order], mv[order]
+    for some, s in products(qv, mv):
+        best = _best(s, top)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi[some], top)), pa.array(mi[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "id", "similarity"])
+
+
 #: Most vectors in a block, and the fewest blocks that more than a handful of vectors are dealt into.
 BLOCK, FEWEST_BLOCKS = 2048, 8
 #: Most values of a product of blocks that a task holds at once; bounds memory only.
@@ -128,13 +133,20 @@ def products(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]
         yield some, _unit(x[some]) @ unit
 
 
+#: Columns whose greatest value stands for them where a row's best are looked for, and the decimals to which values count.
+SPAN, DECIMALS = 64, 12
+
+
 def _best(s: np.ndarray, top: int) -> np.ndarray:
-    """The places of each row's ``top`` greatest values, in order; of equal ones the first."""
-    least = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top, None]
-    row, at = np.nonzero(s >= least)
-    value = s[row, at]
+    """The places of each row's ``top`` greatest values (to DECIMALS), in order; of equal ones the first."""
+    spans = s.shape[1] // SPAN
+    # as many spans reach their ``top``-th greatest maximum, so no better value is below it
+    some = s[:, : spans * SPAN].reshape(len(s), SPAN, spans).max(axis=1) if spans >= top else s
+    least = np.partition(some, some.shape[1] - top, axis=1)[:, some.shape[1] - top, None]
+    row, at = np.nonzero(s >= least - 2 * 10.0**-DECIMALS)
+    value = np.round(s[row, at], DECIMALS)
     order = np.lexsort((at, -value, row))
-    # of those equal to the least one as many as there is room for
+    # of those that are over the least one or equal to it as many as there is room for
     place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(s)))[row]
     return at[order][place < top].reshape(len(s), top)
 

@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from sessionloom.operators import hierarchy as H
@@ -233,3 +235,77 @@ def test_selection_in_one_task_equals_rounds_and_needs_none(spark, monkeypatch,
     one = sorted(map(tuple, H.selected(clusters, fallen, settings).collect()))
     assert len(names) <= 3
     assert one == sorted(map(tuple, H.selected(clusters, fallen, settings, most=1).collect()))
+
+
+def weights(edges):
+    """The sorted lengths of a minimum spanning forest of edges (u, v, w)."""
+    up, out = {}, []
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for w, u, v in sorted((w, u, v) for u, v, w in edges):
+        if top(u) != top(v):
+            up[top(u)] = top(v)
+            out.append(round(w, 6))
+    return out
+
+
+def test_a_line_holds_the_longest_edges_of_a_forest():
+    random = np.random.default_rng(2)
+    # two trees of 30 nodes
+    edges = [(k, k + 1 + int(random.integers(0, 30 - k % 31)), float(random.integers(1, 9))) for t in (0, 31) for k in range(t, t + 30)]
+    line = H._line(pd.DataFrame(edges, columns=["u", "v", "w"]).assign(tree=5))
+    place, gap = {i: p for i, p in zip(line["i"], line["pos"], strict=True)}, line["gap"].to_numpy()
+    for a in range(62):
+        far, todo = {a: 0.0}, [a]
+        while todo:
+            x = todo.pop()
+            for u, v, w in edges:
+                for p, q in ((u, v), (v, u)):
+                    if p == x and q not in far:
+                        far[q] = max(far[x], w)
+                        todo.append(q)
+        for b in range(62):
+            if b != a:
+                low, high = sorted((place[a], place[b]))
+                assert gap[low + 1 : high + 1].max() == far.get(b, np.inf)
+
+
+@pytest.mark.parametrize(("near", "sub"), [(3, 16), (1, 16), (3, 7)])
+def test_pairs_closer_than_the_first_tree_hold_the_spanning_tree(monkeypatch, near, sub):
+    # with one neighbour each the first tree is in many parts
+    monkeypatch.setattr(H, "SUB", sub)
+    x = blobs(4, 120, [0.05, 0.2, 0.6])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(np.sqrt(np.maximum(0, 2 - 2 * unit @ unit.T)), H.DIGITS)
+    np.fill_diagonal(d, np.inf)
+    core = np.sort(d, axis=1)[:, 1]
+    w = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    rows = pd.DataFrame([(0, min(a, b), max(a, b), w[a, b], min(a, b), max(a, b)) for a in range(120) for b in map(int, np.argsort(d[a], kind="stable")[:near])], columns=["tree", "u", "v", "w", "cu", "cv"])
+    first = H._kruskal(rows)
+    line = H._line(first).set_index("i")
+    tile = lambda k: [{"i": i, "v": [*x[i], core[i], float(r.pos), r.gap]} for i, r in line[line["pos"] // 40 == k].iterrows()]
+    kind = pa.list_(pa.struct([("i", pa.int64()), ("v", pa.list_(pa.float64()))]))
+    middle = max(r["v"][-1] for r in tile(1))
+    pairs = [(k, m, middle if (k, m) == (0, 2) else 0.0) for k in range(3) for m in range(k, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 6), pa.array([tile(k) for k, _, _ in pairs], kind), pa.array([tile(m) for _, m, _ in pairs], kind), pa.array([k == m for k, m, _ in pairs]), pa.array([b for _, _, b in pairs])], names=["g", "q", "m", "same", "between"])
+    found = [tuple(e.values())[1:] for part in H._closer(iter([batch])) for e in part.to_pylist()]
+    assert all(w[u, v] == e for u, v, e in found)
+    both = [*found, *first[["u", "v", "w"]].itertuples(index=False, name=None)]
+    assert weights(both) == weights([(a, b, w[a, b]) for a in range(120) for b in range(a)])
+
+
+def test_edges_that_cannot_better_the_first_tree_do_not_move(spark):
+    x = np.random.default_rng(8).normal(size=(600, 6))
+    df = spark.createDataFrame([(0, k, v.tolist()) for k, v in enumerate(x)], "g long, id long, v array<double>").repartition(3)
+    near = H.neighbours(df, H.NEIGHBOURS, tile=64).cache()
+    cores = H.core_distances(df, near, [3]).drop("samples").cache()
+    edges = H.tree_edges(df, cores, near, tile=64).select("u", "v", "w").collect()
+    every = H.reachability_edges(df, cores, tile=64).select("u", "v", "w").collect()
+    assert weights(map(tuple, edges)) == weights(map(tuple, every))
+    assert len(edges) < 3 * 600 < len(every)
+    # a group that no task can hold has no first tree
+    assert weights(map(tuple, H.tree_edges(df, cores, near, tile=64, most=599).select("u", "v", "w").collect())) == weights(map(tuple, every))
